@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tidemark.plans import q_graph, q_vintage  # noqa: F401
+from tidemark.plans import q_graph, q_panel, q_vintage  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
