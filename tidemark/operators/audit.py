@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.identifiers import SECRET_SHAPES
+from tidemark.operators.ordering import positions
+
 
 def expectations(*one_row: DataFrame) -> DataFrame:
     """Q1, Q2: frames of one row with boolean columns become rows (name, pass)."""
@@ -24,3 +27,144 @@ def expectations(*one_row: DataFrame) -> DataFrame:
         for d in one_row
     ]
     return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+def require_all(checks: DataFrame) -> None:
+    """Q2: stop when any check fails. Only the names of failed checks reach the driver."""
+    failed = [row["name"] for row in checks.filter("not pass").select("name").limit(50).collect()]
+    if failed:
+        raise AssertionError(f"failed checks: {failed}")
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """Order-free fingerprint of a table's content: rows and two sums of row hashes."""
+    cols = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    wide = lambda h: F.sum(h.cast("decimal(38,0)"))
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"), wide(F.xxhash64(*cols)).alias("h1"),
+        wide(F.xxhash64(*cols, F.lit(1))).alias("h2"),
+    )
+
+
+def may_promote(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Q11: a replacement must have the same columns, row count and content."""
+    same_columns = old.columns == new.columns
+    a = fingerprint(old)
+    b = fingerprint(new).select(*[F.col(c).alias("_" + c) for c in ("n_rows", "h1", "h2")])
+    eq = lambda c: F.col(c).eqNullSafe(F.col("_" + c))
+    return a.crossJoin(b).select(
+        F.lit(same_columns).alias("same_columns"), eq("n_rows").alias("same_rows"),
+        (F.lit(same_columns) & eq("n_rows") & eq("h1") & eq("h2")).alias("may_promote"),
+    )
+
+
+def secret_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines that carry the shape of a credential, with their line number.
+
+    Whole texts are split into lines; a cheap test on the text keeps clean ones out of the split.
+    """
+    any_shape = "|".join(f"(?:{s})" for _, s in SECRET_SHAPES)
+    lines = texts.filter(F.col(text).rlike(any_shape)).select(
+        key, F.posexplode(F.split(text, "\n")).alias("_i", "_line")
+    )
+    hits = F.filter(
+        F.array(*[F.when(F.col("_line").rlike(s), F.lit(n)) for n, s in SECRET_SHAPES]),
+        lambda x: x.isNotNull(),
+    )
+    return lines.select(key, (F.col("_i") + 1).alias("line"), F.explode(hits).alias("shape"))
+
+
+def signed_expiries(texts: DataFrame, text: str) -> DataFrame:
+    """Declared expiry seconds of signed links with their counts."""
+    found = F.regexp_extract_all(text, F.lit(r"(?:[?&]|&amp;)X-Amz-Expires=(\d{1,7})"), F.lit(1))
+    return (
+        texts.filter(F.col(text).contains("X-Amz-Expires="))
+        .select(F.explode(found).cast("int").alias("expires"))
+        .groupBy("expires").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def reconcile_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Q4: every stored file is vouched for by an equal ledger entry, or the reason it is not.
+
+    ``files``: file, bytes, n_rows, date_min, date_max. ``ledger``: the same without bytes.
+    """
+    e = ledger.select(
+        "file", F.lit(True).alias("_e"), *[F.col(c).alias("_" + c) for c in ("n_rows", "date_min", "date_max")]
+    )
+    j = files.join(e, "file", "left")
+    same_dates = F.col("date_min").eqNullSafe(F.col("_date_min")) & F.col("date_max").eqNullSafe(F.col("_date_max"))
+    why = (
+        F.when(F.col("_e").isNull(), "no ledger entry").when(F.col("bytes") == 0, "zero bytes")
+        .when(~F.col("n_rows").eqNullSafe(F.col("_n_rows")), "row count differs")
+        .when(~same_dates, "date range differs").otherwise("kept")
+    )
+    return j.select("file", why.alias("why"))
+
+
+def claim_status(claims: DataFrame, results: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Q7: each claimed figure against the result tables and their provenance.
+
+    ``claims``: section, source, metric, value. ``results``: source, metric, value.
+    ``provenance``: source.
+    """
+    r = results.groupBy("source", "metric").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("value").alias("_v"), F.min("value").alias("_lo")
+    )
+    sources = results.select("source", F.lit(True).alias("_s")).distinct()
+    p = provenance.select("source", F.lit(True).alias("_p")).distinct()
+    j = claims.join(r, ["source", "metric"], "left").join(sources, "source", "left").join(p, "source", "left")
+    equal = F.coalesce((F.col("_v") == F.col("value")) | (F.col("_lo") == F.col("value")), F.lit(False))
+    state = (
+        F.when(F.col("_s").isNull(), "NO SOURCE").when(~equal, "UNTRACEABLE")
+        .when(F.col("_p").isNull(), "NO-PROV").otherwise("OK")
+    )
+    return j.groupBy("section", state.alias("state")).agg(F.count(F.lit(1)).alias("claims"))
+
+
+def unresolved_claims(claims: DataFrame, results: DataFrame) -> DataFrame:
+    """Q8: claimed metrics that resolve to no value or to several."""
+    n = results.groupBy("source", "metric").agg(F.count(F.lit(1)).alias("_n"))
+    return (
+        claims.select("source", "metric").distinct().join(n, ["source", "metric"], "left")
+        .select("source", "metric", F.coalesce("_n", F.lit(0)).alias("values")).filter("values <> 1")
+    )
+
+
+def publish_gate(outputs: DataFrame, inputs: DataFrame, withheld: DataFrame) -> DataFrame:
+    """Q10: class of each output by what it consumes, and whether it may be published.
+
+    ``outputs``: item. ``inputs``: item, class. ``withheld``: item (the tainted set).
+    """
+    classes = inputs.groupBy("item").agg(
+        F.min("class").alias("_lo"), F.max("class").alias("_hi"), F.count("class").alias("_n")
+    )
+    w = withheld.select("item", F.lit(True).alias("_w")).distinct()
+    j = outputs.join(classes, "item", "left").join(w, "item", "left")
+    label = (
+        F.when(F.coalesce("_n", F.lit(0)) == 0, "unknown").when(F.col("_lo") != F.col("_hi"), "mixed").otherwise(F.col("_lo"))
+    )
+    j = j.withColumn("class", label)
+    ok = ~F.col("class").isin("unknown", "mixed", "licensed") & F.col("_w").isNull()
+    return j.select("item", "class", F.coalesce("_w", F.lit(False)).alias("tainted"), ok.alias("publish"))
+
+
+def stratified_sample(frame: DataFrame, stratum: str, key: list[str], n: int, seed: int) -> DataFrame:
+    """Per stratum ``max(1, round(n * size / total))`` rows in hash order, at most n in all.
+
+    The draw is fixed by the seed and the keys alone; it is not any other generator's draw.
+    """
+    h = F.md5(F.concat_ws("|", *key, F.lit(str(seed))))
+    x = positions(frame.withColumn("_h", h), [F.col("_h"), *[F.col(k) for k in key]], [stratum], "_i")
+    sizes = frame.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
+    total = frame.agg(F.count(F.lit(1)).alias("_total"))
+    take = sizes.crossJoin(F.broadcast(total)).select(
+        stratum, F.greatest(F.lit(1.0), F.rint(n * F.col("_size") / F.col("_total"))).alias("_take")
+    )
+    kept = x.join(take, stratum).filter(F.col("_i") <= F.col("_take"))
+    return kept.orderBy(stratum, "_i").limit(n).drop("_h", "_i", "_take")
+
+
+def key_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """N distinct keys in hash order (a bounded top-k)."""
+    return df.select(key).distinct().orderBy(F.md5(F.concat_ws("|", key, F.lit(str(seed)))), key).limit(n)

@@ -72,10 +72,10 @@ def b24(spark, sf):
 @query(
     "b24_symbols_kept",
     f"""WITH {DAILY_SQL} SELECT symbol, count(ret) AS returns FROM daily GROUP BY symbol
-    HAVING count(*) FILTER (WHERE abs(ret) > 0.5) < 120""",
+    HAVING count(*) FILTER (WHERE abs(ret) > 0.5) < 900""",
 )
 def b24_kept(spark, sf):
-    return P.without_broken(daily(spark, sf), 120).groupBy("symbol").agg(F.count("ret").alias("returns"))
+    return P.without_broken(daily(spark, sf), 900).groupBy("symbol").agg(F.count("ret").alias("returns"))
 
 
 @query(
