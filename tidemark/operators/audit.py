@@ -79,8 +79,8 @@ def signed_expiries(texts: DataFrame, text: str) -> DataFrame:
     found = F.regexp_extract_all(text, F.lit(r"(?:[?&]|&amp;)X-Amz-Expires=(\d{1,7})"), F.lit(1))
     return (
         texts.filter(F.col(text).contains("X-Amz-Expires="))
-        .select(F.explode(found).cast("int").alias("expires"))
-        .groupBy("expires").agg(F.count(F.lit(1)).alias("n"))
+        .select(F.explode(found).alias("_e"))
+        .groupBy(F.col("_e").cast("int").alias("expires")).agg(F.count(F.lit(1)).alias("n"))
     )
 
 

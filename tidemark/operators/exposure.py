@@ -69,11 +69,16 @@ def split_entrants(
     """
     carried = old_units.select("unit", F.lit(True).alias("_carried")).distinct()
     was_listed = listed_old.select("firm", F.lit(True).alias("_listed")).distinct()
-    # a unit is under a current owner when (unit, holder) meets (firm, holder): the join starts
-    # from the entrants' own units, so no unit's holders are paired with each other
+    # A unit is under a current owner when (unit, holder) meets (firm, holder). Only entrants that
+    # were not listed can be in part 1, and only holders that own an entrant can put them there,
+    # so both sides are cut down before they meet on the unit.
+    above = owners.select("holder").distinct()
     under = (
         unit_mw.select("firm", "unit").distinct()
-        .join(old_holders.select("unit", "holder").distinct(), "unit")
+        .join(was_listed, "firm", "left_anti")
+        .join(
+            old_holders.select("unit", "holder").distinct().join(above, "holder", "left_semi"), "unit"
+        )
         .filter(F.col("holder") != F.col("firm"))
         .join(owners.select("firm", "holder").distinct(), ["firm", "holder"], "left_semi")
         .select("firm", "unit", F.lit(True).alias("_under"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import COVERED_MONTHS
 from tidemark.functions.cleaning import half_up
+from tidemark.functions.identifiers import STOP_WORDS
 from tidemark.operators import coverage as V
 from tidemark.operators import membership as M
 from tidemark.operators import panel as P
@@ -17,6 +18,8 @@ from tidemark.plans import standins as S
 from tidemark.plans.q_graph import rounded
 from tidemark.plans.registry import query, r
 
+STOPS = ", ".join(repr(w) for w in STOP_WORDS)
+
 # ---------------------------------------------------------------- ledger
 LATEST_SQL = f"""{S.LEDGER_SQL}, wrote AS (SELECT * FROM ledger WHERE disposition IN ('WROTE_NEW', 'WROTE_BESIDE')),
 latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY endpoint, symbol ORDER BY line DESC) AS i FROM wrote) WHERE i = 1)"""
@@ -182,12 +185,12 @@ def e31(spark, sf):
 @query(
     "e32_size_bands",
     f"""WITH {QP.SPAN_SQL}, liq AS (SELECT symbol, median(price * volume) AS dv FROM prices GROUP BY symbol),
-    b AS (SELECT CASE WHEN dv < 45000 THEN 'small' WHEN dv < 50000 THEN 'middle' ELSE 'large' END AS band, gap FROM gap JOIN liq USING (symbol))
+    b AS (SELECT CASE WHEN dv < 52000 THEN 'small' WHEN dv < 54000 THEN 'middle' ELSE 'large' END AS band, gap FROM gap JOIN liq USING (symbol))
     SELECT band, count(*) AS n, {r('median(gap)', 6)} AS gap, {r('count(*) FILTER (WHERE gap < 0)::DOUBLE / count(*)', 6)} AS share_below FROM b GROUP BY band""",
 )
 def e32(spark, sf):
     liq = P.liquidity(S.prices(spark, sf)).select("symbol", "dollar_vol")
-    band = F.when(F.col("dollar_vol") < 45000, "small").when(F.col("dollar_vol") < 50000, "middle").otherwise("large")
+    band = F.when(F.col("dollar_vol") < 52000, "small").when(F.col("dollar_vol") < 54000, "middle").otherwise("large")
     g = QP.gaps(spark, sf).join(liq, "symbol").select(band.alias("band"), "gap")
     med = quantiles(g, "gap", {"m": 0.5}, ["band"]).select("band", F.col("m").alias("gap"))
     n = g.groupBy("band").agg(
@@ -402,8 +405,8 @@ def e43(spark, sf):
     f"""WITH {NAMED_SQL}, p AS (SELECT 'S' || s_suppkey AS symbol, p_name || CASE s_suppkey % 4 WHEN 0 THEN ' ETF' WHEN 1 THEN ' Inc' ELSE '' END AS pname, DATE '1995-01-01' + CAST(s_suppkey % 9 AS INTEGER) AS ipo,
         CASE WHEN s_suppkey % 3 = 0 THEN '00' || s_suppkey ELSE '' END AS list_id, CASE WHEN s_suppkey % 6 = 0 THEN '0' || (s_suppkey + 1) ELSE '0000' || s_suppkey END AS profile_id, s_acctbal > 5000 AS cont
       FROM supplier JOIN part ON p_partkey = s_suppkey),
-    t AS (SELECT p.*, first_seen, list_filter(list_distinct(string_split_regex(regexp_replace(lower(latest_name), '[^a-z0-9 ]', ' ', 'g'), ' +')), lambda w: length(w) > 1) AS th,
-      list_filter(list_distinct(string_split_regex(regexp_replace(lower(pname), '[^a-z0-9 ]', ' ', 'g'), ' +')), lambda w: length(w) > 1 AND w NOT IN ('etf', 'inc')) AS tp FROM p JOIN seen USING (symbol)),
+    t AS (SELECT p.*, first_seen, list_filter(list_distinct(string_split_regex(regexp_replace(lower(latest_name), '[^a-z0-9 ]', ' ', 'g'), ' +')), lambda w: length(w) > 1 AND w NOT IN ({STOPS})) AS th,
+      list_filter(list_distinct(string_split_regex(regexp_replace(lower(pname), '[^a-z0-9 ]', ' ', 'g'), ' +')), lambda w: length(w) > 1 AND w NOT IN ({STOPS})) AS tp FROM p JOIN seen USING (symbol)),
     c AS (SELECT *, len(th) > 0 AND len(tp) > 0 AND NOT list_has_any(th, tp) AS clash, cont OR contains(pname, 'ETF') AS backed FROM t)
     SELECT symbol, clash, CASE WHEN clash AND backed THEN 1 WHEN clash THEN 2 END AS tier, ipo > first_seen AS listed_after_seen, ipo > first_seen AND clash AS seen_and_clash,
       ltrim(list_id, '0') <> '' AND ltrim(profile_id, '0') <> '' AND ltrim(list_id, '0') <> ltrim(profile_id, '0') AS id_differs FROM c""",
