@@ -139,7 +139,8 @@ def holders(
     edges: DataFrame, listed: DataFrame, sources: DataFrame, cap: int = DEPTH_CAP
 ) -> DataFrame:
     """Listed holders of each owner: a listed owner holds for itself, others look through."""
-    own = sources.select(F.col("entity").alias("source")).distinct().join(
+    sources = materialise(sources.select("entity").distinct())
+    own = sources.select(F.col("entity").alias("source")).join(
         listed.select(F.col("entity").alias("source")).distinct(), "source", "left_semi"
     )
     itself = own.select("source", F.col("source").alias("parent"), F.lit(1.0).alias("weight"))

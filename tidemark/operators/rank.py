@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEGENERATE_IQR, DEGENERATE_MEDIAN, FOOTNOTE_SPEARMAN, MIN_FIRMS
 from tidemark.operators.ordering import average_rank, cut_values, positions, quantiles
+from tidemark.session import materialise
 
 
 def fifth(rule: str) -> Column:
@@ -17,9 +18,14 @@ def fifth(rule: str) -> Column:
     return F.floor(n / 5) if rule == "floor" else F.rint(n / 5.0)
 
 
+def _pairs(df: DataFrame, a: str, b: str, *keep: str) -> DataFrame:
+    """Rows with both values, written once because several passes read them."""
+    return materialise(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keep, a, b))
+
+
 def spearman(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> DataFrame:
     """Pearson on average ranks; null when a side is constant."""
-    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    both = _pairs(df, a, b, *group)
     x = average_rank(both, a, group, "_ra")
     x = average_rank(x, b, group, "_rb")
     moving = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
@@ -38,7 +44,7 @@ def overlap_bounds(
     With t tied firms shared by both lists, the number drawn from them enters the bounds through
     piecewise linear terms, so the extremes lie at their break points and no range is enumerated.
     """
-    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    both = _pairs(df, a, b, *group)
     size = F.lit(k) if k is not None else fifth(rule)
     name = lambda d, s: d.select(
         *group, "k", *[F.col(c).alias(f"{c}_{s}") for c in ("cut", "sure", "tied", "places")]
@@ -90,7 +96,7 @@ def overlap_bounds(
 
 def movers(df: DataFrame, a: str, b: str, key: str, rule: str = "floor") -> DataFrame:
     """Firms that enter or leave the top fifth, with the size of their move."""
-    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    both = _pairs(df, a, b, key)
     x = positions(both, [F.col(a).desc(), F.col(key)], out="_pa")
     x = positions(x, [F.col(b).desc(), F.col(key)], out="_pb")
     n = both.agg(F.count(F.lit(1)).alias("n")).select(F.greatest(F.lit(1), fifth(rule)).alias("k"))
@@ -133,7 +139,10 @@ def stability(long: DataFrame, key: str) -> DataFrame:
         lambda u: u.isNotNull(),
     )
     g = ["universe", "rule", "measure"]
-    x = long.filter("a is not null and b is not null").withColumn("universe", F.explode(rows))
+    x = materialise(
+        long.filter("a is not null and b is not null").withColumn("universe", F.explode(rows))
+        .select(*g, "a", "b", "raw_a", "raw_b")
+    )
     own = spearman(x, "a", "b", g)
     raw = spearman(x, "raw_a", "raw_b", g).select(*g, F.col("spearman").alias("raw_spearman"))
     ov = overlap_bounds(x, "a", "b", "round", g).select(*g, "k", "lowest", "highest")

@@ -108,14 +108,18 @@ def classify(diff: DataFrame, entities_old: DataFrame, removed_ids: DataFrame) -
 
 def change_buckets(classified: DataFrame) -> DataFrame:
     """Counts by detail, by bucket and overall, with the share of all changed edges."""
-    changed = classified.filter(F.col("bucket") != SAME)
-    levels = changed.rollup("bucket", "detail").agg(F.count(F.lit(1)).alias("edges"))
-    total = changed.agg(F.count(F.lit(1)).alias("_all"))
-    return levels.crossJoin(F.broadcast(total)).select(
+    # edges are counted once; the subtotals come from that table of a few rows
+    counts = (
+        classified.filter(F.col("bucket") != SAME)
+        .groupBy("bucket", "detail").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    levels = counts.rollup("bucket", "detail").agg(F.sum("_n").alias("edges"))
+    total = F.max("edges").over(Window.partitionBy(F.lit(0)))
+    return levels.select(
         F.coalesce("bucket", F.lit("ALL")).alias("bucket"),
         F.coalesce("detail", F.lit("TOTAL")).alias("detail"),
         "edges",
-        half_up(100.0 * F.col("edges") / F.col("_all"), 4).alias("pct"),
+        half_up(100.0 * F.col("edges") / total, 4).alias("pct"),
     )
 
 

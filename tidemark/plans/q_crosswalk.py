@@ -12,6 +12,7 @@ from tidemark.operators.ordering import quantiles
 from tidemark.plans import standins as S
 from tidemark.plans.q_graph import rounded
 from tidemark.plans.registry import query, r
+from tidemark.session import materialise
 
 # ---------------------------------------------------------------- text rules on entity rows
 ENTITY_SQL = """entity AS (SELECT 'C' || c_custkey AS entity, c_name AS name, c_nationkey AS hq,
@@ -227,17 +228,17 @@ def firms(spark, sf):
     )
 
 
-def route_one(spark, sf):
-    c = S.candidates(spark, sf).withColumn("lei", C.present_or_null(F.col("lei")))
-    return W.best_listing(c, "lei")
+def route_one(candidates):
+    return W.best_listing(candidates.withColumn("lei", C.present_or_null(F.col("lei"))), "lei")
 
 
 def chosen(spark, sf):
     """Both routes: the first identifier where it resolves, the second elsewhere."""
-    one = W.null_safe_lookup(firms(spark, sf), route_one(spark, sf).drop("share_vol"), "lei")
+    c = materialise(S.candidates(spark, sf))
+    one = materialise(W.null_safe_lookup(firms(spark, sf), route_one(c).drop("share_vol"), "lei"))
     found = one.filter("symbol is not null").withColumn("route", F.lit("first"))
     open_ = one.filter("symbol is null").drop("symbol", "exchange", "dollar_vol")
-    two = W.second_route(open_, S.candidates(spark, sf), "cik").withColumn(
+    two = W.second_route(open_, c, "cik").withColumn(
         "route", F.when(F.col("symbol").isNotNull(), "second")
     )
     return found.unionByName(two)
@@ -250,7 +251,7 @@ def b26(spark, sf):
 
 @query("f05_best_listing", f"WITH {ROUTE_SQL} SELECT lei, symbol, exchange, {r('dollar_vol', 2)} AS dollar_vol, share_vol FROM route1")
 def f05(spark, sf):
-    return rounded(route_one(spark, sf), "dollar_vol", places=2)
+    return rounded(route_one(materialise(S.candidates(spark, sf))), "dollar_vol", places=2)
 
 
 @query(
@@ -258,7 +259,7 @@ def f05(spark, sf):
     f"WITH {ROUTE_SQL} SELECT f.entity, f.lei, a.symbol FROM firm f LEFT JOIN route1 a ON f.lei = a.lei",
 )
 def c08(spark, sf):
-    return W.null_safe_lookup(firms(spark, sf), route_one(spark, sf), "lei").select("entity", "lei", "symbol")
+    return W.null_safe_lookup(firms(spark, sf), route_one(materialise(S.candidates(spark, sf))), "lei").select("entity", "lei", "symbol")
 
 
 @query("c21_second_route", f"WITH {ROUTE_SQL} SELECT entity, symbol, route, exchange, {r('dollar_vol', 2)} AS dollar_vol FROM chosen")
@@ -272,7 +273,7 @@ def c21(spark, sf):
       SELECT symbol, count(*) OVER (PARTITION BY symbol) AS claims FROM chosen WHERE symbol IS NOT NULL) WHERE claims > 1 GROUP BY symbol""",
 )
 def c18(spark, sf):
-    return W.double_claims(chosen(spark, sf)).groupBy("symbol").agg(
+    return W.double_claims(materialise(chosen(spark, sf))).groupBy("symbol").agg(
         F.count(F.lit(1)).alias("entities"), F.max("claims").alias("claims")
     )
 

@@ -11,6 +11,7 @@ from tidemark.operators import graph as G
 from tidemark.operators.ordering import first_wins
 from tidemark.plans import standins as S
 from tidemark.plans.registry import query, r
+from tidemark.session import materialise
 
 IMPUTED_SQL = """filled AS (
   SELECT subject, party, coalesce(weight, CASE WHEN '{rule}' = 'impute' THEN
@@ -167,7 +168,7 @@ def usable(spark, sf):
 
 
 def attributed(spark, sf, rule="zero"):
-    u = usable(spark, sf)
+    u = materialise(usable(spark, sf))
     owners = u.select(F.col("owner").alias("entity")).distinct()
     held = G.holders(filled(spark, sf, rule), S.graph_listed(spark, sf), owners)
     return X.attribute(u, held)
@@ -242,11 +243,11 @@ def d08(spark, sf):
     e = filled(spark, sf, "impute")
     listed = S.graph_listed(spark, sf)
     listed_old = listed.filter(F.substring("entity", 2, 20).cast("long") % 3 != 1)
-    un = X.usable_units(S.units(spark, sf))
+    un = materialise(X.usable_units(S.units(spark, sf)))
     uo = un.filter("early")
     owners = un.select(F.col("owner").alias("entity")).distinct()
-    new = X.attribute(un, G.holders(e, listed, owners))
-    old = X.attribute(uo, G.holders(e, listed_old, owners))
+    new = materialise(X.attribute(un, G.holders(e, listed, owners)))
+    old = materialise(X.attribute(uo, G.holders(e, listed_old, owners)))
     had = old.groupBy("firm").agg(F.sum("mw").alias("mw")).filter("mw > 0").select("firm")
     has = new.groupBy("firm").agg(F.sum("mw").alias("mw")).filter("mw > 0").select("firm")
     entrant = has.join(had, "firm", "left_anti")

@@ -16,6 +16,7 @@ from tidemark.operators.ordering import legs, quantiles
 from tidemark.plans import standins as S
 from tidemark.plans.q_graph import rounded
 from tidemark.plans.registry import query, r
+from tidemark.session import materialise
 
 MONTHLY_SQL = (
     S.PRICES_SQL
@@ -134,8 +135,9 @@ ports AS (SELECT 'EW' AS weighting, 'D' AS freq, CAST(period AS VARCHAR) AS peri
 
 def portfolios(spark, sf):
     """Four portfolio series: equal and value weights, daily and monthly."""
-    d = daily(spark, sf).join(weight_table(spark, sf).select("symbol", "weight"), "symbol")
-    d = d.withColumn("month", month_of(F.col("date")))
+    d = daily(spark, sf)
+    d = d.join(weight_table(spark, sf).select("symbol", "weight"), "symbol")
+    d = materialise(d.withColumn("month", month_of(F.col("date"))))
     m = P.compounded(d, "month", ["weight"])
     out = []
     for freq, frame, period in (("D", d, "date"), ("M", m, "month")):
@@ -247,9 +249,9 @@ PAIR_SQL = f"""{SPREAD_SQL}, pair AS (SELECT b.arm[6:] AS rule, b.month, a.sprea
   FROM spread a JOIN spread b ON a.month = b.month AND a.arm[6:] = b.arm[6:] AND a.arm[1:4] = '2025' AND b.arm[1:4] = '2026')"""
 
 
-def spread_pairs(spark, sf):
+def spread_pairs(series):
     """C17: two series aligned on the months both have."""
-    s = spread(spark, sf).withColumn("rule", F.substring("arm", 6, 20))
+    s = series.withColumn("rule", F.substring("arm", 6, 20))
     a = s.filter(F.col("arm").startswith("2025")).select("rule", "month", F.col("spread").alias("x"))
     b = s.filter(F.col("arm").startswith("2026")).select("rule", "month", F.col("spread").alias("y"))
     return a.join(b, ["rule", "month"]).withColumn("d", F.col("y") - F.col("x"))
@@ -257,7 +259,7 @@ def spread_pairs(spark, sf):
 
 @query("c17_aligned_series", f"WITH {PAIR_SQL} SELECT rule, month, {r('x', 6)} AS x, {r('y', 6)} AS y FROM pair")
 def c17(spark, sf):
-    return rounded(spread_pairs(spark, sf), "x", "y").drop("d")
+    return rounded(spread_pairs(materialise(spread(spark, sf))), "x", "y").drop("d")
 
 
 @query(
@@ -265,7 +267,7 @@ def c17(spark, sf):
     f"WITH {PAIR_SQL}, {nw_sql('nw', 'pair', 'rule', 'month', 'd', NW_LAGS_SPREAD)} SELECT rule, n, {r('mean', 6)} AS mean, {r('se_nw', 6)} AS se_nw FROM nw",
 )
 def s05(spark, sf):
-    t = R.newey_west_mean(spread_pairs(spark, sf), ["rule"], "month", "d", NW_LAGS_SPREAD)
+    t = R.newey_west_mean(spread_pairs(materialise(spread(spark, sf))), ["rule"], "month", "d", NW_LAGS_SPREAD)
     return rounded(t, "mean", "se_nw").select("rule", "n", "mean", "se_nw")
 
 
@@ -280,7 +282,8 @@ def s05(spark, sf):
            ELSE 'MIXED' END AS verdict FROM v JOIN c USING (rule)""",
 )
 def s12(spark, sf):
-    nw = R.newey_west_mean(spread(spark, sf), ["arm"], "month", "spread", NW_LAGS_SPREAD).withColumn(
+    series = materialise(spread(spark, sf))
+    nw = R.newey_west_mean(series, ["arm"], "month", "spread", NW_LAGS_SPREAD).withColumn(
         "rule", F.substring("arm", 6, 20)
     )
     at = lambda y, c: F.max(F.when(F.col("arm").startswith(y), F.col(c)))
@@ -288,7 +291,7 @@ def s12(spark, sf):
         (at("2026", "mean") - at("2025", "mean")).alias("diff"),
         F.greatest(at("2025", "se_nw"), at("2026", "se_nw")).alias("se"),
     )
-    c = spread_pairs(spark, sf).groupBy("rule").agg(F.corr("x", "y").alias("rho"))
+    c = spread_pairs(series).groupBy("rule").agg(F.corr("x", "y").alias("rho"))
     within = F.abs("diff") < F.col("se")
     j = v.join(c, "rule").withColumn(
         "verdict",
@@ -457,7 +460,7 @@ def s10(spark, sf):
     grow = lambda c: (F.exp(F.sum(F.log1p(c))) - 1).alias(c)
     fm = f.groupBy(month_of(F.col("date")).alias("period")).agg(*[grow(c) for c in ("mkt", "smb", "hml", "rf")])
     fm = fm.select(F.lit("M").alias("freq"), "period", "mkt", "smb", "hml", "rf")
-    ports = portfolios(spark, sf)
+    ports = materialise(portfolios(spark, sf))
     parts = []
     for freq, facs, lags, year in (
         ("D", fd, NW_LAGS_DAILY, ANNUAL_PCT_DAILY), ("M", fm, NW_LAGS_MONTHLY_FACTOR, ANNUAL_PCT_MONTHLY),
@@ -490,8 +493,8 @@ def market(prices):
 
 
 def gaps(spark, sf):
-    p = S.prices(spark, sf)
-    return P.gap_to_market(P.span_returns(p, 365, 60), market(p))
+    p = materialise(S.prices(spark, sf))
+    return materialise(P.gap_to_market(P.span_returns(p, 365, 60), market(p)))
 
 
 @query(
@@ -543,7 +546,7 @@ def f17(spark, sf):
     SELECT symbol, len(l) AS years, {r('l[len(l) // 2 + 1]', 4)} AS median_bp FROM s""",
 )
 def s22(spark, sf):
-    p = S.brand_prices(spark, sf)
+    p = materialise(S.brand_prices(spark, sf))
     a = P.annual_returns(p)
     m = market(p).withColumn("symbol", F.lit("market"))
     b = P.annual_returns(m).select("year", F.col("ret").alias("mkt"))
@@ -565,7 +568,7 @@ def f15(spark, sf):
 
 
 def steps(spark, sf):
-    p = S.brand_prices(spark, sf)
+    p = materialise(S.brand_prices(spark, sf))
     days = p.groupBy("symbol").agg(F.date_add(F.min("date"), 400).alias("day"))
     return P.step_ratio(p, days)
 
