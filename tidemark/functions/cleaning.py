@@ -71,6 +71,11 @@ def to_date(c: Column) -> Column:
     return F.trim(c).try_cast("date")
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0 (plain division by zero stops a query under ANSI rules)."""
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
 def half_up(c: Column, places: int) -> Column:
     """Rounding by floor, the same arithmetic on every engine."""
     scale = float(10**places)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.cleaning import ratio
+
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson interval; null where n is 0."""
@@ -21,16 +23,33 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     )
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation over rows with both values; null when a side is constant.
+
+    ``corr`` stops the query on a constant side under ANSI rules.
+    """
+    a = F.when(F.col(y).isNotNull(), F.col(x).cast("double"))
+    b = F.when(F.col(x).isNotNull(), F.col(y).cast("double"))
+    return ratio(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
+def slope(y: Column, x: Column) -> Column:
+    """Least-squares slope of y on x; null when x is constant."""
+    both = y.isNotNull() & x.isNotNull()
+    return ratio(F.covar_pop(F.when(both, y), F.when(both, x)), F.var_pop(F.when(both, x)))
+
+
 def welch(h: DataFrame, value: str) -> DataFrame:
     """Welch's t from the output of ``halves`` (one row)."""
-    va = F.col(f"{value}_first_var") / F.col(f"{value}_first_n")
-    vb = F.col(f"{value}_second_var") / F.col(f"{value}_second_n")
+    va = ratio(F.col(f"{value}_first_var"), F.col(f"{value}_first_n"))
+    vb = ratio(F.col(f"{value}_second_var"), F.col(f"{value}_second_n"))
     d = F.col(f"{value}_first_mean") - F.col(f"{value}_second_mean")
-    df = (va + vb) * (va + vb) / (
-        va * va / (F.col(f"{value}_first_n") - 1) + vb * vb / (F.col(f"{value}_second_n") - 1)
+    df = ratio(
+        (va + vb) * (va + vb),
+        ratio(va * va, F.col(f"{value}_first_n") - 1) + ratio(vb * vb, F.col(f"{value}_second_n") - 1),
     )
     return h.select(
-        F.lit("welch").alias("test"), d.alias("estimate"), (d / F.sqrt(va + vb)).alias("t"),
+        F.lit("welch").alias("test"), d.alias("estimate"), ratio(d, F.sqrt(va + vb)).alias("t"),
         df.alias("df"),
     )
 
@@ -38,24 +57,24 @@ def welch(h: DataFrame, value: str) -> DataFrame:
 def trend(s: DataFrame, y: str, x: str) -> DataFrame:
     """Least-squares slope on position and its t."""
     m = s.agg(
-        F.regr_slope(y, x).alias("b"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"),
-        F.count(y).alias("n"),
+        slope(F.col(y), F.col(x)).alias("b"), F.regr_sxx(y, x).alias("sxx"),
+        F.regr_syy(y, x).alias("syy"), F.count(y).alias("n"),
     )
     b, sxx = F.col("b"), F.col("sxx")
-    se = F.sqrt((F.col("syy") - b * b * sxx) / (F.col("n") - 2) / sxx)
+    se = F.sqrt(ratio(ratio(F.col("syy") - b * b * sxx, F.col("n") - 2), sxx))
     return m.select(
-        F.lit("trend").alias("test"), b.alias("estimate"), (b / se).alias("t"),
+        F.lit("trend").alias("test"), b.alias("estimate"), ratio(b, se).alias("t"),
         (F.col("n") - 2).cast("double").alias("df"),
     )
 
 
 def correlation_test(s: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation and its t on n - 2 degrees of freedom."""
-    m = s.agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    m = s.agg(correlation(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
     r, n = F.col("r"), F.col("n")
     return m.select(
         F.lit("corr").alias("test"), r.alias("estimate"),
-        (r * F.sqrt((n - 2) / (1.0 - r * r))).alias("t"), (n - 2).cast("double").alias("df"),
+        (r * F.sqrt(ratio(n - 2, 1.0 - r * r))).alias("t"), (n - 2).cast("double").alias("df"),
     )
 
 

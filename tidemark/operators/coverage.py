@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DELIST_TOLERANCE, FAST_LAG_DAYS
+from tidemark.functions.cleaning import ratio
 from tidemark.functions.identifiers import FUND_WORDS, name_tokens
 from tidemark.operators.calendar import sessions_between
 
@@ -65,8 +66,8 @@ def recency(listings: DataFrame, date: str, early: tuple[int, int], late: tuple[
         F.count_if(y < before).alias("before"), F.count(F.lit(1)).alias("n"),
     )
     return s.select(
-        "*", (F.col("late") / F.nullif(F.col("early"), F.lit(0))).alias("ratio"),
-        (F.col("before") / F.col("n")).alias("share_before"),
+        "*", ratio(F.col("late"), F.col("early")).alias("ratio"),
+        ratio(F.col("before"), F.col("n")).alias("share_before"),
     )
 
 

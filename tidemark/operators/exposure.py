@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.cleaning import half_up
+from tidemark.functions.cleaning import half_up, ratio
 
 
 def usable_units(units: DataFrame) -> DataFrame:
@@ -52,7 +52,9 @@ def fleet(units: DataFrame) -> DataFrame:
 def overcount(units: DataFrame) -> DataFrame:
     """Capacity added over every row against the capacity of distinct units."""
     naive = units.agg(F.sum(F.col("hop") * F.col("cap")).alias("naive"))
-    return naive.crossJoin(fleet(units)).withColumn("ratio", F.col("naive") / F.col("fleet"))
+    return naive.crossJoin(fleet(units)).withColumn(
+        "ratio", ratio(F.col("naive"), F.col("fleet"))
+    )
 
 
 def split_entrants(
@@ -142,7 +144,7 @@ def coverage(units: DataFrame) -> DataFrame:
     ``units``: sector, capunit, cap, listed_share, region_share (one row per unit).
     """
     l, g = F.coalesce("listed_share", F.lit(0.0)), F.coalesce("region_share", F.lit(0.0))
-    pct = lambda num, den, name: half_up(100 * num / den, 4).alias(name)
+    pct = lambda num, den, name: half_up(ratio(100 * num, den), 4).alias(name)
     cap, n = F.sum("cap"), F.count(F.lit(1))
     when_cap = lambda x: F.sum(F.when(x > 0, F.col("cap")).otherwise(0.0))
     return units.groupBy("sector", "capunit").agg(
@@ -178,7 +180,7 @@ def matched_growth(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFram
         half_up(F.sum(F.when(both, F.col("a"))), 2).alias("total_a"),
         half_up(F.sum(F.when(both, F.col("b"))), 2).alias("total_b"),
         half_up(
-            F.sum(F.when(both, F.col("b"))) / F.sum(F.when(both, F.col("a"))) - 1, 6
+            ratio(F.sum(F.when(both, F.col("b"))), F.sum(F.when(both, F.col("a")))) - 1, 6
         ).alias("growth"),
         F.count_if(both & (F.abs(F.col("b") - F.col("a")) < 1e-6)).alias("unchanged"),
     )

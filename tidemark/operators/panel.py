@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import EXTREME_MOVE, RETURN_HIGH, RETURN_LOW
+from tidemark.functions.cleaning import ratio
 from tidemark.operators.calendar import every_day, month_of, sessions
 
 
@@ -23,7 +24,7 @@ def month_end_prices(prices: DataFrame) -> DataFrame:
 def row_returns(prices: DataFrame, order: str) -> DataFrame:
     """simple return to the previous row; a missing period gives a longer return."""
     w = Window.partitionBy("symbol").orderBy(order)
-    return prices.withColumn("ret", F.col("price") / F.lag("price").over(w) - 1)
+    return prices.withColumn("ret", ratio(F.col("price"), F.lag("price").over(w)) - 1)
 
 
 def plausible(returns: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def portfolio(returns: DataFrame, period: str, weight: str | None = None) -> Dat
     r = r.filter(F.col(weight).isNotNull())
     w = F.col(weight)
     return r.groupBy(period).agg(
-        (F.sum(w * F.col("ret")) / F.sum(w)).alias("port"), F.count("ret").alias("firms")
+        ratio(F.sum(w * F.col("ret")), F.sum(w)).alias("port"), F.count("ret").alias("firms")
     )
 
 
@@ -108,7 +109,7 @@ def span_returns(prices: DataFrame, days: int, min_bars: int) -> DataFrame:
         span.groupBy("symbol")
         .agg(
             F.min("date").alias("lo"), F.max("date").alias("hi"), F.count(F.lit(1)).alias("bars"),
-            (F.max_by("price", "date") / F.min_by("price", "date") - 1).alias("ret"),
+            (ratio(F.max_by("price", "date"), F.min_by("price", "date")) - 1).alias("ret"),
         )
         .filter(F.col("bars") >= min_bars)
     )
@@ -134,7 +135,7 @@ def gap_to_market(spans: DataFrame, market: DataFrame) -> DataFrame:
         )
     )
     j = spans.join(F.broadcast(first), "lo").join(F.broadcast(last), "hi").filter("p_hi > p_lo")
-    return j.withColumn("mkt", F.col("m_hi") / F.col("m_lo") - 1).withColumn(
+    return j.withColumn("mkt", ratio(F.col("m_hi"), F.col("m_lo")) - 1).withColumn(
         "gap", F.col("ret") - F.col("mkt")
     ).drop("m_lo", "m_hi", "p_lo", "p_hi")
 
@@ -144,7 +145,7 @@ def annual_returns(prices: DataFrame, more_than: int = 200) -> DataFrame:
     return (
         prices.groupBy("symbol", F.year("date").alias("year"))
         .agg(
-            (F.max_by("price", "date") / F.min_by("price", "date") - 1).alias("ret"),
+            (ratio(F.max_by("price", "date"), F.min_by("price", "date")) - 1).alias("ret"),
             F.count(F.lit(1)).alias("bars"),
         )
         .filter(F.col("bars") > more_than)
@@ -162,12 +163,12 @@ def step_ratio(prices: DataFrame, days: DataFrame) -> DataFrame:
         F.max_by(F.when(before, F.col("price")), F.when(before, F.col("date"))).alias("b"),
         F.min_by(F.when(after, F.col("price")), F.when(after, F.col("date"))).alias("a"),
     )
-    return g.withColumn("step", F.col("b") / F.col("a")).drop("a", "b")
+    return g.withColumn("step", ratio(F.col("b"), F.col("a"))).drop("a", "b")
 
 
 def split_convention(steps: DataFrame, tolerance: float = 0.25) -> DataFrame:
     """Q12: a step near 1 means adjusted, near the split ratio means not adjusted."""
-    near = lambda x, y: F.abs(x / y - 1) <= tolerance
+    near = lambda x, y: F.abs(ratio(x, y) - 1) <= tolerance
     return steps.withColumn(
         "convention",
         F.when(F.col("step").isNull(), "no bars")

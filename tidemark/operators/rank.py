@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEGENERATE_IQR, DEGENERATE_MEDIAN, FOOTNOTE_SPEARMAN, MIN_FIRMS
+from tidemark.functions.stats import correlation
 from tidemark.operators.ordering import average_rank, cut_values, positions, quantiles
 from tidemark.session import materialise
 
@@ -28,9 +29,8 @@ def spearman(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> DataFr
     both = _pairs(df, a, b, *group)
     x = average_rank(both, a, group, "_ra")
     x = average_rank(x, b, group, "_rb")
-    moving = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
     return x.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.when(moving, F.corr("_ra", "_rb")).alias("spearman")
+        F.count(F.lit(1)).alias("n"), correlation("_ra", "_rb").alias("spearman")
     )
 
 

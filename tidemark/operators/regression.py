@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.cleaning import ratio
+
 
 def newey_west_mean(
     df: DataFrame, series: list[str], order: str, value: str, lags: int
@@ -31,15 +33,15 @@ def newey_west_mean(
         ],
     )
     n = F.col("n")
-    s = F.col("s0") / n
+    s = F.col("s0") / n  # a group has at least one row
     for lag in range(1, lags + 1):
         s = s + 2.0 * (1.0 - lag / (lags + 1.0)) * F.col(f"s{lag}") / n
     enough = n >= 3
     se_nw = F.sqrt(F.greatest(s, F.lit(1e-18)) / n)
-    se_ols = F.sqrt(F.col("s0") / n / (n - 1))
+    se_ols = F.sqrt(ratio(F.col("s0") / n, n - 1))
     return sums.select(
         *series, "n", F.when(enough, F.col("mean")).alias("mean"),
-        F.when(enough, F.col("mean") / F.nullif(se_ols, F.lit(0.0))).alias("t_ols"),
+        F.when(enough, ratio(F.col("mean"), se_ols)).alias("t_ols"),
         F.when(enough, F.col("mean") / se_nw).alias("t_nw"),
         F.when(enough, se_nw).alias("se_nw"),
     )
@@ -109,13 +111,13 @@ def ols_newey_west(
         return pd.Series(out)
 
     done = fitted.join(sums, models).withColumn("se", errors("xx", "uu")).withColumn(
-        "r2", 1 - F.col("_sse") / (F.col("_vy") * F.col("n"))
+        "r2", 1 - ratio(F.col("_sse"), F.col("_vy") * F.col("n"))
     )
     rows = F.array(
         *[
             F.struct(
                 F.lit(t).alias("term"), F.col("b")[i].alias("coef"), F.col("se")[i].alias("se"),
-                (F.col("b")[i] / F.nullif(F.col("se")[i], F.lit(0.0))).alias("t"),
+                ratio(F.col("b")[i], F.col("se")[i]).alias("t"),
             )
             for i, t in enumerate(terms)
         ]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import GO_AT, NOGO_BELOW, REAL_CHURN, SAME_SHARE, SMALL_MOVE
-from tidemark.functions.cleaning import half_up
+from tidemark.functions.cleaning import half_up, ratio
 
 BUILD, RESTATE, METHOD, SAME, UNKNOWN = (
     "BUILD-OUT", "RESTATEMENT", "METHODOLOGY", "UNCHANGED", "UNATTRIBUTABLE",
@@ -139,8 +139,8 @@ def ratio_and_ceiling(classified: DataFrame, churn: float = REAL_CHURN) -> DataF
     s = s.withColumn("changed", changed).withColumn(
         "ceiling", F.least(F.floor(F.col("both") * F.lit(churn)), F.col("restate"))
     )
-    r = (F.col("restate") + F.col("method")) / F.col("changed")
-    low = (F.col("restate") - F.col("ceiling") + F.col("method")) / F.col("changed")
+    r = ratio(F.col("restate") + F.col("method"), F.col("changed"))
+    low = ratio(F.col("restate") - F.col("ceiling") + F.col("method"), F.col("changed"))
     return s.select(
         "build", "restate", "method", "unchanged", "both", "changed", "ceiling",
         half_up(r, 6).alias("r"), verdict(r).alias("verdict"),
@@ -239,7 +239,7 @@ def decompose_pairs(edges: DataFrame, catalog: DataFrame, removed_ids: DataFrame
 def monthly_rates(pairs: DataFrame) -> DataFrame:
     """Changes a month, since the gaps between releases are uneven."""
     rate = lambda c: half_up(
-        F.col("changed") * F.col(c) / 100 / F.col("months"), 4
+        ratio(F.col("changed") * F.col(c) / 100, F.col("months")), 4
     )
     return pairs.select(
         "prev_month", "month", rate("build_blind_pct").alias("build_rate"),
@@ -385,15 +385,17 @@ def restricted_ratio(classified: DataFrame, names: DataFrame) -> DataFrame:
     num = F.col("restate") + F.col("method")
     rnum = num - F.col("restate_residual") - F.col("method_residual")
     return s.select(
-        "*", half_up(num / total, 6).alias("r"), half_up(rnum / (total - res), 6).alias("r_restricted"),
-        (rnum / (total - res) >= GO_AT).alias("clears"),
+        "*", half_up(ratio(num, total), 6).alias("r"),
+        half_up(ratio(rnum, total - res), 6).alias("r_restricted"),
+        (ratio(rnum, total - res) >= GO_AT).alias("clears"),
     )
 
 
 def ladder(buckets: DataFrame, readings: DataFrame) -> DataFrame:
     """R for several readings of the real-event share; both inputs have a few rows."""
-    r = (F.col("restate") * (1 - F.col("v")) + F.col("method")) / (
-        F.col("build") + F.col("restate") + F.col("method")
+    r = ratio(
+        F.col("restate") * (1 - F.col("v")) + F.col("method"),
+        F.col("build") + F.col("restate") + F.col("method"),
     )
     return (
         buckets.crossJoin(F.broadcast(readings))

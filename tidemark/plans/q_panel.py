@@ -9,6 +9,7 @@ from tidemark.config import (
     NW_LAGS_SPREAD, POWER_80, QUANTILE_LEGS, ROBUST_CORR, T_CONVENTIONAL, T_NEW_FACTOR,
 )
 from tidemark.functions.cleaning import half_up
+from tidemark.functions.stats import correlation, slope
 from tidemark.operators import panel as P
 from tidemark.operators import regression as R
 from tidemark.operators.calendar import month_of
@@ -291,7 +292,7 @@ def s12(spark, sf):
         (at("2026", "mean") - at("2025", "mean")).alias("diff"),
         F.greatest(at("2025", "se_nw"), at("2026", "se_nw")).alias("se"),
     )
-    c = spread_pairs(series).groupBy("rule").agg(F.corr("x", "y").alias("rho"))
+    c = spread_pairs(series).groupBy("rule").agg(correlation("x", "y").alias("rho"))
     within = F.abs("diff") < F.col("se")
     j = v.join(c, "rule").withColumn(
         "verdict",
@@ -337,7 +338,7 @@ def s03(spark, sf):
                 F.struct(
                     F.lit(a).alias("arm_a"), F.lit(b).alias("arm_b"),
                     F.count_if(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).alias("months"),
-                    F.corr(f"`{a}`", f"`{b}`").alias("rho"),
+                    correlation(f"`{a}`", f"`{b}`").alias("rho"),
                 )
                 for a, b in pairs
             ]
@@ -438,7 +439,7 @@ def s07(spark, sf):
 def s08(spark, sf):
     j = daily(spark, sf).filter("ret is not null").join(F.broadcast(factor_days(spark, sf)), "date")
     b = j.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("days"), F.regr_slope(F.col("ret") - F.col("rf"), F.col("mkt")).alias("beta")
+        F.count(F.lit(1)).alias("days"), slope(F.col("ret") - F.col("rf"), F.col("mkt")).alias("beta")
     )
     return rounded(b, "beta", places=4)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import half_up
+from tidemark.functions.stats import correlation
 from tidemark.operators import exposure as X
 from tidemark.operators import rank as K
 from tidemark.operators.ordering import average_rank, cut_values
@@ -140,7 +141,7 @@ def f06(spark, sf):
 
 @query("s01_pearson", f"WITH {LONG_SQL} SELECT {r('corr(i25, i26)', 6)} AS pearson, count(*) AS n FROM exp_wide")
 def s01(spark, sf):
-    return panel(spark, sf).agg(half_up(F.corr("i25", "i26"), 6).alias("pearson"), F.count(F.lit(1)).alias("n"))
+    return panel(spark, sf).agg(half_up(correlation("i25", "i26"), 6).alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
 @query(

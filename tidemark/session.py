@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+# folders of local sessions that name none; the setting itself is fixed once a session runs
+_LOCAL: dict[str, str] = {}
+
+
 def build_session(app: str = "tidemark", cores: str = "8", memory: str = "8g") -> SparkSession:
     """A local session with the settings the library expects (a cluster brings its own)."""
     return (
@@ -36,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL[app]
 
 
 def materialise(df: DataFrame) -> DataFrame:
