@@ -39,7 +39,7 @@ def test_identifier_rules(spark):
 
 
 def test_aliases_stop_on_an_unknown_layout(spark):
-    df = spark.createDataFrame([("x", "y")], "`GEM-like ID` string, `Full Name` string")
+    df = spark.createDataFrame([("x", "y")], "`Owner ID` string, `Full Name` string")
     out = L.canonical(df, {"name": ["Name", "Full Name"], "seen": ["Seen"]}, {"seen"}, "entities")
     assert out.first().asDict() == {"name": "y", "seen": None}
     with pytest.raises(ValueError, match="entities"):

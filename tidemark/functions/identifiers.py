@@ -33,16 +33,16 @@ LEGAL_FORMS = (
 FUND_WORDS = ("etf", "fund", "trust", "shares", "index", "portfolio", "ucits")
 
 # Query parameters of a signed link.
-SIGNED_QUERY = r"(?i)[?&](X-Amz-|AWSAccess" + r"KeyId=|Signature=|Expires=)"
+SIGNED_QUERY = r"(?i)[?&](X-Amz-|AWSAccessKeyId=|Signature=|Expires=)"
 SIGNED_NOTE = "  [signed query removed]"
 
 # Shapes of credentials.
 SECRET_SHAPES = (
     ("temporary access key id", "ASIA[A-Z0-9]{16}"),
     ("access key id", "AKIA[A-Z0-9]{16}"),
-    ("signed link credential", "X-Amz-" + "Credential="),
-    ("session token", "X-Amz-" + "Security-Token="),
-    ("access key in a query", "AWSAccess" + "KeyId="),
+    ("signed link credential", "X-Amz-Credential="),
+    ("session token", "X-Amz-Security-Token="),
+    ("access key in a query", "AWSAccessKeyId="),
     ("code host token", "gh[pousr]_[A-Za-z0-9]{36}"),
     ("private key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     ("api key assignment", "(?i)api[_-]?key[\"']?\\s*[:=]\\s*[\"'][A-Za-z0-9_\\-]{16,}"),

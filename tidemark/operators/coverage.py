@@ -71,6 +71,27 @@ def recency(listings: DataFrame, date: str, early: tuple[int, int], late: tuple[
     )
 
 
+def delisting_rates(listings: DataFrame, venues: DataFrame, floor: DataFrame, recent: str) -> DataFrame:
+    """Crude, venue-matched, recent and size-matched rates, and the count they imply.
+
+    ``listings``: venue, value, delisted_on (null = alive). ``venues``: venue. ``floor``: one row f.
+    """
+    v = venues.select("venue", F.lit(True).alias("_v")).distinct()
+    j = listings.join(v, "venue", "left").crossJoin(F.broadcast(floor))
+    gone, here = F.col("delisted_on").isNotNull(), F.coalesce("_v", F.lit(False))
+    large, n = F.col("value") >= F.col("f"), F.count_if
+    t = j.agg(
+        F.count(F.lit(1)).alias("n"), n(gone).alias("d"), n(here).alias("nm"), n(here & gone).alias("dm"),
+        n(F.col("delisted_on") >= F.lit(recent).cast("date")).alias("rec"), n(large).alias("ns"),
+        n(large & gone).alias("ds"),
+    )
+    part = lambda a, b: ratio(F.col(a), F.col(b))
+    return t.select(
+        part("d", "n").alias("crude"), part("dm", "nm").alias("matched"), part("rec", "n").alias("recent"),
+        part("ds", "ns").alias("size_matched"), (part("ds", "ns") * F.col("nm")).alias("implied"),
+    )
+
+
 def run_to_end(
     symbols: DataFrame, calendar: DataFrame, group: Column, tolerance: int = DELIST_TOLERANCE
 ) -> DataFrame:

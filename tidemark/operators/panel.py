@@ -155,15 +155,20 @@ def annual_returns(prices: DataFrame, more_than: int = 200) -> DataFrame:
 def step_ratio(prices: DataFrame, days: DataFrame) -> DataFrame:
     """last price before a day over the first price on or after it.
 
-    ``days``: symbol, day, with few days per symbol (splits); the join is on the symbol.
+    ``days``: symbol, day. Days and bars share one ordered stream per symbol, so the work is linear
+    in both and no day is paired with the bars of its symbol.
     """
-    j = prices.join(days, "symbol")
-    before, after = F.col("date") < F.col("day"), F.col("date") >= F.col("day")
-    g = j.groupBy("symbol", "day").agg(
-        F.max_by(F.when(before, F.col("price")), F.when(before, F.col("date"))).alias("b"),
-        F.min_by(F.when(after, F.col("price")), F.when(after, F.col("date"))).alias("a"),
+    day = days.select("symbol", F.col("day").alias("date"), F.lit(None).cast("double").alias("price")).distinct()
+    rows = prices.select("symbol", "date", "price").withColumn("_bar", F.lit(1)).unionByName(
+        day.withColumn("_bar", F.lit(0))
+    )
+    w = Window.partitionBy("symbol").orderBy("date", "_bar")
+    before = F.last("price", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("price", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return (
+        rows.withColumn("step", ratio(before, after)).filter("_bar = 0")
+        .select("symbol", F.col("date").alias("day"), "step")
     )
-    return g.withColumn("step", ratio(F.col("b"), F.col("a"))).drop("a", "b")
 
 
 def split_convention(steps: DataFrame, tolerance: float = 0.25) -> DataFrame:

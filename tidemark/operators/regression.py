@@ -14,24 +14,37 @@ from pyspark.sql import functions as F
 from tidemark.functions.cleaning import ratio
 
 
-def newey_west_mean(
-    df: DataFrame, series: list[str], order: str, value: str, lags: int
+def lagged_products(
+    df: DataFrame, series: list[str], order: str, e: str, lags: int
 ) -> DataFrame:
-    """Mean, plain t and Newey-West t of every series; fewer than 3 rows give nulls."""
-    x = df.filter(F.col(value).isNotNull())
-    stats = x.groupBy(*series).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    """sums of ``e`` times its own lags, s0 to s``lags``, by series; other columns are kept first."""
     w = Window.partitionBy(*series).orderBy(order)
-    e = x.join(stats, series).withColumn("e", F.col(value) - F.col("mean"))
-    for lag in range(1, lags + 1):
-        e = e.withColumn(f"e{lag}", F.lag("e", lag).over(w))
-    sums = e.groupBy(*series).agg(
-        F.first("mean").alias("mean"), F.first("n").alias("n"),
-        F.sum(F.col("e") * F.col("e")).alias("s0"),
+    x = df.withColumns({f"_e{k}": F.lag(e, k).over(w) for k in range(1, lags + 1)})
+    rest = [c for c in df.columns if c not in (*series, order, e)]
+    return x.groupBy(*series).agg(
+        *[F.first(c, True).alias(c) for c in rest],
+        F.sum(F.col(e) * F.col(e)).alias("s0"),
         *[
-            F.coalesce(F.sum(F.col("e") * F.col(f"e{k}")), F.lit(0.0)).alias(f"s{k}")
+            F.coalesce(F.sum(F.col(e) * F.col(f"_e{k}")), F.lit(0.0)).alias(f"s{k}")
             for k in range(1, lags + 1)
         ],
     )
+
+
+def centred(df: DataFrame, series: list[str], order: str, value: str) -> DataFrame:
+    """Deviations from the mean of each series, with the mean and the row count."""
+    x = df.filter(F.col(value).isNotNull()).select(*series, order, value)
+    stats = x.groupBy(*series).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    return x.join(stats, series).select(
+        *series, order, "mean", "n", (F.col(value) - F.col("mean")).alias("e")
+    )
+
+
+def newey_west_mean(
+    df: DataFrame, series: list[str], order: str, value: str, lags: int
+) -> DataFrame:
+    """Mean, plain t and Newey-West t of every series; fewer than 3 rows give nulls."""
+    sums = lagged_products(centred(df, series, order, value), series, order, "e", lags)
     n = F.col("n")
     s = F.col("s0") / n  # a group has at least one row
     for lag in range(1, lags + 1):

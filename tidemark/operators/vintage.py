@@ -25,25 +25,21 @@ def compare_releases(edges: DataFrame, old: str, new: str) -> DataFrame:
     Returns subject, party, a (old share), b (new share), imputed, status.
     """
     in_old, in_new = F.col("release") == old, F.col("release") == new
-    last = lambda which, what: F.max_by(
-        F.when(which, F.struct(what)), F.when(which, F.col("ord"))
+    # numbers and booleans only in the buffers: a struct would turn the hash aggregate into a sort
+    last = lambda which: F.max_by(
+        F.when(which, F.col("share")), F.when(which, F.col("ord"))
     )
     both = (
         edges.filter(F.col("release").isin(old, new))
         .groupBy("subject", "party")
         .agg(
-            last(in_old, "share").alias("o"),
-            last(in_new, "share").alias("n"),
+            last(in_old).alias("a"), last(in_new).alias("b"),
+            F.max(in_old).alias("_o"), F.max(in_new).alias("_n"),
             F.max(F.when(in_new, F.col("imputed")).otherwise(False)).alias("imputed"),
         )
     )
-    status = (
-        F.when(F.col("o").isNull(), "new only").when(F.col("n").isNull(), "gone").otherwise("both")
-    )
-    return both.select(
-        "subject", "party", F.col("o.share").alias("a"), F.col("n.share").alias("b"), "imputed",
-        status.alias("status"),
-    )
+    status = F.when(~F.col("_o"), "new only").when(~F.col("_n"), "gone").otherwise("both")
+    return both.select("subject", "party", "a", "b", "imputed", status.alias("status"))
 
 
 def moved(a: Column, b: Column) -> Column:

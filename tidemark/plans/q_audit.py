@@ -241,19 +241,19 @@ def b10(spark, sf):
     )
 
 
-SIGNED = "'?X-Amz-' || 'Algorithm=AWS4&X-Amz-' || 'Expires=' || (60 * (1 + page_id % 4))"
+SIGNED = "'?X-Amz-Algorithm=AWS4&X-Amz-Expires=' || (60 * (1 + page_id % 4))"
 LINK_SQL = f"link AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN split_part(url, '?', 1) || {SIGNED} ELSE url END AS url, html FROM pages)"
 
 
 def links(spark, sf):
     k = F.col("page_id")
-    signed = F.concat(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("?X-Amz-" + "Algorithm=AWS4&X-Amz-" + "Expires="), (60 * (1 + k % 4)).cast("string"))
+    signed = F.concat(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("?X-Amz-Algorithm=AWS4&X-Amz-Expires="), (60 * (1 + k % 4)).cast("string"))
     return S.table(spark, sf, "pages").select("page_id", F.when(k % 3 == 0, signed).otherwise(F.col("url")).alias("url"), "html")
 
 
 @query(
     "b15_unsigned_links",
-    f"WITH {LINK_SQL} SELECT page_id, CASE WHEN regexp_matches(url, '(?i)[?&](X-Amz-|AWSAccess' || 'KeyId=|Signature=|Expires=)') THEN split_part(url, '?', 1) || '{I.SIGNED_NOTE}' ELSE url END AS url FROM link",
+    f"WITH {LINK_SQL} SELECT page_id, CASE WHEN regexp_matches(url, '(?i)[?&](X-Amz-|AWSAccessKeyId=|Signature=|Expires=)') THEN split_part(url, '?', 1) || '{I.SIGNED_NOTE}' ELSE url END AS url FROM link",
 )
 def b15(spark, sf):
     return links(spark, sf).select("page_id", I.unsigned_link(F.col("url")).alias("url"))
@@ -492,9 +492,7 @@ def w01(spark, sf):
 @query(
     "w02_newest_rows",
     """WITH x AS (SELECT event_type AS endpoint, 'U' || user_id AS symbol, CAST(ts AS DATE) AS date, event_id // 1000 AS batch, event_id, value FROM events)
-    SELECT endpoint, symbol, CAST(date AS VARCHAR) AS date, arg_max(value, event_id) AS value FROM x GROUP BY ALL HAVING true""".replace(
-        "GROUP BY ALL HAVING true", "GROUP BY endpoint, symbol, date"
-    ),
+    SELECT endpoint, symbol, CAST(date AS VARCHAR) AS date, arg_max(value, event_id) AS value FROM x GROUP BY endpoint, symbol, date""",
 )
 def w02(spark, sf):
     from tidemark.streaming.ingest import newest_rows

@@ -143,30 +143,14 @@ def e29_ratio(spark, sf):
     t AS (SELECT count(*)::DOUBLE AS n, count(delisted_on)::DOUBLE AS d, count(*) FILTER (WHERE venue IN (SELECT venue FROM v))::DOUBLE AS nm,
       count(delisted_on) FILTER (WHERE venue IN (SELECT venue FROM v))::DOUBLE AS dm, count(*) FILTER (WHERE delisted_on >= DATE '2000-01-01')::DOUBLE AS recent,
       count(*) FILTER (WHERE value >= f)::DOUBLE AS ns, count(delisted_on) FILTER (WHERE value >= f)::DOUBLE AS ds FROM listing, floor_)
-    SELECT {r('d / n', 6)} AS crude, {r('dm / nm', 6)} AS matched, {r('recent / n', 6)} AS recent, {r('ds / ns', 6)} AS size_matched, {r('ds / ns * nm', 2)} AS implied FROM t""",
+    SELECT {r('d / n', 6)} AS crude, {r('dm / nullif(nm, 0)', 6)} AS matched, {r('recent / n', 6)} AS recent, {r('ds / ns', 6)} AS size_matched, {r('ds / ns * nm', 2)} AS implied FROM t""",
 )
 def e30(spark, sf):
     x = listing(spark, sf)
     floor = quantiles(x.filter("delisted_on is null"), "value", {"f": 0.10}).select("f")
-    v = S.table(spark, sf, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("venue"), F.lit(True).alias("_v")).distinct()
-    j = x.join(v, "venue", "left").crossJoin(F.broadcast(floor))
-    d, m, s = F.col("delisted_on").isNotNull(), F.coalesce("_v", F.lit(False)), F.col("value") >= F.col("f")
-    n = F.count_if
-    t = j.agg(
-        F.count(F.lit(1)).alias("n"), n(d).alias("d"), n(m).alias("nm"), n(m & d).alias("dm"),
-        n(F.col("delisted_on") >= F.lit("2000-01-01").cast("date")).alias("rec"), n(s).alias("ns"), n(s & d).alias("ds"),
-    )
-    return rounded(
-        rounded(
-            t.select(
-                (F.col("d") / F.col("n")).alias("crude"), (F.col("dm") / F.col("nm")).alias("matched"),
-                (F.col("rec") / F.col("n")).alias("recent"), (F.col("ds") / F.col("ns")).alias("size_matched"),
-                (F.col("ds") / F.col("ns") * F.col("nm")).alias("implied"),
-            ),
-            "crude", "matched", "recent", "size_matched",
-        ),
-        "implied", places=2,
-    )
+    v = S.table(spark, sf, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("venue"))
+    t = V.delisting_rates(x, v, floor, "2000-01-01")
+    return rounded(rounded(t, "crude", "matched", "recent", "size_matched"), "implied", places=2)
 
 
 @query(

@@ -246,6 +246,21 @@ def s04(spark, sf):
     return rounded(t, "mean", "t_ols", "t_nw", "se_nw")
 
 
+LAGGED_SQL = f"""{SPREAD_SQL}, ce AS (SELECT arm, month, spread - avg(spread) OVER (PARTITION BY arm) AS e FROM spread),
+cl AS (SELECT *, lag(e, 1) OVER (PARTITION BY arm ORDER BY month) AS e1, lag(e, 2) OVER (PARTITION BY arm ORDER BY month) AS e2,
+  lag(e, 3) OVER (PARTITION BY arm ORDER BY month) AS e3 FROM ce)"""
+
+
+@query(
+    "f12_lagged_products",
+    f"""WITH {LAGGED_SQL} SELECT arm, {r('sum(e * e)', 6)} AS s0, {r('coalesce(sum(e * e1), 0)', 6)} AS s1,
+    {r('coalesce(sum(e * e2), 0)', 6)} AS s2, {r('coalesce(sum(e * e3), 0)', 6)} AS s3 FROM cl GROUP BY arm""",
+)
+def f12(spark, sf):
+    c = R.centred(spread(spark, sf), ["arm"], "month", "spread").drop("mean", "n")
+    return rounded(R.lagged_products(c, ["arm"], "month", "e", 3), "s0", "s1", "s2", "s3")
+
+
 PAIR_SQL = f"""{SPREAD_SQL}, pair AS (SELECT b.arm[6:] AS rule, b.month, a.spread AS x, b.spread AS y, b.spread - a.spread AS d
   FROM spread a JOIN spread b ON a.month = b.month AND a.arm[6:] = b.arm[6:] AND a.arm[1:4] = '2025' AND b.arm[1:4] = '2026')"""
 

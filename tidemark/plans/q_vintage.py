@@ -93,7 +93,7 @@ def e10(spark, sf):
 
 
 PAIR_SQL = (
-    S.EDGES_SQL.replace("dedup_map AS", "dedup_map AS")
+    S.EDGES_SQL
     + ","
     + S.SEQ_SQL
     + """, pairs AS (
@@ -566,10 +566,10 @@ def d09(spark, sf):
 
 @query(
     "e44_schema_drift",
-    f"""WITH {S.SEQ_SQL} SELECT month, CASE WHEN rel < 4 THEN 'GEM-less entity id' ELSE 'Entity ID' END AS entity_key,
+    f"""WITH {S.SEQ_SQL} SELECT month, CASE WHEN rel < 4 THEN 'Full Entity ID' ELSE 'Entity ID' END AS entity_key,
       CASE WHEN has_sheet THEN CASE WHEN has_flag THEN 5 ELSE 4 END ELSE 0 END AS ownership_cols,
       has_flag, (SELECT count(DISTINCT CASE WHEN rel < 4 THEN 1 ELSE 2 END) FROM seq_catalog) AS distinct_keys
-    FROM seq_catalog""".replace("GEM-less entity id", "Full Entity ID"),
+    FROM seq_catalog""",
 )
 def e44(spark, sf):
     c = S.seq_catalog(spark, sf).select(

@@ -1,7 +1,7 @@
 """Raw pulls that keep arriving.
 
-The reference does this by testing which files exist. Here a file-source stream keeps that state in
-its checkpoint: a restart reads unseen files only, and each batch is one write.
+A file-source stream keeps the list of seen files in its checkpoint: a restart reads unseen files
+only, and each batch is one write.
 """
 
 from __future__ import annotations
