@@ -41,17 +41,22 @@ def cyclic_core(edges: DataFrame, rounds: int = DEPTH_CAP) -> tuple[DataFrame, i
 
     Stopping early leaves extra nodes, which costs merging in the walk and never changes a result.
     """
-    left = edges.select("subject", "party").distinct()
-    left, n = counted(left)
+
+    def peel(e: DataFrame) -> DataFrame:
+        ins = e.select(F.col("party").alias("subject")).distinct()
+        outs = e.select(F.col("subject").alias("party")).distinct()
+        return (
+            e.join(ins, "subject", "left_semi").join(outs, "party", "left_semi")
+            .select("subject", "party")
+        )
+
+    # a loop of one edge never lies on a simple path
+    left = edges.select("subject", "party").filter("subject <> party").distinct()
+    left, n = counted(peel(left))
     for _ in range(rounds):
         if n == 0:
             break
-        ins = left.select(F.col("party").alias("subject")).distinct()
-        outs = left.select(F.col("subject").alias("party")).distinct()
-        smaller, m = counted(
-            left.join(ins, "subject", "left_semi").join(outs, "party", "left_semi")
-            .select("subject", "party")
-        )
+        smaller, m = counted(peel(peel(left)))
         if m == n:
             break
         left, n = smaller, m
@@ -100,7 +105,10 @@ def nearest_listed(
     )
     hits = []
     for _ in range(cap):
-        fits = F.col("stop") | ~F.col("ring") | ~F.array_contains("seen", F.col("party"))
+        fits = F.col("stop") | (
+            (F.col("party") != F.col("subject"))
+            & (~F.col("ring") | ~F.array_contains("seen", F.col("party")))
+        )
         # the set of ring nodes met, sorted: its order does not matter for what may follow
         path = F.when(
             F.col("ring") & ~F.col("stop"),

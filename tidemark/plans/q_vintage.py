@@ -9,6 +9,7 @@ from tidemark.functions.cleaning import chain_depth, half_up, last_hop, path_pro
 from tidemark.operators import vintage as V
 from tidemark.plans import standins as S
 from tidemark.plans.registry import query, r
+from tidemark.session import materialise
 
 DIFF_SQL = (
     S.EDGES_SQL
@@ -223,7 +224,7 @@ tests AS (
 def tests(spark, sf):
     from pyspark.sql import Window
 
-    p = pair_table(spark, sf)
+    p = materialise(pair_table(spark, sf))
     h = V.halves(p, "month", ["build_blind_pct"])
     w = Window.partitionBy(F.lit(0)).orderBy("month")
     numbered = p.select(

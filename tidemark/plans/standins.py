@@ -158,41 +158,42 @@ seq_catalog AS (
 """
 
 
-def _seq_raw(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.col("l_shipdate")
+def release_seq(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of all releases: rel, subject, party, share, imputed.
+
+    Quantities of the fourteen cuts are sums side by side, so (part, supplier) is shuffled once and
+    merged map-side; rows per release appear only after the join with the totals.
+    """
+    d, s, p = F.col("l_shipdate"), F.col("s"), F.col("p")
     r0 = F.greatest(F.lit(1), (F.year(d) - 1998) * 4 + F.quarter(d) - 1)
     qty = (
         table(spark, sf, "lineitem")
-        .groupBy(F.col("l_partkey").alias("s"), F.col("l_suppkey").alias("p"), r0.alias("r0"))
-        .agg(F.sum("l_quantity").alias("q"))
-        .filter("r0 <= 14")
-    )
-    return (
-        qty.withColumn("rel", F.explode(F.sequence("r0", F.lit(14))))
-        .groupBy("s", "p", "rel")
-        .agg(F.sum("q").alias("q"))
+        .select(F.col("l_partkey").alias("s"), F.col("l_suppkey").alias("p"), "l_quantity", r0.alias("r0"))
+        .groupBy("s", "p")
+        .agg(*[F.sum(F.when(F.col("r0") <= k, F.col("l_quantity"))).alias(f"q{k}") for k in range(1, 15)])
     )
-
-
-def release_seq(spark: SparkSession, sf: str) -> DataFrame:
-    s, p, rel = F.col("s"), F.col("p"), F.col("rel")
-    kept = _seq_raw(spark, sf).filter(((s * 7 + p + rel) % 29 != 0) & (rel != 3) & (rel != 11))
-    copied = kept.withColumn(
-        "rel", F.explode(F.when(rel == 10, F.array(F.lit(10), F.lit(11))).otherwise(F.array(rel)))
+    here = lambda k: (s * 7 + p + k) % 29 != 0
+    kept = qty.select("s", "p", *[F.when(here(k), F.col(f"q{k}")).alias(f"q{k}") for k in range(1, 15)])
+    tot = kept.groupBy("s").agg(*[F.sum(f"q{k}").alias(f"t{k}") for k in range(1, 15)])
+    source = {k: 10 if k == 11 else k for k in range(1, 15) if k != 3}
+    cells = F.filter(
+        F.array(
+            *[
+                F.struct(F.lit(k).alias("rel"), F.col(f"q{i}").alias("q"), F.col(f"t{i}").alias("t"))
+                for k, i in source.items()
+            ]
+        ),
+        lambda x: x["q"].isNotNull(),
     )
-    tot = copied.groupBy("rel", "s").agg(F.sum("q").alias("t"))
-    e = copied.join(tot, ["rel", "s"])
+    e = kept.join(tot, "s").select("s", "p", F.inline(cells))
+    blank = (s * 31 + p) % 13 == 0
+    late = F.col("rel") >= 8
     return e.select(
         "rel",
         F.concat(F.lit("P"), s).alias("subject"),
         F.concat(F.lit("S"), p).alias("party"),
-        F.when(
-            (rel >= 8) | ((s * 31 + p) % 13 != 0), half_up(100 * F.col("q") / F.col("t"), 1)
-        ).alias("share"),
-        (
-            (rel >= 8)
-            & (((s * 31 + p) % 13 == 0) & ((s + p) % 4 != 0) | ((s * 17 + p) % 11 == 0))
-        ).alias("imputed"),
+        F.when(late | ~blank, half_up(100 * F.col("q") / F.col("t"), 1)).alias("share"),
+        (late & (blank & ((s + p) % 4 != 0) | ((s * 17 + p) % 11 == 0))).alias("imputed"),
     )
 
 
