@@ -92,6 +92,13 @@ def delisting_rates(listings: DataFrame, venues: DataFrame, floor: DataFrame, re
     )
 
 
+def share_with_error(rows: DataFrame, group: str, hit: Column) -> DataFrame:
+    """A share by group with 1.96 binomial standard errors."""
+    s = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("share"))
+    p = F.col("share")
+    return s.withColumn("margin", 1.96 * F.sqrt(p * (1 - p) / F.col("n")))
+
+
 def run_to_end(
     symbols: DataFrame, calendar: DataFrame, group: Column, tolerance: int = DELIST_TOLERANCE
 ) -> DataFrame:

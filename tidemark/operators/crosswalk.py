@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import CANDIDATE_CAPS, HOME_FACTOR, MIN_BARS, NAME_SIMILARITY, VALUE_FACTOR
-from tidemark.functions.cleaning import present_or_null
-from tidemark.functions.identifiers import plain_name
+from tidemark.functions.cleaning import blank, present_or_null, ratio
+from tidemark.functions.identifiers import MINOR_UNITS, has_lei, plain_name
 from tidemark.operators.ordering import positions
 
 
@@ -177,3 +177,65 @@ def fallback_lookup(rows: DataFrame, table: DataFrame, keys: list[str], fields:
         found.append(F.col(f"_f{i}"))
     out = out.withColumn("_f", F.coalesce(*found))
     return out.select(*rows.columns, *[F.col(f"_f.{f}").alias(f) for f in fields])
+
+
+def candidate_bands(candidates: DataFrame, key: str) -> DataFrame:
+    """E5: keys with 1, 2 to 3 and more candidates."""
+    n = F.col("_n")
+    band = F.when(n == 1, "1").when(n <= 3, "2-3").otherwise("more than 3")
+    per = candidates.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return per.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("firms"))
+
+
+def survival_by_country(firms: DataFrame, codes: DataFrame, key: str, country: str) -> DataFrame:
+    """Firms, identifiers and usable codes by country: where the narrowing loses firms.
+
+    ``firms``: key, country, lei, cik. ``codes``: key, good (boolean), one row per code.
+    """
+    per = codes.groupBy(key).agg(F.max("good").alias("_good"))
+    j = firms.join(per, key, "left")
+    good = F.coalesce("_good", F.lit(False))
+    return j.groupBy(F.col(country).alias("country")).agg(
+        F.count(F.lit(1)).alias("firms"), F.count_if(has_lei(F.col("lei"))).alias("with_lei"),
+        F.count_if(~blank(F.col("cik"))).alias("with_cik"), F.count("_good").alias("in_list"),
+        F.count_if(good).alias("with_code"), ratio(100.0 * F.count_if(good), F.count(F.lit(1))).alias("pct_code"),
+    )
+
+
+def prefix_counts(codes: DataFrame, code: str, wanted: DataFrame) -> DataFrame:
+    """Codes by country prefix, with zeros for wanted prefixes that never occur."""
+    n = codes.groupBy(F.substring(code, 1, 2).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    return wanted.join(n, "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def results_by(chosen: DataFrame, keys: list[Column], assets: Column) -> DataFrame:
+    """Firms, listed firms and the assets of the listed, by country and route."""
+    listed = F.col("symbol").isNotNull()
+    return chosen.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("firms"), F.count("symbol").alias("listed"),
+        F.coalesce(F.sum(F.when(listed, assets)), F.lit(0)).cast("long").alias("assets_listed"),
+    )
+
+
+def currency_pairs(currencies: DataFrame, bases: tuple[str, ...] = ("USD", "EUR")) -> DataFrame:
+    """Major unit and divisor of each currency, and its pair with every other base."""
+    major, divisor = F.col("code"), F.lit(1.0)
+    for minor, big, d in MINOR_UNITS:
+        major = F.when(F.col("code") == minor, big).otherwise(major)
+        divisor = F.when(F.col("code") == minor, d).otherwise(divisor)
+    base = F.explode(F.array(*[F.lit(b) for b in bases])).alias("base")
+    x = currencies.select("code", major.alias("major"), divisor.alias("divisor"), base)
+    return x.filter("major <> base").select("code", "major", "divisor", F.concat("major", "base").alias("pair"))
+
+
+def register_checks(firms: DataFrame, register: DataFrame) -> DataFrame:
+    """Identifiers found in the register, and found ones that are not active or not general.
+
+    ``register``: lei, state, category.
+    """
+    reg = register.select("lei", F.col("state").alias("_st"), F.col("category").alias("_ca"), F.lit(1).alias("_f"))
+    return firms.filter(has_lei(F.col("lei"))).join(reg, "lei", "left").agg(
+        F.count(F.lit(1)).alias("entities"), F.count("_f").alias("found"),
+        F.count_if(F.col("_f").isNull()).alias("absent"), F.count_if(F.col("_st") != "ACTIVE").alias("not_active"),
+        F.count_if(F.col("_ca") != "GENERAL").alias("not_general"),
+    )

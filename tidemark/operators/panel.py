@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import EXTREME_MOVE, RETURN_HIGH, RETURN_LOW
+from tidemark.config import EXTREME_MOVE, FRAGILE_CORR, RETURN_HIGH, RETURN_LOW, ROBUST_CORR
 from tidemark.functions.cleaning import ratio
+from tidemark.functions.stats import correlation, slope
 from tidemark.operators.calendar import every_day, month_of, sessions
 
 
@@ -209,3 +210,85 @@ def liquidity(prices: DataFrame) -> DataFrame:
         F.median(F.col("price") * F.col("volume")).alias("dollar_vol"),
         F.count(F.lit(1)).alias("bars"), F.median("volume").alias("share_vol"),
     )
+
+
+def arm_correlations(series: DataFrame, period: str, arm: str, value: str, arms: list[str]) -> DataFrame:
+    """S3: correlation of every pair of a fixed list of arms: one pivot, one aggregate, no self join."""
+    w = series.groupBy(period).pivot(arm, arms).agg(F.first(value))
+    col = lambda a: F.col(f"`{a}`")
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(a).alias("arm_a"), F.lit(b).alias("arm_b"),
+                F.count_if(col(a).isNotNull() & col(b).isNotNull()).alias("months"),
+                correlation(f"`{a}`", f"`{b}`").alias("rho"),
+            )
+            for a in sorted(arms)
+            for b in sorted(arms)
+            if a < b
+        ]
+    )
+    return w.agg(pairs.alias("_p")).select(F.inline("_p"))
+
+
+def leg_turnover(legs: DataFrame, rule: str, old: str, new: str, parts: str = "release") -> DataFrame:
+    """H5, H6: names that differ between two top sets, and the share replaced.
+
+    ``legs``: rule, release, symbol, k of the top leg only.
+    """
+    m = legs.groupBy(rule, "symbol").agg(
+        F.max(F.col(parts) == old).alias("a"), F.max(F.col(parts) == new).alias("b"), F.max("k").alias("k")
+    )
+    a, b = F.col("a"), F.col("b")
+    return m.groupBy(rule).agg(
+        F.count_if(a & ~b).alias("left_top"), F.count_if(b & ~a).alias("entered_top"),
+        F.count_if(a != b).alias("differing"), ratio(F.count_if(b & ~a), F.max("k")).alias("turnover"),
+    )
+
+
+def aligned(series: DataFrame, keys: list[str], side: str, old: str, new: str, value: str) -> DataFrame:
+    """C17: two series on the periods both have, with their difference; one aggregate on the keys."""
+    at = lambda s: F.max(F.when(F.col(side) == s, F.col(value)))
+    j = series.groupBy(*keys).agg(at(old).alias("x"), at(new).alias("y"))
+    return j.filter("x is not null and y is not null").withColumn("d", F.col("y") - F.col("x"))
+
+
+def spread_verdict(means: DataFrame, pairs: DataFrame, rule: str, side: str, old: str, new: str) -> DataFrame:
+    """Does a spread move with the release? Within one error and above the upper correlation
+    it is robust; outside, or below the lower one, it is fragile.
+
+    ``means``: rule, side, mean, se_nw. ``pairs``: rule, x, y.
+    """
+    at = lambda s, c: F.max(F.when(F.col(side) == s, F.col(c)))
+    v = means.groupBy(rule).agg(
+        (at(new, "mean") - at(old, "mean")).alias("diff"),
+        F.greatest(at(old, "se_nw"), at(new, "se_nw")).alias("se"),
+    )
+    c = pairs.groupBy(rule).agg(correlation("x", "y").alias("rho"))
+    within = F.abs("diff") < F.col("se")
+    return v.join(c, rule).withColumn(
+        "verdict",
+        F.when(within & (F.col("rho") > ROBUST_CORR), "ROBUST")
+        .when(~within | (F.col("rho") < FRAGILE_CORR), "FRAGILE").otherwise("MIXED"),
+    )
+
+
+def symbol_betas(returns: DataFrame, factors: DataFrame) -> DataFrame:
+    """Slope of each symbol's excess return on the market. ``factors`` has one row per day."""
+    j = returns.filter("ret is not null").join(F.broadcast(factors), "date")
+    return j.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("days"), slope(F.col("ret") - F.col("rf"), F.col("mkt")).alias("beta")
+    )
+
+
+def tracking_difference(annual: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Upper middle element of the absolute annual differences, in basis points.
+
+    A symbol has one value per year, so its sorted list is bounded by the calendar.
+    """
+    d = annual.join(F.broadcast(benchmark), "year").withColumn("_bp", F.abs((F.col("ret") - F.col("mkt")) * 10000))
+    g = d.groupBy("symbol").agg(F.sort_array(F.collect_list("_bp")).alias("_l"))
+    return g.select(
+        "symbol", F.size("_l").cast("long").alias("years"),
+        F.expr("element_at(_l, cast(size(_l) div 2 + 1 as int))").alias("median_bp"),
+    )

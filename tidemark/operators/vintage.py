@@ -416,3 +416,18 @@ def value_counts_of(df: DataFrame, *keys: str) -> DataFrame:
 def union_all(*frames: DataFrame) -> DataFrame:
     """H1: stack by column name."""
     return reduce(lambda x, y: x.unionByName(y), frames)
+
+
+def schema_drift(layouts: DataFrame) -> DataFrame:
+    """The layout of every release beside the number of distinct entity keys in use.
+
+    ``layouts`` has one row per release.
+    """
+    keys = layouts.agg(F.count_distinct("entity_key").alias("distinct_keys"))
+    return layouts.crossJoin(F.broadcast(keys))
+
+
+def mean_depths(paths: DataFrame) -> DataFrame:
+    """Mean chain depth of the paths carried in each of two releases."""
+    mean = lambda side: F.avg(F.when(F.col(f"in_{side}"), F.col(f"depth_{side}"))).alias(f"depth_{side}")
+    return paths.agg(mean("old"), mean("new"))

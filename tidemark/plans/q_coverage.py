@@ -159,11 +159,8 @@ def e30(spark, sf):
     SELECT venue, CAST(n AS BIGINT) AS n, {r('p', 6)} AS share, {r('1.96 * sqrt(p * (1 - p) / n)', 6)} AS margin FROM s""",
 )
 def e31(spark, sf):
-    s = listing(spark, sf).groupBy("venue").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("delisted_on").isNotNull().cast("double")).alias("share")
-    )
-    p = F.col("share")
-    return rounded(s.withColumn("margin", 1.96 * F.sqrt(p * (1 - p) / F.col("n"))), "share", "margin")
+    s = V.share_with_error(listing(spark, sf), "venue", F.col("delisted_on").isNotNull())
+    return rounded(s, "share", "margin")
 
 
 @query(

@@ -153,9 +153,7 @@ def c05(spark, sf):
     SELECT CASE WHEN c = 1 THEN '1' WHEN c <= 3 THEN '2-3' ELSE 'more than 3' END AS band, count(*) AS firms FROM k GROUP BY 1""",
 )
 def e05(spark, sf):
-    k = codes(spark, sf).filter("domestic and equity").groupBy("entity").agg(F.count(F.lit(1)).alias("c"))
-    band = F.when(F.col("c") == 1, "1").when(F.col("c") <= 3, "2-3").otherwise("more than 3")
-    return k.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("firms"))
+    return W.candidate_bands(codes(spark, sf).filter("domestic and equity"), "entity")
 
 
 @query(
@@ -167,16 +165,11 @@ def e05(spark, sf):
     FROM f JOIN nation ON hq = n_nationkey GROUP BY 1""",
 )
 def e06(spark, sf):
-    c = codes(spark, sf).groupBy("entity").agg(F.max(F.col("domestic") & F.col("equity")).alias("good"))
-    e = entity(spark, sf).join(c, "entity", "left").join(
+    c = codes(spark, sf).select("entity", (F.col("domestic") & F.col("equity")).alias("good"))
+    e = entity(spark, sf).join(
         F.broadcast(S.table(spark, sf, "nation")), F.col("hq") == F.col("n_nationkey")
     )
-    good = F.coalesce("good", F.lit(False))
-    return e.groupBy(F.col("n_name").alias("country")).agg(
-        F.count(F.lit(1)).alias("firms"), F.count_if(I.has_lei(F.col("lei"))).alias("with_lei"),
-        F.count_if(~C.blank(F.col("cik"))).alias("with_cik"), F.count("good").alias("in_list"),
-        F.count_if(good).alias("with_code"), half_up(100.0 * F.count_if(good) / F.count(F.lit(1)), 4).alias("pct_code"),
-    )
+    return rounded(W.survival_by_country(e, c, "entity", "n_name"), "pct_code", places=4)
 
 
 @query(
@@ -194,8 +187,7 @@ def e07(spark, sf):
             )
         ).alias("prefix")
     ).distinct()
-    k = codes(spark, sf).groupBy(F.substring("isin", 1, 2).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    return want.join(k, "prefix", "left").select("prefix", F.coalesce("n", F.lit(0)).alias("n"))
+    return W.prefix_counts(codes(spark, sf), "isin", want)
 
 
 @query("e08_value_counts", "SELECT c_mktsegment AS segment, c_nationkey AS hq, count(*) AS n FROM customer GROUP BY ALL")
@@ -331,10 +323,8 @@ def c20_unused(spark, sf):
 )
 def e47(spark, sf):
     c = chosen(spark, sf).join(F.broadcast(S.table(spark, sf, "nation")), F.col("hq") == F.col("n_nationkey"))
-    return c.groupBy(F.col("n_name").alias("country"), F.coalesce("route", F.lit("none")).alias("route")).agg(
-        F.count(F.lit(1)).alias("firms"), F.count("symbol").alias("listed"),
-        F.coalesce(F.sum(F.when(F.col("symbol").isNotNull(), 1 + F.col("hq"))), F.lit(0)).cast("long").alias("assets_listed"),
-    )
+    keys = [F.col("n_name").alias("country"), F.coalesce("route", F.lit("none")).alias("route")]
+    return W.results_by(c, keys, 1 + F.col("hq"))
 
 
 @query(
@@ -453,16 +443,7 @@ def b19(spark, sf):
 def b20(spark, sf):
     codes_ = F.array(*[F.lit(c) for c in ("AUD", "CHF", "DKK", "EUR", "GBp", "ILA", "NOK", "SEK", "USD")])
     cur = S.table(spark, sf, "customer").select(F.element_at(codes_, (F.col("c_nationkey") % 9 + 1).cast("int")).alias("code")).distinct()
-    return currency_pairs(cur)
-
-
-def currency_pairs(cur):
-    major, divisor = F.col("code"), F.lit(1.0)
-    for minor, big, d in I.MINOR_UNITS:
-        major = F.when(F.col("code") == minor, big).otherwise(major)
-        divisor = F.when(F.col("code") == minor, d).otherwise(divisor)
-    x = cur.select("code", major.alias("major"), divisor.alias("divisor"), F.explode(F.array(F.lit("USD"), F.lit("EUR"))).alias("base"))
-    return x.filter("major <> base").select("code", "major", "divisor", F.concat("major", "base").alias("pair"))
+    return W.currency_pairs(cur)
 
 
 RECORD_SQL = """rec AS (SELECT l_partkey AS k, l_suppkey AS s, CASE WHEN l_linenumber % 3 = 0 THEN 'Corp' ELSE 'Equity' END AS sector,
@@ -563,13 +544,9 @@ def e46(spark, sf):
     reg = c.select(
         F.concat(F.lit("L"), F.lpad(F.col("c_custkey").cast("string"), 19, "0")).alias("lei"),
         F.when(F.col("c_custkey") % 13 == 0, "INACTIVE").otherwise("ACTIVE").alias("state"),
-        F.when(F.col("c_mktsegment") == "MACHINERY", "FUND").otherwise("GENERAL").alias("category"), F.lit(1).alias("_f"),
-    )
-    j = entity(spark, sf).filter(I.has_lei(F.col("lei"))).join(reg, "lei", "left")
-    return j.agg(
-        F.count(F.lit(1)).alias("entities"), F.count("_f").alias("found"), F.count_if(F.col("_f").isNull()).alias("absent"),
-        F.count_if(F.col("state") != "ACTIVE").alias("not_active"), F.count_if(F.col("category") != "GENERAL").alias("not_general"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", "FUND").otherwise("GENERAL").alias("category"),
     )
+    return W.register_checks(entity(spark, sf), reg)
 
 
 @query(

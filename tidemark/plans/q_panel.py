@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.config import (
-    ANNUAL_PCT_DAILY, ANNUAL_PCT_MONTHLY, FRAGILE_CORR, NW_LAGS_DAILY, NW_LAGS_MONTHLY_FACTOR,
-    NW_LAGS_SPREAD, POWER_80, QUANTILE_LEGS, ROBUST_CORR, T_CONVENTIONAL, T_NEW_FACTOR,
+    ANNUAL_PCT_DAILY, ANNUAL_PCT_MONTHLY, NW_LAGS_DAILY, NW_LAGS_MONTHLY_FACTOR,
+    NW_LAGS_SPREAD, POWER_80, QUANTILE_LEGS, T_CONVENTIONAL, T_NEW_FACTOR,
 )
 from tidemark.functions.cleaning import half_up
-from tidemark.functions.stats import correlation, slope
 from tidemark.operators import panel as P
 from tidemark.operators import regression as R
 from tidemark.operators.calendar import month_of
@@ -265,12 +264,12 @@ PAIR_SQL = f"""{SPREAD_SQL}, pair AS (SELECT b.arm[6:] AS rule, b.month, a.sprea
   FROM spread a JOIN spread b ON a.month = b.month AND a.arm[6:] = b.arm[6:] AND a.arm[1:4] = '2025' AND b.arm[1:4] = '2026')"""
 
 
+def split_arm(df):
+    return df.withColumns({"release": F.substring("arm", 1, 4), "rule": F.substring("arm", 6, 20)})
+
+
 def spread_pairs(series):
-    """C17: two series aligned on the months both have."""
-    s = series.withColumn("rule", F.substring("arm", 6, 20))
-    a = s.filter(F.col("arm").startswith("2025")).select("rule", "month", F.col("spread").alias("x"))
-    b = s.filter(F.col("arm").startswith("2026")).select("rule", "month", F.col("spread").alias("y"))
-    return a.join(b, ["rule", "month"]).withColumn("d", F.col("y") - F.col("x"))
+    return P.aligned(split_arm(series), ["rule", "month"], "release", "2025", "2026", "spread")
 
 
 @query("c17_aligned_series", f"WITH {PAIR_SQL} SELECT rule, month, {r('x', 6)} AS x, {r('y', 6)} AS y FROM pair")
@@ -299,22 +298,9 @@ def s05(spark, sf):
 )
 def s12(spark, sf):
     series = materialise(spread(spark, sf))
-    nw = R.newey_west_mean(series, ["arm"], "month", "spread", NW_LAGS_SPREAD).withColumn(
-        "rule", F.substring("arm", 6, 20)
-    )
-    at = lambda y, c: F.max(F.when(F.col("arm").startswith(y), F.col(c)))
-    v = nw.groupBy("rule").agg(
-        (at("2026", "mean") - at("2025", "mean")).alias("diff"),
-        F.greatest(at("2025", "se_nw"), at("2026", "se_nw")).alias("se"),
-    )
-    c = spread_pairs(series).groupBy("rule").agg(correlation("x", "y").alias("rho"))
-    within = F.abs("diff") < F.col("se")
-    j = v.join(c, "rule").withColumn(
-        "verdict",
-        F.when(within & (F.col("rho") > ROBUST_CORR), "ROBUST")
-        .when(~within | (F.col("rho") < FRAGILE_CORR), "FRAGILE").otherwise("MIXED"),
-    )
-    return rounded(j, "diff", "se", "rho")
+    means = split_arm(R.newey_west_mean(series, ["arm"], "month", "spread", NW_LAGS_SPREAD))
+    v = P.spread_verdict(means, spread_pairs(series), "rule", "release", "2025", "2026")
+    return rounded(v, "diff", "se", "rho")
 
 
 @query(
@@ -344,22 +330,7 @@ def s13(spark, sf):
     SELECT arm_a, arm_b, count(*) AS months, {r('corr(x, y)', 6)} AS rho FROM j GROUP BY 1, 2""",
 )
 def s03(spark, sf):
-    """Correlations of every pair of arms: one pivot, then one aggregate (the arms are fixed)."""
-    w = spread(spark, sf).groupBy("month").pivot("arm", ARMS).agg(F.first("spread"))
-    pairs = [(a, b) for a in sorted(ARMS) for b in sorted(ARMS) if a < b]
-    one = w.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("arm_a"), F.lit(b).alias("arm_b"),
-                    F.count_if(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).alias("months"),
-                    correlation(f"`{a}`", f"`{b}`").alias("rho"),
-                )
-                for a, b in pairs
-            ]
-        ).alias("p")
-    )
-    return rounded(one.select(F.inline("p")), "rho")
+    return rounded(P.arm_correlations(spread(spark, sf), "month", "arm", "spread", ARMS), "rho")
 
 
 @query(
@@ -371,17 +342,8 @@ def s03(spark, sf):
       FROM t GROUP BY 1, 2) GROUP BY rule""",
 )
 def h05(spark, sf):
-    t = leg_table(spark, sf).filter("leg = 'top'").withColumn("rule", F.substring("arm", 6, 20))
-    m = t.groupBy("rule", "symbol").agg(
-        F.max(F.col("arm").startswith("2025")).alias("a"),
-        F.max(F.col("arm").startswith("2026")).alias("b"), F.max("k").alias("k"),
-    )
-    a, b = F.col("a"), F.col("b")
-    return m.groupBy("rule").agg(
-        F.count_if(a & ~b).alias("left_top"), F.count_if(b & ~a).alias("entered_top"),
-        F.count_if(a != b).alias("differing"),
-        half_up(F.count_if(b & ~a) / F.max("k"), 6).alias("turnover"),
-    )
+    t = split_arm(leg_table(spark, sf).filter("leg = 'top'"))
+    return rounded(P.leg_turnover(t, "rule", "2025", "2026"), "turnover")
 
 
 # ---------------------------------------------------------------- factor regressions
@@ -452,11 +414,7 @@ def s07(spark, sf):
       {r('regr_slope(ret - rf / 100, mkt / 100)', 4)} AS beta FROM daily JOIN factors USING (date) WHERE ret IS NOT NULL GROUP BY symbol""",
 )
 def s08(spark, sf):
-    j = daily(spark, sf).filter("ret is not null").join(F.broadcast(factor_days(spark, sf)), "date")
-    b = j.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("days"), slope(F.col("ret") - F.col("rf"), F.col("mkt")).alias("beta")
-    )
-    return rounded(b, "beta", places=4)
+    return rounded(P.symbol_betas(daily(spark, sf), factor_days(spark, sf)), "beta", places=4)
 
 
 @query("s09_sub_period_regressions")
@@ -566,11 +524,7 @@ def s22(spark, sf):
     a = P.annual_returns(p)
     m = market(p).withColumn("symbol", F.lit("market"))
     b = P.annual_returns(m).select("year", F.col("ret").alias("mkt"))
-    d = a.join(F.broadcast(b), "year").withColumn("bp", F.abs((F.col("ret") - F.col("mkt")) * 10000))
-    # one value per year, so the sorted list of a symbol is bounded by the calendar
-    g = d.groupBy("symbol").agg(F.sort_array(F.collect_list("bp")).alias("l"))
-    g = g.select("symbol", F.size("l").cast("long").alias("years"), F.expr("element_at(l, cast(size(l) div 2 + 1 as int))").alias("median_bp"))
-    return rounded(g, "median_bp", places=4)
+    return rounded(P.tracking_difference(a, b), "median_bp", places=4)
 
 
 @query(

@@ -321,11 +321,8 @@ def e13(spark, sf):
     {r("avg(depth_new) FILTER (WHERE in_new)", 6)} AS depth_new FROM path_depth""",
 )
 def e14(spark, sf):
-    p = paths(spark, sf)
-    return p.agg(
-        half_up(F.avg(F.when(F.col("in_old"), F.col("depth_old"))), 6).alias("depth_old"),
-        half_up(F.avg(F.when(F.col("in_new"), F.col("depth_new"))), 6).alias("depth_new"),
-    )
+    p = V.mean_depths(paths(spark, sf))
+    return p.select(*[half_up(F.col(c), 6).alias(c) for c in p.columns])
 
 
 @query(
@@ -578,8 +575,7 @@ def e44(spark, sf):
         F.when(~F.col("has_sheet"), 0).when(F.col("has_flag"), 5).otherwise(4).alias("ownership_cols"),
         "has_flag",
     )
-    keys = c.agg(F.count_distinct("entity_key").alias("distinct_keys"))
-    return c.crossJoin(F.broadcast(keys))
+    return V.schema_drift(c)
 
 
 @query(
