@@ -125,6 +125,27 @@ def test_best_listing_and_overrides(spark):
     assert [r["name"] for r in W.unused_overrides(ch, ov, "name").collect()] == ["Gone"]
 
 
+def test_name_ratio_and_name_route(spark):
+    from difflib import SequenceMatcher
+
+    rows = [("e1", "Acme Energy Inc", "ACME ENERGY PLC", "A", 5.0, 40), ("e1", "Acme Energy Inc", "Acme Energy Holdings", "B", 9.0, 40),
+            ("e1", "Acme Energy Inc", "Acme Energy", "C", 99.0, 30), ("e2", "Beta Power", "Gamma Mines", "D", 5.0, 40), ("e2", "Beta Power", None, "E", 5.0, 40),
+            ("e3", "Delta Coal", "Delta Coals", "F", 1.0, 31)]
+    df = spark.createDataFrame(rows, "e string, name string, other string, symbol string, dollar_vol double, bars int")
+    got = {r["symbol"]: r["s"] for r in df.withColumn("s", W.similarity("name", "other")).collect()}
+    assert got["A"] == 1.0 and got["E"] is None
+    assert got["D"] == pytest.approx(SequenceMatcher(None, "beta power", "gamma mines").ratio())
+    best = {r["e"]: r["symbol"] for r in W.name_route(df, "e", "name", "other").collect()}
+    assert best == {"e1": "B", "e3": "F"}
+
+
+def test_home_switch_needs_three_times_the_value(spark):
+    cur = spark.createDataFrame([("x", "X", 10.0), ("y", "Y", 10.0), ("z", "Z", None)], "e string, symbol string, dollar_vol double")
+    home = spark.createDataFrame([("x", "XH", 30.0, 40), ("y", "YH", 30.5, 40), ("y", "YT", 99.0, 30), ("z", "ZH", 2.0, 40)], "e string, symbol string, dollar_vol double, bars int")
+    got = {r["e"]: (r["symbol"], r["moved"]) for r in W.home_switch(cur, home, "e").collect()}
+    assert got == {"x": ("X", False), "y": ("YH", True), "z": ("ZH", True)}
+
+
 def test_waves_have_an_uncapped_last_pass(spark):
     df = spark.createDataFrame([("hot", i, i == 550) for i in range(600)] + [("one", 0, True), ("none", 0, False)], "firm string, i int, hit boolean")
     got = {r["firm"]: (r["candidates"], r["waves"], r["resolved_wave"]) for r in W.candidate_waves(df, "firm", [F.col("i")], "hit").collect()}

@@ -150,7 +150,7 @@ def pair_table(spark, sf):
 
 @query(
     "f08_release_pairs",
-    f"WITH {PAIR_SQL} SELECT rel, month, has_flag, prev_rel, prev_month, CAST(pos AS INTEGER) AS pos, months FROM pm",
+    f"WITH {PAIR_SQL} SELECT CAST(rel AS INTEGER) AS rel, month, has_flag, CAST(prev_rel AS INTEGER) AS prev_rel, prev_month, CAST(pos AS INTEGER) AS pos, months FROM pm",
 )
 def f08(spark, sf):
     return V.release_pairs(S.seq_catalog(spark, sf))
