@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, fingerprints, url_filter
+from tidemark.llm import bpe_words, chat, exact_dedup, fingerprints, near_join, packing, pii, quality, token_counts, url_filter
 from tidemark.llm.exact_dedup import LOWER, UPPER
 
 QUERIES, ORACLES = {}, {}
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def query(name: str, sql: str | None = None):
@@ -21,6 +21,13 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
@@ -39,6 +46,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf, "documents"), index)
 
 
+@query("op2_packing")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), vocabulary(BYTE_BPE), 1024)
+
+
 @query("op3_chat_format", chat.SQL)
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return chat.format_chats(table(spark, sf, "conversations"))
@@ -49,6 +61,31 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf, "documents"))
 
 
+@query("op5_quality")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf, "documents"), vocabulary(WORD_BPE), 2048)
+
+
+@query("op7_bpe")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe_words.encode_and_decode(table(spark, sf, "documents"), vocabulary(BYTE_BPE))
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(table(spark, sf, "documents"))
+
+
 @query("op9_url_filter", url_filter.SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(table(spark, sf, "pages"))
+
+
+@query("op10_near_join")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return near_join.near_components(table(spark, sf, "documents"))
