@@ -6,7 +6,7 @@ from tidemark.operators import exposure as X
 from tidemark.operators import graph as G
 
 
-def brute(edges, listed, source, cap=12):
+def brute(edges, listed, source, cap=10**6):
     """All simple paths by recursion, each stopped at its first listed entity."""
     out = {}
 
@@ -51,12 +51,24 @@ def test_cap_zero_weight_and_parallel_edges(spark):
     e, l, s = frames(spark, edges, ["L", "c12", "c14"], ["a", "b", "c0", "c13"])
     got = {(r["source"], r["parent"]): r["weight"] for r in G.nearest_listed(e, l, s).collect()}
     assert got == {("a", "L"): 0.0, ("b", "L"): 0.5, ("c0", "c12"): 1.0, ("c13", "c14"): 1.0}
-    far = {(r["source"], r["parent"]) for r in G.nearest_listed(e, frames(spark, edges, ["c14"], ["x"])[1], s).collect()}
-    assert far == {("c13", "c14")}, "a path of more than twelve edges does not count"
+    far = lambda cap: {(r["source"], r["parent"]) for r in G.nearest_listed(e, frames(spark, edges, ["c14"], ["x"])[1], s, cap).collect()}
+    assert far(12) == {("c13", "c14")}, "only an explicit depth leaves out longer paths"
+    assert far(None) == {("c13", "c14"), ("c0", "c14")}
     held = {(r["source"], r["parent"]): r["weight"] for r in G.holders(e, l, frames(spark, edges, ["L"], ["L", "b"])[2]).collect()}
     assert held == {("L", "L"): 1.0, ("b", "L"): 0.5}
 
 
+def test_long_chains_and_a_way_through_a_cycle(spark):
+    chain = [(f"c{i:02}", f"c{i + 1:02}", 0.5) for i in range(20)]
+    loop = [("a", "b", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("c", "c00", 0.5), ("b", "c00", 0.25)]
+    e, l, s = frames(spark, chain + loop, ["c20"], ["a", "c00"])
+    got = {(r["source"], r["parent"]): r["weight"] for r in G.nearest_listed(e, l, s).collect()}
+    assert got == {("c00", "c20"): pytest.approx(0.5**20), ("a", "c20"): pytest.approx(0.75 * 0.5**20)}
+    ends = {r["parent"] for r in G.listed_ancestors(e, l, frames(spark, chain, ["c20"], ["a"])[2]).collect()}
+    assert ends == {"c20"}
+    assert G.closure(e, frames(spark, chain, ["c20"], ["a"])[2]).count() == 24
+
+
 def test_no_listed_parent_gives_no_rows(spark):
     e, l, s = frames(spark, [("a", "b", 1.0), ("b", "a", 1.0)], ["z"], ["a", "b"])
     assert G.nearest_listed(e, l, s).count() == 0

@@ -9,9 +9,6 @@ GO_AT = 0.25
 NOGO_BELOW = 0.10
 REAL_CHURN = 0.052
 
-# Ownership walk.
-DEPTH_CAP = 12
-
 # Portfolios and tests.
 QUANTILE_LEGS = 5
 RETURN_LOW = -0.9

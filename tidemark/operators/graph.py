@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import DEPTH_CAP
 from tidemark.operators.vintage import union_all
 from tidemark.session import counted, materialise
 
@@ -36,10 +35,10 @@ def fill_blanks(edges: DataFrame, rule: str) -> DataFrame:
     )
 
 
-def cyclic_core(edges: DataFrame, rounds: int = DEPTH_CAP) -> tuple[DataFrame, int]:
-    """Nodes that may lie on a cycle: edges without a way in or a way out are peeled off.
+def cyclic_core(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Nodes on or between cycles: edges without a way in or a way out are peeled off until none is left to peel.
 
-    Stopping early leaves extra nodes, which costs merging in the walk and never changes a result.
+    A path that leaves these nodes never comes back to them, as the nodes in between would belong to them.
     """
 
     def peel(e: DataFrame) -> DataFrame:
@@ -53,9 +52,7 @@ def cyclic_core(edges: DataFrame, rounds: int = DEPTH_CAP) -> tuple[DataFrame, i
     # a loop of one edge never lies on a simple path
     left = edges.select("subject", "party").filter("subject <> party").distinct()
     left, n = counted(peel(left))
-    for _ in range(rounds):
-        if n == 0:
-            break
+    while n:
         smaller, m = counted(peel(peel(left)))
         if m == n:
             break
@@ -64,13 +61,15 @@ def cyclic_core(edges: DataFrame, rounds: int = DEPTH_CAP) -> tuple[DataFrame, i
 
 
 def nearest_listed(
-    edges: DataFrame, listed: DataFrame, sources: DataFrame, cap: int = DEPTH_CAP
+    edges: DataFrame, listed: DataFrame, sources: DataFrame, cap: int | None = None
 ) -> DataFrame:
     """Nearest listed parents of each source with the summed product of shares.
 
-    The sum is over simple paths of at most ``cap`` edges; a path ends at its first listed entity.
-    Paths that meet at a node are merged into one row. Only nodes on a cycle can be met twice, so
-    only those are remembered per row: on an acyclic graph a row is just (source, node, weight).
+    The sum is over all simple paths (of at most ``cap`` edges, if it is given); a path ends at its first
+    listed entity, and the walk at its own end, when no path can go on.
+    Paths that meet at a node are merged into one row. Only nodes of the cyclic core can be met twice,
+    so only those are remembered per row, and forgotten when a path leaves the core for good: elsewhere a
+    row is just (source, node, weight).
     Rows of weight 0 stay, since a holder of nothing is still a holder.
 
     ``edges``: subject, party, weight (no nulls; parallel edges add). ``listed``: entity.
@@ -103,8 +102,9 @@ def nearest_listed(
     front = walkers.select(
         "source", F.col("source").alias("subject"), F.lit(1.0).alias("weight"), seen.alias("seen")
     )
-    hits = []
-    for _ in range(cap):
+    hits, level = [], 0
+    while cap is None or level < cap:
+        level += 1
         fits = F.col("stop") | (
             (F.col("party") != F.col("subject"))
             & (~F.col("ring") | ~F.array_contains("seen", F.col("party")))
@@ -113,13 +113,13 @@ def nearest_listed(
         path = F.when(
             F.col("ring") & ~F.col("stop"),
             F.array_sort(F.array_append("seen", F.col("party"))),
-        ).otherwise(F.col("seen"))
+        ).otherwise(F.array().cast("array<string>"))
         step = (
             front.join(flagged, "subject")
             .filter(fits)
             .select(
                 "source", F.col("party").alias("node"), "stop",
-                F.when(F.col("stop"), F.array().cast("array<string>")).otherwise(path).alias("seen"),
+                path.alias("seen"),
                 (F.col("weight") * F.col("share")).alias("weight"),
             )
             .groupBy("source", "node", "stop", "seen")
@@ -144,7 +144,7 @@ def nearest_listed(
 
 
 def holders(
-    edges: DataFrame, listed: DataFrame, sources: DataFrame, cap: int = DEPTH_CAP
+    edges: DataFrame, listed: DataFrame, sources: DataFrame, cap: int | None = None
 ) -> DataFrame:
     """Listed holders of each owner: a listed owner holds for itself, others look through."""
     sources = materialise(sources.select("entity").distinct())
@@ -155,6 +155,23 @@ def holders(
     return nearest_listed(edges, listed, sources, cap).unionByName(itself)
 
 
+class Pieces:
+    """A growing set of rows in few written pieces: two of similar size become one, so a row is rewritten a
+    logarithmic number of times and a level reads a logarithmic number of tables."""
+
+    def __init__(self):
+        self.parts: list[tuple[DataFrame, int]] = []
+
+    def add(self, rows: DataFrame, n: int) -> None:
+        self.parts.append((rows, n))
+        while len(self.parts) > 1 and self.parts[-2][1] < 2 * self.parts[-1][1]:
+            (a, _), (b, _) = self.parts[-2:]
+            self.parts[-2:] = [counted(union_all(a, b))]
+
+    def rows(self) -> DataFrame:
+        return union_all(*[p for p, _ in self.parts])
+
+
 def closure(
     edges: DataFrame, sources: DataFrame, cap: int | None = None
 ) -> DataFrame:
@@ -167,27 +184,26 @@ def closure(
     front = sources.select(
         F.col("entity").alias("source"), F.col("entity").alias("subject")
     ).distinct()
-    found: list[DataFrame] = []
-    level = 0
+    found, level = Pieces(), 0
     while cap is None or level < cap:
         step = front.join(links, "subject").select("source", F.col("party").alias("node")).distinct()
-        if found:
-            step = step.join(union_all(*found), ["source", "node"], "left_anti")
+        if found.parts:
+            step = step.join(found.rows(), ["source", "node"], "left_anti")
         step, n = counted(step)
         if n == 0:
             break
-        found.append(step)
+        found.add(step, n)
         front = step.select("source", F.col("node").alias("subject"))
         level += 1
-    if not found:
+    if not found.parts:
         return front.select("source", F.col("subject").alias("node")).limit(0)
-    return union_all(*found)
+    return found.rows()
 
 
 def listed_ancestors(
-    edges: DataFrame, listed: DataFrame, sources: DataFrame, cap: int = DEPTH_CAP
+    edges: DataFrame, listed: DataFrame, sources: DataFrame, cap: int | None = None
 ) -> DataFrame:
-    """Every listed entity above a source within ``cap`` levels, without stopping."""
+    """Every listed entity above a source, without stopping (within ``cap`` levels, if it is given)."""
     return closure(edges, sources, cap).join(
         listed.select(F.col("entity").alias("node")).distinct(), "node", "left_semi"
     ).select("source", F.col("node").alias("parent"))
@@ -198,21 +214,18 @@ def tainted(uses: DataFrame, origin: DataFrame) -> DataFrame:
 
     ``uses``: item, upstream. One set grows by levels; no pair table is needed.
     """
-    known = origin.select("item").distinct()
-    found = [materialise(known)]
-    front = found[0]
-    while True:
+    found = Pieces()
+    front, n = counted(origin.select("item").distinct())
+    found.add(front, n)
+    while n:
         step = (
             uses.join(front.select(F.col("item").alias("upstream")), "upstream", "left_semi")
             .select("item").distinct()
-            .join(union_all(*found), "item", "left_anti")
+            .join(found.rows(), "item", "left_anti")
         )
-        step, n = counted(step)
-        if n == 0:
-            break
-        found.append(step)
-        front = step
-    return union_all(*found)
+        front, n = counted(step)
+        found.add(front, n)
+    return found.rows()
 
 
 def consolidation_flags(relations: DataFrame, panel: DataFrame, names: DataFrame) -> DataFrame:

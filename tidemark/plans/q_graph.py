@@ -22,14 +22,14 @@ IMPUTED_SQL = """filled AS (
 
 def walk_sql(name: str, listed: str, edges: str = "filled") -> str:
     """Recursive oracle of the simple-path walk, as CTEs ending in ``{name}`` (source, parent, weight)."""
-    return f"""{name}_w(src, cur, w, path, depth, hit) AS (
-  SELECT subject, party, weight, [subject, party], 1, party IN (SELECT entity FROM {listed})
+    return f"""{name}_w(src, cur, w, path, hit) AS (
+  SELECT subject, party, weight, [subject, party], party IN (SELECT entity FROM {listed})
   FROM {edges} WHERE subject NOT IN (SELECT entity FROM {listed})
   UNION ALL
-  SELECT src, e.party, w * e.weight, list_append(path, e.party), depth + 1,
+  SELECT src, e.party, w * e.weight, list_append(path, e.party),
          e.party IN (SELECT entity FROM {listed})
   FROM {name}_w JOIN {edges} e ON cur = e.subject
-  WHERE NOT hit AND depth < 12 AND NOT list_contains(path, e.party)),
+  WHERE NOT hit AND NOT list_contains(path, e.party)),
 {name} AS (SELECT src AS source, cur AS parent, sum(w) AS weight FROM {name}_w WHERE hit GROUP BY 1, 2)"""
 
 
