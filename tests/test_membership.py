@@ -39,10 +39,14 @@ def test_spans_months_and_clamp(spark):
         [(d(2020, 1, 10), "A", ""), (d(2020, 3, 5), "", "A"), (d(2020, 6, 1), "A", "B"), (d(2020, 6, 1), "A", ""), (d(2020, 9, 9), "Z", None)], EV
     )
     cur = spark.createDataFrame([("A",), ("N",)], "symbol string")
-    got = {(r["symbol"], str(r["from"]), str(r["to"])) for r in M.spans(ev, cur).collect()}
-    assert got == {("A", "2020-01-10", "2020-03-05"), ("A", "2020-06-01", "2020-09-09"), ("B", "2020-01-10", "2020-06-01"), ("N", "2020-01-10", "2020-09-09")}
-    months = M.periods(M.spans(ev, cur)).filter("symbol = 'A'").orderBy("period").collect()
-    assert [r["period"].month for r in months] == [1, 2, 3, 6, 7, 8, 9]
+    end = F.lit("2020-11-20").cast("date")
+    got = sorted((r["symbol"], str(r["from"]), str(r["to"])) for r in M.spans(ev, cur.union(cur), until=end).collect())
+    assert got == [("A", "2020-01-10", "2020-03-05"), ("A", "2020-06-01", "2020-11-20"), ("B", "2020-01-10", "2020-06-01"), ("N", "2020-01-10", "2020-11-20")]
+    months = M.periods(M.spans(ev, cur, until=end)).filter("symbol = 'A'").orderBy("period").collect()
+    assert [r["period"].month for r in months] == [1, 2, 3, 6, 7, 8, 9, 10, 11]
+    assert {str(r["to"]) for r in M.spans(ev, cur).filter("symbol = 'N'").collect()} == {str(ev.select(F.current_date()).first()[0])}
+    before = M.spans_before(ev, cur, F.lit("2020-06-02").cast("date"), end).first()
+    assert (before["spans"], before["symbols"]) == (2, 2)
     clamped = {(r["symbol"], str(r["from"])) for r in M.spans(ev, cur, F.lit("2020-04-01").cast("date")).collect()}
     assert clamped == {("A", "2020-06-01"), ("B", "2020-04-01"), ("N", "2020-04-01")}
     assert {r["symbol"] for r in M.universe(ev, cur).collect()} == {"A", "B", "N", "Z"}

@@ -9,7 +9,7 @@ from check import TABLES, norm
 FOLDER = "/root/testdata/sf0.001"
 # reports that may be empty on the smallest tables
 MAY_BE_EMPTY = {
-    "c22_name_route", "s07_factor_regression", "s09_sub_period_regressions", "s10_weighting_by_frequency",
+    "s07_factor_regression", "s09_sub_period_regressions", "s10_weighting_by_frequency",
 }
 
 

@@ -126,15 +126,13 @@ def test_best_listing_and_overrides(spark):
 
 
 def test_name_ratio_and_name_route(spark):
-    from difflib import SequenceMatcher
-
     rows = [("e1", "Acme Energy Inc", "ACME ENERGY PLC", "A", 5.0, 40), ("e1", "Acme Energy Inc", "Acme Energy Holdings", "B", 9.0, 40),
             ("e1", "Acme Energy Inc", "Acme Energy", "C", 99.0, 30), ("e2", "Beta Power", "Gamma Mines", "D", 5.0, 40), ("e2", "Beta Power", None, "E", 5.0, 40),
             ("e3", "Delta Coal", "Delta Coals", "F", 1.0, 31)]
     df = spark.createDataFrame(rows, "e string, name string, other string, symbol string, dollar_vol double, bars int")
     got = {r["symbol"]: r["s"] for r in df.withColumn("s", W.similarity("name", "other")).collect()}
     assert got["A"] == 1.0 and got["E"] is None
-    assert got["D"] == pytest.approx(SequenceMatcher(None, "beta power", "gamma mines").ratio())
+    assert got["D"] == pytest.approx(3 / 11) and got["F"] == pytest.approx(10 / 11)
     best = {r["e"]: r["symbol"] for r in W.name_route(df, "e", "name", "other").collect()}
     assert best == {"e1": "B", "e3": "F"}
 
@@ -166,12 +164,9 @@ def test_stream_reads_unseen_files_only_and_newest_row_wins(spark, tmp_path):
     assert table.count() == 3 and spark.read.parquet(f"{base}/ledger").count() == 2
     got = {r["symbol"]: r["value"] for r in T.newest_rows(table).collect()}
     assert got == {"A": 5.0, "B": 2.0}
-    up = lambda: T.upsert_stream(spark, f"{base}/table", f"{base}/latest", f"{base}/upstate", T.RAW).awaitTermination()
-    up()
     raw([("p", "B", "2020-01-01", 7.0)]).write.json(f"{base}/in", mode="append")
     run()
-    up()
-    assert {r["symbol"]: r["value"] for r in T.read_latest(spark, f"{base}/latest").collect()} == {"A": 5.0, "B": 7.0}
+    assert {r["symbol"]: r["value"] for r in T.newest_rows(spark.read.parquet(f"{base}/table")).collect()} == {"A": 5.0, "B": 7.0}
 
 
 def test_shared_dir_is_read_from_the_session(spark):

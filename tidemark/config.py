@@ -32,7 +32,7 @@ FOOTNOTE_SPEARMAN = 0.95
 MIN_FIRMS = 10
 
 # Crosswalk.
-NAME_SIMILARITY = 0.72
+NAME_SIMILARITY = 0.7
 MIN_BARS = 30
 VALUE_FACTOR = 3
 HOME_FACTOR = 3

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.identifiers import SECRET_SHAPES
-from tidemark.operators.ordering import positions
+from tidemark.operators.ordering import null_safe_join, positions
 
 
 def expectations(*one_row: DataFrame) -> DataFrame:
@@ -30,10 +30,12 @@ def expectations(*one_row: DataFrame) -> DataFrame:
 
 
 def require_all(checks: DataFrame) -> None:
-    """Q2: stop when any check fails. Only the names of failed checks reach the driver."""
-    failed = [row["name"] for row in checks.filter("not pass").select("name").limit(50).collect()]
-    if failed:
-        raise AssertionError(f"failed checks: {failed}")
+    """Q2: stop when any check fails. The names are gathered on the executors; one string reaches the driver."""
+    failed = checks.filter("not coalesce(pass, false)").agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names")
+    ).first()
+    if failed["n"]:
+        raise AssertionError(f"{failed['n']} failed checks: {failed['names']}")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def may_promote(old: DataFrame, new: DataFrame) -> DataFrame:
     a = fingerprint(old)
     b = fingerprint(new).select(*[F.col(c).alias("_" + c) for c in ("n_rows", "h1", "h2")])
     eq = lambda c: F.col(c).eqNullSafe(F.col("_" + c))
-    return a.crossJoin(b).select(
+    return a.crossJoin(F.broadcast(b)).select(
         F.lit(same_columns).alias("same_columns"), eq("n_rows").alias("same_rows"),
         (F.lit(same_columns) & eq("n_rows") & eq("h1") & eq("h2")).alias("may_promote"),
     )
@@ -161,7 +163,7 @@ def stratified_sample(frame: DataFrame, stratum: str, key: list[str], n: int, se
     take = sizes.crossJoin(F.broadcast(total)).select(
         stratum, F.greatest(F.lit(1.0), F.rint(n * F.col("_size") / F.col("_total"))).alias("_take")
     )
-    kept = x.join(take, stratum).filter(F.col("_i") <= F.col("_take"))
+    kept = null_safe_join(x, take, [stratum]).filter(F.col("_i") <= F.col("_take"))
     return kept.orderBy(stratum, "_i").limit(n).drop("_h", "_i", "_take")
 
 

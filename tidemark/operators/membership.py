@@ -36,31 +36,39 @@ def symbol_days(events: DataFrame) -> DataFrame:
     )
 
 
-def spans(events: DataFrame, current: DataFrame, clamp_from=None) -> DataFrame:
+def spans(events: DataFrame, current: DataFrame, clamp_from=None, until=None) -> DataFrame:
     """Membership spans. Each removal closes the last earlier addition; members stay open.
 
-    A span without a recorded addition opens at the first day of the log. ``clamp_from`` (a Column)
-    drops spans that end before it and moves later starts up to it.
+    A span without a recorded addition opens at the first day of the log, one without a removal ends at
+    ``until`` (a Column; today if it is not given), not at the last logged change. ``clamp_from`` (a Column)
+    drops spans that end before it (``spans_before`` counts them) and moves earlier starts up to it.
     """
     days = symbol_days(events)
-    limits = days.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
+    limits = days.agg(F.min("date").alias("_lo"))
+    end = F.current_date() if until is None else until.cast("date")
     w = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     closed = (
         days.withColumn("_a", F.max(F.when(F.col("has_add"), F.col("date"))).over(w))
         .filter("has_remove").select("symbol", "_a", F.col("date").alias("_b"))
     )
     last_add = days.filter("has_add").groupBy("symbol").agg(F.max("date").alias("_a"))
-    opened = current.select("symbol").join(last_add, "symbol", "left").select(
+    opened = current.select("symbol").distinct().join(last_add, "symbol", "left").select(
         "symbol", "_a", F.lit(None).cast("date").alias("_b")
     )
     out = closed.unionByName(opened).crossJoin(F.broadcast(limits)).select(
-        "symbol", F.coalesce("_a", "_lo").alias("from"), F.coalesce("_b", "_hi").alias("to")
+        "symbol", F.coalesce("_a", "_lo").alias("from"), F.coalesce(F.col("_b"), end).alias("to")
     )
     if clamp_from is not None:
         out = out.filter(F.col("to") >= clamp_from).withColumn("from", F.greatest("from", clamp_from))
     return out
 
 
+def spans_before(events: DataFrame, current: DataFrame, start, until=None) -> DataFrame:
+    """How many spans, and of how many symbols, end before the window."""
+    gone = spans(events, current, until=until).filter(F.col("to") < start)
+    return gone.agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("symbol").alias("symbols"))
+
+
 def periods(member_spans: DataFrame, unit: str = "month") -> DataFrame:
     """The periods a symbol was a member, both ends included, each once."""
     step = F.expr(f"interval 1 {unit}")

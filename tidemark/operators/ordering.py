@@ -15,6 +15,20 @@ from pyspark.sql import functions as F
 from tidemark.session import materialise
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names where null meets null; the keys of ``left`` stay. Without keys ``right`` is one row."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    named = right.select(
+        *[F.col(k).alias(f"_right_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys]
+    )
+    same = None
+    for i, k in enumerate(keys):
+        here = left[k].eqNullSafe(named[f"_right_{i}"])
+        same = here if same is None else same & here
+    return left.join(named, same, how).drop(*[f"_right_{i}" for i in range(len(keys))])
+
+
 def running_total(
     df: DataFrame,
     order: Sequence[Column],
@@ -45,7 +59,7 @@ def running_total(
     )
     running = laid.withColumn("_in", F.sum("_w").over(inside))
     if group:
-        joined = running.join(starts, ["_part", *group])
+        joined = null_safe_join(running, starts, ["_part", *group])
     else:
         # one row per part of the sort: bounded by the number of shuffle partitions
         joined = running.join(F.broadcast(starts), "_part")
@@ -77,7 +91,7 @@ def average_rank(df: DataFrame, value: str, group: Sequence[str] = (), out: str
     ranks = run.select(
         *group, value, (F.col("_run") - (F.col("_n") - 1) / 2.0).cast("double").alias(out)
     )
-    return df.join(ranks, [*group, value], "left")
+    return null_safe_join(df, ranks, [*group, value], "left")
 
 
 def quantiles(
@@ -87,7 +101,7 @@ def quantiles(
     counts = value_counts(df, value, group)
     run = running_total(counts, [F.col(value)], F.col("_n"), group, "_run")
     totals = run.groupBy(*group).agg(F.max("_run").alias("_total"))
-    both = run.join(totals, list(group)) if group else run.crossJoin(F.broadcast(totals))
+    both = null_safe_join(run, totals, group)
     picks = []
     for name, p in probs.items():
         at = (F.col("_total") - 1) * F.lit(float(p))
@@ -119,7 +133,7 @@ def cut_values(df: DataFrame, value: str, k: Column, group: Sequence[str] = ())
     counts = value_counts(df, value, group)
     run = running_total(counts, [F.col(value).desc()], F.col("_n"), group, "_run")
     totals = run.groupBy(*group).agg(F.max("_run").alias("n"))
-    both = run.join(totals, list(group)) if group else run.crossJoin(F.broadcast(totals))
+    both = null_safe_join(run, totals, group)
     both = both.withColumn("k", F.greatest(F.lit(1), F.least(k, F.col("n"))).cast("long"))
     at = both.filter((F.col("_run") >= F.col("k")) & (F.col("_run") - F.col("_n") < F.col("k")))
     return at.select(
@@ -139,7 +153,7 @@ def legs(
     """top and bottom ``n div parts`` rows (at least one) by value, ties broken by id."""
     pos = positions(df, [F.col(value).desc(), F.col(tie)], group, "_pos")
     totals = pos.groupBy(*group).agg(F.max("_pos").alias("_total"))
-    both = pos.join(totals, list(group)) if group else pos.crossJoin(F.broadcast(totals))
+    both = null_safe_join(pos, totals, group)
     k = F.greatest(F.lit(1), F.floor(F.col("_total") / parts))
     leg = F.when(F.col("_pos") <= k, "top").when(F.col("_pos") > F.col("_total") - k, "bottom")
     return both.withColumn(out, leg).withColumn("k", k.cast("long")).drop("_total", "_pos")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEGENERATE_IQR, DEGENERATE_MEDIAN, FOOTNOTE_SPEARMAN, MIN_FIRMS
 from tidemark.functions.stats import correlation
-from tidemark.operators.ordering import average_rank, cut_values, positions, quantiles
+from tidemark.operators.ordering import null_safe_join, average_rank, cut_values, positions, quantiles
 from tidemark.session import materialise
 
 
@@ -51,8 +51,9 @@ def overlap_bounds(
     )
     ca = name(cut_values(both, a, size, group), "a")
     cb = name(cut_values(both, b, size, group), "b").drop("k")
-    cuts = ca.join(cb, list(group)) if group else ca.crossJoin(cb)
-    x = both.join(cuts, list(group)) if group else both.crossJoin(F.broadcast(cuts))
+    # without groups each side is one row, and null_safe_join broadcasts it
+    cuts = null_safe_join(ca, cb, group)
+    x = null_safe_join(both, cuts, group)
     sa, ta = F.col(a) > F.col("cut_a"), F.col(a) == F.col("cut_a")
     sb, tb = F.col(b) > F.col("cut_b"), F.col(b) == F.col("cut_b")
     keep = ["k", "cut_a", "sure_a", "tied_a", "places_a", "cut_b", "sure_b", "tied_b", "places_b"]
@@ -115,7 +116,7 @@ def degeneracy(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFram
         df.filter(F.col(value).isNotNull()).groupBy(*group)
         .agg((F.count_if(F.col(value) >= 0.9995) / F.count(F.lit(1))).alias("at_one"))
     )
-    j = q.join(ones, list(group)) if group else q.crossJoin(ones)
+    j = null_safe_join(q, ones, group)
     iqr = F.col("q3") - F.col("q1")
     return j.withColumn("iqr", iqr).withColumn(
         "degenerate", (F.col("median") > DEGENERATE_MEDIAN) & (iqr < DEGENERATE_IQR)

@@ -171,6 +171,9 @@ def release_pairs(catalog: DataFrame) -> DataFrame:
 def decompose_pairs(edges: DataFrame, catalog: DataFrame, removed_ids: DataFrame) -> DataFrame:
     """Every consecutive pair at once, blind to the flag and aware of it.
 
+    ``edges``: rel, subject, party, share, imputed, ord; of rows that repeat a key within a release the one with
+    the largest ord counts (any of them without that column).
+
     Each row plays two parts: the new side of its own pair and the old side of the next pair. One
     aggregation on (pair, subject, party) then holds both sides; no release is joined to another.
     """
@@ -180,12 +183,14 @@ def decompose_pairs(edges: DataFrame, catalog: DataFrame, removed_ids: DataFrame
         "rel", F.col("rel").alias("pair"), F.lit("b").alias("side")
     ).unionByName(nxt.filter("rel is not null").select("rel", "pair", F.lit("a").alias("side")))
     # the catalog has one row per release, so both small tables are bounded
-    e = edges.join(F.broadcast(roles), "rel")
-    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    e = edges if "ord" in edges.columns else edges.withColumn("ord", F.lit(0))
+    e = e.join(F.broadcast(roles), "rel")
+    # numbers only in the buffers: the hash aggregate is kept, and repeated keys merge before the shuffle
+    side = lambda s, c: F.max_by(F.when(F.col("side") == s, F.col(c)), F.when(F.col("side") == s, F.col("ord")))
     cells = e.groupBy("pair", "subject", "party").agg(
         side("a", "share").alias("a"), side("b", "share").alias("b"),
         F.max(F.col("side") == "a").alias("has_a"), F.max(F.col("side") == "b").alias("has_b"),
-        F.max(F.when(F.col("side") == "b", F.col("imputed")).otherwise(False)).alias("imp"),
+        F.coalesce(side("b", "imputed"), F.lit(False)).alias("imp"),
     )
     gone = F.col("has_a") & ~F.col("has_b")
     a, b = F.col("a"), F.col("b")

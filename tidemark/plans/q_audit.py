@@ -187,41 +187,63 @@ def a14(spark, sf):
     return L.resolve_pins(pins, f.select("name"))
 
 
+BODY_SQL = """body AS (SELECT 'bucket=' || c_custkey % 16 AS folder, c_custkey % 2 = 0 AS even,
+  sha256(string_agg(c_custkey || ',' || c_name, chr(10) ORDER BY c_custkey) || chr(10)) AS sha256 FROM customer GROUP BY 1, 2)"""
+
+
 def stored(spark, sf):
-    """Files derived from the customer table, for fingerprints and manifests."""
+    """Compressed files derived from the customer table, one in each folder, for fingerprints and manifests."""
     path = scratch(spark, "stored")
-    S.table(spark, sf, "customer").select("c_custkey", "c_name").repartition(4, "c_custkey").sortWithinPartitions("c_custkey").write.option(
-        "header", True
-    ).csv(path)
-    return files_.fingerprints(spark, path, "*.csv")
+    k = F.col("c_custkey")
+    S.table(spark, sf, "customer").select((k % 16).alias("bucket"), "c_custkey", F.concat_ws(",", k, "c_name").alias("line")).repartition(
+        "bucket"
+    ).sortWithinPartitions("bucket", "c_custkey").select("bucket", "line").write.partitionBy("bucket").option("compression", "gzip").text(path)
+    return files_.fingerprints(spark, path, "*.gz")
+
+
+def folder(name="name"):
+    return F.substring_index(name, "/", 1)
 
 
-@query("a16_file_fingerprints")
+@query("a16_file_fingerprints", f"WITH {BODY_SQL} SELECT folder, sha256 FROM body")
 def a16(spark, sf):
-    return stored(spark, sf).select("bytes", F.length("sha256").alias("digits"))
+    return stored(spark, sf).select(folder().alias("folder"), "sha256")
 
 
-@query("a17_q06_provenance")
+@query(
+    "a17_q06_provenance",
+    f"""WITH {BODY_SQL}, runs AS (SELECT 'as recorded' AS run, 'OK' AS state FROM body UNION ALL
+      SELECT 'after a change', CASE WHEN even THEN 'MISMATCH' ELSE 'OK' END FROM body)
+    SELECT 'change_decomposition' AS script, state, count(*) AS n, run FROM runs GROUP BY run, state""",
+)
 def a17(spark, sf):
     from tidemark.session import materialise
 
     f = materialise(stored(spark, sf))
-    rec = files_.provenance(f.withColumn("role", F.col("name")), "change_decomposition", {"old": S.OLD}, {"note": "first run"})
+    rec = files_.provenance(f.withColumn("role", folder()), "change_decomposition", {"old": S.OLD}, {"note": "first run"})
+    path = scratch(spark, "provenance")
+    files_.write_provenance(rec, path)
+    rec = files_.read_provenance(spark, path)
     good = files_.check_provenance(rec, f)
-    spoilt = files_.check_provenance(rec, f.withColumn("sha256", F.when(F.col("bytes") % 2 == 0, F.lit("0")).otherwise(F.col("sha256"))))
+    even = F.regexp_extract("name", "bucket=([0-9]+)", 1).cast("long") % 2 == 0
+    spoilt = files_.check_provenance(rec, f.withColumn("sha256", F.when(even, F.lit("0")).otherwise(F.col("sha256"))))
     n = lambda d, run: d.groupBy("script", "state").agg(F.count(F.lit(1)).alias("n")).withColumn("run", F.lit(run))
     return n(good, "as recorded").unionByName(n(spoilt, "after a change"))
 
 
-@query("q05_manifest_check")
+@query(
+    "q05_manifest_check",
+    f"""WITH {BODY_SQL}, states AS (SELECT CASE folder WHEN 'bucket=0' THEN 'unlisted' WHEN 'bucket=1' THEN 'second copy' WHEN 'bucket=2' THEN 'mismatched' ELSE 'ok' END AS state FROM body
+      UNION ALL SELECT 'missing' FROM body WHERE folder = 'bucket=3')
+    SELECT state, count(*) AS n FROM states GROUP BY state""",
+)
 def q05(spark, sf):
     from tidemark.session import materialise
 
-    f = materialise(stored(spark, sf))
-    listed = f.filter("name not like 'part-00000%'").unionByName(
-        f.limit(1).select(F.lit("lost.csv").alias("name"), "bytes", "sha256")
-    )
-    twice = f.unionByName(f.filter("name like 'part-00001%'"))
+    f = materialise(stored(spark, sf).withColumn("at", folder()))
+    listed = f.filter("at <> 'bucket=0'").withColumn("sha256", F.when(F.col("at") == "bucket=2", F.lit("0")).otherwise(F.col("sha256")))
+    listed = listed.unionByName(f.filter("at = 'bucket=3'").withColumn("name", F.lit("lost.csv")))
+    twice = f.unionByName(f.filter("at = 'bucket=1'"))
     return files_.check_manifest(listed, twice).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -495,10 +517,16 @@ def w01(spark, sf):
     SELECT endpoint, symbol, CAST(date AS VARCHAR) AS date, arg_max(value, event_id) AS value FROM x GROUP BY endpoint, symbol, date""",
 )
 def w02(spark, sf):
-    from tidemark.streaming.ingest import newest_rows
+    """Pulls are written as files, streamed into the table, and the newest row of each key is read from it."""
+    from tidemark.streaming.ingest import RAW, ingest_new_files, newest_rows
 
-    e = S.table(spark, sf, "events").select(
-        F.col("event_type").alias("endpoint"), F.concat(F.lit("U"), "user_id").alias("symbol"), F.col("ts").cast("date").alias("date"),
-        F.expr("event_id div 1000").alias("batch"), F.lpad(F.col("event_id").cast("string"), 18, "0").alias("file"), "value",
-    )
-    return newest_rows(e).select("endpoint", "symbol", F.col("date").cast("string").alias("date"), "value")
+    base = scratch(spark, "pulls")
+    S.table(spark, sf, "events").select(
+        F.col("event_type").alias("endpoint"), F.concat(F.lit("U"), "user_id").alias("symbol"), F.col("ts").cast("date").alias("date"), "value",
+        F.col("event_id").alias("seq"),
+    ).repartition(4, "symbol").write.json(f"{base}/in")
+    ingest_new_files(
+        spark, f"{base}/in", f"{base}/table", f"{base}/ledger", f"{base}/state", RAW + ", seq long"
+    ).awaitTermination()
+    newest = newest_rows(spark.read.parquet(f"{base}/table"), ("batch", "seq"))
+    return newest.select("endpoint", "symbol", F.col("date").cast("string").alias("date"), "value")

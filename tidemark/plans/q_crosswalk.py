@@ -352,7 +352,14 @@ def g03(spark, sf):
 
 # ---------------------------------------------------------------- names
 TRADE_NAMES_SQL = """trade_name AS (SELECT p_partkey AS k, p_name || CASE p_partkey % 4 WHEN 0 THEN ' Holdings Inc.' WHEN 1 THEN ', PLC' WHEN 2 THEN ' & Co. Group' ELSE ' SA' END AS name FROM part)"""
-FORMS = r"\b(corp|corporation|inc|plc|ltd|limited|ag|sa|spa|nv|oyj|asa|se|holding|holdings|group|company|co|lp|llc|the)\b\.?"
+FORMS = r"\b(" + "|".join(I.LEGAL_FORMS) + r")\b\.?"
+PLAIN_SQL = f"trim(regexp_replace(regexp_replace(regexp_replace(lower({{c}}), '{FORMS}', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+NAMED_SQL = f"""{S.CANDIDATES_SQL}, named AS (SELECT *, regexp_replace(c_name, 'Customer#0+', 'Firm ') || ' Inc' AS name,
+  CASE WHEN CAST(symbol[2:] AS BIGINT) % 5 = 0 THEN regexp_replace(c_name, 'Customer#0+', 'Firm ') ||
+    CASE WHEN CAST(symbol[2:] AS BIGINT) % 2 = 0 THEN ' Holdings' ELSE ' Energy Ltd' END ELSE s_name END AS other FROM candidate),
+plain AS (SELECT *, {PLAIN_SQL.format(c='name')} AS x, {PLAIN_SQL.format(c='other')} AS y FROM named),
+scored AS (SELECT *, CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0::DOUBLE
+  ELSE 1.0::DOUBLE - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) END AS score FROM plain)"""
 
 
 def trade_names(spark, sf):
@@ -390,12 +397,17 @@ def name_candidates(spark, sf):
     )
 
 
-@query("b18_name_similarity")
+@query("b18_name_similarity", f"WITH {NAMED_SQL} SELECT entity, symbol, {r('score', 6)} AS score FROM scored")
 def b18(spark, sf):
     return name_candidates(spark, sf).select("entity", "symbol", half_up(W.similarity("name", "other"), 6).alias("score"))
 
 
-@query("c22_name_route")
+@query(
+    "c22_name_route",
+    f"""WITH {NAMED_SQL}, best AS (SELECT entity, arg_max(struct_pack(symbol := symbol, score := score, dollar_vol := dollar_vol),
+      struct_pack(a := score, b := dollar_vol, c := symbol)) AS w FROM scored WHERE bars > 30 AND score >= 0.7 GROUP BY entity)
+    SELECT entity, w.symbol AS symbol, {r('w.score', 4)} AS score, {r('w.dollar_vol', 4)} AS dollar_vol FROM best""",
+)
 def c22(spark, sf):
     return rounded(W.name_route(name_candidates(spark, sf), "entity", "name", "other"), "score", "dollar_vol", places=4)
 

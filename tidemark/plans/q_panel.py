@@ -161,13 +161,14 @@ ARMS = ["2025_zero", "2025_impute", "2026_zero", "2026_impute"]
 ARM_SQL = """arm_wide AS (
   SELECT 'S' || l_suppkey AS symbol,
     sum(l_quantity) FILTER (WHERE l_returnflag = 'R' AND l_shipdate < TIMESTAMP '1999-01-01') AS a,
-    sum(l_quantity) FILTER (WHERE l_returnflag = 'A' AND l_shipdate < TIMESTAMP '1999-01-01') AS b,
-    sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS c FROM lineitem GROUP BY 1),
+    sum(l_quantity) FILTER (WHERE l_returnflag IS DISTINCT FROM 'R' AND l_shipdate < TIMESTAMP '1999-01-01') AS b,
+    sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS c,
+    sum(l_quantity) FILTER (WHERE l_returnflag IS DISTINCT FROM 'R') AS d FROM lineitem GROUP BY 1),
 arm_long AS (
   SELECT symbol, '2025_zero' AS arm, coalesce(a, 0) AS mw FROM arm_wide
   UNION ALL SELECT symbol, '2025_impute', coalesce(a, 0) + 0.5 * coalesce(b, 0) FROM arm_wide
   UNION ALL SELECT symbol, '2026_zero', coalesce(c, 0) FROM arm_wide
-  UNION ALL SELECT symbol, '2026_impute', coalesce(c, 0) FROM arm_wide),
+  UNION ALL SELECT symbol, '2026_impute', coalesce(c, 0) + 0.5 * coalesce(d, 0) FROM arm_wide),
 arm_rank AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY mw DESC, symbol) AS i,
   count(*) OVER (PARTITION BY arm) AS n FROM arm_long WHERE mw > 0),
 leg AS (SELECT symbol, arm, mw, greatest(1, n // 5) AS k,
@@ -176,11 +177,10 @@ leg AS (SELECT symbol, arm, mw, greatest(1, n // 5) AS k,
 
 def arm_table(spark, sf):
     q, early = F.col("l_quantity"), F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp")
-    flag = F.col("l_returnflag")
+    stated = F.coalesce(F.col("l_returnflag") == "R", F.lit(False))
     zero = lambda c: F.coalesce(F.sum(F.when(c, q)), F.lit(0.0))
     w = S.table(spark, sf, "lineitem").groupBy(F.concat(F.lit("S"), "l_suppkey").alias("symbol")).agg(
-        zero((flag == "R") & early).alias("a"), zero((flag == "A") & early).alias("b"),
-        zero(flag == "R").alias("c"),
+        zero(stated & early).alias("a"), zero(~stated & early).alias("b"), zero(stated).alias("c"), zero(~stated).alias("d"),
     )
     row = lambda arm, x: F.struct(F.lit(arm).alias("arm"), x.alias("mw"))
     return w.select(
@@ -188,7 +188,7 @@ def arm_table(spark, sf):
         F.inline(
             F.array(
                 row("2025_zero", F.col("a")), row("2025_impute", F.col("a") + 0.5 * F.col("b")),
-                row("2026_zero", F.col("c")), row("2026_impute", F.col("c")),
+                row("2026_zero", F.col("c")), row("2026_impute", F.col("c") + 0.5 * F.col("d")),
             )
         ),
     )

@@ -16,13 +16,13 @@ from tidemark.plans.registry import query, r
 
 ARMS = ["2025_zero", "2025_impute", "2026_zero", "2026_impute"]
 LONG_SQL = """exp_row AS (
-  SELECT 'C' || o_custkey AS firm, floor(o_totalprice / 50000) AS mw, o_orderdate AS d, o_orderpriority AS p FROM orders),
+  SELECT 'C' || o_custkey AS firm, floor(o_totalprice / 50000) AS mw, o_orderdate < TIMESTAMP '1997-01-01' AS early,
+    coalesce(o_orderpriority IN ('1-URGENT', '3-MEDIUM', '5-LOW'), false) AS stated FROM orders),
 exp_long AS (
-  SELECT firm, '2025_zero' AS arm, sum(mw) AS mw FROM exp_row WHERE p = '1-URGENT' AND d < TIMESTAMP '1997-01-01' GROUP BY 1
-  UNION ALL SELECT firm, '2025_impute', sum(CASE WHEN p = '1-URGENT' THEN mw ELSE floor(mw / 2) END) FROM exp_row
-    WHERE p IN ('1-URGENT', '2-HIGH') AND d < TIMESTAMP '1997-01-01' GROUP BY 1
-  UNION ALL SELECT firm, '2026_zero', sum(mw) FROM exp_row WHERE p = '1-URGENT' AND d < TIMESTAMP '1999-01-01' GROUP BY 1
-  UNION ALL SELECT firm, '2026_impute', sum(mw) FROM exp_row WHERE p = '1-URGENT' AND d < TIMESTAMP '1999-01-01' GROUP BY 1),
+  SELECT firm, '2025_zero' AS arm, sum(mw) AS mw FROM exp_row WHERE stated AND early GROUP BY 1
+  UNION ALL SELECT firm, '2025_impute', sum(CASE WHEN stated THEN mw ELSE floor(mw / 2) END) FROM exp_row WHERE early GROUP BY 1
+  UNION ALL SELECT firm, '2026_zero', sum(mw) FROM exp_row WHERE stated GROUP BY 1
+  UNION ALL SELECT firm, '2026_impute', sum(CASE WHEN stated THEN mw ELSE floor(mw / 2) END) FROM exp_row GROUP BY 1),
 exp_wide AS (SELECT 'C' || c_custkey AS firm, c_mktsegment AS seg,
   coalesce(max(mw) FILTER (WHERE arm = '2025_zero'), 0) AS z25, coalesce(max(mw) FILTER (WHERE arm = '2025_impute'), 0) AS i25,
   coalesce(max(mw) FILTER (WHERE arm = '2026_zero'), 0) AS z26, coalesce(max(mw) FILTER (WHERE arm = '2026_impute'), 0) AS i26
@@ -30,16 +30,16 @@ exp_wide AS (SELECT 'C' || c_custkey AS firm, c_mktsegment AS seg,
 
 
 def exposure_long(spark, sf):
+    """Every order counts: with its whole amount where its share is stated, with half of it where it is imputed."""
     o = S.table(spark, sf, "orders")
-    d, p = F.col("o_orderdate"), F.col("o_orderpriority")
     mw = F.floor(F.col("o_totalprice") / 50000).cast("double")
-    early, mid = d < F.lit("1997-01-01").cast("timestamp"), d < F.lit("1999-01-01").cast("timestamp")
-    urgent, high = p == "1-URGENT", p == "2-HIGH"
+    early = F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp")
+    stated = F.coalesce(F.col("o_orderpriority").isin("1-URGENT", "3-MEDIUM", "5-LOW"), F.lit(False))
+    imputed = F.when(stated, mw).otherwise(F.floor(mw / 2))
     add = lambda cond, x: F.sum(F.when(cond, x))
     g = o.groupBy(F.concat(F.lit("C"), "o_custkey").alias("firm")).agg(
-        add(urgent & early, mw).alias("a"),
-        add((urgent | high) & early, F.when(urgent, mw).otherwise(F.floor(mw / 2))).alias("b"),
-        add(urgent & mid, mw).alias("c"),
+        add(stated & early, mw).alias("a"), add(early, imputed).alias("b"),
+        add(stated, mw).alias("c"), F.sum(imputed).alias("d"),
     )
     row = lambda arm, x: F.struct(F.lit(arm).alias("arm"), x.cast("double").alias("mw"))
     return g.select(
@@ -47,7 +47,7 @@ def exposure_long(spark, sf):
         F.inline(
             F.array(
                 row("2025_zero", F.col("a")), row("2025_impute", F.col("b")),
-                row("2026_zero", F.col("c")), row("2026_impute", F.col("c")),
+                row("2026_zero", F.col("c")), row("2026_impute", F.col("d")),
             )
         ),
     ).filter("mw is not null")
@@ -83,7 +83,7 @@ def e19(spark, sf):
 SECTOR_SQL = """sector_long AS (SELECT 'C' || o_custkey AS firm, CASE o_orderpriority WHEN '1-URGENT' THEN 'coal'
     WHEN '2-HIGH' THEN 'gas' ELSE 'bio' END AS grp, sum(floor(o_totalprice / 50000)) AS mw,
     CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'old' ELSE 'new' END AS rel
-  FROM orders WHERE o_orderpriority < '4' GROUP BY ALL),
+  FROM orders GROUP BY ALL),
 sector_firm AS (SELECT firm, rel, coalesce(sum(mw) FILTER (WHERE grp = 'coal'), 0) AS coal, coalesce(sum(mw) FILTER (WHERE grp = 'gas'), 0) AS gas,
     coalesce(sum(mw) FILTER (WHERE grp = 'bio'), 0) AS bio FROM sector_long GROUP BY 1, 2),
 sector_share AS (SELECT *, coal + gas AS fossil, coal + gas + bio AS thermal,
@@ -94,7 +94,7 @@ sector_share AS (SELECT *, coal + gas AS fossil, coal + gas + bio AS thermal,
 def sector_long(spark, sf):
     p = F.col("o_orderpriority")
     return (
-        S.table(spark, sf, "orders").filter(p < "4")
+        S.table(spark, sf, "orders")
         .groupBy(
             F.concat(F.lit("C"), "o_custkey").alias("firm"),
             F.when(p == "1-URGENT", "coal").when(p == "2-HIGH", "gas").otherwise("bio").alias("grp"),

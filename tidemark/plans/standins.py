@@ -1,6 +1,7 @@
 """Views on the driver tables that stand for the inputs of the operators.
 
-Each view has a Spark form and a SQL form with the same formula. All of them read whole tables.
+Each view has a Spark form and a SQL form with the same formula. All of them use every row of their tables:
+rows are mapped onto releases, arms, sectors or sheets, not left out.
 """
 
 from __future__ import annotations
@@ -21,13 +22,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 EDGES_SQL = """
 line_cut AS (
   SELECT l_partkey AS s, l_suppkey AS p, l_quantity AS q,
-         l_shipdate < TIMESTAMP '1999-01-01' AS before,
-         l_shipdate < CASE WHEN l_partkey % 3 = 0 THEN TIMESTAMP '2002-01-01'
-                           ELSE TIMESTAMP '1999-01-01' END AS carried
+         l_shipdate < TIMESTAMP '1999-01-01' OR l_partkey % 3 <> 0 OR (l_partkey * 7 + l_suppkey) % 29 = 0 AS before,
+         (l_partkey * 7 + l_suppkey) % 29 <> 0 AS carried
   FROM lineitem),
 edge_qty AS (
-  SELECT s, p, sum(q) FILTER (WHERE before) AS q_old,
-         sum(q) FILTER (WHERE carried AND (s * 7 + p) % 29 <> 0) AS q_new
+  SELECT s, p, sum(q) FILTER (WHERE before) AS q_old, sum(q) FILTER (WHERE carried) AS q_new
   FROM line_cut GROUP BY s, p),
 edge_tot AS (SELECT s, sum(q_old) AS t_old, sum(q_new) AS t_new FROM edge_qty GROUP BY s),
 edge_both AS (
@@ -52,13 +51,13 @@ dedup_map AS (SELECT 'S' || s_suppkey AS entity FROM supplier WHERE s_suppkey %
 def _edge_both(spark: SparkSession, sf: str) -> DataFrame:
     s, p = F.col("l_partkey"), F.col("l_suppkey")
     early = F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp")
-    late = F.col("l_shipdate") < F.lit("2002-01-01").cast("timestamp")
-    carried = F.when(s % 3 == 0, late).otherwise(early) & ((s * 7 + p) % 29 != 0)
+    carried = (s * 7 + p) % 29 != 0
+    before = early | (s % 3 != 0) | ~carried
     qty = (
         table(spark, sf, "lineitem")
         .groupBy(s.alias("s"), p.alias("p"))
         .agg(
-            F.sum(F.when(early, F.col("l_quantity"))).alias("q_old"),
+            F.sum(F.when(before, F.col("l_quantity"))).alias("q_old"),
             F.sum(F.when(carried, F.col("l_quantity"))).alias("q_new"),
         )
     )
@@ -78,8 +77,17 @@ def _edge_both(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges of both releases as one long table: release, subject, party, share, imputed, ord."""
+def edges(spark: SparkSession, sf: str, repeated: bool = False) -> DataFrame:
+    """Edges of both releases as one long table: release, subject, party, share, imputed, ord.
+
+    With ``repeated``, some keys come a second time with another share and a lower ord: the later row wins.
+    """
+    if repeated:
+        rows = edges(spark, sf).withColumn("ord", F.lit(1))
+        again = F.pmod(F.hash("subject", "party"), F.lit(5)) == 0
+        return rows.union(
+            rows.filter(again).withColumns({"share": F.coalesce(F.col("share") / 2, F.lit(1.0)), "ord": F.lit(0)})
+        )
     both = _edge_both(spark, sf)
     rows = F.array(
         F.when(
@@ -130,17 +138,18 @@ def dedup_map(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# ---------------------------------------------------------------- fourteen quarterly releases
+# ---------------------------------------------------------------- quarterly releases, as many as the data has
 # Release 3 lacks the ownership sheet; release 11 repeats release 10; the flag exists from 8 on.
 SEQ_SQL = """
 seq_line AS (
   SELECT l_partkey AS s, l_suppkey AS p, l_quantity AS q,
          greatest(1, (year(l_shipdate) - 1998) * 4 + quarter(l_shipdate) - 1) AS r0
   FROM lineitem),
-seq_qty AS (SELECT s, p, r0, sum(q) AS q FROM seq_line WHERE r0 <= 14 GROUP BY s, p, r0),
+seq_last AS (SELECT max(r0) AS n FROM seq_line),
+seq_qty AS (SELECT s, p, r0, sum(q) AS q FROM seq_line GROUP BY s, p, r0),
 seq_rel AS (
   SELECT s, p, rel, sum(q) AS q
-  FROM (SELECT s, p, q, unnest(generate_series(r0, 14)) AS rel FROM seq_qty)
+  FROM (SELECT s, p, q, unnest(generate_series(r0, n)) AS rel FROM seq_qty, seq_last)
   GROUP BY s, p, rel),
 seq_kept AS (SELECT * FROM seq_rel WHERE (s * 7 + p + rel) % 29 <> 0 AND rel <> 3 AND rel <> 11),
 seq_copy AS (SELECT * FROM seq_kept UNION ALL
@@ -153,29 +162,40 @@ release_seq AS (
   FROM seq_copy),
 seq_catalog AS (
   SELECT rel, strftime(TIMESTAMP '1998-04-01' + to_months(CAST(3 * rel AS INTEGER)), '%Y-%m') AS month,
-         rel <> 3 AS has_sheet, rel >= 8 AS has_flag
+         rel IN (SELECT rel FROM seq_copy) AS has_sheet, rel >= 8 AS has_flag
   FROM (SELECT DISTINCT rel FROM seq_rel))
 """
 
 
-def release_seq(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges of all releases: rel, subject, party, share, imputed.
+def quarter_of(d):
+    """Number of the first release that holds a line of this date."""
+    return F.greatest(F.lit(1), (F.year(d) - 1998) * 4 + F.quarter(d) - 1)
+
+
+def last_release(spark: SparkSession, sf: str) -> int:
+    """Number of releases; 0 for an empty table."""
+    return table(spark, sf, "lineitem").agg(F.max(quarter_of(F.col("l_shipdate")))).first()[0] or 0
+
+
+def release_seq(spark: SparkSession, sf: str, repeated: bool = False) -> DataFrame:
+    """Edges of all releases: rel, subject, party, share, imputed, ord; some keys twice if ``repeated``.
 
-    Quantities of the fourteen cuts are sums side by side, so (part, supplier) is shuffled once and
+    Quantities of all cuts are sums side by side, so (part, supplier) is shuffled once and
     merged map-side; rows per release appear only after the join with the totals.
     """
-    d, s, p = F.col("l_shipdate"), F.col("s"), F.col("p")
-    r0 = F.greatest(F.lit(1), (F.year(d) - 1998) * 4 + F.quarter(d) - 1)
+    s, p = F.col("s"), F.col("p")
+    r0 = quarter_of(F.col("l_shipdate"))
+    releases = range(1, max(1, last_release(spark, sf)) + 1)
     qty = (
         table(spark, sf, "lineitem")
         .select(F.col("l_partkey").alias("s"), F.col("l_suppkey").alias("p"), "l_quantity", r0.alias("r0"))
         .groupBy("s", "p")
-        .agg(*[F.sum(F.when(F.col("r0") <= k, F.col("l_quantity"))).alias(f"q{k}") for k in range(1, 15)])
+        .agg(*[F.sum(F.when(F.col("r0") <= k, F.col("l_quantity"))).alias(f"q{k}") for k in releases])
     )
     here = lambda k: (s * 7 + p + k) % 29 != 0
-    kept = qty.select("s", "p", *[F.when(here(k), F.col(f"q{k}")).alias(f"q{k}") for k in range(1, 15)])
-    tot = kept.groupBy("s").agg(*[F.sum(f"q{k}").alias(f"t{k}") for k in range(1, 15)])
-    source = {k: 10 if k == 11 else k for k in range(1, 15) if k != 3}
+    kept = qty.select("s", "p", *[F.when(here(k), F.col(f"q{k}")).alias(f"q{k}") for k in releases])
+    tot = kept.groupBy("s").agg(*[F.sum(f"q{k}").alias(f"t{k}") for k in releases])
+    source = {k: 10 if k == 11 else k for k in releases if k != 3}
     cells = F.filter(
         F.array(
             *[
@@ -194,23 +214,48 @@ def release_seq(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("S"), p).alias("party"),
         F.when(late | ~blank, half_up(100 * F.col("q") / F.col("t"), 1)).alias("share"),
         (late & (blank & ((s + p) % 4 != 0) | ((s * 17 + p) % 11 == 0))).alias("imputed"),
-    )
+        F.lit(1).alias("ord"),
+        F.lit(repeated) & ((s + p) % 5 == 0),
+    ).toDF("rel", "subject", "party", "share", "imputed", "ord", "again").select(
+        "rel", "subject", "party",
+        F.inline(
+            F.filter(
+                F.array(
+                    F.struct("share", "imputed", "ord", F.lit(True).alias("counts")),
+                    F.struct(
+                        F.coalesce(F.col("share") / 2, F.lit(1.0)).alias("share"), (~F.col("imputed")).alias("imputed"),
+                        F.lit(0).alias("ord"), F.col("again").alias("counts"),
+                    ),
+                ),
+                lambda x: x["counts"],
+            )
+        ),
+    ).drop("counts")
 
 
 def seq_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.col("l_shipdate")
-    first = (
-        table(spark, sf, "lineitem")
-        .select(F.greatest(F.lit(1), (F.year(d) - 1998) * 4 + F.quarter(d) - 1).alias("r0"))
-        .filter("r0 <= 14")
-        .agg(F.min("r0").alias("lo"))
+    """The releases that the lines give, and whether each has ownership rows."""
+    r0 = quarter_of(F.col("l_shipdate")).alias("r0")
+    s, p = F.col("l_partkey"), F.col("l_suppkey")
+    first = table(spark, sf, "lineitem").groupBy(s, p).agg(F.min(r0).alias("r0"))
+    span = first.agg(F.min("r0").alias("lo")).crossJoin(
+        F.broadcast(table(spark, sf, "lineitem").agg(F.max(r0).alias("n")))
+    )
+    rels = span.select(F.explode(F.sequence("lo", "n")).alias("rel"))
+    source = F.when(F.col("rel") == 11, 10).otherwise(F.col("rel"))
+    # an edge is in every release from its first line on, but for those that its key leaves out
+    held = first.groupBy("r0", F.pmod(s * 7 + p, F.lit(29)).alias("m")).agg(F.count(F.lit(1)).alias("edges"))
+    sheets = (
+        rels.filter("rel <> 3").withColumn("src", source)
+        .join(F.broadcast(held), (F.col("r0") <= F.col("src")) & (F.pmod(F.col("m") + F.col("src"), F.lit(29)) != 0))
+        .select("rel", F.lit(True).alias("has_sheet")).distinct()
     )
-    rels = first.select(F.explode(F.sequence("lo", F.lit(14))).alias("rel"))
+    rels = rels.join(sheets, "rel", "left")
     month = F.add_months(F.lit("1998-04-01").cast("date"), 3 * F.col("rel"))
     return rels.select(
         "rel",
         F.date_format(month, "yyyy-MM").alias("month"),
-        (F.col("rel") != 3).alias("has_sheet"),
+        F.coalesce("has_sheet", F.lit(False)).alias("has_sheet"),
         (F.col("rel") >= 8).alias("has_flag"),
     )
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import io
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +42,40 @@ def latest_pull(spark: SparkSession, base: str) -> DataFrame:
     return df.join(F.broadcast(newest), "pull", "left_semi")
 
 
+def _body_hash(name: str, content: bytes) -> str:
+    """sha256 of a file's body: of what a ``.gz`` file holds, read in blocks, or of the bytes as stored."""
+    if not name.endswith(".gz"):
+        return hashlib.sha256(content).hexdigest()
+    found = hashlib.sha256()
+    with gzip.open(io.BytesIO(content)) as body:
+        while block := body.read(1 << 20):
+            found.update(block)
+    return found.hexdigest()
+
+
 def fingerprints(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, bytes and sha256 of every file; files are read in parallel, one per row."""
+    """Name, bytes and sha256 of every file; files are read in parallel, one per row.
+
+    The name is the path below ``path``, so equal base names in different folders stay apart. The hash is that of
+    the decompressed body for ``.gz`` files.
+    """
     f = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern).load(path)
     )
-    return f.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+
+    def run(batches):
+        for batch in batches:
+            names, contents = batch.column("name").to_pylist(), batch.column("content")
+            hashes = [_body_hash(n, c.as_py()) for n, c in zip(names, contents)]
+            yield pa.record_batch(
+                [batch.column("name"), batch.column("bytes"), pa.array(hashes, pa.string())], names=["name", "bytes", "sha256"]
+            )
+
+    base = path.rstrip("/").split(":", 1)[-1].lstrip("/")
+    below = F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "")
+    return f.select(below.alias("name"), F.col("length").alias("bytes"), "content").mapInArrow(
+        run, "name string, bytes long, sha256 string"
     )
 
 
@@ -64,6 +94,18 @@ def provenance(inputs: DataFrame, script: str, pins: dict[str, str], extra: dict
     return m.select(F.lit(script).alias("script"), "inputs", as_map(pins).alias("release_pin"), as_map(extra).alias("extra"))
 
 
+def write_provenance(records: DataFrame, path: str) -> None:
+    """One JSON line per record, never over an existing folder."""
+    records.write.mode("errorifexists").json(path)
+
+
+def read_provenance(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(
+        "script string, inputs map<string, struct<name string, bytes bigint, sha256 string>>, "
+        "release_pin map<string, string>, extra map<string, string>"
+    ).json(path)
+
+
 def check_provenance(records: DataFrame, found: DataFrame) -> DataFrame:
     """Q6: each recorded hash against the file's own."""
     want = records.select("script", F.explode("inputs").alias("role", "_i")).select(

@@ -29,9 +29,10 @@ def ingest_new_files(
     )
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.drop("modified").withColumn("fetched", F.col("file"))
-        rows.drop("fetched").write.mode("overwrite").parquet(f"{table}/batch={number}")
-        per_file = batch.groupBy("file").agg(
+        # the batch is read and parsed once; the ledger comes from what was written
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        written = spark.read.schema(batch.schema).parquet(f"{table}/batch={number}")
+        per_file = written.groupBy("file").agg(
             F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("date_min"),
             F.max("date").alias("date_max"), F.max("modified").alias("fetched"),
         )
@@ -43,52 +44,15 @@ def ingest_new_files(
     )
 
 
-def newest_rows(rows: DataFrame) -> DataFrame:
-    """Per (endpoint, symbol, date) the row that arrived last replaces earlier ones."""
+def newest_rows(rows: DataFrame, order: tuple[str, ...] = ("batch", "file")) -> DataFrame:
+    """Per (endpoint, symbol, date) the row that arrived last replaces earlier ones.
+
+    The table only grows, by one folder per batch; the newest rows are found when it is read, so no batch rewrites
+    what earlier ones wrote.
+    """
     rest = [c for c in rows.columns if c not in ("endpoint", "symbol", "date")]
     return (
         rows.groupBy("endpoint", "symbol", "date")
-        .agg(F.max_by(F.struct(*rest), F.struct("batch", "file")).alias("_r"))
+        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
         .select("endpoint", "symbol", "date", "_r.*")
     )
-
-
-def upsert_stream(
-    spark: SparkSession, table: str, latest: str, checkpoint: str, schema: str, pull_buckets: int = 64
-) -> StreamingQuery:
-    """Keep the newest row per key in a table partitioned by a bucket of the key.
-
-    Only the buckets a batch touches are rewritten, each under the batch's own version folder; the
-    version a reader uses is the highest of its bucket, so a failed write is never seen.
-    """
-    stream = spark.readStream.schema(schema + ", file string, batch int").parquet(table)
-    keys = ["endpoint", "symbol", "date"]
-
-    def merge(batch: DataFrame, number: int) -> None:
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(pull_buckets)).cast("int"))
-        touched = new.select("bucket").distinct()
-        old = read_latest(spark, latest, before=number)
-        if old is not None:
-            new = new.unionByName(old.drop("version").join(F.broadcast(touched), "bucket", "left_semi"))
-        merged = newest_rows(new)
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{latest}/version={number}")
-
-    return (
-        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-
-
-def read_latest(spark: SparkSession, latest: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of every bucket."""
-    try:
-        df = spark.read.parquet(latest)
-    except Exception as problem:  # the folder does not exist before the first batch
-        if "PATH_NOT_FOUND" in str(problem) or "UNABLE_TO_INFER_SCHEMA" in str(problem):
-            return None
-        raise
-    if before is not None:
-        df = df.filter(F.col("version") < before)
-    top = df.groupBy("bucket").agg(F.max("version").alias("version"))
-    # at most one row per bucket
-    return df.join(F.broadcast(top), ["bucket", "version"], "left_semi")
