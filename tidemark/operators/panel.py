@@ -192,16 +192,21 @@ def coverage_by_symbol(prices: DataFrame) -> DataFrame:
 
 
 def adjustment_evidence(returns: DataFrame, thresholds: list[float]) -> DataFrame:
-    """One-day moves beyond each threshold and how many symbols show them."""
+    """One-day moves beyond each threshold and how many symbols show them.
+
+    Moves are counted per symbol first, so no row is copied for a distinct count.
+    """
+    per = returns.groupBy("symbol").agg(
+        *[F.count_if(F.abs("ret") > t).alias(f"_m{i}") for i, t in enumerate(thresholds)]
+    )
     rows = [
         F.struct(
-            F.lit(t).alias("threshold"),
-            F.count_if(F.abs("ret") > t).alias("moves"),
-            F.count_distinct(F.when(F.abs("ret") > t, F.col("symbol"))).alias("symbols"),
+            F.lit(t).alias("threshold"), F.coalesce(F.sum(f"_m{i}"), F.lit(0)).alias("moves"),
+            F.count_if((F.col(f"_m{i}") > 0) & F.col("symbol").isNotNull()).alias("symbols"),
         )
-        for t in thresholds
+        for i, t in enumerate(thresholds)
     ]
-    return returns.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    return per.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 def liquidity(prices: DataFrame) -> DataFrame:
@@ -274,8 +279,8 @@ def spread_verdict(means: DataFrame, pairs: DataFrame, rule: str, side: str, old
 
 
 def symbol_betas(returns: DataFrame, factors: DataFrame) -> DataFrame:
-    """Slope of each symbol's excess return on the market. ``factors`` has one row per day."""
-    j = returns.filter("ret is not null").join(F.broadcast(factors), "date")
+    """Slope of each symbol's excess return on the market. ``factors`` has one row per day; Spark decides by its size."""
+    j = returns.filter("ret is not null").join(factors, "date")
     return j.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("days"), slope(F.col("ret") - F.col("rf"), F.col("mkt")).alias("beta")
     )
@@ -286,7 +291,7 @@ def tracking_difference(annual: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A symbol has one value per year, so its sorted list is bounded by the calendar.
     """
-    d = annual.join(F.broadcast(benchmark), "year").withColumn("_bp", F.abs((F.col("ret") - F.col("mkt")) * 10000))
+    d = annual.join(benchmark, "year").withColumn("_bp", F.abs((F.col("ret") - F.col("mkt")) * 10000))
     g = d.groupBy("symbol").agg(F.sort_array(F.collect_list("_bp")).alias("_l"))
     return g.select(
         "symbol", F.size("_l").cast("long").alias("years"),

@@ -167,7 +167,7 @@ def e05(spark, sf):
 def e06(spark, sf):
     c = codes(spark, sf).select("entity", (F.col("domestic") & F.col("equity")).alias("good"))
     e = entity(spark, sf).join(
-        F.broadcast(S.table(spark, sf, "nation")), F.col("hq") == F.col("n_nationkey")
+        S.table(spark, sf, "nation"), F.col("hq") == F.col("n_nationkey")
     )
     return rounded(W.survival_by_country(e, c, "entity", "n_name"), "pct_code", places=4)
 
@@ -322,7 +322,7 @@ def c20_unused(spark, sf):
       coalesce(CAST(sum(CASE WHEN symbol IS NOT NULL THEN 1 + hq END) AS BIGINT), 0) AS assets_listed FROM chosen JOIN nation ON hq = n_nationkey GROUP BY 1, 2""",
 )
 def e47(spark, sf):
-    c = chosen(spark, sf).join(F.broadcast(S.table(spark, sf, "nation")), F.col("hq") == F.col("n_nationkey"))
+    c = chosen(spark, sf).join(S.table(spark, sf, "nation"), F.col("hq") == F.col("n_nationkey"))
     keys = [F.col("n_name").alias("country"), F.coalesce("route", F.lit("none")).alias("route")]
     return W.results_by(c, keys, 1 + F.col("hq"))
 
@@ -523,7 +523,7 @@ def c07(spark, sf):
 def c09(spark, sf):
     """Nations and regions are fixed lists of a few rows: safe to broadcast."""
     n = S.table(spark, sf, "nation").join(S.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return S.table(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
+    return S.table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
         F.concat(F.lit("C"), "c_custkey").alias("entity"), F.col("n_name").alias("country"), F.col("r_name").alias("region")
     )
 
