@@ -280,7 +280,7 @@ def family(rng, size, edits):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_by_all_pairs(spark, seed, monkeypatch):
-    monkeypatch.setattr(near_join, "CHUNK", 4)
+    monkeypatch.setattr(near_join, "CHUNK", 6)
     monkeypatch.setattr(near_join, "COMMON", 3)
     rng = random.Random(seed)
     shared = phrase(rng, 60)
