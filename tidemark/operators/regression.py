@@ -153,3 +153,25 @@ def detectable(
         F.pow(F.col("t") * sd / effect, F.lit(2.0)).alias("needed"),
         (F.col("t") * F.col(se) / effect).alias("power_ratio"),
     )
+
+
+def power_grid(
+    table: DataFrame, sd: str, n: str, hurdles: DataFrame, scales: tuple[float, ...], sizes: tuple[int, ...], effect: float
+) -> DataFrame:
+    """Smallest detectable effect over a grid of spreads and sample sizes.
+
+    Every series is asked at multiples of its own standard deviation (``scales``) and of its own number of rows
+    (``sizes``). ``hurdles`` has a few rows (name, t).
+    """
+    cells = F.array(
+        *[
+            F.struct(F.lit(float(s)).alias("sd_times"), F.lit(int(k)).cast("long").alias("n_times"))
+            for s in scales for k in sizes
+        ]
+    )
+    j = table.select("*", F.inline(cells)).crossJoin(F.broadcast(hurdles))
+    mde = F.col("t") * F.col(sd) * F.col("sd_times") / F.sqrt(F.col(n) * F.col("n_times"))
+    return j.select(
+        *[c for c in table.columns if c not in (sd, n)], "sd_times", (F.col(n) * F.col("n_times")).alias("n"),
+        F.col("name").alias("hurdle"), mde.alias("mde"), (mde <= effect).alias("detects"),
+    )

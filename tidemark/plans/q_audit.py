@@ -321,9 +321,20 @@ def b22(spark, sf):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("b29_fingerprint")
+@query("b29_fingerprint", "SELECT count(*) AS n_rows, true AS same_after_a_shuffle, count(*) = 0 AS same_after_a_change FROM lineitem")
 def b29(spark, sf):
-    return A.fingerprint(S.table(spark, sf, "lineitem"))
+    """The fingerprint does not depend on the order of rows and columns, and changes with one value."""
+    t = S.table(spark, sf, "lineitem")
+    first = t.agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("_f"))
+    hit = (F.col("l_orderkey") == F.col("_f.l_orderkey")) & (F.col("l_linenumber") == F.col("_f.l_linenumber"))
+    changed = t.crossJoin(F.broadcast(first)).withColumn("l_tax", F.when(hit, F.col("l_tax") + 1).otherwise(F.col("l_tax"))).drop("_f")
+    moved = t.repartition("l_partkey").select(*reversed(t.columns))
+    named = lambda d, s: A.fingerprint(d).select(*[F.col(c).alias(f"{c}_{s}") for c in ("n_rows", "h1", "h2")])
+    row = named(t, "a").crossJoin(F.broadcast(named(moved, "b"))).crossJoin(F.broadcast(named(changed, "c")))
+    same = lambda s: F.expr(f"n_rows_a = n_rows_{s} AND h1_a <=> h1_{s} AND h2_a <=> h2_{s}")
+    return row.select(
+        F.col("n_rows_a").alias("n_rows"), same("b").alias("same_after_a_shuffle"), same("c").alias("same_after_a_change")
+    )
 
 
 @query("q11_promotion_guard", "SELECT 'reordered' AS candidate, true AS same_columns, true AS same_rows, true AS may_promote UNION ALL SELECT 'one value changed', true, true, false UNION ALL SELECT 'rows lost', true, count(*) FILTER (WHERE l_quantity <> 1) = count(*), false FROM lineitem")

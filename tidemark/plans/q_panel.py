@@ -323,6 +323,21 @@ def s13(spark, sf):
     return rounded(rounded(d, "mde", "power_ratio"), "needed", places=2)
 
 
+@query(
+    "s13_power_grid",
+    f"""WITH {NW_SQL}, h AS (SELECT 'conventional' AS hurdle, 1.96::DOUBLE AS t UNION ALL SELECT 'new factor', 3.0::DOUBLE),
+      s AS (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS sd_times), k AS (SELECT unnest([1, 2, 5, 10])::BIGINT AS n_times),
+      g AS (SELECT arm, sd_times, n * n_times AS n, hurdle, t * se_nw * sqrt(n::DOUBLE) * sd_times / sqrt((n * n_times)::DOUBLE) AS mde FROM nw, h, s, k)
+    SELECT arm, sd_times, n, hurdle, {r('mde', 6)} AS mde, {r('mde', 6)} <= 0.01::DOUBLE AS detects FROM g""",
+)
+def s13_grid(spark, sf):
+    t = R.newey_west_mean(spread(spark, sf), ["arm"], "month", "spread", NW_LAGS_SPREAD)
+    hurdles = spark.createDataFrame([("conventional", T_CONVENTIONAL), ("new factor", T_NEW_FACTOR)], "name string, t double")
+    t = t.select("arm", "n", (F.col("se_nw") * F.sqrt("n")).alias("sd"))
+    g = rounded(R.power_grid(t, "sd", "n", hurdles, (0.5, 1.0, 2.0), (1, 2, 5, 10), 0.01), "mde")
+    return g.withColumn("detects", F.col("mde") <= 0.01)
+
+
 @query(
     "s03_arm_correlations",
     f"""WITH {SPREAD_SQL}, j AS (SELECT a.arm AS arm_a, b.arm AS arm_b, a.spread AS x, b.spread AS y

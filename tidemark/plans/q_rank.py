@@ -258,7 +258,19 @@ def s25(spark, sf):
     return rounded(stability_table(spark, sf), "spearman", "raw_spearman").drop("k", "lowest", "highest")
 
 
-@query("s25_measure_overlap")
+def _overlap_of(universe: str, measure: str) -> str:
+    return f"""SELECT '{universe}' AS universe, 'zero' AS rule, '{measure}' AS measure, k, lowest, highest FROM (
+      WITH src AS (SELECT * FROM uni WHERE universe = '{universe}' AND measure = '{measure}'),
+      kk AS (SELECT greatest(1, CAST(round_even(count(*) / 5.0, 0) AS BIGINT)) AS k FROM src HAVING count(*) >= 10), {BOUNDS_SQL.format(a='a', b='b')} SELECT * FROM bounds)"""
+
+
+UNIVERSES, MEASURES = ("all", "panel", "present in both", "positive in both"), ("fossil", "fossil_share", "coal_share")
+
+
+@query(
+    "s25_measure_overlap",
+    f"WITH {S25_SQL} " + " UNION ALL ".join(_overlap_of(u, m) for u in UNIVERSES for m in MEASURES),
+)
 def s25_overlap(spark, sf):
     return stability_table(spark, sf).select("universe", "rule", "measure", "k", "lowest", "highest")
 
