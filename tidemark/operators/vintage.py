@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import GO_AT, NOGO_BELOW, REAL_CHURN, SAME_SHARE, SMALL_MOVE
@@ -423,13 +423,32 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y), frames)
 
 
-def schema_drift(layouts: DataFrame) -> DataFrame:
-    """The layout of every release beside the number of distinct entity keys in use.
+ENTITY_KEYS = ("Entity ID", "Full Entity ID")
+REVIEW = "Last Review Date"
+
 
-    ``layouts`` has one row per release.
+def layouts(spark: SparkSession, releases: dict[str, dict[str, DataFrame]]) -> DataFrame:
+    """Month, sheets, entity_key, ownership_cols, has_review of every release, from the schemas of its sheets.
+
+    Only schemas are looked at, and a catalog has one entry per release.
     """
-    keys = layouts.agg(F.count_distinct("entity_key").alias("distinct_keys"))
-    return layouts.crossJoin(F.broadcast(keys))
+    rows = []
+    for month, sheets in releases.items():
+        entities, ownership = sheets.get("entities"), sheets.get("ownership")
+        names = entities.columns if entities is not None else []
+        width = len(ownership.columns) if ownership is not None else 0
+        has_review = REVIEW in names or ownership is not None and REVIEW in ownership.columns
+        rows.append((month, len(sheets), next((k for k in ENTITY_KEYS if k in names), None), width, has_review))
+    return spark.createDataFrame(rows, "month string, sheets int, entity_key string, ownership_cols int, has_review boolean")
+
+
+def schema_drift(layouts: DataFrame) -> DataFrame:
+    """The layout of every release beside the number of distinct entity keys, widths and review columns in use."""
+    kinds = layouts.agg(
+        F.count_distinct("entity_key").alias("distinct_keys"), F.count_distinct("ownership_cols").alias("distinct_widths"),
+        F.count_distinct("has_review").alias("distinct_reviews"),
+    )
+    return layouts.crossJoin(F.broadcast(kinds))
 
 
 def mean_depths(paths: DataFrame) -> DataFrame:

@@ -564,18 +564,24 @@ def d09(spark, sf):
 
 @query(
     "e44_schema_drift",
-    f"""WITH {S.SEQ_SQL} SELECT month, CASE WHEN rel < 4 THEN 'Full Entity ID' ELSE 'Entity ID' END AS entity_key,
-      CASE WHEN has_sheet THEN CASE WHEN has_flag THEN 5 ELSE 4 END ELSE 0 END AS ownership_cols,
-      has_flag, (SELECT count(DISTINCT CASE WHEN rel < 4 THEN 1 ELSE 2 END) FROM seq_catalog) AS distinct_keys
-    FROM seq_catalog""",
+    f"""WITH {S.SEQ_SQL}, lay AS (SELECT month, CASE WHEN has_sheet THEN 2 ELSE 1 END AS sheets,
+      CASE WHEN rel < 4 THEN 'Full Entity ID' ELSE 'Entity ID' END AS entity_key,
+      CASE WHEN has_sheet THEN CASE WHEN has_flag THEN 4 ELSE 3 END ELSE 0 END AS ownership_cols, rel >= 6 AS has_review FROM seq_catalog)
+    SELECT *, (SELECT count(DISTINCT entity_key) FROM lay) AS distinct_keys, (SELECT count(DISTINCT ownership_cols) FROM lay) AS distinct_widths,
+      (SELECT count(DISTINCT has_review) FROM lay) AS distinct_reviews FROM lay""",
 )
 def e44(spark, sf):
-    c = S.seq_catalog(spark, sf).select(
-        "month", F.when(F.col("rel") < 4, "Full Entity ID").otherwise("Entity ID").alias("entity_key"),
-        F.when(~F.col("has_sheet"), 0).when(F.col("has_flag"), 5).otherwise(4).alias("ownership_cols"),
-        "has_flag",
-    )
-    return V.schema_drift(c)
+    edges, names = S.release_seq(spark, sf), S.table(spark, sf, "part")
+    releases = {}
+    for c in sorted(S.seq_catalog(spark, sf).collect()):  # one row per release
+        entities = names.select(F.concat(F.lit("P"), "p_partkey").alias("Full Entity ID" if c["rel"] < 4 else "Entity ID"), "p_name")
+        if c["rel"] >= 6:
+            entities = entities.withColumn(V.REVIEW, F.lit(c["month"]))
+        releases[c["month"]] = {"entities": entities}
+        if c["has_sheet"]:
+            here = edges.filter(F.col("rel") == c["rel"])
+            releases[c["month"]]["ownership"] = here.select("subject", "party", "share", *(["imputed"] if c["has_flag"] else []))
+    return V.schema_drift(V.layouts(spark, releases))
 
 
 @query(
