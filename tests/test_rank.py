@@ -101,7 +101,7 @@ def test_null_groups_stay(spark):
     from tidemark.operators import audit, ordering
 
     rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 3.0)], "g string, v double")
-    got = sorted(((r["g"], r["pos"]) for r in ordering.positions(rows, [rows.v], ["g"]).collect()), key=repr)
+    got = sorted(((r["g"], r["pos"]) for r in ordering.positions(rows, [F.col("v")], ["g"]).collect()), key=repr)
     assert got == [("a", 1), ("a", 2), (None, 1)]
     assert {r["g"]: r["n"] for r in ordering.quantiles(rows, "v", {"m": 0.5}, ["g"]).collect()} == {"a": 2, None: 1}
     assert {r["g"]: r["cut"] for r in ordering.cut_values(rows, "v", F.lit(1), ["g"]).collect()} == {"a": 2.0, None: 3.0}
