@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import materialise, shared_dir
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node of its component, for every node that has a link. ``edges``: a, b."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
-    both = materialise(both)
+    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
         near = (
@@ -22,13 +23,15 @@ def components(edges: DataFrame) -> DataFrame:
         met = labels.join(near, "node").select("node", "comp", F.least("comp", "other").alias("met"))
         up = labels.select(F.col("node").alias("met"), F.col("comp").alias("up"))
         jumped = met.join(up, "met", "left").select("node", "comp", F.least("met", F.coalesce("up", "met")).alias("next"))
-        step, changed = counted_changes(jumped)
-        labels = step
+        labels, changed = written(jumped)
         if not changed:
             return labels
 
 
-def counted_changes(jumped: DataFrame) -> tuple[DataFrame, int]:
-    written = materialise(jumped)
-    changed = written.filter("next < comp").limit(1).count()
-    return written.select("node", F.col("next").alias("comp")), changed
+def written(jumped: DataFrame) -> tuple[DataFrame, bool]:
+    """The next labels, and whether any differs, observed during the same write."""
+    seen, path = Observation(), f"{shared_dir(jumped.sparkSession)}/tidemark/{uuid.uuid4().hex}"
+    jumped.observe(seen, F.count_if(F.col("next") < F.col("comp")).alias("n")).select(
+        "node", F.col("next").alias("comp")
+    ).write.parquet(path)
+    return jumped.sparkSession.read.schema("node long, comp long").parquet(path), bool(seen.get["n"])

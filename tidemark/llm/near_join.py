@@ -3,15 +3,18 @@
 A document's set is its distinct shingles; documents with the same set are one set from the start. Two sets link when
 100 * common >= 80 * union. The steps:
 
-1. Each set gives its prefix: the fraction of its tokens, in one order for all sets, that cannot be missed by a set it links
-   with. The order puts tokens that many prefixes hold (counted over all sets) last; it decides cost, never results.
-2. Tokens that two sets' prefixes share are kept. Sets without such a token link with nothing.
-3. Sets with the same pair of minimal hashes form a group, dealt into chunks of ``CHUNK``; in a chunk, sets that link with a leader
-   join it, so thousands of near copies shrink to their leaders, and leaders of a group meet level by level.
-4. The token-group matrix has a row for each token and group. Counting the tokens that two groups share bounds the overlap of any
-   two of their members from above; only pairs of groups that reach the bound go on.
-5. Leaders of those pairs are compared. Pairs that stay apart although they might hold linked members are opened: the same
-   bound between the groups of single leaders, then every member of the one against every member of the other.
+1. Each set gives its prefix: so many of its tokens, in one order for all sets, that sets which link have l of them in
+   common, where l is 1 and a twentieth of the smaller set. The order puts tokens that many prefixes hold (counted over all
+   sets) last; it decides cost, never results.
+2. Tokens that two sets' prefixes share are kept. Sets with fewer such tokens than l for their smallest partner link with
+   nothing and go.
+3. Similar sets are partitioned into groups: of its ``KEYS`` pairs of minimal hashes, a set goes by the one that most sets have;
+   groups are dealt into chunks of about ``CHUNK`` sets. Inside a chunk all links are found at once, through an index of its tokens.
+4. The components that this leaves meet once: each is compared, by the member with most links, with the one it shares most tokens
+   with. Tokens whose sets are all connected by then are done with, and so are sets left with too few tokens.
+5. The token-group matrix has a row for each remaining token and group. Counting the tokens of a set (the query) that a group
+   holds bounds its overlap with any member from above; only groups that reach the bound are opened, and there the query meets
+   all members through their token index.
 
 Only links between groups that are not connected yet are looked for, as the result is the connected components. Tokens and
 sets are told apart by 64-bit hashes.
@@ -35,13 +38,19 @@ from tidemark.session import materialise
 
 WORDS = 5
 NEAR = 80  # percent
+EXTRA = 20
 COMMON = 32  # prefixes that hold a token before it counts as common
 MOST_COMMON = 1_000_000  # common tokens that every task gets: 8 MB
-CHUNK = 256
+CHUNK = 512
+PIECE = 1 << 20  # bytes of text that a task hashes at once
+KEYS = 8
 BITS = 1 << 26
-STARS = 3
 ODD = words.mixed(np.arange(11, 11 + WORDS, dtype=np.uint64) * words.GOLD) | np.uint64(1)
-SECOND = np.uint64(0xD1B54A32D192ED03)
+SALTS = words.mixed(np.arange(101, 101 + KEYS, dtype=np.uint64) * words.GOLD)
+
+
+#: Tokens that a set's prefix must share for any link: l of the smallest set that it can link with.
+LEAST_SQL = f"1 + (({NEAR} * n + 99) div 100) div {EXTRA}"
 
 
 def shingles(column: pa.Array):
@@ -65,9 +74,12 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def prefix(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 tokens, common ones last."""
+    """The first n - ceil(0.8 n) + l tokens, common ones last, with l = 1 + n // EXTRA.
+
+    Sets that link have at least the smaller of their l in common there.
+    """
     n = len(tokens)
-    most = n - (NEAR * n + 99) // 100 + 1
+    most = n - (NEAR * n + 99) // 100 + 1 + n // EXTRA
     if not len(common):
         return tokens[:most]
     at = np.searchsorted(common, tokens)
@@ -92,7 +104,7 @@ def over_sets(docs: DataFrame, work, schema: str) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            for piece in words.pieces(batch, "text"):
+            for piece in words.pieces(batch, "text", PIECE):
                 yield from zip(piece.column(0).to_pylist(), shingles(piece.column(1)))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -177,12 +189,21 @@ def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return over_sets(docs, work, "token long, set long")
 
 
-def shared_postings(docs: DataFrame) -> DataFrame:
-    """The postings of tokens that different sets hold. Counting and keeping read one exchange."""
+def shared_postings(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """The postings of tokens that different sets hold, of sets that hold enough of them. ``table``: set, n.
+
+    Counting and keeping read one exchange.
+    """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings(docs, common_tokens(docs)).repartition(n, "token")
     several = dealt.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo < hi").select("token")
-    return materialise(dealt.join(several.hint("merge"), "token").distinct())
+    shared = materialise(dealt.join(several.hint("merge"), "token").distinct())
+    enough = (
+        shared.groupBy("set").agg(F.count(F.lit(1)).alias("held"))
+        .join(table.filter("set IS NOT NULL").groupBy("set").agg(F.first("n").alias("n")), "set")
+        .filter(F.col("held") >= F.expr(LEAST_SQL)).select("set")
+    )
+    return materialise(shared.join(enough, "set", "left_semi"))
 
 
 def bit_table(sets: DataFrame) -> np.ndarray:
@@ -213,7 +234,7 @@ def bit_table(sets: DataFrame) -> np.ndarray:
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set, n, grp, tokens of the wanted sets: the whole sets, and a key that near copies mostly share."""
+    """set, n, keys, tokens of the wanted sets: the whole sets, and their minimal hashes."""
     bits = bit_table(wanted)
 
     def work(rows):
@@ -225,36 +246,79 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 place = key % BITS
                 if bits[place >> 3] >> (7 - (place & 7)) & 1:
                     seen.add(key)
-                    with np.errstate(over="ignore"):
-                        pair = np.array([tokens[0], words.mixed(tokens ^ SECOND).min()], dtype=np.uint64)
-                        group = int(words.mixed(pair * ODD[:2]).sum().astype(np.int64))
-                    yield key, len(tokens), group, tokens.tobytes()
+                    least = np.array([words.mixed(tokens ^ salt).min() for salt in SALTS], dtype=np.uint64)
+                    keys = words.mixed(least ^ words.mixed(np.roll(least, 1))).view(np.int64).tolist()
+                    yield key, len(tokens), keys, tokens.tobytes()
 
-        yield from in_batches(kept(), ["set", "n", "grp", "tokens"], 500)
+        yield from in_batches(kept(), ["set", "n", "keys", "tokens"], 500)
 
-    rows = over_sets(docs, work, "set long, n long, grp long, tokens binary")
+    rows = over_sets(docs, work, "set long, n long, keys array<bigint>, tokens binary")
     return materialise(rows.join(wanted.hint("merge"), "set", "left_semi").dropDuplicates(["set"]))
 
 
-def follow_leaders(members: DataFrame) -> DataFrame:
-    """a (member), b (leader), inside chunks of groups with the same key: only pairs that link."""
+def grouped(sets: DataFrame) -> DataFrame:
+    """set, n, grp: every set in the chunk of the group that most sets share a minimal hash with."""
+    keyed = sets.select("set", "n", F.posexplode("keys").alias("k", "v")).select("set", "n", F.xxhash64("k", "v").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    # a third of all sets may share a key: the sets' side of this join can be split
+    chosen = keyed.join(sizes, "key").groupBy("set").agg(
+        F.first("n").alias("n"), F.max_by("key", "size").alias("key"), F.max("size").alias("size")
+    )
+    chosen = materialise(chosen)
+    taken = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("taken"))
+    return materialise(
+        chosen.join(taken, "key").select("set", "n", F.xxhash64("key", F.expr(f"pmod(xxhash64(set), 1 + taken div {CHUNK})")).alias("grp"))
+    )
+
+
+class TokenIndex:
+    """Tokens of a bounded number of sets, to find those that link with a query."""
+
+    def __init__(self, tokens: list[np.ndarray]):
+        self.sizes = np.array([len(t) for t in tokens])
+        every = np.concatenate(tokens)
+        order = np.argsort(every, kind="stable")
+        self.tokens, self.owner = every[order], np.repeat(np.arange(len(tokens)), self.sizes)[order]
+
+    def linked(self, query: np.ndarray) -> np.ndarray:
+        """Places of the sets that link with the query."""
+        lo, hi = np.searchsorted(self.tokens, query), np.searchsorted(self.tokens, query, side="right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero(100 * both >= NEAR * (self.sizes + len(query) - both))
 
-    def lead(table: pa.Table) -> pa.Table:
-        sets, tokens = table.column("set").to_pylist(), [np.frombuffer(t.as_py(), dtype=np.uint64) for t in table.column("tokens")]
-        leaders, a, b = [], [], []
-        for k in sorted(range(len(sets)), key=lambda k: (len(tokens[k]), sets[k])):
-            for j in leaders:
-                if linked(tokens[k], tokens[j]):
-                    a.append(sets[k])
-                    b.append(sets[j])
-                    break
-            else:
-                leaders.append(k)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    chunk = F.expr(f"pmod(xxhash64(set), 1 + size div {CHUNK})")
-    return members.join(sizes, "grp").withColumn("chunk", chunk).groupBy("grp", "chunk").applyInArrow(lead, "a long, b long")
+def arrays(column) -> list[np.ndarray]:
+    return [np.frombuffer(t.as_py(), dtype=np.uint64) for t in column]
+
+
+def inside_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """set, n, grp, root: the best linked set of each set's component within its chunk."""
+
+    def work(table: pa.Table) -> pa.Table:
+        sets, tokens = table.column("set").to_pylist(), arrays(table.column("tokens"))
+        index, links, root = TokenIndex(tokens), [], list(range(len(sets)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for k, query in enumerate(tokens):
+            links.append(index.linked(query))
+            for j in links[-1].tolist():
+                root[find(j)] = find(k)
+        best: dict[int, int] = {}
+        for k in sorted(range(len(sets)), key=lambda k: (-len(links[k]), sets[k])):
+            best.setdefault(find(k), k)
+        return table.select(["set", "n", "grp"]).append_column("root", pa.array([sets[best[find(k)]] for k in range(len(sets))], pa.int64()))
+
+    several = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("grp")
+    placed = groups.join(several.withColumn("many", F.lit(True)), "grp", "left")
+    alone = placed.filter("many IS NULL").select("set", "n", "grp", F.col("set").alias("root"))
+    met = placed.filter("many").select("set", "n", "grp").join(sets.select("set", "tokens"), "set")
+    return materialise(met.groupBy("grp").applyInArrow(work, "set long, n long, grp long, root long").union(alone))
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -262,10 +326,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = [
-                linked(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64))
-                for x, y in zip(batch.column(2), batch.column(3))
-            ]
+            keep = [linked(x, y) for x, y in zip(arrays(batch.column(2)), arrays(batch.column(3)))]
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("set").alias("a"), F.col("tokens").alias("x"))
@@ -273,102 +334,91 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def bounded_pairs(matrix: DataFrame, sizes: DataFrame) -> DataFrame:
-    """a, b: groups that share so many tokens that members may link. ``matrix``: token, g; ``sizes``: g, lo, hi."""
-    x, y = matrix.select("token", F.col("g").alias("a")), matrix.select("token", F.col("g").alias("b"))
-    shared = x.join(y, "token").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    return within_bound(shared, sizes).select("a", "b")
+def first_meeting(shared: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between roots: every root and the smaller root that holds most of its tokens, one pair per root."""
+    held = shared.join(placed.select("set", "root"), "set").select("token", "root").distinct()
+    least = held.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("most")).filter("a < most").select("token", "a")
+    pairs = held.join(least, "token").filter("a < root").groupBy("root", "a").agg(F.count(F.lit(1)).alias("c"))
+    pairs = pairs.groupBy(F.col("root").alias("b")).agg(F.max_by("a", "c").alias("a"))
+    return materialise(compared(pairs, sets))
 
 
-def within_bound(shared: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Common prefix tokens c and the rest of the larger set must reach the least overlap of linked sets of these sizes."""
-    small, large = F.least("lo_a", "lo_b"), F.greatest("hi_a", "hi_b")
-    named = lambda s: sizes.select(F.col("g").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
-    return (
-        shared.join(named("a"), "a").join(named("b"), "b")
-        .filter((F.col("hi_a") * 100 >= F.col("lo_b") * NEAR) & (F.col("hi_b") * 100 >= F.col("lo_a") * NEAR))
-        .filter(F.col("c") * 90 >= small * 40 - large * 32)
-    )
+def apart(shared: DataFrame, placed: DataFrame) -> DataFrame:
+    """token, set, n, grp, comp: postings of tokens that different components hold, of sets that still have enough."""
+    rows = materialise(shared.join(placed, "set").select("token", "set", "n", "grp", "comp"))
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    rows = materialise(rows.join(mixed, "token"))
+    enough = rows.groupBy("set").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).filter(F.col("held") >= F.expr(LEAST_SQL))
+    return materialise(rows.join(enough.select("set"), "set", "left_semi"))
 
 
-def group_components(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """set, leader, comp of every set after the groups' leaders met; and the links found."""
-    first = materialise(follow_leaders(sets))
-    links, level = first, first
-    members = sets.join(level.select(F.col("a").alias("set")), "set", "left_anti")
-    while True:  # leaders of one group in different chunks: a level less for every factor of CHUNK
-        crowded = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") > CHUNK).select("grp")
-        crowd = materialise(members.join(crowded, "grp", "left_semi").select("set", "n", "grp", "tokens"))
-        level = materialise(follow_leaders(crowd))
-        if level.isEmpty():
-            break
-        links = materialise(links.union(level))
-        members = crowd.join(level.select(F.col("a").alias("set")), "set", "left_anti")
-    comps = components(links)
-    leaders = first.select(F.col("a").alias("set"), F.col("b").alias("leader"))
-    placed = (
-        sets.select("set", "n").join(leaders, "set", "left").join(comps.withColumnRenamed("node", "set"), "set", "left")
-        .select("set", "n", F.coalesce("leader", "set").alias("leader"), F.coalesce("comp", "set").alias("comp"))
+def queries(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """set, comp, grp: the groups, after its own, that a set may have a link into."""
+    matrix = rows.select("token", F.col("grp").alias("other")).distinct()
+    sizes = placed.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    lo, hi = F.greatest("lo", F.col("n") * 0.8), F.least("hi", F.col("n") * 1.25)
+    small, large = F.least("n", lo), F.greatest("n", hi)
+    return (
+        rows.select("token", "set", "n", "grp", "comp").join(matrix, "token").filter("grp < other")
+        .groupBy("set", "n", "comp", "other").agg(F.count(F.lit(1)).alias("c")).join(sizes, "other")
+        .filter((lo <= hi) & (F.col("c") >= 1 + F.floor(small / EXTRA)) & (F.col("c") * 360 >= small * 160 - large * 110 - 361))
+        .select("set", "comp", F.col("other").alias("grp"))
     )
-    return materialise(placed), links
 
 
-def merged(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    at = lambda s: comps.select(F.col("node").alias(s), F.col("comp").alias(f"c_{s}"))
-    both = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-    return both.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
-
+def opened(asked: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of the queries and of members of their groups. A group's queries are dealt into blocks;
+    each block has all members.
+    """
+
+    def work(table: pa.Table) -> pa.Table:
+        query = np.asarray(table.column("query").combine_chunks().to_numpy(zero_copy_only=False))
+        comps, tokens = table.column("comp").to_pylist(), arrays(table.column("tokens"))
+        members, root, a, b = np.flatnonzero(~query), {}, [], []
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                x = up
+            return x
+
+        if len(members):
+            index = TokenIndex([tokens[k] for k in members])
+            for k in np.flatnonzero(query):
+                for j in index.linked(tokens[k]).tolist():
+                    one, other = find(comps[k]), find(comps[members[j]])
+                    if one != other:  # what is connected by now needs no further link
+                        root[max(one, other)] = min(one, other)
+                        a.append(one)
+                        b.append(other)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-def opened(pairs: DataFrame, placed: DataFrame, shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of components a and b: leaders' groups within the bound, then all their members."""
-    rows = shared.join(placed.select("set", "leader", "comp"), "set").select("token", "leader", "comp").distinct()
-    x = rows.select("token", F.col("leader").alias("la"), F.col("comp").alias("a"))
-    y = rows.select("token", F.col("leader").alias("lb"), F.col("comp").alias("b"))
-    met = (
-        pairs.join(x, "a").join(y, ["token", "b"]).groupBy(F.col("la").alias("a"), F.col("lb").alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"))
+    counts = asked.groupBy("grp").agg((1 + F.floor(F.count(F.lit(1)) / CHUNK)).alias("blocks"))
+    block = F.expr("pmod(xxhash64(set), blocks)")
+    asking = asked.join(counts, "grp").select("grp", block.alias("block"), "set", "comp", F.lit(True).alias("query"))
+    answering = placed.join(counts, "grp").select(
+        "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "set", "comp", F.lit(False).alias("query")
     )
-    sizes = placed.groupBy(F.col("leader").alias("g")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    groups = materialise(within_bound(met, sizes).select("a", "b"))
-    of = lambda s: placed.select(F.col("leader").alias(s), F.col("set").alias(f"s_{s}"))
-    both = groups.join(of("a"), "a").join(of("b"), "b")  # a leader has at most CHUNK followers
-    return compared(both.select(F.col("s_a").alias("a"), F.col("s_b").alias("b")), sets)
+    rows = asking.union(answering).join(sets.select("set", "tokens"), "set")
+    return rows.groupBy("grp", "block").applyInArrow(work, "a long, b long")
 
 
-def set_components(docs: DataFrame) -> DataFrame:
+def set_components(docs: DataFrame, table: DataFrame) -> DataFrame:
     """node, comp of all sets that link with another."""
-    shared = shared_postings(docs)
+    shared = shared_postings(docs, table)
     sets = token_sets(docs, shared.select("set").distinct())
-    placed, links = group_components(sets)
-    matrix = materialise(shared.join(placed.select("set", F.col("comp").alias("g")), "set").select("token", "g").distinct())
-    sizes = placed.groupBy(F.col("comp").alias("g")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members"))
-    sizes = materialise(sizes)
-    pairs = left = materialise(bounded_pairs(matrix, sizes))
-    found, comps = None, None
-    for k in range(STARS + 1):  # first every group with one partner, which connects most; at last all that remain
-        star = left if k == STARS else left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        hits = materialise(compared(star, sets))
-        found = hits if found is None else materialise(found.union(hits))
-        comps = components(found)
-        left = materialise(merged(left.join(star, ["a", "b"], "left_anti"), comps)) if k < STARS else left
-        if k < STARS and left.isEmpty():
-            break
-    members = sizes.select(F.col("g"), "members")
-    apart = (
-        merged(pairs, comps)
-        .join(members.select(F.col("g").alias("a"), F.col("members").alias("m")), "a")
-        .join(members.select(F.col("g").alias("b"), F.col("members").alias("k")), "b")
-        .filter("m + k > 2").select("a", "b")
-    )
-    inside = materialise(opened(materialise(apart), placed, shared, sets))
-    return components(links.union(found).union(inside))
+    placed = inside_groups(sets, grouped(sets))
+    met = first_meeting(shared, placed, sets)
+    roots = components(met).select(F.col("node").alias("root"), "comp")
+    placed = materialise(placed.join(roots, "root", "left").withColumn("comp", F.coalesce("comp", "root")))
+    asked = materialise(queries(apart(shared, placed), placed))
+    inside = placed.select(F.col("set").alias("a"), F.col("comp").alias("b"))
+    return components(inside.union(materialise(opened(asked, placed, sets).distinct())))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     table = materialise(set_table(docs))
-    comps = set_components(docs).withColumnRenamed("node", "set")
+    comps = set_components(docs, table).withColumnRenamed("node", "set")
     placed = table.filter("set IS NOT NULL").join(comps, "set", "left").select("doc_id", "n", F.coalesce("comp", "set").alias("comp"))
     names = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     # a component with a third of all rows: the rows' side of this join can be split
