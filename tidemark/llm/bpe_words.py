@@ -1,11 +1,16 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Documents are dealt into blocks of bounded size. Each block gives its distinct words; the distinct words of the corpus are
-encoded once each, and decoded once each by a join of their ids with the id-to-piece table (as large as the vocabulary, a
-proven bound for its broadcast). The words' rows go back to the blocks that have them, and there the ids and the decoded
-pieces of a document are put together by position. Text moves once: both passes over a block read the same exchange.
+Documents are dealt into blocks of bounded size; their texts move once, compressed, and both later passes over a block read the
+same exchange. Words are encoded once each:
 
-Byte-level merging never crosses a word, so the ids of a text are those of its words in order.
+* the ``FREQUENT`` most frequent words of the corpus (counted over all documents) are encoded first, and every task gets that
+  table, whose size is bounded;
+* of the others, each block gives its distinct words with their place in the block's word list. They meet in one exchange by
+  word, each distinct one is encoded once, and its ids go back by block and place.
+
+Decoding joins the ids of the distinct words with the id-to-piece table (as large as the vocabulary, a proven bound for its
+broadcast). In the block, the ids and decoded pieces of a document are put together by position. Byte-level merging never
+crosses a word, so the ids of a text are those of its words in order.
 
 Defined cases: a null text is empty; special strings in a text are words of their own with their special id; repeated rows
 are encoded each; an empty table gives an empty result; columns beside doc_id and text are ignored. A document is held by one
@@ -14,60 +19,92 @@ task, with the words of its block.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
+from tidemark.llm.splitting import byte_words
+from tidemark.session import materialise
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+FREQUENT = 200_000
+OFTEN = 8  # times in one part before a word is counted for the frequent ones
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-
-@functools.cache
-def splitter():
-    return bpe.compiled(bpe.BYTE_PATTERN).findall
+DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 
 def split_words(text: str, path: str) -> list[str]:
     """Words in order; nothing between them is lost."""
     parts = bpe.segments(text, path)
     if len(parts) == 1:
-        return splitter()(text)
-    return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else splitter()(part))]
+        return byte_words(text)
+    return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else byte_words(part))]
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, doc_id, text, in one exchange by block."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """block, docs: compressed runs of documents, in one exchange by block."""
+    rows = plain(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
+
+    def run(batches):
+        for batch in batches:
+            blocks = np.asarray(batch.column(0))
+            for block in np.unique(blocks).tolist():
+                some = batch.take(pa.array(np.flatnonzero(blocks == block))).select(["doc_id", "text"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(some)
+                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
+
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return rows.select(block.alias("block"), "doc_id", "text").repartition(n, "block")
+    return rows.select(block.alias("block"), "doc_id", "text").mapInArrow(run, "block int, docs binary").repartition(n, "block")
+
+
+def opened(column: pa.Array):
+    """Tables of documents from their compressed runs."""
+    for run in column:
+        yield pa.ipc.open_stream(run.as_buffer()).read_all()
 
 
-def distinct_words(placed: DataFrame, path: str) -> DataFrame:
-    """block, word: the distinct words of each block."""
+def count_words(docs: DataFrame, path: str) -> DataFrame:
+    """word, n of the words that are frequent in some part."""
 
     def run(batches):
-        seen: dict[int, set] = {}
+        seen: dict[str, int] = {}
+
+        def often():
+            rows = [(w, n) for w, n in seen.items() if n >= OFTEN]
+            return pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["word", "n"])
+
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(2)):
-                seen.setdefault(block, set()).update(split_words(text.as_py(), path))
-        for block, words in seen.items():
-            rows = list(words)
-            for k in range(0, len(rows), 50_000):
-                part = rows[k : k + 50_000]
-                yield pa.record_batch([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], names=["block", "word"])
+            for text in batch.column(1):
+                for word in split_words(text.as_py(), path):
+                    seen[word] = seen.get(word, 0) + 1
+            if len(seen) > 1_000_000:
+                yield often()
+                seen.clear()
+        yield often()
+
+    return plain(docs).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    return placed.mapInArrow(run, "block int, word string")
+def frequent_words(docs: DataFrame, path: str) -> dict[str, tuple[int, str, bytes]]:
+    """word -> (number of ids, ids, decoded) of at most FREQUENT words."""
+    words = materialise(count_words(docs, path).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word"))
+    return {r[0]: (len(r[1]), ",".join(map(str, r[1])), bytes(r[2])) for r in encoded(words, path).collect()}
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """word, ids, piece: every distinct word with its ids, and the bytes that those ids stand for."""
+def encoded(words: DataFrame, path: str) -> DataFrame:
+    """word, ids, piece of distinct words: their ids, and the bytes that those ids stand for."""
 
     def run(batches):
         enc, special = bpe.encoder(path), bpe.specials(path)
@@ -75,33 +112,58 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
             ids = [[special[w]] if w in special else enc.encode_ordinary(w) for w in batch.column(0).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
-    coded = words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
     every = {**{i: p for p, i in bpe.pieces(path).items()}, **{i: s.encode() for s, i in bpe.specials(path).items()}}
     id_to_piece = words.sparkSession.createDataFrame(list(every.items()), "id int, bytes binary")
     return (
-        coded.select("word", "ids", F.posexplode("ids").alias("pos", "id"))
+        words.mapInArrow(run, "word string, ids array<int>")
+        .select("word", F.posexplode("ids").alias("pos", "id"))
         .join(F.broadcast(id_to_piece), "id")
         .groupBy("word")
-        .agg(F.first("ids").alias("ids"), F.sort_array(F.collect_list(F.struct("pos", F.hex("bytes").alias("h")))).alias("parts"))
-        .select("word", "ids", F.unhex(F.array_join(F.col("parts.h"), "")).alias("piece"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "id", F.hex("bytes").alias("h")))).alias("parts"))
+        .select("word", F.col("parts.id").alias("ids"), F.unhex(F.array_join(F.col("parts.h"), "")).alias("piece"))
     )
 
 
-def assemble(path: str):
-    def run(texts: pa.Table, table: pa.Table) -> pa.Table:
-        place = {w: k for k, w in enumerate(table.column("word").to_pylist())}
-        ids = table.column("ids").to_pylist()
-        n, printed = [len(x) for x in ids], [",".join(map(str, x)) for x in ids]
-        pieces = table.column("piece").to_pylist()
+def rare_words(placed: DataFrame, known, path: str) -> DataFrame:
+    """block, place, word: the distinct words of each block that are not known, in sorted order."""
+
+    def run(batches):
+        seen: dict[int, set] = {}
+        for batch in batches:
+            for block, docs in zip(batch.column(0).to_pylist(), opened(batch.column(1))):
+                words = seen.setdefault(block, set())
+                for text in docs.column("text"):
+                    words.update(split_words(text.as_py(), path))
+        for block in list(seen):
+            rows = sorted(seen.pop(block) - known.value.keys())
+            for k in range(0, len(rows), 50_000):
+                part = rows[k : k + 50_000]
+                places = pa.array(range(k, k + len(part)), pa.int32())
+                yield pa.record_batch([pa.array([block] * len(part), pa.int32()), places, pa.array(part, pa.string())], names=["block", "place", "word"])
+
+    return placed.mapInArrow(run, "block int, place int, word string")
+
+
+def assemble(known, path: str):
+    """Results of a block's documents from its runs and the ids of its rare words."""
+
+    def run(runs: pa.Table, table: pa.Table) -> pa.Table:
+        docs = pa.concat_tables([d.cast(DOCS) for d in opened(runs.column("docs"))])
+        split = [split_words(t.as_py(), path) for t in docs.column("text")]
+        rare = sorted(set().union(*split) - known.value.keys())
+        every = dict(known.value)
+        columns = (table.column(c).to_pylist() for c in ("place", "ids", "piece"))
+        for place, ids, piece in zip(*columns):
+            every[rare[place]] = (len(ids), ",".join(map(str, ids)), rare[place].encode() if piece is None else piece)
         out = [[], [], []]
-        for text in texts.column("text"):
-            at = list(map(place.__getitem__, split_words(text.as_py(), path)))
-            decoded = b"".join(map(pieces.__getitem__, at)).decode("utf-8", "replace")
-            out[0].append(sum(map(n.__getitem__, at)))
-            out[1].append(hashlib.sha256(",".join(map(printed.__getitem__, at)).encode()).hexdigest())
+        for words in split:
+            found = list(map(every.__getitem__, words))
+            out[0].append(sum(f[0] for f in found))
+            out[1].append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
+            decoded = b"".join([f[2] for f in found]).decode("utf-8", "replace")
             out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
         return pa.table({
-            "doc_id": texts.column("doc_id"), "n_tokens": pa.array(out[0], pa.int64()),
+            "doc_id": docs.column("doc_id"), "n_tokens": pa.array(out[0], pa.int64()),
             "ids_sha256": pa.array(out[1], pa.string()), "decoded_sha256": pa.array(out[2], pa.string()),
         })
 
@@ -110,8 +172,14 @@ def assemble(path: str):
 
 def encode_and_decode(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(frequent_words(docs, tokenizer))  # at most FREQUENT words
     placed = in_blocks(docs, block_bytes)
-    words = distinct_words(placed, tokenizer)
-    table = word_table(words, tokenizer)
-    back = words.join(table, "word").select("block", "word", "ids", "piece")
-    return placed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble(tokenizer), SCHEMA)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one exchange by word: its distinct words are encoded, and its rows get their ids
+    dealt = rare_words(placed, known, tokenizer).repartition(n, "word")
+    table = encoded(dealt.dropDuplicates(["word"]).select("word", "block", "place"), tokenizer)
+    # what a word decodes to goes back only where it is not the word itself
+    piece = F.when(F.col("piece") != F.encode("word", "utf-8"), F.col("piece")).alias("piece")
+    back = dealt.join(table.hint("merge"), "word").select("block", "place", "ids", piece)
+    return placed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble(known, tokenizer), SCHEMA)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
+from tidemark.llm.splitting import word_words
 
 MEMORY = 800_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -73,11 +74,6 @@ def counter(path: str) -> WordCounter:
     return WordCounter(path)
 
 
-@functools.cache
-def splitter():
-    return bpe.compiled(bpe.WORD_PATTERN).findall
-
-
 #: Lower case that Python's tables lack, and the capital sigma, whose final form is not used.
 LOWER = str.maketrans({"Σ": "σ", "\ua7cb": "\u0264", "\ua7dc": "\u019b"})
 ODD = frozenset(map(chr, LOWER))
@@ -92,8 +88,8 @@ def lowered(text: str) -> str:
 
 
 def count(text: str, path: str) -> int:
-    parts, words, known = bpe.segments(text, path), splitter(), counter(path)
-    return len(parts) // 2 + sum(sum(map(known.__getitem__, words(lowered(part)))) for part in parts[::2])
+    parts, known = bpe.segments(text, path), counter(path)
+    return len(parts) // 2 + sum(sum(map(known.__getitem__, word_words(lowered(part)))) for part in parts[::2])
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
