@@ -334,18 +334,17 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def first_meeting(shared: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
+def first_meeting(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between roots: every root and the smaller root that holds most of its tokens, one pair per root."""
-    held = shared.join(placed.select("set", "root"), "set").select("token", "root").distinct()
+    held = rows.select("token", "root").distinct()
     least = held.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("most")).filter("a < most").select("token", "a")
     pairs = held.join(least, "token").filter("a < root").groupBy("root", "a").agg(F.count(F.lit(1)).alias("c"))
     pairs = pairs.groupBy(F.col("root").alias("b")).agg(F.max_by("a", "c").alias("a"))
     return materialise(compared(pairs, sets))
 
 
-def apart(shared: DataFrame, placed: DataFrame) -> DataFrame:
-    """token, set, n, grp, comp: postings of tokens that different components hold, of sets that still have enough."""
-    rows = materialise(shared.join(placed, "set").select("token", "set", "n", "grp", "comp"))
+def apart(rows: DataFrame) -> DataFrame:
+    """The postings of tokens that different components hold, of sets that still have enough."""
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     rows = materialise(rows.join(mixed, "token"))
     enough = rows.groupBy("set").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).filter(F.col("held") >= F.expr(LEAST_SQL))
@@ -407,10 +406,12 @@ def set_components(docs: DataFrame, table: DataFrame) -> DataFrame:
     shared = shared_postings(docs, table)
     sets = token_sets(docs, shared.select("set").distinct())
     placed = inside_groups(sets, grouped(sets))
-    met = first_meeting(shared, placed, sets)
-    roots = components(met).select(F.col("node").alias("root"), "comp")
-    placed = materialise(placed.join(roots, "root", "left").withColumn("comp", F.coalesce("comp", "root")))
-    asked = materialise(queries(apart(shared, placed), placed))
+    # what is known of a set is joined to its postings once
+    rows = materialise(shared.join(placed, "set").select("token", "set", "n", "grp", "root"))
+    roots = components(first_meeting(rows, sets)).select(F.col("node").alias("root"), "comp")
+    of_root = lambda df: df.join(roots, "root", "left").withColumn("comp", F.coalesce("comp", "root")).drop("root")
+    placed = materialise(of_root(placed))
+    asked = materialise(queries(apart(of_root(rows)), placed))
     inside = placed.select(F.col("set").alias("a"), F.col("comp").alias("b"))
     return components(inside.union(materialise(opened(asked, placed, sets).distinct())))
 
