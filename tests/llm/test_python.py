@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.helpers import awkward, awkward_rows, empty, near_groups, phrase, rows_of, sha
+from tests.llm.helpers import awkward, awkward_rows, empty, near_groups, phrase, rows_of, sha, shingle_set
 from tidemark.llm import bpe, bpe_words, components, near_join, packing, pii, quality, token_counts, words
 from tidemark.llm.queries import BYTE_BPE, WORD_BPE, vocabulary
 
@@ -293,6 +293,28 @@ def test_components_by_all_pairs(spark, seed, monkeypatch):
     assert [got[k] for k in range(len(texts))] == near_groups(texts)
 
 
+def plain_links(texts):
+    """The links between texts, by comparing all pairs."""
+    sets = [shingle_set(t) for t in texts]
+    return [(a, b) for b in range(len(sets)) for a in range(b) if (both := len(sets[a] & sets[b])) and 100 * both >= 80 * len(sets[a] | sets[b])]
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    """A family over many chunks, with copies: links inside a component count, not just those that connect it."""
+    monkeypatch.setattr(near_join, "CHUNK", 4)
+    rng = random.Random(12)
+    texts = family(rng, 40, 2) + [phrase(rng, 30) for _ in range(5)] + ["", None, "one two", "One two", "one two"]
+    texts += [t.upper() for t in texts[:6]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_links(texts)
+    got = {r.doc_id: r.n_links for r in near_join.near_components(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == [sum(k in pair for pair in want) for k in range(len(texts))]
+    ids = {r.doc_id: r["set"] for r in near_join.set_table(docs).collect()}
+    pairs = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in want if ids[a] != ids[b]}
+    assert rows_of(near_join.links(docs), "a", "b") == sorted(pairs, key=repr)
+    assert near_join.links(empty(spark)).collect() == []
+
+
 def test_near_edges(spark):
     got = rows_of(near_join.near_components(awkward(spark, True)), "doc_id", "n_shingles", "component_id")
     rows = awkward_rows()

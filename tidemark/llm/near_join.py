@@ -10,16 +10,18 @@ A document's set is its distinct shingles; documents with the same set are one s
    nothing and go.
 3. Similar sets are partitioned into groups: of its ``KEYS`` pairs of minimal hashes, a set goes by the one that most sets have;
    groups are dealt into chunks of about ``CHUNK`` sets. Inside a chunk all links are found at once, through an index of its tokens.
-4. The components that this leaves meet once: each is compared, by the member with most links, with the one it shares most tokens
-   with. Tokens whose sets are all connected by then are done with, and so are sets left with too few tokens.
-5. The token-group matrix has a row for each remaining token and group. Counting the tokens of a set (the query) that a group
-   holds bounds its overlap with any member from above; only groups that reach the bound are opened, and there the query meets
-   all members through their token index.
+4. The token-group matrix has a row for each token that several groups hold and each of these groups. Counting the tokens of a set
+   (the query) that a group holds bounds its overlap with any member from above; only groups that reach the bound are opened, and
+   there the query meets all members through their token index.
 
-Only links between groups that are not connected yet are looked for, as the result is the connected components. Tokens and
+Every link between different sets is found once, also between sets that are connected already. ``links`` gives them all. The
+documents' own counts come from the same meetings: a task adds up the links of its sets and passes on, of the links themselves, as
+many as connect the same, so that a family of k near copies moves k counts a chunk and not k * k rows. Tokens and
 sets are told apart by 64-bit hashes.
 
-Defined cases: a null or empty text, or one without words, has no shingles and is a component of its own; a text of fewer
+n_links counts the other documents that a document links with; those with the same set are among them.
+
+Defined cases: a null or empty text, or one without words, has no shingles, no links and is a component of its own; a text of fewer
 than five words is one shingle; a null doc_id counts as no id (its component is named by the other members, or null); repeated rows
 share their set; an empty table gives an empty result; columns beside doc_id and text are ignored.
 """
@@ -88,13 +90,6 @@ def prefix(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return rare[:most] if len(rare) >= most else np.concatenate((rare, tokens[often][: most - len(rare)]))
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if 100 * min(len(a), len(b)) < NEAR * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= NEAR * (len(a) + len(b) - both)
-
-
 def signed(tokens: np.ndarray) -> pa.Array:
     return pa.array(tokens.view(np.int64))
 
@@ -190,7 +185,7 @@ def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def shared_postings(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """The postings of tokens that different sets hold, of sets that hold enough of them. ``table``: set, n.
+    """The postings of tokens that different sets hold, of sets that hold enough of them. ``table``: set, n, each set once.
 
     Counting and keeping read one exchange.
     """
@@ -200,7 +195,7 @@ def shared_postings(docs: DataFrame, table: DataFrame) -> DataFrame:
     shared = materialise(dealt.join(several.hint("merge"), "token").distinct())
     enough = (
         shared.groupBy("set").agg(F.count(F.lit(1)).alias("held"))
-        .join(table.filter("set IS NOT NULL").groupBy("set").agg(F.first("n").alias("n")), "set")
+        .join(table.select("set", "n"), "set")
         .filter(F.col("held") >= F.expr(LEAST_SQL)).select("set")
     )
     return materialise(shared.join(enough, "set", "left_semi"))
@@ -234,8 +229,8 @@ def bit_table(sets: DataFrame) -> np.ndarray:
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set, n, keys, tokens of the wanted sets: the whole sets, and their minimal hashes."""
-    bits = bit_table(wanted)
+    """set, n, keys, tokens, copies of the wanted sets (set, copies): the whole sets, and their minimal hashes."""
+    bits = bit_table(wanted.select("set"))
 
     def work(rows):
         def kept():
@@ -253,7 +248,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         yield from in_batches(kept(), ["set", "n", "keys", "tokens"], 500)
 
     rows = over_sets(docs, work, "set long, n long, keys array<bigint>, tokens binary")
-    return materialise(rows.join(wanted.hint("merge"), "set", "left_semi").dropDuplicates(["set"]))
+    return materialise(rows.join(wanted.hint("merge"), "set").dropDuplicates(["set"]))
 
 
 def grouped(sets: DataFrame) -> DataFrame:
@@ -293,136 +288,145 @@ def arrays(column) -> list[np.ndarray]:
     return [np.frombuffer(t.as_py(), dtype=np.uint64) for t in column]
 
 
-def inside_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """set, n, grp, root: the best linked set of each set's component within its chunk."""
+class Meetings:
+    """Links that a task found between its sets: all of them, or their counts and as many as connect the same."""
 
-    def work(table: pa.Table) -> pa.Table:
-        sets, tokens = table.column("set").to_pylist(), arrays(table.column("tokens"))
-        index, links, root = TokenIndex(tokens), [], list(range(len(sets)))
+    def __init__(self, table: pa.Table, every: bool):
+        self.sets, self.copies = (np.asarray(table.column(c).combine_chunks()) for c in ("set", "copies"))
+        self.every, self.n, self.label = every, np.zeros(len(self.sets), dtype=np.int64), np.arange(len(self.sets))
+        self.a, self.b = [self.label[:0]], [self.label[:0]]
 
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
+    def add(self, k: int, others: np.ndarray) -> None:
+        self.n[k] += self.copies[others].sum()
+        self.n[others] += self.copies[k]
+        if not self.every:
+            labels = self.label[others]
+            new, first = np.unique(labels, return_index=True)
+            apart = new != self.label[k]
+            self.label[np.isin(self.label, new[apart])] = self.label[k]
+            others = others[first[apart]]
+        self.a.append(np.full(len(others), k))
+        self.b.append(others)
 
-        for k, query in enumerate(tokens):
-            links.append(index.linked(query))
-            for j in links[-1].tolist():
-                root[find(j)] = find(k)
-        best: dict[int, int] = {}
-        for k in sorted(range(len(sets)), key=lambda k: (-len(links[k]), sets[k])):
-            best.setdefault(find(k), k)
-        return table.select(["set", "n", "grp"]).append_column("root", pa.array([sets[best[find(k)]] for k in range(len(sets))], pa.int64()))
+    def table(self) -> pa.Table:
+        """set, other of links, and set, null, n of sets that have some."""
+        a, b, some = np.concatenate(self.a), np.concatenate(self.b), np.flatnonzero(self.n)
+        met = pa.table({"set": self.sets[a], "other": self.sets[b], "n": pa.nulls(len(a), pa.int64())})
+        counts = {"set": self.sets[some], "other": pa.nulls(len(some), pa.int64()), "n": self.n[some]}
+        return met if self.every else pa.concat_tables([met, pa.table(counts)])
 
-    several = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("grp")
-    placed = groups.join(several.withColumn("many", F.lit(True)), "grp", "left")
-    alone = placed.filter("many IS NULL").select("set", "n", "grp", F.col("set").alias("root"))
-    met = placed.filter("many").select("set", "n", "grp").join(sets.select("set", "tokens"), "set")
-    return materialise(met.groupBy("grp").applyInArrow(work, "set long, n long, grp long, root long").union(alone))
 
+MET = "set long, other long, n long"
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
 
-    def run(batches):
-        for batch in batches:
-            keep = [linked(x, y) for x, y in zip(arrays(batch.column(2)), arrays(batch.column(3)))]
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("set").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("set").alias("b"), F.col("tokens").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def inside_groups(sets: DataFrame, groups: DataFrame, every: bool) -> DataFrame:
+    """set, other, n: the links within each chunk."""
 
+    def work(table: pa.Table) -> pa.Table:
+        tokens, found = arrays(table.column("tokens")), Meetings(table, every)
+        index = TokenIndex(tokens)
+        for k, query in enumerate(tokens):
+            others = index.linked(query)
+            found.add(k, others[others > k])
+        return found.table()
 
-def first_meeting(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between roots: every root and the smaller root that holds most of its tokens, one pair per root."""
-    held = rows.select("token", "root").distinct()
-    least = held.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("most")).filter("a < most").select("token", "a")
-    pairs = held.join(least, "token").filter("a < root").groupBy("root", "a").agg(F.count(F.lit(1)).alias("c"))
-    pairs = pairs.groupBy(F.col("root").alias("b")).agg(F.max_by("a", "c").alias("a"))
-    return materialise(compared(pairs, sets))
+    several = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("grp")
+    met = groups.join(several, "grp").select("set", "grp").join(sets.select("set", "copies", "tokens"), "set")
+    return met.groupBy("grp").applyInArrow(work, MET)
 
 
 def apart(rows: DataFrame) -> DataFrame:
-    """The postings of tokens that different components hold, of sets that still have enough."""
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    """The postings of tokens that different groups hold, of sets that still have enough for a link into another group."""
+    mixed = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("token")
     rows = materialise(rows.join(mixed, "token"))
     enough = rows.groupBy("set").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).filter(F.col("held") >= F.expr(LEAST_SQL))
     return materialise(rows.join(enough.select("set"), "set", "left_semi"))
 
 
 def queries(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """set, comp, grp: the groups, after its own, that a set may have a link into."""
+    """set, grp: the groups, after its own, that a set may have a link into."""
     matrix = rows.select("token", F.col("grp").alias("other")).distinct()
     sizes = placed.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     lo, hi = F.greatest("lo", F.col("n") * 0.8), F.least("hi", F.col("n") * 1.25)
     small, large = F.least("n", lo), F.greatest("n", hi)
     return (
-        rows.select("token", "set", "n", "grp", "comp").join(matrix, "token").filter("grp < other")
-        .groupBy("set", "n", "comp", "other").agg(F.count(F.lit(1)).alias("c")).join(sizes, "other")
+        rows.select("token", "set", "n", "grp").join(matrix, "token").filter("grp < other")
+        .groupBy("set", "n", "other").agg(F.count(F.lit(1)).alias("c")).join(sizes, "other")
         .filter((lo <= hi) & (F.col("c") >= 1 + F.floor(small / EXTRA)) & (F.col("c") * 360 >= small * 160 - large * 110 - 361))
-        .select("set", "comp", F.col("other").alias("grp"))
+        .select("set", F.col("other").alias("grp"))
     )
 
 
-def opened(asked: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between the components of the queries and of members of their groups. A group's queries are dealt into blocks;
+def opened(asked: DataFrame, placed: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
+    """set, other, n: the links between the queries and the members of their groups. A group's queries are dealt into blocks;
     each block has all members.
     """
 
     def work(table: pa.Table) -> pa.Table:
         query = np.asarray(table.column("query").combine_chunks().to_numpy(zero_copy_only=False))
-        comps, tokens = table.column("comp").to_pylist(), arrays(table.column("tokens"))
-        members, root, a, b = np.flatnonzero(~query), {}, [], []
-
-        def find(x: int) -> int:
-            while (up := root.setdefault(x, x)) != x:
-                x = up
-            return x
-
+        tokens, found, members = arrays(table.column("tokens")), Meetings(table, every), np.flatnonzero(~query)
         if len(members):
             index = TokenIndex([tokens[k] for k in members])
             for k in np.flatnonzero(query):
-                for j in index.linked(tokens[k]).tolist():
-                    one, other = find(comps[k]), find(comps[members[j]])
-                    if one != other:  # what is connected by now needs no further link
-                        root[max(one, other)] = min(one, other)
-                        a.append(one)
-                        b.append(other)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                found.add(k, members[index.linked(tokens[k])])
+        return found.table()
 
     counts = asked.groupBy("grp").agg((1 + F.floor(F.count(F.lit(1)) / CHUNK)).alias("blocks"))
     block = F.expr("pmod(xxhash64(set), blocks)")
-    asking = asked.join(counts, "grp").select("grp", block.alias("block"), "set", "comp", F.lit(True).alias("query"))
+    asking = asked.join(counts, "grp").select("grp", block.alias("block"), "set", F.lit(True).alias("query"))
     answering = placed.join(counts, "grp").select(
-        "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "set", "comp", F.lit(False).alias("query")
+        "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "set", F.lit(False).alias("query")
     )
-    rows = asking.union(answering).join(sets.select("set", "tokens"), "set")
-    return rows.groupBy("grp", "block").applyInArrow(work, "a long, b long")
+    rows = asking.union(answering).join(sets.select("set", "copies", "tokens"), "set")
+    return rows.groupBy("grp", "block").applyInArrow(work, MET)
 
 
-def set_components(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """node, comp of all sets that link with another."""
+def copies_of(table: DataFrame) -> DataFrame:
+    """set, n, copies, least: size, documents and smallest doc_id of every set."""
+    return table.filter("set IS NOT NULL").groupBy("set").agg(
+        F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")
+    )
+
+
+def meetings(docs: DataFrame, table: DataFrame, every: bool) -> DataFrame:
+    """set, other, n: see ``Meetings``; every link between different sets is met once. ``table``: of ``copies_of``."""
     shared = shared_postings(docs, table)
-    sets = token_sets(docs, shared.select("set").distinct())
-    placed = inside_groups(sets, grouped(sets))
+    sets = token_sets(docs, table.select("set", "copies").join(shared.select("set").distinct(), "set", "left_semi"))
+    placed = grouped(sets)
     # what is known of a set is joined to its postings once
-    rows = materialise(shared.join(placed, "set").select("token", "set", "n", "grp", "root"))
-    roots = components(first_meeting(rows, sets)).select(F.col("node").alias("root"), "comp")
-    of_root = lambda df: df.join(roots, "root", "left").withColumn("comp", F.coalesce("comp", "root")).drop("root")
-    placed = materialise(of_root(placed))
-    asked = materialise(queries(apart(of_root(rows)), placed))
-    inside = placed.select(F.col("set").alias("a"), F.col("comp").alias("b"))
-    return components(inside.union(materialise(opened(asked, placed, sets).distinct())))
+    rows = materialise(shared.join(placed, "set").select("token", "set", "n", "grp"))
+    asked = materialise(queries(apart(rows), placed))
+    return materialise(inside_groups(sets, placed, every).union(opened(asked, placed, sets, every)))
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """a, b: all pairs of different sets that link, a < b; ``set_table`` has the documents of a set."""
+    met = meetings(docs, materialise(copies_of(set_table(docs))), True)
+    return met.select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b"))
+
+
+def set_components(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """set, n, comp, n_links, least of every set. ``table``: doc_id, n, set of the documents."""
+    per_set = materialise(copies_of(table))
+    met = meetings(docs, per_set, False)
+    comps = components(met.filter("other IS NOT NULL").select(F.col("set").alias("a"), F.col("other").alias("b")))
+    counts = met.filter("other IS NULL").groupBy("set").agg(F.sum("n").alias("met"))
+    return materialise(
+        per_set.join(comps.withColumnRenamed("node", "set"), "set", "left").join(counts, "set", "left").select(
+            "set", "n", "least", F.coalesce("comp", "set").alias("comp"), (F.col("copies") - 1 + F.coalesce("met", F.lit(0))).alias("n_links")
+        )
+    )
 
 
 def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, n_shingles, component_id, n_links of every document."""
     table = materialise(set_table(docs))
-    comps = set_components(docs, table).withColumnRenamed("node", "set")
-    placed = table.filter("set IS NOT NULL").join(comps, "set", "left").select("doc_id", "n", F.coalesce("comp", "set").alias("comp"))
-    names = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    # a component with a third of all rows: the rows' side of this join can be split
-    some = placed.join(names, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = table.filter("set IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    sets = set_components(docs, table)
+    names = sets.groupBy("comp").agg(F.min("least").alias("component_id"))
+    known = materialise(sets.join(names, "comp").select("set", "component_id", "n_links"))
+    # a set with a third of all rows: the rows' side of this join can be split
+    some = table.filter("set IS NOT NULL").join(known, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    none = table.filter("set IS NULL").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
+    )
     return some.union(none)
