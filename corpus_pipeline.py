@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: quality, exact copies, near copies, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-documents. A document goes when the classifier rejects it, when an equal text with a larger doc_id stays, or when it is
+documents. A document goes when the classifier rejects it, when an equal text with a larger doc_id stays or the index of
+texts held its text before, or when it is
 not the smallest doc_id of its group of near copies; documents that share a doc_id stay together if any of them stays, and one
 without doc_id is never taken for the near copy that goes. Personal data is masked in place.
 """
@@ -15,13 +16,23 @@ from tidemark.llm import exact_dedup, near_join, packing, pii, quality
 from tidemark.llm.queries import BYTE_BPE, table, vocabulary
 from tidemark.session import materialise
 
+#: The setting that names a folder, shared by all executors, for an index of texts that outlives the run. A run keeps no text that an
+#: earlier run with the same folder has seen; without the setting, each run begins with an empty index.
+INDEX = "spark.tidemark.digest_index"
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_copies(docs)
+    folder = spark.conf.get(INDEX, None)
+    if folder:  # the number of buckets belongs to the index, whatever the session's partitions
+        index = exact_dedup.DigestIndex(spark, folder)
+    else:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        index = exact_dedup.DigestIndex(spark, exact_dedup.index_folder(spark), buckets)
+    return exact_dedup.drop_copies(docs, index)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,6 +59,23 @@ def test_drop_copies(spark):
     assert sorted(got) == sorted(best.items())
 
 
+def test_dropped_copies_are_remembered(spark):
+    import corpus_pipeline
+
+    first = spark.createDataFrame([(1, "a", "x"), (2, "A", "y"), (3, "b", "z"), (None, None, "n")], "doc_id long, text string, lang string")
+    second = spark.createDataFrame([(9, "B", "x"), (4, "c", "y"), (4, "c", "y"), (5, "", "z")], "doc_id long, text string, lang string")
+    seen = index(spark)
+    assert rows_of(exact_dedup.drop_copies(first, seen), "doc_id", "lang") == sorted([(2, "y"), (3, "z"), (None, "n")], key=repr)
+    assert rows_of(exact_dedup.drop_copies(second, seen), "doc_id", "lang") == [(4, "y")]
+    assert rows_of(seen.rows(), "doc_id", "copies") == sorted([(2, 2), (3, 1), (4, 2), (None, 1)], key=repr)
+    spark.conf.set(corpus_pipeline.INDEX, exact_dedup.index_folder(spark))
+    try:
+        assert rows_of(corpus_pipeline.without_copies(spark, first, ""), "doc_id") == sorted([(2,), (3,), (None,)], key=repr)
+        assert rows_of(corpus_pipeline.without_copies(spark, second, ""), "doc_id") == [(4,)]
+    finally:
+        spark.conf.unset(corpus_pipeline.INDEX)
+
+
 def test_dedup_of_nothing(spark):
     assert exact_dedup.mark_copies(empty(spark), index(spark)).collect() == []
     assert exact_dedup.drop_copies(empty(spark)).collect() == []

@@ -115,15 +115,19 @@ def mark_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns as they were."""
+def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """The documents that stay, all columns as they were; with an index, none whose text it held before, and it learns the new ones."""
     marked = docs.select("*", digest(F.col("text")).alias("_digest"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"))
     same = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     age = F.coalesce("doc_id", F.lit(LEAST))
-    best = materialise(
-        same.groupBy("digest").agg(F.max("doc_id").alias("keep"), F.max_by("n", age).alias("n"))
-    ).select(F.col("digest").alias("_digest"), F.col("keep").alias("_keep"), F.col("n").alias("_n"))
+    groups = materialise(
+        same.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.max_by("n", age).alias("n"), F.sum("n").alias("copies"))
+    )
+    if index is not None:
+        groups = materialise(index.unseen(groups).select(*groups.columns))
+        index.append(groups)
+    best = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("n").alias("_n"))
     keyed = marked.join(best, "_digest").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")))
     once = keyed.filter(F.col("_n") == 1)
     repeated = keyed.filter(F.col("_n") > 1).dropDuplicates(["_digest"])
