@@ -1,16 +1,14 @@
 """From raw documents to packed sequences: quality, exact copies, near copies, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-documents. A document goes when the classifier rejects it, when an equal text with a larger doc_id stays or the index of
-texts held its text before, or when it is
-not the smallest doc_id of its group of near copies; documents that share a doc_id stay together if any of them stays, and one
-without doc_id is never taken for the near copy that goes. Personal data is masked in place.
+documents. A document goes when the classifier rejects it, when an equal text with a larger doc_id stays or an index that
+outlives the run held its text, or when another of its group of near copies stays: that with the smallest doc_id, any before a
+null one. One row of each group stays, whatever rows share a doc_id or have none. Personal data is masked in place.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, near_join, packing, pii, quality
 from tidemark.llm.queries import BYTE_BPE, table, vocabulary
@@ -36,10 +34,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_join.near_components(docs).filter("doc_id IS NOT NULL")
-    gone = groups.groupBy("doc_id").agg(F.min(F.col("component_id") != F.col("doc_id")).alias("gone")).filter("gone")
-    gone = materialise(gone.select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    return near_join.drop_near_copies(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

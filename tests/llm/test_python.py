@@ -338,6 +338,30 @@ def test_connected_components(spark):
     assert got == sorted([(k, 100) for k in range(100, 141)] + [(3, 3), (7, 3), (9, 3), (50, 50), (51, 50)], key=repr)
 
 
+def test_one_row_of_each_component_stays(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    one, two, three, four = (phrase(rng, 60) for _ in range(4))
+    rows = [(None, f"{one} {k}") for k in range(5)]  # no ids at all
+    rows += [(7, f"{two} a"), (7, f"{two} b")]  # one id
+    rows += [(3, f"{three} a"), (5, f"{three} b"), (5, "an unrelated text of the same id it is"), (None, f"{three} c")]
+    rows += [(8, four), (8, four), (9, f"{four} x"), (10, ""), (10, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, f"row {k}") for k, r in enumerate(rows)], "doc_id long, text string, _own string")
+    got = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    groups = near_groups([t for _, t in rows])
+    want = {}
+    for (doc_id, text), g in zip(rows, groups):
+        want.setdefault(g, []).append((doc_id, text))
+    for members in want.values():
+        assert len(stay := [r for r in kept if r in members]) == (1 if members[0][1] else len(stay)), members
+        assert stay[0][0] == min((d for d, _ in members if d is not None), default=None)
+    assert len(kept) == 5 + 3  # five components with words, three rows without
+    assert corpus_pipeline.without_near_copies(spark, empty(spark), "").collect() == []
+
+
 # ------------------------------------------------------------------ the pipeline
 def test_pipeline_by_hand(spark, tmp_path):
     import corpus_pipeline

@@ -31,12 +31,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
 from tidemark.llm.components import components
-from tidemark.session import materialise
+from tidemark.session import counted, materialise
 
 WORDS = 5
 NEAR = 80  # percent
@@ -117,21 +117,24 @@ def in_batches(rows, names: list[str], most: int = 20_000):
         yield pa.record_batch([pa.array(c) for c in zip(*held)], names=names)
 
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set of every document; the set is null without shingles."""
+def set_table(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, n, set of every document, and its key if there is one; the set is null without shingles."""
+    carried = [] if key is None else ["key"]
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([] if key is None else [key.alias("key")])
+    )
 
-    def work(rows):
-        ids, sizes, sets = [], [], []
-        for doc_id, tokens in rows:
-            ids.append(doc_id)
-            sizes.append(len(tokens))
-            sets.append(set_id(tokens) if len(tokens) else None)
-            if len(ids) == 20_000:
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64())], names=["doc_id", "n", "set"])
-                ids, sizes, sets = [], [], []
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64())], names=["doc_id", "n", "set"])
+    def work(batches):
+        for batch in batches:
+            for piece in words.pieces(batch, "text", PIECE):
+                sizes, sets = [], []
+                for tokens in shingles(piece.column(1)):
+                    sizes.append(len(tokens))
+                    sets.append(set_id(tokens) if len(tokens) else None)
+                columns = [piece.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), *piece.columns[2:]]
+                yield pa.record_batch(columns, names=["doc_id", "n", "set", *carried])
 
-    return over_sets(docs, work, "doc_id long, n long, set long")
+    return texts.mapInArrow(work, "doc_id long, n long, set long" + "".join(f", {c} binary" for c in carried))
 
 
 def common_tokens(docs: DataFrame) -> np.ndarray:
@@ -430,3 +433,28 @@ def near_components(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
     )
     return some.union(none)
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One document of each component, all columns as they were: the smallest doc_id stays, any before a null one.
+
+    Rows are told apart by a digest of doc_id and text; of rows that repeat both, one stays. Documents without shingles all stay.
+    """
+    own = [F.coalesce(F.col(c).cast(kind).cast("string"), F.lit("")) for c, kind in (("doc_id", "long"), ("text", "string"))]
+    key = F.unhex(F.sha2(F.concat_ws(":", *own), 256))
+    table = materialise(set_table(docs, key))
+    comps = set_components(docs, table).select("set", "comp")
+    rows = table.filter("set IS NOT NULL").join(comps, "set").groupBy("comp", "key").agg(
+        F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")
+    )
+    rows = materialise(rows)
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("best"))
+    # a component with a third of all rows: the rows' side of this join can be split
+    marks = rows.join(best, "comp").select(F.col("key").alias("_key"), (F.col("key") == F.col("best")).alias("stays"), "n")
+    marks = materialise(marks.filter("NOT stays OR n > 1"))
+    left = docs.select("*", key.alias("_key")).join(marks.filter("NOT stays").select("_key"), "_key", "left_anti")
+    repeated, n = counted(marks.filter("stays").select("_key"))
+    if n:
+        once = left.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+        left = left.join(repeated, "_key", "left_anti").unionByName(once)
+    return left.select(*docs.columns)
