@@ -1,7 +1,8 @@
 """Views on the driver tables that stand for the inputs of the operators.
 
-Each view has a Spark form and a SQL form with the same formula. All of them use every row of their tables:
-rows are mapped onto releases, arms, sectors or sheets, not left out.
+Each view has a Spark form and a SQL form with the same formula. Most map all rows of their
+tables onto releases, arms, sectors or sheets; the membership tables take the events signup and error only, and a few
+select rows by remainders of keys.
 """
 
 from __future__ import annotations
