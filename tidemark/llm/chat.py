@@ -9,7 +9,8 @@ Defined cases: a null text or role counts as empty; a null turn comes before any
 a turn are ordered by role, then text; repeated messages count each time; rows without conv_id form one
 conversation; of equal conversations the smallest conv_id stays. An empty table gives an empty result. Other columns
 are ignored. A conversation is rendered in segments of ``SEGMENT`` turn numbers, one row each, so that
-a conversation with a third of all messages is held by many tasks.
+a conversation with many different turn numbers is held by many tasks. Messages that share a turn number, or have none, are
+not split: all of them are sorted and joined in one row.
 """
 
 from __future__ import annotations
