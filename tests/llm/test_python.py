@@ -48,10 +48,20 @@ def test_texts_tokenise_as_the_library(library, text):
     assert [i for w in parts for i in ([special[w]] if w in special else enc.encode_ordinary(w))] == ids
 
 
-def test_new_letters(library):
-    for c in (0xA7CB, 0xA7DC, 0x32808, 0x3285C, 0x10D50, 0x1C89):
-        text = f"ab{chr(c)}cd {chr(c)} 1{chr(c)}"
-        assert token_counts.count(text, WORD) == len(library[WORD](text))
+@pytest.mark.parametrize("plane", [0, 1, 2, 3, 14])
+def test_every_code_point_between_neighbours(plane):
+    """After a sign, a letter, a number and a space; beyond these planes there is nothing but signs."""
+    from tokenizers import Tokenizer
+
+    word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    points = [c for c in range(plane << 16, (plane << 16) + 0x10000) if not 0xD800 <= c < 0xE000]
+    enc = bpe.encoder(BYTE)
+    for at in range(0, len(points), 64):
+        text = "".join(f"·{chr(c)}a{chr(c)}1{chr(c)} {chr(c)}· " for c in points[at : at + 64])
+        assert token_counts.count(text, WORD) == len(word.encode(text, add_special_tokens=False).ids), hex(points[at])
+        ids = byte.encode(text, add_special_tokens=False).ids
+        assert [i for w in bpe_words.split_words(text, BYTE) for i in enc.encode_ordinary(w)] == ids, hex(points[at])
+        assert enc.encode_ordinary(text) == ids, hex(points[at])
 
 
 @pytest.mark.parametrize("clash", [False, True])

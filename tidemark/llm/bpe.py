@@ -4,19 +4,11 @@ from __future__ import annotations
 
 import functools
 import json
-
-import regex
+import re
 
 #: The pre-tokenizer patterns of the two vocabulary files.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Ideographs of the newest Unicode version, which ``regex`` knows as letters and the tokenizers library does not yet.
-NEW_LETTERS = "[\U000323B0-\U00033479]"
-
-
-def compiled(pattern: str):
-    """The pattern with letters as the tokenizers library has them."""
-    return regex.compile("(?V1)" + pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"\p{L}", rf"[\p{{L}}--{NEW_LETTERS}]"))
 
 
 @functools.cache
@@ -55,7 +47,7 @@ def encoder(path: str):
 
 @functools.cache
 def special_cut(path: str):
-    return regex.compile("(" + "|".join(regex.escape(s) for s in specials(path)) + ")")
+    return re.compile("(" + "|".join(re.escape(s) for s in specials(path)) + ")")
 
 
 def segments(text: str, path: str) -> list[str]:

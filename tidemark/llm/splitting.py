@@ -6,9 +6,6 @@ import functools
 import itertools
 
 import numpy as np
-import regex
-
-from tidemark.llm import bpe
 
 LETTER, NUMBER, SPACE, SIGN = 0, 1, 2, 3
 #: Endings that the patterns cut off after an apostrophe.
@@ -18,13 +15,23 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 @functools.cache
 def kinds() -> np.ndarray:
-    """Kind of every code point, as the tokenizers library has it."""
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    """Kind of every code point, asked of the tokenizers library, whose Unicode version may differ from Python's."""
+    from tokenizers import Regex, pre_tokenizers
+
+    def pieces(pattern: str, behaviour: str, text: str) -> list[tuple[int, int]]:
+        return [at for _, at in pre_tokenizers.Split(Regex(pattern), behaviour).pre_tokenize_str(text)]
+
+    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000))).astype(np.uint32)
+    runs = np.array([a for a, _ in pieces(r"\p{L}+|\p{N}+|\s+", "isolated", points.tobytes().decode("utf-32-le"))])
+    first = points[runs].tobytes().decode("utf-32-le")
+    kind = np.full(len(runs), SIGN, dtype=np.uint8)
+    for k, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        fits = np.ones(len(runs), dtype=bool)
+        for a, b in pieces(pattern, "removed", first):
+            fits[a:b] = False
+        kind[fits] = k
     out = np.full(0x110000, SIGN, dtype=np.uint8)
-    for kind, pattern in ((LETTER, bpe.compiled(r"\p{L}+")), (NUMBER, regex.compile(r"\p{N}+")), (SPACE, regex.compile(r"\s+"))):
-        for m in pattern.finditer(every):
-            a, b = (x + (0x800 if x >= 0xD800 else 0) for x in m.span())
-            out[a:b] = kind
+    out[points] = np.repeat(kind, np.diff(np.append(runs, len(points))))
     return out
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -74,16 +75,27 @@ def counter(path: str) -> WordCounter:
     return WordCounter(path)
 
 
-#: Lower case that Python's tables lack, and the capital sigma, whose final form is not used.
-LOWER = str.maketrans({"Σ": "σ", "\ua7cb": "\u0264", "\ua7dc": "\u019b"})
-ODD = frozenset(map(chr, LOWER))
+@functools.cache
+def odd_capitals() -> dict[int, str]:
+    """Code points to which the tokenizers library gives another lower case than Python does to the letter alone or in a word."""
+    from tokenizers import normalizers
+
+    # lower case exists in the first two planes only; a line feed parts the answers
+    points = [c for c in range(0x20000) if c != 10 and not 0xD800 <= c < 0xE000]
+    library = normalizers.Lowercase().normalize_str("\n".join(map(chr, points))).split("\n")
+    return {c: low for c, low in zip(points, library) if low != chr(c).lower() or c == ord("Σ")}
+
+
+@functools.cache
+def odd_pattern() -> re.Pattern:
+    return re.compile("[" + "".join(map(re.escape, map(chr, odd_capitals()))) + "]")
 
 
 def lowered(text: str) -> str:
-    """Composed form in lower case, letter by letter."""
+    """Composed form in lower case, letter by letter: without the final form of sigma."""
     text = unicodedata.normalize("NFC", text)
-    if any(c in text for c in ODD):
-        text = text.translate(LOWER)
+    if not text.isascii() and odd_pattern().search(text):
+        text = text.translate(odd_capitals())
     return text.lower()
 
 
