@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_words, chat, exact_dedup, fingerprints, near_join, packing, pii, quality, token_counts, url_filter
+from tidemark.llm import (
+    bpe_words, chat, collocations, exact_dedup, fingerprints, near_join, packing, passages, pii, quality, token_counts, url_filter, whitening,
+)
 from tidemark.llm.exact_dedup import LOWER, UPPER
 
 QUERIES, ORACLES = {}, {}
@@ -89,3 +91,18 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_near_join")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return near_join.near_components(table(spark, sf, "documents"))
+
+
+@query("op11_collocations", collocations.SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.mine(table(spark, sf, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query("op13_substring_dedup", passages.SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.without_repeats(table(spark, sf, "documents"))
