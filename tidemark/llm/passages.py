@@ -37,7 +37,7 @@ from tidemark.llm import tallies, words
 from tidemark.session import counted, materialise
 
 WINDOW = 13
-ANCHOR = 6
+ANCHOR = 3
 BITS = 1 << 28
 PIECE = 2 << 20
 SHARD = 60_000  # windows in a shard, about
@@ -104,7 +104,7 @@ def window_hashes(batch: pa.RecordBatch):
 
 
 def occurrences(docs: DataFrame, parts: int, table: np.ndarray) -> DataFrame:
-    """doc, key, start, n, anchor, digest, text: segments of windows that may recur. A task sends each segment's text once."""
+    """doc, key, starts, n, anchor, digest, text: segments of windows that may recur. A task sends each segment's text once."""
 
     def work(batches):
         sent = set()
@@ -116,24 +116,30 @@ def occurrences(docs: DataFrame, parts: int, table: np.ndarray) -> DataFrame:
                 if not len(hit):
                     continue
                 first, last, anchor = segments(texts, hit)
-                row = np.searchsorted(texts.rows, first, side="right") - 1
-                raw, digests, new = texts.data.tobytes(), [], []
-                for a, b in zip(texts.starts[first].tolist(), texts.ends[last + WINDOW - 1].tolist()):
+                rows = np.searchsorted(texts.rows, first, side="right") - 1
+                raw, found = texts.data.tobytes(), {}
+                begins, ends = texts.starts[first].tolist(), texts.ends[last + WINDOW - 1].tolist()
+                for k, (row, a, b, start) in enumerate(zip(rows.tolist(), begins, ends, (first - texts.rows[rows]).tolist())):
                     text = b" ".join(raw[a:b].split())
-                    digest = xxhash.xxh3_128_digest(text)
-                    digests.append(digest)
-                    new.append(None if digest in sent else text)
-                    sent.add(digest)
+                    known = found.get((row, text))
+                    if known is None:
+                        digest = xxhash.xxh3_128_digest(text)
+                        found[row, text] = k, [start], digest, None if digest in sent else text
+                        sent.add(digest)
+                    else:
+                        known[1].append(start)
+                places = np.array([k for k, *_ in found.values()])
+                row = pa.array(rows[places])
                 yield pa.record_batch(
                     [
-                        piece.column(0).take(pa.array(row)), piece.column(2).take(pa.array(row)),
-                        pa.array((first - texts.rows[row]).astype(np.int64)), pa.array((last - first + 1).astype(np.int32)),
-                        pa.array(anchor.view(np.int64)), pa.array(digests, pa.binary()), pa.array(new, pa.binary()).cast(pa.string()),
+                        piece.column(0).take(row), piece.column(2).take(row), pa.array([s for _, s, *_ in found.values()], pa.list_(pa.int32())),
+                        pa.array((last - first + 1)[places].astype(np.int32)), pa.array(anchor[places].view(np.int64)),
+                        pa.array([d for *_, d, _ in found.values()], pa.binary()), pa.array([t for *_, t in found.values()], pa.binary()).cast(pa.string()),
                     ],
-                    names=["doc", "key", "start", "n", "anchor", "digest", "text"],
+                    names=["doc", "key", "starts", "n", "anchor", "digest", "text"],
                 )
 
-    return docs.mapInArrow(work, "doc long, key binary, start long, n int, anchor long, digest binary, text string")
+    return docs.mapInArrow(work, "doc long, key binary, starts array<int>, n int, anchor long, digest binary, text string")
 
 
 def in_shards(segs: DataFrame, hot: DataFrame, shards: int) -> DataFrame:
@@ -201,8 +207,8 @@ def covers(docs: DataFrame, parts: int, table: np.ndarray) -> DataFrame:
     hot = materialise(occ.filter("text IS NOT NULL").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > SHARD // 8).select("anchor"))
     segs = occ.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.max("anchor").alias("anchor"), F.max("text").alias("text"))
     owners = materialise(in_shards(segs, hot, shards).groupBy("shard").applyInArrow(automaton, "digest binary, base int, owners array<bigint>"))
-    taken = F.expr("filter(transform(owners, (o, k) -> if(o < doc, start + base + k, -1L)), x -> x >= 0)")
-    found = occ.select("key", "doc", "start", "digest").join(owners, "digest").select("key", taken.alias("starts")).filter(F.size("starts") > 0)
+    taken = F.expr("flatten(transform(starts, s -> filter(transform(owners, (o, k) -> if(o < doc, s + base + k, -1)), x -> x >= 0)))")
+    found = occ.select("key", "doc", "starts", "digest").join(owners, "digest").select("key", taken.alias("starts")).filter(F.size("starts") > 0)
     # a set: repeated rows say the same
     return found.groupBy("key").agg(F.flatten(F.collect_set("starts")).alias("starts"))
 
@@ -245,7 +251,7 @@ def cut_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
     letters = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = tallies.partitions(docs, letters // 5)
     asked = named.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text", "key")
-    table = tallies.candidates(asked.select("doc", "text"), window_hashes, parts, 2, BITS)
+    table = tallies.candidates(asked.select("doc", "text"), window_hashes, parts, 2, BITS, bounded=False)
     return kept_words(named.join(covers(asked, parts, table), "key", "left"), whole)
 
 

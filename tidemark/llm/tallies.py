@@ -99,8 +99,11 @@ class Summary:
         return self.items[self.counts + self.error >= threshold]
 
 
-def survivors(rows: DataFrame, parts: int, threshold: int) -> DataFrame:
-    """part, items (packed) of the items that may occur ``threshold`` times. ``rows``: of ``packed``."""
+def survivors(rows: DataFrame, parts: int, threshold: int, bounded: bool = True) -> DataFrame:
+    """part, items (packed) of the items that may occur ``threshold`` times. ``rows``: of ``packed``.
+
+    Without a bound, a partition keeps a counter for each item, ``MASS`` at most or so; low thresholds gain nothing from one.
+    """
 
     def finished(part: int, summary: Summary) -> pa.RecordBatch:
         return pa.record_batch([pa.array([part], pa.int32()), pa.array([summary.frequent(threshold).tobytes()])], names=["part", "items"])
@@ -117,7 +120,7 @@ def survivors(rows: DataFrame, parts: int, threshold: int) -> DataFrame:
                     mass += own
                     continue
                 if summary is None:
-                    summary = Summary(mass // threshold + 1)
+                    summary = Summary(mass // threshold + 1 if bounded else mass)
                 summary.add(np.frombuffer(items, dtype=np.uint32), np.frombuffer(counts, dtype=np.uint32))
         if summary is not None:
             yield finished(now, summary)
@@ -173,14 +176,14 @@ def may_be_frequent(h: np.ndarray, parts: int, table: np.ndarray) -> np.ndarray:
     return left
 
 
-def candidates(docs: DataFrame, hashes: Callable, parts: int, threshold: int, bits: int) -> np.ndarray:
+def candidates(docs: DataFrame, hashes: Callable, parts: int, threshold: int, bits: int, bounded: bool = True) -> np.ndarray:
     """The bit table of the items of ``docs`` that may occur ``threshold`` times; ``hashes`` gives a batch's items."""
 
     def work(batches):
         yield from packed((h for batch in batches for h in hashes(batch)), parts)
 
     rows = docs.mapInArrow(work, "part int, mass long, items binary, counts binary")
-    return bit_table(survivors(rows, parts, threshold), bits)
+    return bit_table(survivors(rows, parts, threshold, bounded), bits)
 
 
 def partitions(docs: DataFrame, mass: int) -> int:
