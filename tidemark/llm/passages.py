@@ -2,8 +2,9 @@
 
 A window is ``WINDOW`` consecutive words. A word goes when a window that covers it also starts in a document with a smaller doc_id.
 
-1. Hashed windows are counted per hash partition (``tallies``); those that may occur twice set bits of a table of fixed size.
-2. Runs of windows whose bits are set are cut where the least hash among a window's ``ANCHOR``-word runs changes. Each such segment
+1. A window's probe is its ``PROBE``-word run with the least hash, so neighbours mostly share it. Probes are counted per hash partition
+   (``tallies``); those that may occur twice set bits of a table of fixed size. A window that recurs has a probe that does.
+2. Runs of windows whose probes' bits are set are cut where the least hash among a window's ``ANCHOR``-word runs changes. Each such segment
    goes to the shard that its anchor names, so equal windows meet there; equal segments are sent once, with their smallest doc_id.
 3. A shard confirms the windows that occur in two segments, or in a segment that two documents hold, compiles them into an
    Aho-Corasick automaton over word numbers, and streams its segments through it: every occurrence gets the smallest doc_id of its
@@ -37,16 +38,17 @@ from tidemark.llm import tallies, words
 from tidemark.session import counted, materialise
 
 WINDOW = 13
+PROBE = 8
 ANCHOR = 3
-BITS = 1 << 28
-PIECE = 2 << 20
+BITS = 1 << 27
+PIECE = 512 << 10
 SHARD = 60_000  # windows in a shard, about
 NO_ID = (1 << 63) - 1
 ODD = words.mixed(np.arange(401, 401 + WINDOW, dtype=np.uint64) * words.GOLD) | np.uint64(1)
 
 
 class Texts:
-    """Words of a column, told apart by case, and the hashes of the windows and anchors that start at each."""
+    """Words of a column, told apart by case, and their hashes."""
 
     def __init__(self, column: pa.Array):
         self.data, offsets = words.utf8(column)
@@ -54,11 +56,10 @@ class Texts:
         self.rows = np.searchsorted(self.starts, offsets)
         self.h = exact_hashes(self.data, self.starts, self.ends)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places where windows start, and the windows' hashes."""
+    def windows(self) -> np.ndarray:
+        """Places where windows start."""
         last = np.repeat(self.rows[1:], np.diff(self.rows))
-        at = np.flatnonzero(np.arange(len(self.h)) + WINDOW <= last)
-        return at, run_hashes(self.h, WINDOW)[at]
+        return np.flatnonzero(np.arange(len(self.h)) + WINDOW <= last)
 
 
 def exact_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -83,24 +84,32 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
         return words.mixed(sum((h[k : max(0, len(h) - n + 1 + k)] * ODD[k] for k in range(n)), np.uint64(n))) if len(h) >= n else h[:0]
 
 
+def least_runs(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the n-word runs inside each window, the least hash and its leftmost place: equal windows have equal ones."""
+    runs = run_hashes(h, n)
+    least, where = runs[at], at.copy()
+    for k in range(1, WINDOW - n + 1):
+        other = runs[at + k]
+        less = other < least
+        least, where = np.where(less, other, least), np.where(less, at + k, where)
+    return least, where
+
+
 def segments(texts: Texts, hit: np.ndarray):
     """first, last window and anchor of the segments: neighbouring hit windows of a row with the same anchor."""
-    anchors = run_hashes(texts.h, ANCHOR)
-    n = WINDOW - ANCHOR + 1
-    least, where = anchors[hit], hit.copy()
-    for k in range(1, n):
-        other = anchors[hit + k]
-        less = other < least
-        least, where = np.where(less, other, least), np.where(less, hit + k, where)
+    least, where = least_runs(texts.h, hit, ANCHOR)
     row = np.searchsorted(texts.rows, hit, side="right")
     new = np.concatenate(([True], (np.diff(hit) > 1) | (np.diff(row) > 0) | (np.diff(where) > 0)))
     first = np.flatnonzero(new)
     return hit[first], hit[np.append(first[1:], len(hit)) - 1], least[first]
 
 
-def window_hashes(batch: pa.RecordBatch):
+def probe_hashes(batch: pa.RecordBatch):
+    """The probes of all windows, once where neighbouring windows share one. Windows that recur have probes that do."""
     for piece in words.pieces(batch, "text", PIECE):
-        yield Texts(piece.column(1)).windows()[1]
+        texts = Texts(piece.column(1))
+        least, where = least_runs(texts.h, texts.windows(), PROBE)
+        yield least[np.concatenate(([True], where[1:] != where[:-1]))] if len(where) else least
 
 
 def occurrences(docs: DataFrame, parts: int, table: np.ndarray) -> DataFrame:
@@ -111,8 +120,8 @@ def occurrences(docs: DataFrame, parts: int, table: np.ndarray) -> DataFrame:
         for batch in batches:
             for piece in words.pieces(batch, "text", PIECE):
                 texts = Texts(piece.column(1))
-                at, h = texts.windows()
-                hit = at[tallies.may_be_frequent(h, parts, table)]
+                at = texts.windows()
+                hit = at[tallies.may_be_frequent(least_runs(texts.h, at, PROBE)[0], parts, table)]
                 if not len(hit):
                     continue
                 first, last, anchor = segments(texts, hit)
@@ -249,9 +258,9 @@ def cut_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
     key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))))
     named = own.withColumn("key", key)
     letters = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = tallies.partitions(docs, letters // 5)
+    parts = tallies.partitions(docs, letters // 20)
     asked = named.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text", "key")
-    table = tallies.candidates(asked.select("doc", "text"), window_hashes, parts, 2, BITS, bounded=False)
+    table = tallies.candidates(asked.select("doc", "text"), probe_hashes, parts, 2, BITS, bounded=False)
     return kept_words(named.join(covers(asked, parts, table), "key", "left"), whole)
 
 
