@@ -213,7 +213,7 @@ def covers(docs: DataFrame, parts: int, table: np.ndarray) -> DataFrame:
     """key, starts: the windows of each document that start in one with a smaller doc_id too."""
     occ, n = counted(occurrences(docs, parts, table))
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * (WINDOW - ANCHOR + 1) // 2 // SHARD)
-    hot = materialise(occ.filter("text IS NOT NULL").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > SHARD // 8).select("anchor"))
+    hot = materialise(occ.filter("text IS NOT NULL").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > SHARD).select("anchor"))
     segs = occ.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.max("anchor").alias("anchor"), F.max("text").alias("text"))
     owners = materialise(in_shards(segs, hot, shards).groupBy("shard").applyInArrow(automaton, "digest binary, base int, owners array<bigint>"))
     taken = F.expr("flatten(transform(starts, s -> filter(transform(owners, (o, k) -> if(o < doc, s + base + k, -1)), x -> x >= 0)))")
