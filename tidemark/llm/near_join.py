@@ -8,11 +8,11 @@ A document's set is its distinct shingles; documents with the same set are one s
    sets) last; it decides cost, never results.
 2. Tokens that two sets' prefixes share are kept. Sets with fewer such tokens than l for their smallest partner link with
    nothing and go.
-3. Similar sets are partitioned into groups: of its ``KEYS`` pairs of minimal hashes, a set goes by the one that most sets have;
+3. Similar sets are partitioned into groups: of its ``KEYS`` minimal hashes, a set goes by the one that most sets have;
    groups are dealt into chunks of about ``CHUNK`` sets. Inside a chunk all links are found at once, through an index of its tokens.
-4. The token-group matrix has a row for each token that several groups hold and each of these groups. Counting the tokens of a set
-   (the query) that a group holds bounds its overlap with any member from above; only groups that reach the bound are opened, and
-   there the query meets all members through their token index.
+4. The token-group matrix has a row for each token that several groups hold and each of these groups, whatever their number of chunks.
+   Counting the tokens of a set (the query) that a group holds bounds its overlap with any member from above; only groups that reach the
+   bound are opened, and there the query meets all members through their token index, chunk by chunk. Chunks of one group open each other.
 
 Every link between different sets is found once, also between sets that are connected already. ``links`` gives them all. The
 documents' own counts come from the same meetings: a task adds up the links of its sets and passes on, of the links themselves, as
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import words
+from tidemark.llm import tallies, words
 from tidemark.llm.components import components
 from tidemark.session import counted, materialise
 
@@ -42,7 +42,6 @@ WORDS = 5
 NEAR = 80  # percent
 EXTRA = 20
 COMMON = 32  # prefixes that hold a token before it counts as common
-MOST_COMMON = 1_000_000  # common tokens that every task gets: 8 MB
 CHUNK = 512
 PIECE = 1 << 20  # bytes of text that a task hashes at once
 KEYS = 8
@@ -75,17 +74,15 @@ def set_id(tokens: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64)))
 
 
-def prefix(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + l tokens, common ones last, with l = 1 + n // EXTRA.
+def prefix(tokens: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
+    """The first n - ceil(0.8 n) + l tokens, common ones last, with l = 1 + n // EXTRA. ``often`` marks common ones.
 
     Sets that link have at least the smaller of their l in common there.
     """
     n = len(tokens)
     most = n - (NEAR * n + 99) // 100 + 1 + n // EXTRA
-    if not len(common):
+    if often is None or not often.any():
         return tokens[:most]
-    at = np.searchsorted(common, tokens)
-    often = common[np.minimum(at, len(common) - 1)] == tokens
     rare = tokens[~often]
     return rare[:most] if len(rare) >= most else np.concatenate((rare, tokens[often][: most - len(rare)]))
 
@@ -137,52 +134,50 @@ def set_table(docs: DataFrame, key: Column | None = None) -> DataFrame:
     return texts.mapInArrow(work, "doc_id long, n long, set long" + "".join(f", {c} binary" for c in carried))
 
 
-def common_tokens(docs: DataFrame) -> np.ndarray:
-    """Tokens in the plain prefixes of at least ``COMMON`` sets, or of more if they are too many: at most MOST_COMMON."""
+def common_tokens(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """Hash partitions and bit table (see ``tallies``) of tokens that may be in the plain prefixes of ``COMMON`` sets."""
+    seen: set[int] = set()  # of a task
 
-    def work(rows):
-        held, size, seen = [], 0, set()
-        for _, tokens in rows:
-            if len(tokens) and (key := set_id(tokens)) not in seen:
-                seen.add(key)
-                held.append(prefix(tokens, tokens[:0]))
-                size += len(held[-1])
-            if size > 2_000_000:
-                yield counted(held)
-                held, size = [], 0
-        if held:
-            yield counted(held)
-
-    def counted(held):
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch([signed(tokens), pa.array(n.astype(np.int32))], names=["token", "n"])
-
-    counts = over_sets(docs, work, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
-    often = materialise(counts.filter(F.col("n") >= COMMON))
-    least = COMMON
-    while often.filter(F.col("n") >= least).count() > MOST_COMMON:
-        least *= 2
-    found = np.array([r[0] for r in often.filter(F.col("n") >= least).select("token").toLocalIterator()], dtype=np.int64)
-    return np.sort(found.view(np.uint64))
-
-
-def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    def hashes(batch):
+        for piece in words.pieces(batch, "text", PIECE):
+            for tokens in shingles(piece.column(0)):
+                if len(tokens) and (key := set_id(tokens)) not in seen:
+                    seen.add(key)
+                    yield prefix(tokens)
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    letters = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = tallies.partitions(docs, letters // 20)
+    return parts, tallies.candidates(texts, hashes, parts, COMMON, BITS)
+
+
+def postings(docs: DataFrame, parts: int, common: np.ndarray) -> DataFrame:
     """token, set: the prefixes of the sets, each set once per part."""
 
+    def prefixes(held: list[np.ndarray], sets: list[int]) -> pa.RecordBatch:
+        every = np.concatenate(held)
+        often = np.zeros(len(every), dtype=bool)
+        often[tallies.may_be_frequent(every, parts, common)] = True
+        cuts = np.cumsum([len(t) for t in held])[:-1]
+        tokens = [prefix(t, o) for t, o in zip(held, np.split(often, cuts))]
+        return pa.record_batch(
+            [signed(np.concatenate(tokens)), pa.array(np.repeat(np.array(sets, dtype=np.int64), [len(t) for t in tokens]))], names=["token", "set"]
+        )
+
     def work(rows):
-        seen, tokens_out, sets_out, size = set(), [], [], 0
+        seen, held, sets, size = set(), [], [], 0
         for _, tokens in rows:
             if not len(tokens) or (key := set_id(tokens)) in seen:
                 continue
             seen.add(key)
-            tokens_out.append(prefix(tokens, common))
-            sets_out.append(np.full(len(tokens_out[-1]), key, dtype=np.int64))
-            size += len(tokens_out[-1])
-            if size > 200_000:
-                yield pa.record_batch([signed(np.concatenate(tokens_out)), pa.array(np.concatenate(sets_out))], names=["token", "set"])
-                tokens_out, sets_out, size = [], [], 0
+            held.append(tokens)
+            sets.append(key)
+            size += len(tokens)
+            if size > 400_000:
+                yield prefixes(held, sets)
+                held, sets, size = [], [], 0
         if size:
-            yield pa.record_batch([signed(np.concatenate(tokens_out)), pa.array(np.concatenate(sets_out))], names=["token", "set"])
+            yield prefixes(held, sets)
 
     return over_sets(docs, work, "token long, set long")
 
@@ -193,7 +188,7 @@ def shared_postings(docs: DataFrame, table: DataFrame) -> DataFrame:
     Counting and keeping read one exchange.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings(docs, common_tokens(docs)).repartition(n, "token")
+    dealt = postings(docs, *common_tokens(docs)).repartition(n, "token")
     several = dealt.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo < hi").select("token")
     shared = materialise(dealt.join(several.hint("merge"), "token").distinct())
     enough = (
@@ -245,7 +240,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if bits[place >> 3] >> (7 - (place & 7)) & 1:
                     seen.add(key)
                     least = np.array([words.mixed(tokens ^ salt).min() for salt in SALTS], dtype=np.uint64)
-                    keys = words.mixed(least ^ words.mixed(np.roll(least, 1))).view(np.int64).tolist()
+                    keys = least.view(np.int64).tolist()
                     yield key, len(tokens), keys, tokens.tobytes()
 
         yield from in_batches(kept(), ["set", "n", "keys", "tokens"], 500)
@@ -255,18 +250,17 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def grouped(sets: DataFrame) -> DataFrame:
-    """set, n, grp: every set in the chunk of the group that most sets share a minimal hash with."""
+    """set, n, key, chunk, grp: every set in the group of the minimal hash that most sets share with it, and its chunk there."""
     keyed = sets.select("set", "n", F.posexplode("keys").alias("k", "v")).select("set", "n", F.xxhash64("k", "v").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     # a third of all sets may share a key: the sets' side of this join can be split
     chosen = keyed.join(sizes, "key").groupBy("set").agg(
-        F.first("n").alias("n"), F.max_by("key", "size").alias("key"), F.max("size").alias("size")
+        F.first("n").alias("n"), F.max_by("key", F.struct("size", "key")).alias("key")
     )
     chosen = materialise(chosen)
     taken = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("taken"))
-    return materialise(
-        chosen.join(taken, "key").select("set", "n", F.xxhash64("key", F.expr(f"pmod(xxhash64(set), 1 + taken div {CHUNK})")).alias("grp"))
-    )
+    chunk = F.expr(f"pmod(xxhash64(set), 1 + taken div {CHUNK})")
+    return materialise(chosen.join(taken, "key").select("set", "n", "key", chunk.alias("chunk")).withColumn("grp", F.xxhash64("key", "chunk")))
 
 
 class TokenIndex:
@@ -340,24 +334,30 @@ def inside_groups(sets: DataFrame, groups: DataFrame, every: bool) -> DataFrame:
 
 def apart(rows: DataFrame) -> DataFrame:
     """The postings of tokens that different groups hold, of sets that still have enough for a link into another group."""
-    mixed = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("token")
+    mixed = rows.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("token")
     rows = materialise(rows.join(mixed, "token"))
     enough = rows.groupBy("set").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).filter(F.col("held") >= F.expr(LEAST_SQL))
     return materialise(rows.join(enough.select("set"), "set", "left_semi"))
 
 
 def queries(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """set, grp: the groups, after its own, that a set may have a link into."""
-    matrix = rows.select("token", F.col("grp").alias("other")).distinct()
-    sizes = placed.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    """set, grp: the chunks that a set may have a link into: of groups after its own by the token-group matrix, and all later chunks
+    of its own group, whose sets are similar by choice. Either way only chunks with sets of a fitting size.
+    """
+    matrix = rows.select("token", F.col("key").alias("other")).distinct()
+    chunks = materialise(placed.groupBy("key", "chunk", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
+    sizes = chunks.groupBy(F.col("key").alias("other")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     lo, hi = F.greatest("lo", F.col("n") * 0.8), F.least("hi", F.col("n") * 1.25)
     small, large = F.least("n", lo), F.greatest("n", hi)
-    return (
-        rows.select("token", "set", "n", "grp").join(matrix, "token").filter("grp < other")
+    into = (
+        rows.select("token", "set", "n", "key").join(matrix, "token").filter("key < other")
         .groupBy("set", "n", "other").agg(F.count(F.lit(1)).alias("c")).join(sizes, "other")
         .filter((lo <= hi) & (F.col("c") >= 1 + F.floor(small / EXTRA)) & (F.col("c") * 360 >= small * 160 - large * 110 - 361))
-        .select("set", F.col("other").alias("grp"))
+        .select("set", "n", F.col("other").alias("key"), F.lit(-1).cast("long").alias("after"))
     )
+    several = chunks.filter("chunk > 0").select("key").distinct()
+    own = placed.join(several, "key", "left_semi").select("set", "n", "key", F.col("chunk").alias("after"))
+    return into.union(own).join(chunks, "key").filter((F.col("chunk") > F.col("after")) & (lo <= hi)).select("set", "grp")
 
 
 def opened(asked: DataFrame, placed: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
@@ -397,7 +397,7 @@ def meetings(docs: DataFrame, table: DataFrame, every: bool) -> DataFrame:
     sets = token_sets(docs, table.select("set", "copies").join(shared.select("set").distinct(), "set", "left_semi"))
     placed = grouped(sets)
     # what is known of a set is joined to its postings once
-    rows = materialise(shared.join(placed, "set").select("token", "set", "n", "grp"))
+    rows = materialise(shared.join(placed, "set").select("token", "set", "n", "key"))
     asked = materialise(queries(apart(rows), placed))
     return materialise(inside_groups(sets, placed, every).union(opened(asked, placed, sets, every)))
 
