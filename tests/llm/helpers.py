@@ -7,7 +7,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # names that operators use inside, as extra columns of the input
-CLASHING = ("digest", "keep", "row", "n", "set", "block", "token", "part", "score", "_id", "_gone", "kept", "keys", "rank")
+CLASHING = ("_digest", "_keep", "_n", "_key", "key", "at", "starts", "doc", "items", "phrase", "digest", "keep", "row", "n", "set", "block", "token", "part", "score", "_id", "_gone", "kept", "keys", "rank")
 
 
 def ascii_lower(text: str | None) -> str:

@@ -117,7 +117,9 @@ def mark_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The documents that stay, all columns as they were; with an index, none whose text it held before, and it learns the new ones."""
-    marked = docs.select("*", digest(F.col("text")).alias("_digest"))
+    # names that no column of the documents can have
+    at, keep, n = (f"{name}_{uuid.uuid4().hex}" for name in ("digest", "keep", "n"))
+    marked = docs.select("*", digest(F.col("text")).alias(at))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"))
     same = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     age = F.coalesce("doc_id", F.lit(LEAST))
@@ -127,10 +129,10 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     if index is not None:
         groups = materialise(index.unseen(groups).select(*groups.columns))
         index.append(groups)
-    best = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("n").alias("_n"))
-    keyed = marked.join(best, "_digest").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")))
-    once = keyed.filter(F.col("_n") == 1)
-    repeated = keyed.filter(F.col("_n") > 1).dropDuplicates(["_digest"])
+    best = groups.select(F.col("digest").alias(at), F.col("keep_id").alias(keep), F.col("n").alias(n))
+    keyed = marked.join(best, at).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(keep)))
+    once = keyed.filter(F.col(n) == 1)
+    repeated = keyed.filter(F.col(n) > 1).dropDuplicates([at])
     return once.unionByName(repeated).select(*docs.columns)
 
 

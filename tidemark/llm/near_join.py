@@ -28,6 +28,8 @@ share their set; an empty table gives an empty result; columns beside doc_id and
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -440,6 +442,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by a digest of doc_id and text; of rows that repeat both, one stays. Documents without shingles all stay.
     """
+    at = f"key_{uuid.uuid4().hex}"  # a name that no column of the documents can have
     own = [F.coalesce(F.col(c).cast(kind).cast("string"), F.lit("")) for c, kind in (("doc_id", "long"), ("text", "string"))]
     key = F.unhex(F.sha2(F.concat_ws(":", *own), 256))
     table = materialise(set_table(docs, key))
@@ -450,11 +453,11 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     rows = materialise(rows)
     best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("best"))
     # a component with a third of all rows: the rows' side of this join can be split
-    marks = rows.join(best, "comp").select(F.col("key").alias("_key"), (F.col("key") == F.col("best")).alias("stays"), "n")
+    marks = rows.join(best, "comp").select(F.col("key").alias(at), (F.col("key") == F.col("best")).alias("stays"), "n")
     marks = materialise(marks.filter("NOT stays OR n > 1"))
-    left = docs.select("*", key.alias("_key")).join(marks.filter("NOT stays").select("_key"), "_key", "left_anti")
-    repeated, n = counted(marks.filter("stays").select("_key"))
+    left = docs.select("*", key.alias(at)).join(marks.filter("NOT stays").select(at), at, "left_anti")
+    repeated, n = counted(marks.filter("stays").select(at))
     if n:
-        once = left.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
-        left = left.join(repeated, "_key", "left_anti").unionByName(once)
+        once = left.join(repeated, at, "left_semi").dropDuplicates([at])
+        left = left.join(repeated, at, "left_anti").unionByName(once)
     return left.select(*docs.columns)
