@@ -20,7 +20,7 @@ BUILD, RESTATE, METHOD, SAME, UNKNOWN = (
 
 
 def compare_releases(edges: DataFrame, old: str, new: str) -> DataFrame:
-    """C4: full outer diff on (subject, party); the last row of a duplicate key wins.
+    """C4: full outer diff on (subject, party); the last row of a duplicate key wins, its flag too.
 
     Returns subject, party, a (old share), b (new share), imputed, status.
     """
@@ -35,7 +35,7 @@ def compare_releases(edges: DataFrame, old: str, new: str) -> DataFrame:
         .agg(
             last(in_old).alias("a"), last(in_new).alias("b"),
             F.max(in_old).alias("_o"), F.max(in_new).alias("_n"),
-            F.max(F.when(in_new, F.col("imputed")).otherwise(False)).alias("imputed"),
+            F.coalesce(F.max_by(F.when(in_new, F.col("imputed")), F.when(in_new, F.col("ord"))), F.lit(False)).alias("imputed"),
         )
     )
     status = F.when(~F.col("_o"), "new only").when(~F.col("_n"), "gone").otherwise("both")

@@ -8,6 +8,7 @@ from tidemark.functions import cleaning as C
 from tidemark.functions import identifiers as I
 from tidemark.functions.cleaning import half_up
 from tidemark.operators import crosswalk as W
+from tidemark.operators import names as N
 from tidemark.operators.ordering import quantiles
 from tidemark.plans import standins as S
 from tidemark.plans.q_graph import rounded
@@ -412,6 +413,44 @@ def c22(spark, sf):
     return rounded(W.name_route(name_candidates(spark, sf), "entity", "name", "other"), "score", "dollar_vol", places=4)
 
 
+FIRM_SQL = f"""firm AS (SELECT c_custkey AS k, p_name || ' ' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 6) AS base
+  FROM customer JOIN part ON p_partkey = c_custkey % 200),
+traded AS (SELECT l_suppkey, count(*) AS bars, CAST(sum(l_quantity) AS DOUBLE) AS dollar_vol FROM lineitem GROUP BY 1),
+line AS (SELECT 'L' || s_suppkey AS symbol, coalesce(bars, 0) AS bars, dollar_vol,
+  replace(base, 'e', 'a') || CASE WHEN s_suppkey % 2 = 0 THEN ' Holdings' ELSE ' Energy Ltd' END AS other
+  FROM supplier JOIN firm ON k = (s_suppkey * 13) % 150 LEFT JOIN traded ON l_suppkey = s_suppkey),
+plain AS (SELECT k, {PLAIN_SQL.format(c="base || ' Inc'")} AS x FROM firm),
+of_line AS (SELECT symbol, dollar_vol, {PLAIN_SQL.format(c='other')} AS y FROM line WHERE bars > 30),
+scored AS (SELECT k, symbol, dollar_vol, CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0::DOUBLE
+  ELSE 1.0::DOUBLE - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y)) END AS score FROM plain CROSS JOIN of_line)"""
+
+
+@query(
+    "c22_name_search",
+    f"""WITH {FIRM_SQL}, best AS (SELECT k, arg_max(struct_pack(symbol := symbol, score := score, dollar_vol := dollar_vol),
+      struct_pack(a := score, b := dollar_vol, c := symbol)) AS w FROM scored WHERE score >= 0.7 GROUP BY k)
+    SELECT 'F' || k AS entity, w.symbol AS symbol, {r('w.score', 4)} AS score, {r('w.dollar_vol', 4)} AS dollar_vol FROM best""",
+)
+def c22_search(spark, sf):
+    t = lambda name: S.table(spark, sf, name)
+    k = F.col("c_custkey")
+    base = F.concat("p_name", F.lit(" "), F.substring(F.md5(k.cast("string")), 1, 6))
+    firms = t("customer").join(t("part"), F.col("p_partkey") == k % 200).select(k.alias("k"), base.alias("base"))
+    traded = t("lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        F.count(F.lit(1)).alias("bars"), F.sum("l_quantity").cast("double").alias("dollar_vol")
+    )
+    ending = F.when(F.col("s_suppkey") % 2 == 0, " Holdings").otherwise(" Energy Ltd")
+    lines = (
+        t("supplier").join(firms, F.col("k") == F.col("s_suppkey") * 13 % 150).join(traded, "s_suppkey", "left")
+        .select(
+            F.concat(F.lit("L"), "s_suppkey").alias("symbol"), F.coalesce("bars", F.lit(0)).alias("bars"), "dollar_vol",
+            F.concat(F.replace("base", F.lit("e"), F.lit("a")), ending).alias("other"),
+        )
+    )
+    named = firms.select(F.concat(F.lit("F"), "k").alias("entity"), F.concat("base", F.lit(" Inc")).alias("name"))
+    return rounded(N.search_by_name(named, lines), "score", "dollar_vol", places=4)
+
+
 @query(
     "b16_residual_names",
     """SELECT p_type AS kind, count(*) FILTER (WHERE regexp_matches(lower(nm), 'small shareholder|natural person|other shareholder|unknown|various')) AS residual, count(*) AS n

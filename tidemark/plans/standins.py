@@ -81,13 +81,15 @@ def _edge_both(spark: SparkSession, sf: str) -> DataFrame:
 def edges(spark: SparkSession, sf: str, repeated: bool = False) -> DataFrame:
     """Edges of both releases as one long table: release, subject, party, share, imputed, ord.
 
-    With ``repeated``, some keys come a second time with another share and a lower ord: the later row wins.
+    With ``repeated``, some keys come a second time with another share, the other flag and a lower ord: the later row wins.
     """
     if repeated:
         rows = edges(spark, sf).withColumn("ord", F.lit(1))
         again = F.pmod(F.hash("subject", "party"), F.lit(5)) == 0
         return rows.union(
-            rows.filter(again).withColumns({"share": F.coalesce(F.col("share") / 2, F.lit(1.0)), "ord": F.lit(0)})
+            rows.filter(again).withColumns(
+                {"share": F.coalesce(F.col("share") / 2, F.lit(1.0)), "imputed": ~F.col("imputed"), "ord": F.lit(0)}
+            )
         )
     both = _edge_both(spark, sf)
     rows = F.array(
