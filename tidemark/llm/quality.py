@@ -28,6 +28,7 @@ BUCKETS = 1 << 14
 DIM = 32
 CHUNK = 1024  # buckets in one row of a partial sum
 SAMPLE = 20_000
+PIECE = 1 << 20  # bytes of text pooled at once: about 130 bytes of numbers for each
 HIDDEN = 32
 FEATURES = 3 * DIM + 6
 
@@ -70,7 +71,7 @@ def neighbour_sums(docs: DataFrame) -> DataFrame:
         places, signs = index_vectors()
         total = np.zeros(BUCKETS * (DIM + 1))
         for batch in batches:
-            for piece in words.pieces(batch, "text"):
+            for piece in words.pieces(batch, "text", PIECE):
                 at, rows = tokens(piece.column(0))
                 if not len(at):
                     continue
@@ -199,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
 
     def run(batches):
         for batch in batches:
-            for piece in words.pieces(batch, "text"):
+            for piece in words.pieces(batch, "text", PIECE):
                 x = pooled(piece.column(0), vectors)
                 yield pa.record_batch(
                     [piece.column(1), piece.column(2), pa.array(list(map(bytes, x.astype("<f4"))), pa.binary())], names=["_id", "_y", "x"]
@@ -215,7 +216,7 @@ def score(docs: DataFrame, vectors: np.ndarray, model: dict[str, np.ndarray], ke
 
     def run(batches):
         for batch in batches:
-            for piece in words.pieces(batch, "text"):
+            for piece in words.pieces(batch, "text", PIECE):
                 p = scores(pooled(piece.column(0), vectors), model)
                 yield pa.record_batch(
                     [piece.column(1), pa.array(p, pa.float64()), pa.array((p >= keep).astype(np.int32))], names=["doc_id", "score", "predicted"]
@@ -240,7 +241,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = 0.7, sample: int
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            for piece in words.pieces(batch, "text"):
+            for piece in words.pieces(batch, "text", PIECE):
                 good = scores(pooled(piece.column(at), vectors), model) >= keep
                 yield piece.filter(pa.array(good))
 
