@@ -33,7 +33,7 @@ LONGEST = 3
 LEAST = 10
 TOP = 2000
 HALF = 50  # percent of the shorter phrase's count
-PIECE = 2 << 20
+PIECE = 512 << 10
 BITS = 1 << 27
 HOT = 4096  # phrases of one part that a task meets
 BREAK = np.zeros(256, dtype=bool)
@@ -44,9 +44,9 @@ ODD = [words.mixed(np.arange(k, k + LONGEST, dtype=np.uint64) * words.GOLD) | np
 
 
 class Runs:
-    """Words of a batch (lang, text) and the runs of up to ``LONGEST`` that no break parts."""
+    """Words of a batch (lang, text) and the runs of up to ``LONGEST`` that no break parts, under one or two hashes."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, kinds: int):
         self.data, offsets = words.utf8(batch.column(1))
         self.starts, self.ends = words.spans(self.data, offsets, APART)
         h = words.hashes(self.data, self.starts, self.ends)
@@ -68,7 +68,7 @@ class Runs:
             at = np.flatnonzero(ok)
             self.at.append(at)
             with np.errstate(over="ignore"):
-                self.hashes.append([words.mixed(sum((h[at + j] * odd[j] for j in range(k)), np.uint64(k)) ^ by_lang[at]) for odd in ODD])
+                self.hashes.append([words.mixed(sum((h[at + j] * odd[j] for j in range(k)), np.uint64(k)) ^ by_lang[at]) for odd in ODD[:kinds]])
 
     def texts(self, at: np.ndarray, k: int) -> pa.Array:
         """The runs of ``k`` words from the places, lower-cased, joined by single spaces."""
@@ -83,10 +83,10 @@ class Runs:
         return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(np.delete(out, last - 1)))
 
 
-def slices(batches):
+def slices(batches, kinds: int):
     for batch in batches:
         for piece in words.pieces(batch, "text", PIECE):
-            yield Runs(piece)
+            yield Runs(piece, kinds)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def counted_runs(docs: DataFrame, parts: int, table: np.ndarray) -> DataFrame:
         )
 
     def work(batches):
-        for runs in slices(batches):
+        for runs in slices(batches, 2):
             for k in range(1, LONGEST + 1):
                 found = tally(runs, k)
                 if found is not None:
@@ -142,8 +142,8 @@ def frequent_runs(docs: DataFrame, mass: int, least: int = LEAST) -> DataFrame:
     parts = tallies.partitions(docs, LONGEST * mass)
 
     def hashes(batch):
-        for runs in slices([batch]):
-            for first, _ in runs.hashes:
+        for runs in slices([batch], 1):
+            for (first,) in runs.hashes:
                 yield first
 
     table = tallies.candidates(docs, hashes, parts, least, BITS)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm import words
 
-CHUNK = 6_000_000
+CHUNK = 2_500_000
 MASS = 1 << 25
 SLICES = 64
 PROBES = 3
