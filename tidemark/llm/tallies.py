@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm import words
 
-CHUNK = 2_500_000
+CHUNK = 1_200_000
 MASS = 1 << 25
 SLICES = 64
 PROBES = 3
@@ -67,36 +67,41 @@ def counted(h: np.ndarray, parts: int) -> pa.RecordBatch:
 
 
 class Summary:
-    """A Misra-Gries summary that other counts are merged into."""
+    """A Misra-Gries summary that other counts are merged into. An entry is one number, the item above its count of 32 bits (a count
+    beyond stays there, which is frequent by any threshold)."""
 
     def __init__(self, capacity: int):
         self.capacity, self.error = capacity, 0
-        self.items, self.counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        self.entries = np.zeros(0, dtype=np.uint64)
         self.held, self.size = [], 0
 
     def add(self, items: np.ndarray, counts: np.ndarray) -> None:
-        self.held.append((items, counts))
+        self.held.append((items.astype(np.uint64) << np.uint64(32)) | counts)
         self.size += len(items)
-        if self.size > max(len(self.items), 1 << 18):
+        if self.size > max(len(self.entries), 1 << 18):
             self.merge()
 
     def merge(self) -> None:
-        items = np.concatenate([self.items, *(i for i, _ in self.held)])
-        counts = np.concatenate([self.counts, *(c.astype(np.int64) for _, c in self.held)])
+        every = np.concatenate([self.entries, *self.held])
         self.held, self.size = [], 0
-        order = np.argsort(items, kind="stable")
-        items, counts = items[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1]))) if len(items) else np.zeros(0, dtype=np.int64)
-        self.items, self.counts = items[first], np.add.reduceat(counts, first) if len(first) else counts
-        if len(self.items) > self.capacity:
-            taken = int(np.partition(self.counts, len(self.counts) - self.capacity - 1)[len(self.counts) - self.capacity - 1])
-            left = self.counts > taken
-            self.items, self.counts, self.error = self.items[left], self.counts[left] - taken, self.error + taken
+        if not len(every):
+            return
+        every.sort()
+        items = (every >> np.uint64(32)).astype(np.uint32)
+        first = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1])))
+        every &= LOW
+        counts, items = np.minimum(np.add.reduceat(every, first), LOW), items[first]
+        if len(items) > self.capacity:
+            taken = np.partition(counts, len(counts) - self.capacity - 1)[len(counts) - self.capacity - 1]
+            left = counts > taken
+            items, counts, self.error = items[left], counts[left] - taken, self.error + int(taken)
+        self.entries = (items.astype(np.uint64) << np.uint64(32)) | counts
 
     def frequent(self, threshold: int) -> np.ndarray:
         """Items that may occur ``threshold`` times; all that do are among them."""
         self.merge()
-        return self.items[self.counts + self.error >= threshold]
+        often = (self.entries & LOW) >= np.uint64(max(threshold - self.error, 0))
+        return (self.entries[often] >> np.uint64(32)).astype(np.uint32)
 
 
 def survivors(rows: DataFrame, parts: int, threshold: int, bounded: bool = True) -> DataFrame:
@@ -111,7 +116,8 @@ def survivors(rows: DataFrame, parts: int, threshold: int, bounded: bool = True)
     def work(batches):
         now, summary, mass = None, None, 0
         for batch in batches:
-            for part, own, items, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, own, items, counts in zip(*batch.columns):
+                part, own = part.as_py(), own.as_py()
                 if part != now:
                     if summary is not None:
                         yield finished(now, summary)
@@ -121,7 +127,7 @@ def survivors(rows: DataFrame, parts: int, threshold: int, bounded: bool = True)
                     continue
                 if summary is None:
                     summary = Summary(mass // threshold + 1 if bounded else mass)
-                summary.add(np.frombuffer(items, dtype=np.uint32), np.frombuffer(counts, dtype=np.uint32))
+                summary.add(np.frombuffer(items.as_buffer(), dtype=np.uint32), np.frombuffer(counts.as_buffer(), dtype=np.uint32))
         if summary is not None:
             yield finished(now, summary)
 
