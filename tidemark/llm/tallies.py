@@ -76,7 +76,7 @@ class Summary:
         self.held, self.size = [], 0
 
     def add(self, items: np.ndarray, counts: np.ndarray) -> None:
-        self.held.append((items.astype(np.uint64) << np.uint64(32)) | counts)
+        self.held.append((items.astype(np.uint64) << np.uint64(32)) | counts.astype(np.uint64))
         self.size += len(items)
         if self.size > max(len(self.entries), 1 << 18):
             self.merge()
@@ -131,7 +131,8 @@ def survivors(rows: DataFrame, parts: int, threshold: int, bounded: bool = True)
         if summary is not None:
             yield finished(now, summary)
 
-    dealt = rows.repartition(parts, "part").sortWithinPartitions("part", rows["mass"].isNull())
+    # by the number itself: a hash would deal several partitions to one task and none to others
+    dealt = rows.repartitionById(parts, "part").sortWithinPartitions("part", rows["mass"].isNull())
     return dealt.select("part", "mass", "items", "counts").mapInArrow(work, "part int, items binary")
 
 
