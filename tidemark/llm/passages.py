@@ -9,7 +9,8 @@ A window is ``WINDOW`` consecutive words. A word goes when a window that covers
 3. A shard confirms the windows that occur in two segments, or in a segment that two documents hold, compiles them into an
    Aho-Corasick automaton over word numbers, and streams its segments through it: every occurrence gets the smallest doc_id of its
    window. Anchors with very many segments are dealt once more, window by window, by the window's own words.
-4. The answers go back to the documents by the segments' digests, and the covered words are left out.
+4. The answers go back to the documents by the segments' digests, and the covered words are left out. Texts that no answer covers, by a bit
+   table of fixed size, stay where they are.
 
 Windows are told apart by their words; segments by 128-bit digests.
 
@@ -44,6 +45,9 @@ BITS = 1 << 27
 PIECE = 512 << 10
 SHARD = 60_000  # windows in a shard, about
 NO_ID = (1 << 63) - 1
+RUN = 16
+KEY_BITS = 1 << 26
+NAMES = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
 ODD = words.mixed(np.arange(401, 401 + WINDOW, dtype=np.uint64) * words.GOLD) | np.uint64(1)
 
 
@@ -142,7 +146,7 @@ def occurrences(docs: DataFrame, parts: int, table: np.ndarray) -> DataFrame:
                 yield pa.record_batch(
                     [
                         piece.column(0).take(row), piece.column(2).take(row), pa.array([s for _, s, *_ in found.values()], pa.list_(pa.int32())),
-                        pa.array((last - first + 1)[places].astype(np.int32)), pa.array(anchor[places].view(np.int64)),
+                        pa.array((last - first + 1)[places].astype(np.int32)), pa.array(anchor[places].view(np.int64), mask=np.array([t is None for *_, t in found.values()])),
                         pa.array([d for *_, d, _ in found.values()], pa.binary()), pa.array([t for *_, t in found.values()], pa.binary()).cast(pa.string()),
                     ],
                     names=["doc", "key", "starts", "n", "anchor", "digest", "text"],
@@ -210,46 +214,79 @@ def automaton(table: pa.Table) -> pa.Table:
 
 
 def covers(docs: DataFrame, parts: int, table: np.ndarray) -> DataFrame:
-    """key, starts: the windows of each document that start in one with a smaller doc_id too."""
+    """key, runs: the windows of each document that start in one with a smaller doc_id too."""
     occ, n = counted(occurrences(docs, parts, table))
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * (WINDOW - ANCHOR + 1) // 2 // SHARD)
     hot = materialise(occ.filter("text IS NOT NULL").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > SHARD).select("anchor"))
     segs = occ.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.max("anchor").alias("anchor"), F.max("text").alias("text"))
     owners = materialise(in_shards(segs, hot, shards).groupBy("shard").applyInArrow(automaton, "digest binary, base int, owners array<bigint>"))
-    taken = F.expr("flatten(transform(starts, s -> filter(transform(owners, (o, k) -> if(o < doc, s + base + k, -1)), x -> x >= 0)))")
-    found = occ.select("key", "doc", "starts", "digest").join(owners, "digest").select("key", taken.alias("starts")).filter(F.size("starts") > 0)
+    # a run of windows is one number, its start above its length, which is below ``RUN``
+    whole = F.expr(f"transform(starts, s -> (s + base) * {RUN}L + size(owners))")
+    some = F.expr(f"flatten(transform(starts, s -> filter(transform(owners, (o, k) -> if(o < doc, (s + base + k) * {RUN}L + 1, -1L)), x -> x >= 0)))")
+    taken = F.when(F.array_max("owners") < F.col("doc"), whole).otherwise(some)
+    found = occ.select("key", "doc", "starts", "digest").join(owners, "digest").select("key", taken.alias("runs")).filter(F.size("runs") > 0)
     # a set: repeated rows say the same
-    return found.groupBy("key").agg(F.flatten(F.collect_set("starts")).alias("starts"))
+    return materialise(found.groupBy("key").agg(F.flatten(F.collect_set("runs")).alias("runs")))
 
 
-def kept_words(rows: DataFrame, whole: bool) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, and ``kept``, the words that stay, if ``whole``. ``rows``: doc_id, text, starts."""
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if whole else [])]
+def marked(keys: DataFrame) -> np.ndarray:
+    """A bit table of hashed keys. ``keys``: h."""
 
-    def work(batches):
+    def pack(batches):
         for batch in batches:
-            out = [], [], [], []
-            for text, starts in zip(batch.column(1), batch.column(2)):
-                each = (text.as_py() or b"").split()
-                if starts.is_valid:
-                    at = np.unique(starts.values.to_numpy())
-                    edge = np.zeros(len(each) + 1, dtype=np.int32)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + WINDOW, -1)
-                    kept = list(itertools.compress(each, (np.cumsum(edge[:-1]) == 0).tolist()))
-                else:
-                    kept = each
-                body = b" ".join(kept)
-                for c, v in zip(out, (len(each), len(each) - len(kept), hashlib.sha256(body).hexdigest(), body if whole else None)):
-                    c.append(v)
-            columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
-            if whole:
-                columns.append(pa.array(out[3], pa.binary()).cast(pa.string()))
-            yield pa.record_batch(columns, names=names)
+            h = np.asarray(batch.column(0)).view(np.uint64)
+            yield pa.record_batch([pa.array([0], pa.int32()), pa.array([(h & tallies.LOW).astype(np.uint32).tobytes()])], names=["part", "items"])
+
+    return tallies.bit_table(keys.mapInArrow(pack, "part int, items binary"), KEY_BITS)
+
+
+def results(doc_id: pa.Array, texts: pa.Array, runs: pa.Array | None, whole: bool) -> pa.RecordBatch:
+    """A row for each document: its words without those that the runs of windows cover."""
+    out = [], [], [], []
+    for k, text in enumerate(texts):
+        each = kept = (text.as_py() or b"").split()
+        if runs is not None and runs[k].is_valid:
+            run = np.unique(runs[k].values.to_numpy())
+            edge = np.zeros(len(each) + 1, dtype=np.int32)
+            np.add.at(edge, run // RUN, 1)
+            np.add.at(edge, run // RUN + run % RUN - 1 + WINDOW, -1)
+            kept = list(itertools.compress(each, (np.cumsum(edge[:-1]) == 0).tolist()))
+        body = b" ".join(kept)
+        for c, v in zip(out, (len(each), len(each) - len(kept), hashlib.sha256(body).hexdigest(), body if whole else None)):
+            c.append(v)
+    columns = [doc_id, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
+    return pa.RecordBatch.from_arrays([*columns, *([pa.array(out[3], pa.binary()).cast(pa.string())] if whole else [])], names=NAMES[: 4 + whole])
+
+
+def kept_words(docs: DataFrame, covered: DataFrame, whole: bool) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of the documents, and ``kept``, the words that stay, if ``whole``.
+
+    Only texts whose key's bit is set move to meet what covers them; the others keep all their words. ``docs``: doc_id, text, key.
+    """
+    table = marked(covered.select(F.xxhash64("key").alias("h")))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * whole
+
+    def hit(batch: pa.RecordBatch) -> np.ndarray:
+        mask = np.zeros(batch.num_rows, dtype=bool)
+        mask[tallies.may_be_frequent(np.asarray(batch.column(3)).view(np.uint64), 1, table)] = True
+        return mask
+
+    def untouched(batches):
+        for batch in batches:
+            rest = batch.filter(pa.array(~hit(batch)))
+            yield results(rest.column(0), rest.column(1), None, whole)
 
-    return rows.select("doc_id", F.col("text").cast("binary").alias("text"), "starts").mapInArrow(
-        work, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * whole
-    )
+    def touched(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(hit(batch))).select([0, 1, 2])
+
+    def cut(batches):
+        for batch in batches:
+            yield results(batch.column(0), batch.column(1), batch.column(2), whole)
+
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), "key", F.xxhash64("key").alias("h"))
+    moved = rows.mapInArrow(touched, "doc_id long, text binary, key binary").join(covered, "key", "left")
+    return rows.mapInArrow(untouched, schema).union(moved.select("doc_id", "text", "runs").mapInArrow(cut, schema))
 
 
 def cut_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
@@ -261,7 +298,7 @@ def cut_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
     parts = tallies.partitions(docs, letters // 20)
     asked = named.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text", "key")
     table = tallies.candidates(asked.select("doc", "text"), probe_hashes, parts, 2, BITS, bounded=False)
-    return kept_words(named.join(covers(asked, parts, table), "key", "left"), whole)
+    return kept_words(named, covers(asked, parts, table), whole)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
