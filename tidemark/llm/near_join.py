@@ -45,7 +45,7 @@ NEAR = 80  # percent
 EXTRA = 20
 COMMON = 32  # prefixes that hold a token before it counts as common
 CHUNK = 512
-PIECE = 1 << 20  # bytes of text that a task hashes at once
+PIECE = 256 << 10  # bytes of text that a task hashes at once
 KEYS = 8
 BITS = 1 << 26
 ODD = words.mixed(np.arange(11, 11 + WORDS, dtype=np.uint64) * words.GOLD) | np.uint64(1)
@@ -175,7 +175,7 @@ def postings(docs: DataFrame, parts: int, common: np.ndarray) -> DataFrame:
             held.append(tokens)
             sets.append(key)
             size += len(tokens)
-            if size > 400_000:
+            if size > 200_000:
                 yield prefixes(held, sets)
                 held, sets, size = [], [], 0
         if size:

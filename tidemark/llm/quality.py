@@ -28,7 +28,7 @@ BUCKETS = 1 << 14
 DIM = 32
 CHUNK = 1024  # buckets in one row of a partial sum
 SAMPLE = 20_000
-PIECE = 1 << 20  # bytes of text pooled at once: about 130 bytes of numbers for each
+PIECE = 256 << 10  # bytes of text pooled at once: about 300 bytes of numbers for each
 HIDDEN = 32
 FEATURES = 3 * DIM + 6
 
@@ -71,7 +71,7 @@ def neighbour_sums(docs: DataFrame) -> DataFrame:
         places, signs = index_vectors()
         total = np.zeros(BUCKETS * (DIM + 1))
         for batch in batches:
-            for piece in words.pieces(batch, "text", PIECE):
+            for piece in words.pieces(batch, "text", 4 * PIECE):
                 at, rows = tokens(piece.column(0))
                 if not len(at):
                     continue
