@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 32
-BLOCK = 16  # pairs corrected at once
-INNER = 12  # steps of MINRES at most
+BLOCK = 32  # pairs corrected at once
+INNER = 6  # steps of MINRES at most
 SLICE = 4096  # numbers of a task's sum in one row
 EPS = np.finfo(float).eps
 SCHEMA = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
