@@ -29,6 +29,7 @@ COMPONENTS = 32
 BLOCK = 32  # pairs corrected at once
 INNER = 6  # steps of MINRES at most
 SLICE = 4096  # numbers of a task's sum in one row
+TASK_BYTES = 32 << 20  # of vectors, in a task of a product
 EPS = np.finfo(float).eps
 SCHEMA = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
@@ -70,7 +71,7 @@ def summed(rows: DataFrame, partial, shape: tuple[int, ...]) -> np.ndarray:
         return pa.table({"at": table.column("at").slice(0, 1), "sums": pa.array([total.tobytes()])})
 
     out = np.zeros(size)
-    for at, sums in rows.mapInArrow(work, "at long, sums binary").groupBy("at").applyInArrow(added, "at long, sums binary").toLocalIterator():
+    for at, sums in rows.mapInArrow(work, "at long, sums binary").groupBy("at").applyInArrow(added, "at long, sums binary").collect():
         out[at : at + SLICE] = np.frombuffer(sums, dtype=float)
     return out.reshape(shape)
 
@@ -84,6 +85,9 @@ class Covariance:
         sums = self.rows.select(F.posexplode("v").alias("i", "c")).groupBy("i").agg(F.sum(x).alias("s"), F.count(F.lit(1)).alias("n")).orderBy("i").collect()
         self.n, self.d = (int(sums[0]["n"]), len(sums)) if sums else (0, 0)
         self.sums = np.array([int(r["s"]) for r in sums], dtype=np.int64)
+        # many small partitions would cost a task each in every product
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        self.rows = self.rows.coalesce(max(cores, -(-self.n * self.d * 8 // TASK_BYTES)))
 
     def centred(self, column: pa.Array) -> np.ndarray:
         return deviations(column, self.n, self.sums) / self.n
@@ -238,7 +242,7 @@ def whiten(rows: DataFrame, components: int = COMPONENTS) -> DataFrame:
 
     error = 0.0
     if k:
-        total = summed(rows.select("v"), gram, (k + 1, k)) / n
+        total = summed(cov.rows, gram, (k + 1, k)) / n
         error = float(np.abs(total[:k] - np.outer(total[k], total[k]) - np.eye(k)).max())
     share = values / trace if k else values
 
