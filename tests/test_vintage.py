@@ -98,6 +98,30 @@ def test_halves_and_tests_on_a_published_series(spark):
     assert (round(rows["corr"]["estimate"], 2), round(rows["corr"]["p"], 2)) == (0.51, 0.09)
 
 
+def test_p_values_of_all_degrees(spark):
+    """Closed forms at 1, 2 and 4 degrees of freedom, the normal tail at very many, tiny tails to their last digits."""
+    from math import atan, erfc, pi, sqrt
+
+    exact = {
+        1: lambda t: 1 - 2 * atan(t) / pi,
+        2: lambda t: 1 - t / sqrt(2 + t * t),
+        4: lambda t: 1 - (t / sqrt(4 + t * t)) * (1 + 2 / (4 + t * t)),
+    }
+    values = (0.0, 1e-6, 0.3, 1.0, 1.96, 5.0, 20.0)
+    rows = [(t * sign, float(df), exact[df](t)) for df in exact for t in values for sign in (1, -1)]
+    rows += [(t, df, erfc(t / sqrt(2))) for t in values for df in (1e11, 1e13)]
+    got = spark.createDataFrame(rows, "t double, df double, p double").withColumn("got", stats.two_sided_p("t", "df")).collect()
+    for r in got:
+        assert abs(r["got"] - r["p"]) < 1e-9, r
+    far = [r for r in got if r["df"] == 1e13 and r["t"] == 20.0][0]
+    assert abs(far["got"] / far["p"] - 1) < 1e-6
+    odd = [(None, 3.0), (1.0, None), (1.0, 0.0), (1.0, -2.0), (float("nan"), 3.0), (1.0, float("nan"))]
+    empty = spark.createDataFrame(odd, "t double, df double").select(stats.two_sided_p("t", "df").alias("p")).collect()
+    assert [r["p"] for r in empty] == [None] * len(odd)
+    half = spark.createDataFrame([(1.0, 0.5)], "t double, df double").select(stats.two_sided_p("t", "df").alias("p")).first()["p"]
+    assert 0.5 < half < 0.6
+
+
 def test_wilson_and_ladder(spark):
     from pyspark.sql import functions as F
 

@@ -488,8 +488,8 @@ def q08(spark, sf):
 
 @query(
     "q10_publish_gate",
-    f"""WITH RECURSIVE {S.GRAPH_SQL}, cls AS (SELECT 'S' || s_suppkey AS item, CASE WHEN s_suppkey % 8 = 5 THEN 'licensed' ELSE 'public' END AS class FROM supplier WHERE s_suppkey % 9 <> 4
-      UNION ALL SELECT 'S' || s_suppkey, 'licensed' FROM supplier WHERE s_suppkey % 16 = 3),
+    f"""WITH RECURSIVE {S.GRAPH_SQL}, cls AS (SELECT CASE WHEN s_suppkey % 9 = 4 THEN 'Z' ELSE 'S' END || s_suppkey AS item, CASE WHEN s_suppkey % 8 = 5 THEN 'licensed' ELSE 'public' END AS class FROM supplier
+      UNION ALL SELECT CASE WHEN s_suppkey % 16 = 3 THEN 'S' ELSE 'Y' END || s_suppkey, 'licensed' FROM supplier),
     bad(item) AS (SELECT item FROM cls WHERE class = 'licensed' UNION SELECT subject FROM bad JOIN graph_edge ON party = item),
     o AS (SELECT 'S' || s_suppkey AS item FROM supplier), g AS (SELECT o.item, CASE WHEN count(c.class) = 0 THEN 'unknown' WHEN min(c.class) <> max(c.class) THEN 'mixed' ELSE min(c.class) END AS class
       FROM o LEFT JOIN cls c ON o.item = c.item GROUP BY o.item)
@@ -500,8 +500,9 @@ def q10(spark, sf):
 
     s, k = S.table(spark, sf, "supplier").select("s_suppkey"), F.col("s_suppkey")
     item = F.concat(F.lit("S"), k).alias("item")
-    inputs = s.filter(k % 9 != 4).select(item, F.when(k % 8 == 5, "licensed").otherwise("public").alias("class")).unionByName(
-        s.filter(k % 16 == 3).select(item, F.lit("licensed").alias("class"))
+    named = lambda other, head: F.concat(F.when(other, head).otherwise("S"), k).alias("item")
+    inputs = s.select(named(k % 9 == 4, "Z"), F.when(k % 8 == 5, "licensed").otherwise("public").alias("class")).unionByName(
+        s.select(named(k % 16 != 3, "Y"), F.lit("licensed").alias("class"))
     )
     uses = S.graph_edges(spark, sf).select(F.col("subject").alias("item"), F.col("party").alias("upstream"))
     bad = tainted(uses, inputs.filter("class = 'licensed'").select("item"))

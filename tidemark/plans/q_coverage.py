@@ -362,7 +362,7 @@ def e41(spark, sf):
 
 @query(
     "e42_current_against_history",
-    f"""WITH {S.MEMBERS_SQL}, cur AS (SELECT symbol FROM member_current WHERE CAST(symbol[2:] AS BIGINT) % 7 <> 0 UNION SELECT 'U' || user_id FROM events WHERE user_id % 7 = 1 UNION SELECT 'X' || s_suppkey FROM supplier),
+    f"""WITH {S.MEMBERS_SQL}, cur AS (SELECT CASE WHEN CAST(symbol[2:] AS BIGINT) % 7 = 0 THEN 'R' || symbol ELSE symbol END AS symbol FROM member_current UNION SELECT CASE WHEN user_id % 7 = 1 THEN 'U' ELSE 'E' END || user_id FROM events UNION SELECT 'X' || s_suppkey FROM supplier),
     h AS (SELECT symbol, max(date) FILTER (WHERE k = 'a') AS a, max(date) FILTER (WHERE k = 'r') AS r FROM (SELECT added AS symbol, date, 'a' AS k FROM member_event WHERE added <> '' UNION ALL
       SELECT removed, date, 'r' FROM member_event WHERE removed <> '') GROUP BY symbol),
     j AS (SELECT coalesce(h.symbol, cur.symbol) AS symbol, a, r, cur.symbol IS NOT NULL AS here FROM h FULL JOIN cur ON h.symbol = cur.symbol)
@@ -370,8 +370,9 @@ def e41(spark, sf):
       WHEN here AND coalesce(r, DATE '0001-01-01') > coalesce(a, DATE '0001-01-01') THEN 'stale' WHEN here AND a IS NULL AND r IS NULL THEN 'never' END AS finding FROM j) WHERE finding IS NOT NULL""",
 )
 def e42(spark, sf):
-    c = S.member_current(spark, sf).filter(F.substring("symbol", 2, 20).cast("long") % 7 != 0)
-    e = S.table(spark, sf, "events").filter("user_id % 7 = 1").select(F.concat(F.lit("U"), "user_id").alias("symbol"))
+    renamed = F.substring("symbol", 2, 20).cast("long") % 7 == 0
+    c = S.member_current(spark, sf).select(F.when(renamed, F.concat(F.lit("R"), "symbol")).otherwise(F.col("symbol")).alias("symbol"))
+    e = S.table(spark, sf, "events").select(F.concat(F.when(F.col("user_id") % 7 == 1, "U").otherwise("E"), "user_id").alias("symbol"))
     x = S.table(spark, sf, "supplier").select(F.concat(F.lit("X"), "s_suppkey").alias("symbol"))
     cur = c.union(e).union(x).distinct()
     f = M.against_current(S.member_events(spark, sf), cur)

@@ -538,8 +538,8 @@ def a18(spark, sf):
 @query(
     "c07_fallback_lookup",
     """WITH rows_ AS (SELECT DISTINCT l_partkey, l_suppkey, 'A' || l_partkey AS asset, CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'A' || l_partkey || '-' || l_suppkey END AS unit FROM lineitem),
-    t AS (SELECT 'A' || p_partkey AS gid, 'asset' AS source, p_size::DOUBLE AS cap FROM part WHERE p_partkey % 2 = 0
-      UNION ALL SELECT DISTINCT 'A' || l_partkey || '-' || l_suppkey, 'unit', (l_suppkey % 7)::DOUBLE FROM lineitem WHERE l_suppkey % 4 = 0)
+    t AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END || p_partkey AS gid, 'asset' AS source, p_size::DOUBLE AS cap FROM part
+      UNION ALL SELECT DISTINCT CASE WHEN l_suppkey % 4 = 0 THEN 'A' ELSE 'B' END || l_partkey || '-' || l_suppkey, 'unit', (l_suppkey % 7)::DOUBLE FROM lineitem)
     SELECT asset, unit, coalesce(u.source, a.source) AS source, CASE WHEN u.gid IS NOT NULL THEN u.cap ELSE a.cap END AS cap
     FROM (SELECT DISTINCT asset, unit FROM rows_) r LEFT JOIN t u ON r.unit = u.gid AND r.unit <> '' LEFT JOIN t a ON r.asset = a.gid""",
 )
@@ -548,10 +548,14 @@ def c07(spark, sf):
     a = F.concat(F.lit("A"), "l_partkey")
     u = F.concat(a, F.lit("-"), "l_suppkey")
     rows = line.select(a.alias("asset"), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise(u).alias("unit")).distinct()
-    assets = S.table(spark, sf, "part").filter("p_partkey % 2 = 0").select(
-        F.concat(F.lit("A"), "p_partkey").alias("gid"), F.lit("asset").alias("source"), F.col("p_size").cast("double").alias("cap")
+    head = lambda kept: F.when(kept, "A").otherwise("B")
+    assets = S.table(spark, sf, "part").select(
+        F.concat(head(F.col("p_partkey") % 2 == 0), "p_partkey").alias("gid"), F.lit("asset").alias("source"), F.col("p_size").cast("double").alias("cap")
+    )
+    unit = line.select(
+        F.concat(head(F.col("l_suppkey") % 4 == 0), "l_partkey", F.lit("-"), "l_suppkey").alias("gid"), F.lit("unit").alias("source"),
+        (F.col("l_suppkey") % 7).cast("double").alias("cap"),
     )
-    unit = line.filter("l_suppkey % 4 = 0").select(u.alias("gid"), F.lit("unit").alias("source"), (F.col("l_suppkey") % 7).cast("double").alias("cap"))
     return W.fallback_lookup(rows, assets.unionByName(unit), ["unit", "asset"], ["source", "cap"])
 
 
@@ -584,16 +588,15 @@ def c11(spark, sf):
 
 @query(
     "e46_register_checks",
-    f"""WITH {ENTITY_SQL}, reg AS (SELECT 'L' || lpad(CAST(c_custkey AS VARCHAR), 19, '0') AS lei, CASE WHEN c_custkey % 13 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS state,
-      CASE WHEN c_mktsegment = 'MACHINERY' THEN 'FUND' ELSE 'GENERAL' END AS category FROM customer WHERE c_custkey % 17 <> 0)
+    f"""WITH {ENTITY_SQL}, reg AS (SELECT CASE WHEN c_custkey % 17 <> 0 THEN 'L' || lpad(CAST(c_custkey AS VARCHAR), 19, '0') END AS lei, CASE WHEN c_custkey % 13 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS state,
+      CASE WHEN c_mktsegment = 'MACHINERY' THEN 'FUND' ELSE 'GENERAL' END AS category FROM customer)
     SELECT count(*) AS entities, count(reg.lei) AS found, count(*) FILTER (WHERE reg.lei IS NULL) AS absent, count(*) FILTER (WHERE state <> 'ACTIVE') AS not_active,
       count(*) FILTER (WHERE category <> 'GENERAL') AS not_general FROM entity LEFT JOIN reg ON entity.lei = reg.lei
     WHERE NOT {BLANK.format(c='entity.lei')} AND length(trim(entity.lei)) = 20""",
 )
 def e46(spark, sf):
-    c = S.table(spark, sf, "customer").filter("c_custkey % 17 <> 0")
-    reg = c.select(
-        F.concat(F.lit("L"), F.lpad(F.col("c_custkey").cast("string"), 19, "0")).alias("lei"),
+    reg = S.table(spark, sf, "customer").select(
+        F.when(F.col("c_custkey") % 17 != 0, F.concat(F.lit("L"), F.lpad(F.col("c_custkey").cast("string"), 19, "0"))).alias("lei"),
         F.when(F.col("c_custkey") % 13 == 0, "INACTIVE").otherwise("ACTIVE").alias("state"),
         F.when(F.col("c_mktsegment") == "MACHINERY", "FUND").otherwise("GENERAL").alias("category"),
     )

@@ -110,12 +110,12 @@ def d07(spark, sf):
 @query(
     "d10_taint",
     f"""WITH RECURSIVE {S.GRAPH_SQL}, bad(item) AS (
-      SELECT 'S' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 3 AND s_acctbal > 2000
+      SELECT 'S' || s_suppkey FROM supplier WHERE s_nationkey < 4 AND s_acctbal > 2000
       UNION SELECT subject FROM bad JOIN graph_edge ON party = item) SELECT item FROM bad""",
 )
 def d10(spark, sf):
     uses = S.graph_edges(spark, sf).select(F.col("subject").alias("item"), F.col("party").alias("upstream"))
-    origin = S.table(spark, sf, "supplier").filter("s_suppkey % 10 = 3 and s_acctbal > 2000").select(
+    origin = S.table(spark, sf, "supplier").filter("s_nationkey < 4 and s_acctbal > 2000").select(
         F.concat(F.lit("S"), "s_suppkey").alias("item")
     )
     return G.tainted(uses, origin)
@@ -212,7 +212,7 @@ def b31(spark, sf):
 
 
 D8_SQL = f"""{base_sql('impute')}, {S.UNITS_SQL},
-listed_old AS (SELECT 'S' || s_suppkey AS entity FROM supplier WHERE s_acctbal > 6000 AND s_suppkey % 3 <> 1),
+listed_old AS (SELECT CASE WHEN s_suppkey % 3 = 1 THEN 'F' ELSE 'S' END || s_suppkey AS entity FROM supplier WHERE s_acctbal > 6000),
 {walk_sql('near', 'graph_listed')}, {walk_sql('nearo', 'listed_old')},
 held AS (SELECT * FROM near UNION ALL SELECT entity, entity, 1.0 FROM graph_listed),
 heldo AS (SELECT * FROM nearo UNION ALL SELECT entity, entity, 1.0 FROM listed_old),
@@ -242,7 +242,9 @@ D8_SQL = D8_SQL.replace("\npart AS (SELECT n.firm", "\npiece AS (SELECT n.firm")
 def d08(spark, sf):
     e = filled(spark, sf, "impute")
     listed = S.graph_listed(spark, sf)
-    listed_old = listed.filter(F.substring("entity", 2, 20).cast("long") % 3 != 1)
+    number = F.substring("entity", 2, 20)
+    former = F.concat(F.when(number.cast("long") % 3 == 1, "F").otherwise("S"), number)  # a listing under a former name
+    listed_old = listed.select(former.alias("entity"))
     un = materialise(X.usable_units(S.units(spark, sf)))
     uo = un.filter("early")
     owners = un.select(F.col("owner").alias("entity")).distinct()

@@ -1,8 +1,7 @@
 """Views on the driver tables that stand for the inputs of the operators.
 
-Each view has a Spark form and a SQL form with the same formula. Most map all rows of their
-tables onto releases, arms, sectors or sheets; the membership tables take the events signup and error only, and a few
-select rows by remainders of keys.
+Each view has a Spark form and a SQL form with the same formula and maps all rows of its tables
+onto releases, arms, sectors, sheets or membership changes. Misses are made by renamed or null keys, not by leaving rows out.
 """
 
 from __future__ import annotations
@@ -449,39 +448,35 @@ def factors(spark: SparkSession, sf: str) -> DataFrame:
 MEMBERS_SQL = """
 member_event AS (
   SELECT event_id, CAST(ts AS DATE) AS date,
-         CASE WHEN event_type = 'signup' THEN 'U' || user_id ELSE '' END AS added,
-         CASE WHEN event_type = 'error' THEN 'U' || user_id ELSE '' END AS removed
-  FROM events WHERE event_type IN ('signup', 'error')),
+         CASE WHEN event_type IN ('error', 'click') THEN '' ELSE 'U' || user_id END AS added,
+         CASE WHEN event_type IN ('error', 'click') THEN 'U' || user_id ELSE '' END AS removed
+  FROM events),
 member_current AS (
   SELECT symbol FROM (
     SELECT 'U' || user_id AS symbol, arg_max(event_type, struct_pack(ts := ts, id := event_id)) AS last
-    FROM events WHERE event_type IN ('signup', 'error') GROUP BY 1)
-  WHERE last = 'signup')
+    FROM events GROUP BY 1)
+  WHERE last NOT IN ('error', 'click'))
 """
 
 
 def member_events(spark: SparkSession, sf: str) -> DataFrame:
     """Change rows: date, added symbol, removed symbol ('' when the row has none)."""
     u = F.concat(F.lit("U"), "user_id")
-    return (
-        table(spark, sf, "events")
-        .filter(F.col("event_type").isin("signup", "error"))
-        .select(
-            "event_id",
-            F.col("ts").cast("date").alias("date"),
-            F.when(F.col("event_type") == "signup", u).otherwise("").alias("added"),
-            F.when(F.col("event_type") == "error", u).otherwise("").alias("removed"),
-        )
+    leaves = F.col("event_type").isin("error", "click")
+    return table(spark, sf, "events").select(
+        "event_id",
+        F.col("ts").cast("date").alias("date"),
+        F.when(leaves, "").otherwise(u).alias("added"),
+        F.when(leaves, u).otherwise("").alias("removed"),
     )
 
 
 def member_current(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "events")
-        .filter(F.col("event_type").isin("signup", "error"))
         .groupBy(F.concat(F.lit("U"), "user_id").alias("symbol"))
         .agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
-        .filter("last = 'signup'")
+        .filter("last not in ('error', 'click')")
         .select("symbol")
     )
 
