@@ -54,6 +54,19 @@ def test_regression_equals_numpy(spark):
         assert np.allclose(g.coef, want[m][0]) and np.allclose(g.se, want[m][1]) and np.allclose(g.r2, want[m][2])
 
 
+def test_a_term_that_others_add_up_to_is_left_out(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(100, 2))
+    y = 1 + x @ [2.0, -1.0] + rng.normal(size=100)
+    rows = [("m", i, float(y[i]), float(x[i, 0]), float(3 - 2 * x[i, 0]), float(x[i, 1])) for i in range(100)]
+    df = spark.createDataFrame(rows, "m string, t int, y double, f1 double, twin double, f2 double")
+    whole = {r["term"]: r for r in R.ols_newey_west(df, ["m"], "t", "y", ["f1", "twin", "f2"], 3, 10).collect()}
+    short = {r["term"]: r for r in R.ols_newey_west(df, ["m"], "t", "y", ["f1", "f2"], 3, 10).collect()}
+    assert whole["twin"]["coef"] == 0 and whole["twin"]["se"] == 0 and whole["twin"]["t"] is None
+    for term, r in short.items():
+        assert whole[term]["coef"] == pytest.approx(r["coef"]) and whole[term]["se"] == pytest.approx(r["se"])
+
+
 def test_returns_skip_no_row_and_range_is_closed(spark):
     d = dt.date
     rows = [("a", d(2020, 1, 2), 10.0), ("a", d(2020, 1, 30), 20.0), ("a", d(2020, 3, 31), 60.0), ("a", d(2020, 4, 1), 6.0), ("b", d(2020, 1, 1), 5.0)]

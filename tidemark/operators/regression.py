@@ -1,14 +1,12 @@
 """Means and regressions with autocorrelation-robust errors.
 
-Spark forms every sum over rows; only systems of a few unknowns, one per series, reach numpy. The
+Spark forms every sum over rows and solves the systems of a few unknowns, one per series, in array expressions. The
 lags run inside one series ordered by time, which has one row per period.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import ratio
@@ -60,12 +58,42 @@ def newey_west_mean(
     )
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def inverse(m: Column, k: int) -> Column:
+    """The inverse of a small matrix of products (an array of k rows), by elimination beside the unit matrix.
+
+    Such a matrix is positive semidefinite, so no rows are exchanged. Where next to nothing of a column is left, the
+    earlier ones add up to it: its row and column are zero in the result.
+    """
+    beside = F.transform(
+        m, lambda row, i: F.concat(row, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.when(i == j, 1.0).otherwise(0.0)))
+    )
+
+    def eliminate(a: Column, p: Column) -> Column:
+        pivot_row = F.element_at(a, p + 1)
+        pivot = F.element_at(pivot_row, p + 1)
+        some = pivot > 1e-12 * F.element_at(F.element_at(m, p + 1), p + 1)
+        return F.transform(
+            a,
+            lambda row, i: F.when(i == p, F.transform(row, lambda v: F.when(some, v / F.nullif(pivot, F.lit(0.0))).otherwise(0.0)))
+            .when(some, F.zip_with(row, pivot_row, lambda v, q: v - F.element_at(row, p + 1) / F.nullif(pivot, F.lit(0.0)) * q))
+            .otherwise(row),
+        )
+
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), beside, eliminate)
+    return F.transform(done, lambda row: F.slice(row, k + 1, k))
+
+
 def ols_newey_west(
     df: DataFrame, models: list[str], order: str, y: str, xs: list[str], lags: int, min_rows: int
 ) -> DataFrame:
     """Least squares of y on a constant and ``xs`` for every model, with Newey-West errors.
 
-    Returns one row per (model, term): coefficient, se, t, r2, n.
+    Returns one row per (model, term): coefficient, se, t, r2, n. A term that the terms before it add up to has
+    coefficient and se 0, and no t.
     """
     terms = ["const", *xs]
     d = df.select(*models, order, F.col(y).alias("_y"), *xs)
@@ -74,56 +102,39 @@ def ols_newey_west(
     z = [F.lit(1.0)] + [F.col(x) for x in xs]
     k = len(z)
     moments = d.groupBy(*models).agg(
-        F.array(*[F.sum(z[i] * z[j]) for i in range(k) for j in range(k)]).alias("xx"),
+        F.array(*[F.array(*[F.sum(z[i] * z[j]) for j in range(k)]) for i in range(k)]).alias("xx"),
         F.array(*[F.sum(z[i] * F.col("_y")) for i in range(k)]).alias("xy"),
         F.count(F.lit(1)).alias("n"), F.var_pop("_y").alias("_vy"),
     ).filter(F.col("n") >= min_rows)
 
-    @F.pandas_udf("array<double>")
-    def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                np.linalg.lstsq(np.reshape(a, (k, k)).astype(float), np.asarray(b, float), rcond=None)[0]
-                for a, b in zip(xx, xy)
-            ]
-        )
-
     # one row per model
-    fitted = moments.withColumn("b", solve("xx", "xy"))
+    fitted = moments.withColumn("inv", inverse(F.col("xx"), k)).withColumn(
+        "b", F.transform("inv", lambda row: dot(row, F.col("xy")))
+    )
     e = d.join(fitted.select(*models, "b"), models)
     fit = sum((F.col("b")[i] * z[i] for i in range(1, k)), F.col("b")[0] * z[0])
     e = e.withColumn("_e", F.col("_y") - fit)
     e = e.select(*models, order, "_e", *[(z[i] * F.col("_e")).alias(f"u{i}") for i in range(k)])
+    # a quadratic form takes each lag twice, so the weighted lags of a row are added up before they are multiplied
     w = Window.partitionBy(*models).orderBy(order)
-    for lag in range(1, lags + 1):
-        e = e.withColumns({f"u{i}_{lag}": F.lag(f"u{i}", lag).over(w) for i in range(k)})
+    weights = {lag: 2 * (1 - lag / (lags + 1.0)) for lag in range(1, lags + 1)}
+    e = e.withColumns(
+        {
+            f"s{i}": sum(
+                (weights[lag] * F.coalesce(F.lag(f"u{i}", lag).over(w), F.lit(0.0)) for lag in weights), F.col(f"u{i}")
+            )
+            for i in range(k)
+        }
+    )
     sums = e.groupBy(*models).agg(
-        F.array(
-            *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")) for i in range(k) for j in range(k)],
-            *[
-                F.coalesce(F.sum(F.col(f"u{i}") * F.col(f"u{j}_{lag}")), F.lit(0.0))
-                for lag in range(1, lags + 1)
-                for i in range(k)
-                for j in range(k)
-            ],
-        ).alias("uu"),
+        F.array(*[F.array(*[F.sum(F.col(f"u{i}") * F.col(f"s{j}")) for j in range(k)]) for i in range(k)]).alias("meat"),
         F.sum(F.col("_e") * F.col("_e")).alias("_sse"),
     )
-
-    @F.pandas_udf("array<double>")
-    def errors(xx: pd.Series, uu: pd.Series) -> pd.Series:
-        out = []
-        for a, u in zip(xx, uu):
-            parts = np.reshape(np.asarray(u, float), (lags + 1, k, k))
-            share = 1 - np.arange(lags + 1) / (lags + 1.0)
-            meat = parts[0] + sum(
-                share[i] * (parts[i] + parts[i].T) for i in range(1, lags + 1)
-            )
-            inv = np.linalg.pinv(np.reshape(a, (k, k)).astype(float))
-            out.append(np.sqrt(np.maximum(np.diag(inv @ meat @ inv), 0.0)))
-        return pd.Series(out)
-
-    done = fitted.join(sums, models).withColumn("se", errors("xx", "uu")).withColumn(
+    spread = F.transform(
+        "inv",
+        lambda v: F.sqrt(F.greatest(F.lit(0.0), dot(v, F.transform(F.col("meat"), lambda row: dot(row, v))))),
+    )
+    done = fitted.join(sums, models).withColumn("se", spread).withColumn(
         "r2", 1 - ratio(F.col("_sse"), F.col("_vy") * F.col("n"))
     )
     rows = F.array(

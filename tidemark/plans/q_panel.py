@@ -411,7 +411,60 @@ def s06(spark, sf):
     return rounded(rounded(t, "r2", "coef", "se"), "t", places=4)
 
 
-@query("s07_factor_regression")
+def ols_sql(name: str, source: str, group: str, order: str, xs: tuple[str, ...], lags: int, min_rows: int) -> str:
+    """SQL of the least squares of ``y`` on a constant and ``xs`` by group, eliminated beside the unit matrix."""
+    z, k = ["1.0::DOUBLE", *xs], len(xs) + 1
+    ks = range(k)
+    cross = [f"sum({z[i]} * {z[j]}) AS m{i}_{j}" for i in ks for j in ks] + [f"{float(i == j)}::DOUBLE AS m{i}_{j + k}" for i in ks for j in ks]
+    ctes = [
+        f"{name}_d AS (SELECT {group}, {order} AS o, y, {', '.join(xs)} FROM {source} WHERE y IS NOT NULL AND {' AND '.join(f'{x} IS NOT NULL' for x in xs)})",
+        f"{name}_p AS (SELECT {group}, count(*) AS n, var_pop(y) AS vy, {', '.join(f'sum({z[i]} * y) AS c{i}' for i in ks)}, {', '.join(cross)}"
+        f" FROM {name}_d GROUP BY {group} HAVING count(*) >= {min_rows})",
+    ]
+    before = f"{name}_p"
+    for p in ks:
+        cells = [
+            (f"m{p}_{j} / m{p}_{p}" if i == p else f"m{i}_{j} - m{i}_{p} / m{p}_{p} * m{p}_{j}") + f" AS m{i}_{j}"
+            for i in ks for j in range(2 * k)
+        ]
+        ctes.append(f"{name}_p{p} AS (SELECT {group}, n, vy, {', '.join(f'c{i}' for i in ks)}, {', '.join(cells)} FROM {before})")
+        before = f"{name}_p{p}"
+    coef = ", ".join(" + ".join(f"m{i}_{j + k} * c{j}" for j in ks) + f" AS b{i}" for i in ks)
+    lagged = [
+        f"u{i}" + "".join(f" + {2 * (1 - g / (lags + 1.0))!r}::DOUBLE * coalesce(lag(u{i}, {g}) OVER w, 0)" for g in range(1, lags + 1)) + f" AS s{i}"
+        for i in ks
+    ]
+    form = lambda i: " + ".join(f"m{i}_{a + k} * q{a}_{b} * m{i}_{b + k}" for a in ks for b in ks)
+    ctes += [
+        f"{name}_b AS (SELECT *, {coef} FROM {before})",
+        f"{name}_e AS (SELECT d.*, y - ({' + '.join(f'b{i} * {z[i]}' for i in ks)}) AS e FROM {name}_d d JOIN {name}_b USING ({group}))",
+        f"{name}_u AS (SELECT {group}, o, e, {', '.join(f'e * {z[i]} AS u{i}' for i in ks)} FROM {name}_e)",
+        f"{name}_l AS (SELECT *, {', '.join(lagged)} FROM {name}_u WINDOW w AS (PARTITION BY {group} ORDER BY o))",
+        f"{name}_s AS (SELECT {group}, sum(e * e) AS sse, {', '.join(f'sum(u{i} * s{j}) AS q{i}_{j}' for i in ks for j in ks)} FROM {name}_l GROUP BY {group})",
+        f"{name} AS ("
+        + " UNION ALL ".join(
+            f"SELECT {group}, n, 1 - sse / nullif(vy * n, 0) AS r2, '{term}' AS term, b{i} AS coef, sqrt(greatest(0, {form(i)})) AS se"
+            f" FROM {name}_b JOIN {name}_s USING ({group})"
+            for i, term in enumerate(("const", *xs))
+        )
+        + ")",
+    ]
+    return ",\n".join(ctes)
+
+
+FACTOR_COLS = ("mkt", "smb", "hml")
+TERM_SQL = f"CAST(n AS BIGINT) AS n, {r('r2', 6)} AS r2, term, {r('coef', 6)} AS coef, {r('se', 6)} AS se, {r('coef / nullif(se, 0)', 6)} AS t"
+
+
+def alpha_sql(year) -> str:
+    return f"{r(f'CASE WHEN term = {chr(39)}const{chr(39)} THEN coef * {float(year)!r}::DOUBLE END', 6)} AS alpha_pct_year"
+
+
+@query(
+    "s07_factor_regression",
+    f"""WITH {EXCESS_SQL}, one AS (SELECT 'EW' AS model, * FROM excess), {ols_sql('fit', 'one', 'model', 'date', FACTOR_COLS, NW_LAGS_DAILY, 250)}
+    SELECT model, {TERM_SQL}, {alpha_sql(ANNUAL_PCT_DAILY)} FROM fit""",
+)
 def s07(spark, sf):
     d = excess(spark, sf).withColumn("model", F.lit("EW"))
     t = R.ols_newey_west(d, ["model"], "date", "y", ["mkt", "smb", "hml"], NW_LAGS_DAILY, 250)
@@ -432,7 +485,11 @@ def s08(spark, sf):
     return rounded(P.symbol_betas(daily(spark, sf), factor_days(spark, sf)), "beta", places=4)
 
 
-@query("s09_sub_period_regressions")
+@query(
+    "s09_sub_period_regressions",
+    f"""WITH {EXCESS_SQL}, cut AS (SELECT CASE WHEN year(date) <= 1996 THEN '1995-1996' WHEN year(date) <= 1998 THEN '1997-1998' ELSE '1999-2001' END AS period, *
+      FROM excess), {ols_sql('fit', 'cut', 'period', 'date', FACTOR_COLS, NW_LAGS_DAILY, 250)} SELECT period, {TERM_SQL} FROM fit""",
+)
 def s09(spark, sf):
     d = excess(spark, sf).withColumn(
         "period",
@@ -442,7 +499,19 @@ def s09(spark, sf):
     return rounded(t, "r2", "coef", "se", "t")
 
 
-@query("s10_weighting_by_frequency")
+GROWN_SQL = ", ".join(f"exp(sum(ln(1 + {c} / 100))) - 1 AS {c}" for c in (*FACTOR_COLS, "rf"))
+
+
+@query(
+    "s10_weighting_by_frequency",
+    f"""WITH {PORT_SQL}, {S.FACTORS_SQL},
+    fall AS (SELECT 'D' AS freq, CAST(date AS VARCHAR) AS period, mkt / 100 AS mkt, smb / 100 AS smb, hml / 100 AS hml, rf / 100 AS rf FROM factors
+      UNION ALL SELECT 'M', strftime(date, '%Y-%m'), {GROWN_SQL} FROM factors GROUP BY 2),
+    over AS (SELECT weighting, freq, period, port - rf AS y, mkt, smb, hml FROM ports JOIN fall USING (freq, period)),
+    overd AS (SELECT * FROM over WHERE freq = 'D'), overm AS (SELECT * FROM over WHERE freq = 'M'),
+    {ols_sql('fd', 'overd', 'weighting', 'period', FACTOR_COLS, NW_LAGS_DAILY, 60)}, {ols_sql('fm', 'overm', 'weighting', 'period', FACTOR_COLS, NW_LAGS_MONTHLY_FACTOR, 60)}
+    SELECT weighting, {TERM_SQL}, 'D' AS freq, {alpha_sql(ANNUAL_PCT_DAILY)} FROM fd UNION ALL SELECT weighting, {TERM_SQL}, 'M', {alpha_sql(ANNUAL_PCT_MONTHLY)} FROM fm""",
+)
 def s10(spark, sf):
     f = factor_days(spark, sf)
     fd = f.select(F.lit("D").alias("freq"), F.col("date").cast("string").alias("period"), "mkt", "smb", "hml", "rf")
