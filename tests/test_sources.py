@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import json
 
 import pytest
@@ -95,6 +96,59 @@ def test_sinks_never_overwrite_and_records_are_checked(spark, tmp_path):
         S.provenance(found.withColumn("role", F.col("name")), "script", {}, {"inputs": "x"})
 
 
+def test_a_killed_write_leaves_no_visible_pull(spark, tmp_path):
+    base = f"file://{tmp_path}/pulls"
+    df = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
+    S.write_once(df, base, "1")
+    # killed before its commit record: part of the rows, the newest stamp
+    df.limit(1).write.parquet(f"{base}/pull=9")
+    assert {(r["k"], r["v"], r["pull"]) for r in S.latest_pull(spark, base).collect()} == {(2, "b", "1"), (1, "a", "1")}
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        S.write_once(df, base, "9")
+    S.write_once(df.limit(0), base, "91")
+    assert S.latest_pull(spark, base).count() == 0
+    assert {tuple(r) for r in S.committed_pulls(spark, base).collect()} == {("1", 2), ("91", 0)}
+    df.write.mode("append").parquet(f"{base}/pull=91")
+    with pytest.raises(ValueError, match="holds 2 rows"):
+        S.latest_pull(spark, base)
+
+
+def test_files_of_any_size_are_fingerprinted_in_blocks(spark, tmp_path):
+    d = tmp_path / "big files"
+    (d / "sub").mkdir(parents=True)
+    with open(d / "sparse.bin", "wb") as f:
+        f.truncate(40 << 20)  # forty times what a row may hold below
+    (d / "empty.bin").write_bytes(b"")
+    (d / "sub" / "zeros.bin.gz").write_bytes(gzip.compress(bytes(3 << 20)))
+    key = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(key, 1 << 20)
+    try:
+        got = {r["name"]: (r["bytes"], r["sha256"]) for r in S.fingerprints(spark, f"file://{d}").collect()}
+    finally:
+        spark.conf.unset(key)
+    sha = lambda n: hashlib.sha256(bytes(n)).hexdigest()
+    assert got["sparse.bin"] == (40 << 20, sha(40 << 20)) and got["empty.bin"] == (0, sha(0))
+    assert got["sub/zeros.bin.gz"][1] == sha(3 << 20) and len(got) == 3
+
+
+def test_fingerprint_adds_whole_hashes(spark):
+    rows = [(k, f"v{k}" if k % 3 else None) for k in range(50)]
+    df = spark.createDataFrame(rows, "k int, v string")
+    body = [json.dumps({"k": k, "v": v}, separators=(",", ":")) for k, v in rows]
+    total = sum(int(hashlib.sha256(x.encode()).hexdigest(), 16) for x in body) % 2**256
+    assert tuple(A.fingerprint(df).first()) == (50, f"{total:064x}")
+    assert tuple(A.fingerprint(df.limit(0)).first()) == (0, "0" * 64)
+    swapped = df.withColumn("v", F.when(F.col("k") == 1, "v2").when(F.col("k") == 2, "v1").otherwise(F.col("v")))
+    assert not A.may_promote(df, swapped).first()["may_promote"]
+    # microseconds, nulls against the word, and columns that trade their values all count
+    at = lambda x: spark.sql(f"SELECT {x}")
+    for a, b in (
+        ("timestamp'2020-01-01 00:00:00.000001' t", "timestamp'2020-01-01 00:00:00.000002' t"),
+        ("cast(null as string) v", "'null' v"), ("'a' x, 'b' y", "'b' x, 'a' y"),
+    ):
+        assert A.fingerprint(at(a)).first()["content"] != A.fingerprint(at(b)).first()["content"]
+
+
 def test_fingerprint_ignores_order_only(spark):
     a = spark.createDataFrame([(1, None), (2, "b"), (2, "b")], "k int, v string")
     assert A.may_promote(a, a.orderBy(F.col("k").desc())).first()["may_promote"]
@@ -169,6 +223,38 @@ def test_stream_reads_unseen_files_only_and_newest_row_wins(spark, tmp_path):
     assert {r["symbol"]: r["value"] for r in T.newest_rows(spark.read.parquet(f"{base}/table")).collect()} == {"A": 5.0, "B": 7.0}
 
 
+def test_every_file_has_a_ledger_row(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    line = lambda s, v: json.dumps({"endpoint": "p", "symbol": s, "date": "2020-01-01", "value": v}) + "\n"
+    (d / "good [1].json").write_text(line("A", 1.0) + line("B", 2.0))
+    (d / "broken.json").write_text(line("C", 3.0) + "{no json\n")
+    (d / "blank.json").write_text("\n\n")
+    (d / "empty.json").write_bytes(b"")
+    base = f"file://{tmp_path}"
+    run = lambda: T.ingest_new_files(spark, f"{base}/in", f"{base}/table", f"{base}/ledger", f"{base}/state").awaitTermination()
+    ledger = lambda: sorted(
+        (r["file"].rsplit("/", 1)[1], r["bytes"], r["n_rows"], r["n_broken"], r["state"]) for r in T.read_ledger(spark, f"{base}/ledger").collect()
+    )
+    run()
+    size = lambda name: (d / name).stat().st_size
+    first = [
+        ("blank.json", 2, 0, 0, "no rows"), ("broken.json", size("broken.json"), 1, 1, "broken"), ("empty.json", 0, 0, 0, "empty"),
+        ("good%20%5B1%5D.json", size("good [1].json"), 2, 0, "ok"),
+    ]
+    assert ledger() == first
+    assert [r["line"] for r in spark.read.parquet(f"{base}/ledger-broken").collect()] == ["{no json"]
+    run()  # nothing new: nothing is noted twice
+    assert len(ledger()) == 4
+    (d / "late.json").write_text(line("D", 4.0))
+    run()
+    assert ("late.json", size("late.json"), 1, 0, "ok") in ledger() and len(ledger()) == 5
+    # a batch whose ledger was never written does not count
+    spark.read.parquet(f"{base}/table/batch=0").write.parquet(f"{base}/table/batch=7")
+    got = T.committed_rows(spark, f"{base}/table", f"{base}/ledger")
+    assert sorted(r["symbol"] for r in got.collect()) == ["A", "B", "C", "D"]
+
+
 def test_shared_dir_is_read_from_the_session(spark):
     from types import SimpleNamespace as N
 

@@ -38,25 +38,43 @@ def require_all(checks: DataFrame) -> None:
         raise AssertionError(f"{failed['n']} failed checks: {failed['names']}")
 
 
+LIMBS = 8
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint of a table's content: rows and two sums of row hashes."""
-    cols = [F.col(f"`{c}`") for c in sorted(df.columns)]
-    wide = lambda h: F.sum(h.cast("decimal(38,0)"))
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"), wide(F.xxhash64(*cols)).alias("h1"),
-        wide(F.xxhash64(*cols, F.lit(1))).alias("h2"),
+    """Order-free fingerprint of a table's content: n_rows, and content, the sum of the rows' sha-256 modulo 2 ** 256.
+
+    A row is hashed as JSON over its sorted columns, nulls named. The eight 32-bit limbs are summed apart, map-side first, so
+    parts of a table can be added in any order; carries are taken once, in the last row. An empty table has content 0.
+    """
+    row = F.to_json(
+        F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]),
+        {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"},
+    )
+    limb = lambda k: F.conv(F.substring("_h", 8 * k + 1, 8), 16, 10).cast("decimal(10,0)")
+    zero = F.lit(0).cast("decimal(20,0)")
+    sums = df.select(F.sha2(row, 256).alias("_h")).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(F.sum(limb(k)), zero).cast("decimal(30,0)").alias(f"_{k}") for k in range(LIMBS)]
     )
+    # from the lowest limb, which is the last: what it keeps, and what it hands on
+    kept, carry = [], F.lit(0).cast("decimal(30,0)")
+    for k in reversed(range(LIMBS)):
+        sums = sums.withColumn("_t", (F.col(f"_{k}") + carry).cast("decimal(30,0)"))
+        sums = sums.withColumn(f"_k{k}", F.lpad(F.lower(F.hex((F.col("_t") % 2**32).cast("long"))), 8, "0"))
+        sums = sums.withColumn("_c", F.expr(f"_t div {2**32}").cast("decimal(30,0)"))
+        kept, carry = [f"_k{k}", *kept], F.col("_c")
+    return sums.select("n_rows", F.concat(*kept).alias("content"))
 
 
 def may_promote(old: DataFrame, new: DataFrame) -> DataFrame:
     """Q11: a replacement must have the same columns, row count and content."""
     same_columns = old.columns == new.columns
     a = fingerprint(old)
-    b = fingerprint(new).select(*[F.col(c).alias("_" + c) for c in ("n_rows", "h1", "h2")])
+    b = fingerprint(new).select(*[F.col(c).alias("_" + c) for c in ("n_rows", "content")])
     eq = lambda c: F.col(c).eqNullSafe(F.col("_" + c))
     return a.crossJoin(F.broadcast(b)).select(
         F.lit(same_columns).alias("same_columns"), eq("n_rows").alias("same_rows"),
-        (F.lit(same_columns) & eq("n_rows") & eq("h1") & eq("h2")).alias("may_promote"),
+        (F.lit(same_columns) & eq("n_rows") & eq("content")).alias("may_promote"),
     )
 
 

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-import hashlib
-import io
-import re
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import stored
+
 RESERVED = ("script", "release_pin", "inputs")
 
 
@@ -29,54 +26,54 @@ def write_panel(df: DataFrame, path: str, date: str = "date") -> None:
 
 
 def write_once(df: DataFrame, base: str, pull: str) -> str:
-    """A pull is never overwritten; a refetch goes beside it under its own stamp."""
+    """A pull is never overwritten; a refetch goes beside it under its own stamp.
+
+    The commit record, one row beside the pulls with the number of rows, is written last: a pull whose write was killed has
+    none, no reader sees it, and its stamp stays taken.
+    """
     path = f"{base}/pull={pull}"
+    spark = df.sparkSession
     df.write.mode("errorifexists").parquet(path)
+    record = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
+    record.write.mode("errorifexists").parquet(f"{commits(base)}/pull={pull}")
     return path
 
 
-def latest_pull(spark: SparkSession, base: str) -> DataFrame:
-    """The rows of the newest pull."""
-    df = spark.read.parquet(base)
-    newest = df.agg(F.max("pull").alias("pull"))
-    return df.join(F.broadcast(newest), "pull", "left_semi")
+def commits(base: str) -> str:
+    """The folder of the commit records that belong to the pulls in ``base``."""
+    return base.rstrip("/") + "-commits"
+
 
+def committed_pulls(spark: SparkSession, base: str) -> DataFrame:
+    """Pull, n_rows of every pull whose write came to its end."""
+    found = spark.read.option("basePath", commits(base)).schema("n_rows long, pull string").parquet(f"{commits(base)}/pull=*")
+    return found.select("pull", "n_rows")
 
-def _body_hash(name: str, content: bytes) -> str:
-    """sha256 of a file's body: of what a ``.gz`` file holds, read in blocks, or of the bytes as stored."""
-    if not name.endswith(".gz"):
-        return hashlib.sha256(content).hexdigest()
-    found = hashlib.sha256()
-    with gzip.open(io.BytesIO(content)) as body:
-        while block := body.read(1 << 20):
-            found.update(block)
-    return found.hexdigest()
+
+def latest_pull(spark: SparkSession, base: str) -> DataFrame:
+    """The rows of the newest committed pull; an error if it holds other rows than its record says."""
+    newest = committed_pulls(spark, base).agg(F.max_by(F.struct("pull", "n_rows"), "pull").alias("r")).first()["r"]
+    if newest is None:
+        raise FileNotFoundError(f"no committed pull in {base}")
+    rows = spark.read.parquet(f"{base}/pull={newest['pull']}").withColumn("pull", F.lit(newest["pull"]))
+    held = rows.agg(F.count(F.lit(1))).first()[0]  # from the files' footers
+    if held != newest["n_rows"]:
+        raise ValueError(f"pull {newest['pull']} holds {held} rows, its record says {newest['n_rows']}")
+    return rows
 
 
 def fingerprints(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, bytes and sha256 of every file; files are read in parallel, one per row.
+    """Name, bytes and sha256 of every file, whatever its size, empty files too.
 
     The name is the path below ``path``, so equal base names in different folders stay apart. The hash is that of
     the decompressed body for ``.gz`` files.
     """
-    f = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).load(path)
-    )
+    return stored.read(spark, path, pattern).select("name", "bytes", "sha256")
 
-    def run(batches):
-        for batch in batches:
-            names, contents = batch.column("name").to_pylist(), batch.column("content")
-            hashes = [_body_hash(n, c.as_py()) for n, c in zip(names, contents)]
-            yield pa.record_batch(
-                [batch.column("name"), batch.column("bytes"), pa.array(hashes, pa.string())], names=["name", "bytes", "sha256"]
-            )
-
-    base = path.rstrip("/").split(":", 1)[-1].lstrip("/")
-    below = F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "")
-    return f.select(below.alias("name"), F.col("length").alias("bytes"), "content").mapInArrow(
-        run, "name string, bytes long, sha256 string"
-    )
+
+def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """name, bytes, modified of every file below ``path``, empty files too; no content is read."""
+    return stored.read(spark, path, pattern, hashed=False).select("name", "bytes", "modified")
 
 
 def provenance(inputs: DataFrame, script: str, pins: dict[str, str], extra: dict[str, str]) -> DataFrame:

@@ -6,11 +6,21 @@ only, and each batch is one write.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.session import materialise
+from tidemark.sources.files import listing
+
 RAW = "endpoint string, symbol string, date date, value double"
+LEDGER = (
+    "file string, bytes long, fetched timestamp, n_rows long, n_broken long, date_min date, date_max date, state string, batch long"
+)
+BROKEN = "_broken_line"
+NOT_IN_A_BATCH = -1
 
 
 def ingest_new_files(
@@ -19,24 +29,56 @@ def ingest_new_files(
 ) -> StreamingQuery:
     """Append rows of unseen JSON files and one ledger row per file, then stop.
 
-    Batch outputs go to a folder named by the batch id, so a batch that is run again after a lost
-    driver replaces its own rows instead of adding them twice.
+    The stream carries the files, not their rows, so the ledger has a row for each: ``ok``, ``broken`` (some lines are no JSON; they
+    are kept beside the ledger, in ``<ledger>-broken``), ``no rows``, or ``empty`` for a file without bytes. A file counts as it was
+    when it was first seen; what is added to it later is not taken in. Batch outputs go to a folder named by the batch id, so a batch that is run again after a lost
+    driver replaces its own rows instead of adding them twice. The ledger is written last: ``committed_rows`` passes over a
+    batch without one. An archive that cannot be unpacked fails its batch, and nothing of it is committed.
     """
+    note_empty_files(spark, incoming, ledger)
     stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(incoming)
-        .withColumn("file", F.col("_metadata.file_path"))
-        .withColumn("modified", F.col("_metadata.file_modification_time"))
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+        .option("maxFilesPerTrigger", files_per_batch).load(incoming)
+        .select(
+            "path", F.col("_metadata.file_path").alias("file"), F.col("length").alias("bytes"),
+            F.col("modificationTime").alias("fetched"),
+        )
     )
 
     def write(batch: DataFrame, number: int) -> None:
-        # the batch is read and parsed once; the ledger comes from what was written
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        written = spark.read.schema(batch.schema).parquet(f"{table}/batch={number}")
+        # at most ``files_per_batch`` names; a stream lists files twice where one of a batch has brackets in its name
+        files = list({f["path"]: f for f in batch.collect()}.values())
+        listed = spark.createDataFrame(files, batch.schema).drop("path")
+        rows = (
+            spark.read.schema(f"{schema}, {BROKEN} string").option("columnNameOfCorruptRecord", BROKEN)
+            .json([re.sub(r"([\\\[\]{}*?])", r"\\\1", f["path"]) for f in files])
+            .withColumn("file", F.col("_metadata.file_path"))
+            .withColumn("modified", F.col("_metadata.file_modification_time"))
+        )
+        # the files are read and parsed once, twice only if some lines are broken; the ledger comes from what was written
+        seen = Observation()
+        rows.observe(seen, F.count(BROKEN).alias("n")).filter(F.col(BROKEN).isNull()).drop(BROKEN).write.mode("overwrite").parquet(
+            f"{table}/batch={number}"
+        )
+        written = spark.read.schema(f"{schema}, file string, modified timestamp").parquet(f"{table}/batch={number}")
         per_file = written.groupBy("file").agg(
-            F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("date_min"),
-            F.max("date").alias("date_max"), F.max("modified").alias("fetched"),
+            F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("date_min"), F.max("date").alias("date_max")
+        )
+        if seen.get["n"]:
+            # with whatever fields could be read of them
+            rows.filter(F.col(BROKEN).isNotNull()).withColumnRenamed(BROKEN, "line").write.mode("overwrite").parquet(
+                f"{ledger}-broken/batch={number}"
+            )
+            broken = spark.read.schema("file string, line string").parquet(f"{ledger}-broken/batch={number}")
+            listed = listed.join(broken.groupBy("file").agg(F.count(F.lit(1)).alias("n_broken")), "file", "left")
+        else:
+            listed = listed.withColumn("n_broken", F.lit(0).cast("long"))
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+        state = F.when(F.col("n_broken") > 0, "broken").when(F.col("n_rows") == 0, "no rows").otherwise("ok")
+        entries = listed.join(per_file, "file", "left").select(
+            "file", "bytes", "fetched", zero("n_rows"), zero("n_broken"), "date_min", "date_max"
         )
-        per_file.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        entries.withColumn("state", state).coalesce(1).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -44,6 +86,34 @@ def ingest_new_files(
     )
 
 
+def note_empty_files(spark: SparkSession, incoming: str, ledger: str) -> None:
+    """Ledger rows for files without bytes, which no stream of Spark's shows; each is noted once, outside any batch."""
+    found = listing(spark, incoming).filter("bytes = 0").select(
+        F.concat(F.lit(incoming.rstrip("/") + "/"), "name").alias("file"), "bytes", F.col("modified").alias("fetched")
+    )
+    if not found.isEmpty():
+        at = f"{ledger}/batch={NOT_IN_A_BATCH}"
+        none, no_date = F.lit(0).cast("long"), F.lit(None).cast("date")
+        rows = found.select(
+            "*", none.alias("n_rows"), none.alias("n_broken"), no_date.alias("date_min"), no_date.alias("date_max"), F.lit("empty").alias("state")
+        )
+        rows.limit(0).write.mode("append").parquet(at)
+        known = spark.read.parquet(at).select("file")
+        new = materialise(rows.join(known, "file", "left_anti"))
+        new.coalesce(1).write.mode("append").parquet(at)
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """One row per file that was taken in, with the batch that took it."""
+    return spark.read.schema(LEDGER).parquet(ledger)
+
+
+def committed_rows(spark: SparkSession, table: str, ledger: str) -> DataFrame:
+    """The rows of the batches whose ledger is written."""
+    done = read_ledger(spark, ledger).select("batch").distinct()  # one row per batch
+    return spark.read.parquet(table).join(done, "batch", "left_semi")
+
+
 def newest_rows(rows: DataFrame, order: tuple[str, ...] = ("batch", "file")) -> DataFrame:
     """Per (endpoint, symbol, date) the row that arrived last replaces earlier ones.
 
