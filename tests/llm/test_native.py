@@ -113,6 +113,16 @@ def test_equal_conversations_and_segments(spark):
     assert chat.format_chats(chats(spark, {})).collect() == []
 
 
+@pytest.mark.parametrize("turn", [None, 5, -(2**63)])
+def test_messages_of_one_turn_are_split_by_their_position(spark, turn):
+    log = [(turn, "user", f"m{k % 23:02}") for k in range(150)] + [(turn, None, "m22"), (turn, "", "m22")]
+    got = sorted(chat.format_chats(chats(spark, {7: log, None: log, 3: [(1, "a", "x")]}), 16).collect(), key=lambda r: (r.n_messages, r.segment))
+    bodies = [f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in sorted((r or "", t) for _, r, t in log)]
+    want = ["".join(bodies[k : k + 16]) for k in range(0, len(bodies), 16)]
+    assert [r.rendered for r in got if r.n_messages == 152] == want
+    assert [r.rendered for r in got if r.n_messages == 1] == ["<|im_start|>a\nx<|im_end|>\n"]
+
+
 # ------------------------------------------------------------------ fingerprints
 def paragraph_set(text):
     return {line[k : k + 256] for line in text.split("\n") for k in range(0, len(line), 256)}

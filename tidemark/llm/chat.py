@@ -8,9 +8,8 @@ conversation of those that are equal, one anti-join takes out those whose whole
 Defined cases: a null text or role counts as empty; a null turn comes before any number; messages that share
 a turn are ordered by role, then text; repeated messages count each time; rows without conv_id form one
 conversation; of equal conversations the smallest conv_id stays. An empty table gives an empty result. Other columns
-are ignored. A conversation is rendered in segments of ``SEGMENT`` turn numbers, one row each, so that
-a conversation with many different turn numbers is held by many tasks. Messages that share a turn number, or have none, are
-not split: all of them are sorted and joined in one row.
+are ignored. A conversation is rendered in segments of ``SEGMENT`` messages, numbered from 0 in its order, one row each, so that
+one with any number of messages is held by many tasks, also if all of them share a turn number or have none.
 """
 
 from __future__ import annotations
@@ -35,18 +34,22 @@ def messages(conversations: DataFrame) -> DataFrame:
 
 
 def prefix_hashes(msgs: DataFrame) -> DataFrame:
-    """conv_id, turn, n, h1, h2: count and hash sums of all messages up to each turn.
-
-    Rows are laid out by range over (conv_id, turn) and stitched with one row per (part, conversation),
-    so a long conversation is spread over many parts.
-    """
+    """conv_id, turn, n, h1, h2: count and hash sums of all messages up to each turn."""
     part = lambda salt: F.xxhash64(F.lit(salt), "turn", "role", "text").bitwiseAND(F.lit(MASK)).cast("decimal(19,0)")
     turns = msgs.groupBy("conv_id", "turn").agg(
         F.count(F.lit(1)).alias("n"), F.sum(part(1)).cast("decimal(38,0)").alias("h1"), F.sum(part(2)).cast("decimal(38,0)").alias("h2")
     )
     laid = materialise(turns.sort("conv_id", "turn").withColumn("part", F.spark_partition_id()))
-    sums = ("n", "h1", "h2")
-    inside = Window.partitionBy("part", "conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return running(laid, ("turn",), {"n": "long", "h1": "decimal(38,0)", "h2": "decimal(38,0)"})
+
+
+def running(laid: DataFrame, order: tuple[str, ...], sums: dict[str, str], carried: tuple[str, ...] = ()) -> DataFrame:
+    """conv_id, the columns of ``order`` and ``carried``, and running sums along the order.
+
+    ``laid``: rows in parts, by range over (conv_id, order). The parts are stitched with one row per (part, conversation), so a
+    long conversation is spread over many parts.
+    """
+    inside = Window.partitionBy("part", "conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = laid.groupBy("part", "conv_id").agg(*[F.sum(c).alias(c) for c in sums])
     starts = starts.select(
@@ -54,10 +57,10 @@ def prefix_hashes(msgs: DataFrame) -> DataFrame:
         F.col("conv_id").alias("_conv"),
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in sums],
     )
-    running = laid.select("part", "conv_id", "turn", *[F.sum(c).over(inside).alias(c) for c in sums])
-    return running.join(
-        starts, (running.part == starts._part) & running.conv_id.eqNullSafe(starts._conv)
-    ).select("conv_id", "turn", *[(F.col(c) + F.col(f"_{c}")).cast("long" if c == "n" else "decimal(38,0)").alias(c) for c in sums])
+    own = laid.select("part", "conv_id", *order, *carried, *[F.sum(c).over(inside).alias(c) for c in sums])
+    return own.join(starts, (own.part == starts._part) & own.conv_id.eqNullSafe(starts._conv)).select(
+        "conv_id", *order, *carried, *[(F.col(c) + F.col(f"_{c}")).cast(kind).alias(c) for c, kind in sums.items()]
+    )
 
 
 def collapse(conversations: DataFrame) -> DataFrame:
@@ -74,33 +77,41 @@ def collapse(conversations: DataFrame) -> DataFrame:
     return ends.join(longer, key, "left_anti").select("conv_id", F.col("n").alias("n_messages"), "n_copies")
 
 
+def numbered(conversations: DataFrame, kept: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, last, copies, n_messages, n_copies: the different messages of the kept conversations.
+
+    ``copies``: how often a message occurs; ``last``: the number of messages up to its last copy, in the order of turn, role
+    and text. Equal messages are counted before they are sorted, so a message with very many copies is one row.
+    """
+    order = ("turn", "role", "text")
+    wanted = kept.select(F.col("conv_id").alias("_c"), "n_messages", "n_copies")
+    msgs = messages(conversations).alias("m").join(wanted.alias("k"), F.expr("m.conv_id <=> k._c")).drop("_c")
+    about = ("n_messages", "n_copies")
+    once = msgs.groupBy("conv_id", *order).agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in about])
+    laid = materialise(once.withColumn("last", F.col("copies")).sort("conv_id", *order).withColumn("part", F.spark_partition_id()))
+    return running(laid, order, {"last": "long"}, ("copies", *about))
+
+
 def render(conversations: DataFrame, kept: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """conv_id, segment, n_messages, n_copies, rendered: the kept conversations as chat markup.
 
-    The filter and the grouping share one exchange on (conversation, segment).
+    A message goes to every segment that its copies reach, as often as it stands there.
     """
-    msgs = messages(conversations).withColumn("segment", F.expr(f"turn div {segment}"))
-    parts = (
-        msgs.select("conv_id", "segment").distinct().alias("p")
-        .join(kept.select(F.col("conv_id").alias("_c"), "n_messages", "n_copies").alias("k"), F.expr("p.conv_id <=> k._c"))
-        .select(F.coalesce("conv_id", F.lit(LEAST)).alias("_key"), F.col("segment").alias("_segment"), "n_messages", "n_copies")
+    first = F.col("last") - F.col("copies")  # number of the first copy, from 0
+    at = numbered(conversations, kept).select(
+        "*", F.explode(F.sequence(F.floor(first / segment), F.floor((F.col("last") - 1) / segment))).alias("segment")
     )
-    rows = msgs.withColumn("key", F.coalesce("conv_id", F.lit(LEAST)))
+    here = F.least("last", (F.col("segment") + 1) * segment) - F.greatest(first, F.col("segment") * segment)
+    body = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
     return (
-        rows.join(parts, (F.col("key") == F.col("_key")) & (F.col("segment") == F.col("_segment")))
-        .groupBy("key", "segment")
+        at.select("conv_id", "segment", "last", "n_messages", "n_copies", F.repeat(body, here.cast("int")).alias("body"))
+        .groupBy("conv_id", "segment")
         .agg(
-            F.first("conv_id").alias("conv_id"),
             F.first("n_messages").alias("n_messages"),
             F.first("n_copies").alias("n_copies"),
-            F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("msgs"),
-        )
-        .select(
-            "conv_id", "segment", "n_messages", "n_copies",
-            F.expr(
-                "array_join(transform(msgs, m -> concat('<|im_start|>', m.role, '\n', m.text, '<|im_end|>\n')), '')"
-            ).alias("rendered"),
+            F.array_sort(F.collect_list(F.struct("last", "body"))).alias("msgs"),
         )
+        .select("conv_id", "segment", "n_messages", "n_copies", F.array_join(F.col("msgs.body"), "").alias("rendered"))
     )
 
 
@@ -118,7 +129,9 @@ s AS (SELECT conv_id, turn, sum(c) OVER w AS n, md5(string_agg(body, ';') OVER w
       FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 e AS (SELECT n, h, min(conv_id) AS conv_id, count(*) AS n_copies FROM s WHERE turn = last GROUP BY n, h),
 k AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.n = e.n AND s.h = e.h AND s.turn < s.last))
-SELECT m.conv_id, m.turn // {SEGMENT} AS segment, CAST(any_value(k.n) AS BIGINT) AS n_messages, any_value(k.n_copies) AS n_copies,
+SELECT conv_id, segment, CAST(any_value(n) AS BIGINT) AS n_messages, any_value(n_copies) AS n_copies,
        string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
-FROM m JOIN k ON m.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY m.conv_id, m.turn // {SEGMENT}
+FROM (SELECT m.*, k.n, k.n_copies, (row_number() OVER (PARTITION BY m.conv_id ORDER BY turn, role, text) - 1) // {SEGMENT} AS segment
+      FROM m JOIN k ON m.conv_id IS NOT DISTINCT FROM k.conv_id)
+GROUP BY conv_id, segment
 """
