@@ -255,6 +255,24 @@ def test_every_file_has_a_ledger_row(spark, tmp_path):
     assert sorted(r["symbol"] for r in got.collect()) == ["A", "B", "C", "D"]
 
 
+def test_newest_rows_by_state_equal_the_batch_form(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    arrivals = [
+        [("p", "A", "2020-01-01", 1.0), ("p", "B", "2020-01-01", 2.0), (None, None, None, 3.0)],
+        [("p", "A", "2020-01-01", 5.0), ("p", "C", "2020-01-02", None)],
+        [("p", "C", "2020-01-02", 8.0), (None, None, None, 9.0), ("q", "A", "2020-01-01", 0.0)],
+    ]
+    key = lambda rows: sorted(((r["endpoint"], r["symbol"], r["date"], r["value"], r["batch"]) for r in rows), key=repr)
+    for k, rows in enumerate(arrivals):
+        spark.createDataFrame(rows, "endpoint string, symbol string, date string, value double").write.json(f"{base}/in", mode="append")
+        T.ingest_new_files(spark, f"{base}/in", f"{base}/table", f"{base}/ledger", f"{base}/state").awaitTermination()
+        # a new query each time: it knows the earlier rows from its checkpoint alone
+        T.replace_newest(spark, f"{base}/table", f"{base}/changes", f"{base}/newest").awaitTermination()
+        assert key(T.read_newest(spark, f"{base}/changes").collect()) == key(T.newest_rows(spark.read.parquet(f"{base}/table")).collect())
+        touched = spark.read.parquet(f"{base}/changes/change={k}").count()
+        assert touched == len(rows)  # only keys with new rows are written
+
+
 def test_shared_dir_is_read_from_the_session(spark):
     from types import SimpleNamespace as N
 

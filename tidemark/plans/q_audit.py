@@ -558,3 +558,26 @@ def w02(spark, sf):
     ).awaitTermination()
     newest = newest_rows(spark.read.parquet(f"{base}/table"), ("batch", "seq"))
     return newest.select("endpoint", "symbol", F.col("date").cast("string").alias("date"), "value")
+
+
+@query(
+    "w02_newest_by_state",
+    """WITH x AS (SELECT event_type AS endpoint, 'U' || user_id AS symbol, CAST(ts AS DATE) AS date, event_id, value FROM events)
+    SELECT endpoint, symbol, CAST(date AS VARCHAR) AS date, arg_max(value, event_id) AS value FROM x GROUP BY endpoint, symbol, date""",
+)
+def w02_by_state(spark, sf):
+    """Two arrivals, each streamed into the table and from there into the newest rows; the second goes on from the first one's state."""
+    from tidemark.streaming.ingest import ARRIVED, RAW, ingest_new_files, read_newest, replace_newest
+
+    base = scratch(spark, "arrivals")
+    e = S.table(spark, sf, "events").select(
+        F.col("event_type").alias("endpoint"), F.concat(F.lit("U"), "user_id").alias("symbol"), F.col("ts").cast("date").alias("date"), "value",
+        F.col("event_id").alias("seq"), (F.col("event_id") % 3 == 0).alias("early"),
+    ).repartition(4, "symbol")
+    for part in (~F.col("early"), F.col("early")):  # the later arrival has newer and older rows
+        e.filter(part).drop("early").write.mode("append").json(f"{base}/in")
+        ingest_new_files(spark, f"{base}/in", f"{base}/table", f"{base}/ledger", f"{base}/state", RAW + ", seq long").awaitTermination()
+        replace_newest(
+            spark, f"{base}/table", f"{base}/changes", f"{base}/newest", ARRIVED + ", seq long", ("seq",)
+        ).awaitTermination()
+    return read_newest(spark, f"{base}/changes").select("endpoint", "symbol", F.col("date").cast("string").alias("date"), "value")

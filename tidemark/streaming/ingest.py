@@ -16,6 +16,7 @@ from tidemark.session import materialise
 from tidemark.sources.files import listing
 
 RAW = "endpoint string, symbol string, date date, value double"
+ARRIVED = RAW + ", file string, modified timestamp, batch long"
 LEDGER = (
     "file string, bytes long, fetched timestamp, n_rows long, n_broken long, date_min date, date_max date, state string, batch long"
 )
@@ -126,3 +127,29 @@ def newest_rows(rows: DataFrame, order: tuple[str, ...] = ("batch", "file")) ->
         .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
         .select("endpoint", "symbol", "date", "_r.*")
     )
+
+
+def replace_newest(
+    spark: SparkSession, table: str, changes: str, checkpoint: str, schema: str = ARRIVED, order: tuple[str, ...] = ("batch", "file"),
+) -> StreamingQuery:
+    """Take in what is new in ``table`` and write the newest row of each key that it touches, then stop.
+
+    The newest row of every key is the state of the stream, so old rows are read once, when they arrive, and a restart goes on from
+    the checkpoint. Large states belong into the state store on disk that the session names. A row that arrives late and is older
+    than the known one leaves that one in place. One folder is written for each batch, and again if the batch is run again.
+    """
+    rows = spark.readStream.schema(schema).parquet(table)
+    newest = newest_rows(rows, order)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{changes}/change={number}")
+
+    return (
+        newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def read_newest(spark: SparkSession, changes: str) -> DataFrame:
+    """One row per key, from the last change that touched it."""
+    return newest_rows(spark.read.parquet(changes), ("change",)).drop("change")
