@@ -396,3 +396,47 @@ def test_pipeline_by_hand(spark, tmp_path):
     got = rows_of(corpus_pipeline.run(spark, str(tmp_path)), "doc_id", "piece", "length")
     enc = bpe.encoder(BYTE)
     assert got == sorted(((k, 0, len(enc.encode_ordinary(t)) + 1) for k, t in seen[3].items()), key=repr)
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = awkward(spark, True)
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    ids = [(k, 1, 0) for k in range(21)] + [(None, 1, 0), (3, 1, 0)]
+    spark.createDataFrame(ids, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    # 0, 10 and 11 are equal, as 2 and a row without id, and the empty texts; 12 is near 1, 17 near 16, which stands there twice
+    assert sorted(r.doc_id for r in got if r.piece == 0) == [1, 2, 3, 4, 5, 11, 14, 15, 16, 18, 19, 20, 20]
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in held.values():
+        end = 0
+        for offset, length in sorted(spans):
+            assert offset == end and length > 0
+            end += length
+        assert end <= 1024
+    # without labels no document is taken for good, and without documents there is nothing to pack
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (("b", docs), ("c", empty(spark))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        none.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect() == []
+
+
+def test_sample_of_the_classifier_holds_one_row_of_an_id(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, phrase(rng, 40) if k % 2 else junk(rng)) for k in range(80)]
+    rows += [(1, phrase(rng, 30)) for _ in range(200)]  # an id of most rows
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, quality int")
+    sizes = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, *rest: sizes.append((len(y), float(x.sum()), float(y.sum()))) or fit(x, y, *rest))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vectors = quality.word_vectors(docs)
+    for parts in (1, 5):
+        quality.learn(docs.repartition(parts), labels, vectors)
+    known = [k for k in range(80) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert all(n == len(known) and ones == sum(k % 2 for k in known) for n, _, ones in sizes)
+    assert abs(sizes[0][1] - sizes[1][1]) < 1e-2  # the same rows, whatever the layout

@@ -196,17 +196,21 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
     picked = materialise(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     # bounded by ``sample`` rows of two numbers, so the broadcast has a proven size
-    chosen = rows.join(F.broadcast(picked), "_id").select("text", "_id", "_y")
+    chosen = rows.join(F.broadcast(picked), "_id").select("text", "_id", "_y", F.xxhash64("text").alias("_h"))
 
     def run(batches):
         for batch in batches:
             for piece in words.pieces(batch, "text", PIECE):
                 x = pooled(piece.column(0), vectors)
                 yield pa.record_batch(
-                    [piece.column(1), piece.column(2), pa.array(list(map(bytes, x.astype("<f4"))), pa.binary())], names=["_id", "_y", "x"]
+                    [*piece.columns[1:], pa.array(list(map(bytes, x.astype("<f4"))), pa.binary())], names=["_id", "_y", "_h", "x"]
                 )
 
-    seen = sorted((r[0], r[1], bytes(r[2])) for r in chosen.mapInArrow(run, "_id long, _y double, x binary").limit(2 * sample).collect())
+    # one row for each of the sample's ids, also where rows share one: that of the text with the largest hash, in every run
+    each = chosen.mapInArrow(run, "_id long, _y double, _h long, x binary").groupBy("_id").agg(
+        F.max("_y").alias("_y"), F.max_by("x", "_h").alias("x")
+    )
+    seen = sorted((r[0], r[1], bytes(r[2])) for r in each.collect())
     x = np.array([np.frombuffer(r[2], dtype="<f4") for r in seen], dtype=np.float64).reshape(-1, FEATURES)
     return fit(x, np.array([float(r[1] > 0) for r in seen]))
 
