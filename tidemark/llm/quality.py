@@ -124,6 +124,7 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     mean = lambda x: np.add.reduceat(x, begin, axis=0) / n[some].reshape(-1, *[1] * (x.ndim - 1))
     follows = np.ones(len(at), dtype=bool)
     follows[begin] = False
+    second = follows & np.concatenate(([False], follows[:-1]))  # two words of the same document before it
     previous = np.concatenate((at[:1], at[:-1]))
     before2 = np.concatenate((at[:2], at[:-2]))[: len(at)]
     twin = np.where(follows[:, None], v[:, :DIM] * vectors[previous][:, :DIM], 0)
@@ -132,7 +133,7 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(some)), n[some])
     distinct = np.unique(owner * BUCKETS + at) // BUCKETS
     out[some] = np.column_stack([
-        m, spread, mean(twin), mean((follows & (at == previous)).astype(np.float32)), mean((at == before2).astype(np.float32)),
+        m, spread, mean(twin), mean((follows & (at == previous)).astype(np.float32)), mean((second & (at == before2)).astype(np.float32)),
         np.bincount(distinct, minlength=len(some)) / n[some], np.log1p(n[some]), np.linalg.norm(m[:, :DIM], axis=1),
     ])
     return out
