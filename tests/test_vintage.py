@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from tidemark.functions import stats
@@ -191,3 +193,20 @@ def test_evidence_and_claims(spark):
     e = spark.createDataFrame([("a", "b", "REAL", "2026-01"), ("a", "c", "NO EVENT", "2026-02"), ("a", "x", "REAL", "2026")], "subject string, party string, verdict string, stamp string")
     got = {r["party"]: r["problem"] for r in coverage.evidence_problems(s, e).collect()}
     assert got == {"c": "verdict differs", "d": "missing", "x": "extra"}
+
+
+def shuffles(df):
+    """Names of the columns that the plan of ``df`` shuffles by."""
+    return re.findall(r"hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pairs_of_edges_laid_by_subject_are_not_shuffled_again(spark):
+    e = spark.createDataFrame([(1, "A", "X", 10.0, False), (2, "A", "X", 10.0, False), (2, "B", "Y", 5.0, False), (3, "B", "Y", 9.0, True)], "rel int, subject string, party string, share double, imputed boolean")
+    cat = spark.createDataFrame([(k, f"2025-0{k}", True, True) for k in (1, 2, 3)], "rel int, month string, has_sheet boolean, has_flag boolean")
+    out = V.decompose_pairs(e.repartition(3, "subject"), cat, frame(spark, ["X"]))
+    by = shuffles(out)
+    assert not [c for c in by if "subject" in c and "party" in c and "kind" not in c], by
+    got = {r["month"]: r for r in out.collect()}
+    assert got["2025-02"]["changed"] == 1 and got["2025-02"]["build_blind_pct"] == 100.0
+    # A's link to X left and X was removed as a duplicate; B's share moved by rule
+    assert got["2025-03"]["changed"] == 2 and got["2025-03"]["method_aware_pct"] == 100.0 and got["2025-03"]["restate_blind_pct"] == 50.0
