@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -108,3 +109,21 @@ def test_null_groups_stay(spark):
     assert ordering.legs(rows, "v", "g", 5, ["g"]).count() == 3
     assert ordering.average_rank(rows, "v", ["g"]).filter("rank is null").count() == 0
     assert audit.stratified_sample(rows, "g", ["v"], 3, 1).count() == 3
+
+
+def test_sample_evaluates_its_frame_once(spark):
+    from tidemark.operators import audit
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(300).selectExpr("CASE WHEN id % 10 = 0 THEN 'a' WHEN id < 290 THEN 'b' END AS g", "id AS v").mapInPandas(passed, "g string, v long")
+    got = audit.stratified_sample(rows, "g", ["v"], 20, 7).collect()
+    assert seen.value == 300
+    drawn = {g: sorted((hashlib.md5(f"{v}|7".encode()).hexdigest(), v) for v in range(300) if (("a" if v % 10 == 0 else "b" if v < 290 else None) == g)) for g in (None, "a", "b")}
+    want = [(g, v) for g, k in ((None, 1), ("a", 2), ("b", 17)) for _, v in drawn[g][:k]]
+    assert [(r["g"], r["v"]) for r in got] == want

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.identifiers import SECRET_SHAPES
-from tidemark.operators.ordering import null_safe_join, positions
+from tidemark.operators.ordering import null_safe_join
+from tidemark.session import materialise
 
 
 def expectations(*one_row: DataFrame) -> DataFrame:
@@ -174,15 +175,19 @@ def stratified_sample(frame: DataFrame, stratum: str, key: list[str], n: int, se
 
     The draw is fixed by the seed and the keys alone; it is not any other generator's draw.
     """
-    h = F.md5(F.concat_ws("|", *key, F.lit(str(seed))))
-    x = positions(frame.withColumn("_h", h), [F.col("_h"), *[F.col(k) for k in key]], [stratum], "_i")
+    frame = materialise(frame)
+    drawn = [F.md5(F.concat_ws("|", *key, F.lit(str(seed)))), *[F.col(k) for k in key]]
+    # no stratum gives more than n rows, so each shrinks to n by pieces before one task orders what is left
+    piece = F.pmod(F.hash(*key), F.lit(64))
+    first = lambda df, *by: df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*drawn))).filter(F.col("_i") <= max(1, n))
+    x = first(first(frame, stratum, piece).drop("_i"), stratum)
     sizes = frame.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
-    total = frame.agg(F.count(F.lit(1)).alias("_total"))
+    total = sizes.agg(F.sum("_size").alias("_total"))
     take = sizes.crossJoin(F.broadcast(total)).select(
         stratum, F.greatest(F.lit(1.0), F.rint(n * F.col("_size") / F.col("_total"))).alias("_take")
     )
     kept = null_safe_join(x, take, [stratum]).filter(F.col("_i") <= F.col("_take"))
-    return kept.orderBy(stratum, "_i").limit(n).drop("_h", "_i", "_take")
+    return kept.orderBy(stratum, "_i").limit(n).drop("_i", "_take")
 
 
 def key_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
