@@ -28,3 +28,9 @@ def test_every_supplier_is_named_in_both_releases(spark):
     keys = {r["s_suppkey"] for r in S.table(spark, FOLDER, "supplier").collect()}
     want = {("O" if k % 23 == 5 else "S") + str(k) for k in keys} | {("N" if k % 5 == 2 else "S") + str(k) for k in keys}
     assert {r["entity"] for r in q_vintage.name_map(spark, FOLDER).collect()} == want
+
+
+def test_lines_of_units_are_shuffled_once(spark):
+    plan = S.units(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    # the lines by unit, and at most the parts that join them
+    assert plan.count("Exchange hashpartitioning") <= 2, plan
