@@ -325,6 +325,51 @@ def test_every_link_is_counted(spark, monkeypatch):
     assert near_join.links(empty(spark)).collect() == []
 
 
+def test_no_table_of_whole_sets_is_written(spark, monkeypatch):
+    """Who meets whom is known before the sets move, so they go from their copies to their meetings."""
+    written, before = [], near_join.materialise
+    monkeypatch.setattr(near_join, "materialise", lambda df: written.append(df.columns) or before(df))
+    docs = spark.createDataFrame(list(enumerate(family(random.Random(3), 12, 2))), "doc_id long, text string")
+    near_join.near_components(docs).collect()
+    assert written and not [c for c in written if "tokens" in c]
+    rows = [r for r in near_join.set_table(docs).collect()]
+    for r, t in zip(sorted(rows, key=lambda r: r.doc_id), sorted(docs.collect(), key=lambda r: r.doc_id)):
+        tokens = next(near_join.shingles(pa.array([t.text])))
+        assert [r[c] for c in near_join.LEAST] == [int(words.mixed(tokens ^ x).min().view(np.int64)) for x in near_join.SALTS]
+
+
+def test_marking_sets_takes_no_more_than_the_bit_table(spark, monkeypatch):
+    import tracemalloc
+
+    held = {}
+
+    class Plan:
+        def coalesce(self, n):
+            return self
+
+        def mapInArrow(self, work, schema):  # noqa: N802
+            sets = np.array([-1, 0, 5, 1 << 40], dtype=np.int64)
+            tracemalloc.start()
+            held["rows"] = [b.to_pylist() for b in work(iter([pa.record_batch([pa.array(sets)], names=["set"])]))]
+            held["most"] = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return self
+
+        def groupBy(self, key):  # noqa: N802
+            return self
+
+        def applyInArrow(self, work, schema):  # noqa: N802
+            return self
+
+        def collect(self):
+            return [(r["part"], r["bits"]) for rows in held["rows"] for r in rows]
+
+    bits = near_join.bit_table(Plan())
+    assert held["most"] < near_join.BITS // 4
+    on = {k for k in np.flatnonzero(np.unpackbits(bits)).tolist()}
+    assert on == {k % near_join.BITS for k in (-1, 0, 5, 1 << 40)}
+
+
 def test_near_edges(spark):
     got = rows_of(near_join.near_components(awkward(spark, True)), "doc_id", "n_shingles", "component_id")
     rows = awkward_rows()

@@ -14,6 +14,9 @@ A document's set is its distinct shingles; documents with the same set are one s
    Counting the tokens of a set (the query) that a group holds bounds its overlap with any member from above; only groups that reach the
    bound are opened, and there the query meets all members through their token index, chunk by chunk. Chunks of one group open each other.
 
+The minimal hashes come with the documents' sizes, so who meets whom is known before any whole set moves: only sets that meet another
+move, once to their copies and once to each of their meetings.
+
 Every link between different sets is found once, also between sets that are connected already. ``links`` gives them all. The
 documents' own counts come from the same meetings: a task adds up the links of its sets and passes on, of the links themselves, as
 many as connect the same, so that a family of k near copies moves k counts a chunk and not k * k rows. Tokens and
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import tallies, words
 from tidemark.llm.components import components
+from tidemark.llm.words import released
 from tidemark.session import counted, materialise
 
 WORDS = 5
@@ -49,6 +53,7 @@ PIECE = 256 << 10  # bytes of text that a task hashes at once
 KEYS = 8
 BITS = 1 << 26
 ODD = words.mixed(np.arange(11, 11 + WORDS, dtype=np.uint64) * words.GOLD) | np.uint64(1)
+LEAST = [f"least_{k}" for k in range(KEYS)]
 SALTS = words.mixed(np.arange(101, 101 + KEYS, dtype=np.uint64) * words.GOLD)
 
 
@@ -89,6 +94,13 @@ def prefix(tokens: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
     return rare[:most] if len(rare) >= most else np.concatenate((rare, tokens[often][: most - len(rare)]))
 
 
+def least_hashes(tokens: np.ndarray) -> np.ndarray:
+    """The ``KEYS`` minimal hashes of a set."""
+    if len(tokens) < 1 << 14:
+        return words.mixed(tokens ^ SALTS[:, None]).min(axis=1)
+    return np.array([words.mixed(tokens ^ salt).min() for salt in SALTS], dtype=np.uint64)
+
+
 def signed(tokens: np.ndarray) -> pa.Array:
     return pa.array(tokens.view(np.int64))
 
@@ -102,7 +114,7 @@ def over_sets(docs: DataFrame, work, schema: str) -> DataFrame:
                 yield from zip(piece.column(0).to_pylist(), shingles(piece.column(1)))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(lambda batches: work(rows(batches)), schema)
+    return texts.mapInArrow(released(lambda batches: work(rows(batches))), schema)
 
 
 def in_batches(rows, names: list[str], most: int = 20_000):
@@ -117,7 +129,7 @@ def in_batches(rows, names: list[str], most: int = 20_000):
 
 
 def set_table(docs: DataFrame, key: Column | None = None) -> DataFrame:
-    """doc_id, n, set of every document, and its key if there is one; the set is null without shingles."""
+    """doc_id, n, set, minimal hashes of every document, and its key if there is one; set and hashes are null without shingles."""
     carried = [] if key is None else ["key"]
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([] if key is None else [key.alias("key")])
@@ -126,14 +138,18 @@ def set_table(docs: DataFrame, key: Column | None = None) -> DataFrame:
     def work(batches):
         for batch in batches:
             for piece in words.pieces(batch, "text", PIECE):
-                sizes, sets = [], []
-                for tokens in shingles(piece.column(1)):
+                sizes, sets, least = [], [], np.zeros((piece.num_rows, KEYS), dtype=np.uint64)
+                for k, tokens in enumerate(shingles(piece.column(1))):
                     sizes.append(len(tokens))
                     sets.append(set_id(tokens) if len(tokens) else None)
-                columns = [piece.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), *piece.columns[2:]]
-                yield pa.record_batch(columns, names=["doc_id", "n", "set", *carried])
+                    if len(tokens):
+                        least[k] = least_hashes(tokens)
+                none = np.array([n == 0 for n in sizes], dtype=bool)
+                hashes = [pa.array(least[:, k].copy().view(np.int64), mask=none) for k in range(KEYS)]
+                columns = [piece.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), *hashes, *piece.columns[2:]]
+                yield pa.record_batch(columns, names=["doc_id", "n", "set", *LEAST, *carried])
 
-    return texts.mapInArrow(work, "doc_id long, n long, set long" + "".join(f", {c} binary" for c in carried))
+    return texts.mapInArrow(released(work), "doc_id long, n long, set long" + "".join(f", {c} long" for c in LEAST) + "".join(f", {c} binary" for c in carried))
 
 
 def common_tokens(docs: DataFrame) -> tuple[int, np.ndarray]:
@@ -202,14 +218,15 @@ def shared_postings(docs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def bit_table(sets: DataFrame) -> np.ndarray:
-    """Bits of the hashed set ids, or-ed over all parts: 8 MB at any size, so every task can have it."""
+    """Bits of the hashed set ids, or-ed over all parts: 8 MB at any size, so every task can have it. A task holds no more either."""
     parts, width = 64, BITS // 8 // 64
 
     def mark(batches):
-        bits = np.zeros(BITS, dtype=bool)
+        packed = np.zeros(BITS // 8, dtype=np.uint8)
         for batch in batches:
-            bits[np.asarray(batch.column(0)).view(np.uint64) % np.uint64(BITS)] = True
-        packed = np.packbits(bits).reshape(parts, width)
+            place = np.asarray(batch.column(0)).view(np.uint64) % np.uint64(BITS)
+            np.bitwise_or.at(packed, (place >> np.uint64(3)).astype(np.int64), np.right_shift(np.uint8(128), (place & np.uint64(7)).astype(np.uint8)))
+        packed = packed.reshape(parts, width)
         some = np.flatnonzero(packed.any(axis=1))
         if len(some):
             yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([packed[k].tobytes() for k in some])], names=["part", "bits"])
@@ -221,7 +238,7 @@ def bit_table(sets: DataFrame) -> np.ndarray:
         return pa.table({"part": table.column("part").slice(0, 1), "bits": pa.array([out.tobytes()])})
 
     # few, full parts: what is or-ed together is as many rows as tasks
-    marked = sets.coalesce(64).mapInArrow(mark, "part int, bits binary")
+    marked = sets.coalesce(64).mapInArrow(released(mark), "part int, bits binary")
     bits = np.zeros((parts, width), dtype=np.uint8)
     for part, row in marked.groupBy("part").applyInArrow(either, "part int, bits binary").collect():
         bits[part] = np.frombuffer(row, dtype=np.uint8)
@@ -229,7 +246,7 @@ def bit_table(sets: DataFrame) -> np.ndarray:
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set, n, keys, tokens, copies of the wanted sets (set, copies): the whole sets, and their minimal hashes."""
+    """set, tokens: the whole sets that are wanted, each once, dealt by set; sets that share a bit with a wanted one may come too."""
     bits = bit_table(wanted.select("set"))
 
     def work(rows):
@@ -241,28 +258,27 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 place = key % BITS
                 if bits[place >> 3] >> (7 - (place & 7)) & 1:
                     seen.add(key)
-                    least = np.array([words.mixed(tokens ^ salt).min() for salt in SALTS], dtype=np.uint64)
-                    keys = least.view(np.int64).tolist()
-                    yield key, len(tokens), keys, tokens.tobytes()
+                    yield key, tokens.tobytes()
 
-        yield from in_batches(kept(), ["set", "n", "keys", "tokens"], 500)
+        yield from in_batches(kept(), ["set", "tokens"], 500)
 
-    rows = over_sets(docs, work, "set long, n long, keys array<bigint>, tokens binary")
-    return materialise(rows.join(wanted.hint("merge"), "set").dropDuplicates(["set"]))
+    return over_sets(docs, work, "set long, tokens binary").dropDuplicates(["set"])
 
 
 def grouped(sets: DataFrame) -> DataFrame:
-    """set, n, key, chunk, grp: every set in the group of the minimal hash that most sets share with it, and its chunk there."""
-    keyed = sets.select("set", "n", F.posexplode("keys").alias("k", "v")).select("set", "n", F.xxhash64("k", "v").alias("key"))
+    """set, n, copies, key, chunk, grp: every set in the group of the minimal hash that most sets share with it, and its chunk there."""
+    keyed = sets.select("set", "n", "copies", F.posexplode(F.array(*LEAST)).alias("k", "v")).select("set", "n", "copies", F.xxhash64("k", "v").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     # a third of all sets may share a key: the sets' side of this join can be split
     chosen = keyed.join(sizes, "key").groupBy("set").agg(
-        F.first("n").alias("n"), F.max_by("key", F.struct("size", "key")).alias("key")
+        F.first("n").alias("n"), F.first("copies").alias("copies"), F.max_by("key", F.struct("size", "key")).alias("key")
     )
     chosen = materialise(chosen)
     taken = chosen.groupBy("key").agg(F.count(F.lit(1)).alias("taken"))
     chunk = F.expr(f"pmod(xxhash64(set), 1 + taken div {CHUNK})")
-    return materialise(chosen.join(taken, "key").select("set", "n", "key", chunk.alias("chunk")).withColumn("grp", F.xxhash64("key", "chunk")))
+    return materialise(
+        chosen.join(taken, "key").select("set", "n", "copies", "key", chunk.alias("chunk")).withColumn("grp", F.xxhash64("key", "chunk"))
+    )
 
 
 class TokenIndex:
@@ -316,22 +332,7 @@ class Meetings:
 
 
 MET = "set long, other long, n long"
-
-
-def inside_groups(sets: DataFrame, groups: DataFrame, every: bool) -> DataFrame:
-    """set, other, n: the links within each chunk."""
-
-    def work(table: pa.Table) -> pa.Table:
-        tokens, found = arrays(table.column("tokens")), Meetings(table, every)
-        index = TokenIndex(tokens)
-        for k, query in enumerate(tokens):
-            others = index.linked(query)
-            found.add(k, others[others > k])
-        return found.table()
-
-    several = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("grp")
-    met = groups.join(several, "grp").select("set", "grp").join(sets.select("set", "copies", "tokens"), "set")
-    return met.groupBy("grp").applyInArrow(work, MET)
+INSIDE, QUERY, MEMBER = 0, 1, 2  # roles in a meeting: of a chunk's own sets, and of a query and those that it meets
 
 
 def apart(rows: DataFrame) -> DataFrame:
@@ -362,46 +363,55 @@ def queries(rows: DataFrame, placed: DataFrame) -> DataFrame:
     return into.union(own).join(chunks, "key").filter((F.col("chunk") > F.col("after")) & (lo <= hi)).select("set", "grp")
 
 
-def opened(asked: DataFrame, placed: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
-    """set, other, n: the links between the queries and the members of their groups. A group's queries are dealt into blocks;
-    each block has all members.
+def places(placed: DataFrame, asked: DataFrame) -> DataFrame:
+    """set, copies, grp, block, role: the sets of each meeting. Block -1 of a chunk is the chunk itself, if it has several sets. A chunk's
+    queries are dealt into blocks from 0 on; each of these has all members.
     """
+    several = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("grp")
+    inside = placed.join(several, "grp").select("set", "copies", "grp", F.lit(-1).cast("long").alias("block"), F.lit(INSIDE).alias("role"))
+    counts = asked.groupBy("grp").agg((1 + F.floor(F.count(F.lit(1)) / CHUNK)).alias("blocks"))
+    block = F.expr("pmod(xxhash64(set), blocks)")
+    asking = asked.join(counts, "grp").select("set", "copies", "grp", block.alias("block"), F.lit(QUERY).alias("role"))
+    answering = placed.join(counts, "grp").select(
+        "set", "copies", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(MEMBER).alias("role")
+    )
+    return inside.union(asking).union(answering)
+
+
+def met(rows: DataFrame, every: bool) -> DataFrame:
+    """set, other, n: the links of each meeting. ``rows``: of ``places`` with tokens."""
 
     def work(table: pa.Table) -> pa.Table:
-        query = np.asarray(table.column("query").combine_chunks().to_numpy(zero_copy_only=False))
-        tokens, found, members = arrays(table.column("tokens")), Meetings(table, every), np.flatnonzero(~query)
+        role = np.asarray(table.column("role").combine_chunks())
+        tokens, found = arrays(table.column("tokens")), Meetings(table, every)
+        members = np.flatnonzero(role != QUERY)
         if len(members):
             index = TokenIndex([tokens[k] for k in members])
-            for k in np.flatnonzero(query):
-                found.add(k, members[index.linked(tokens[k])])
+            for k in np.flatnonzero(role != MEMBER):
+                others = members[index.linked(tokens[k])]
+                found.add(k, others[others > k] if role[k] == INSIDE else others)
         return found.table()
 
-    counts = asked.groupBy("grp").agg((1 + F.floor(F.count(F.lit(1)) / CHUNK)).alias("blocks"))
-    block = F.expr("pmod(xxhash64(set), blocks)")
-    asking = asked.join(counts, "grp").select("grp", block.alias("block"), "set", F.lit(True).alias("query"))
-    answering = placed.join(counts, "grp").select(
-        "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "set", F.lit(False).alias("query")
-    )
-    rows = asking.union(answering).join(sets.select("set", "copies", "tokens"), "set")
     return rows.groupBy("grp", "block").applyInArrow(work, MET)
 
 
 def copies_of(table: DataFrame) -> DataFrame:
-    """set, n, copies, least: size, documents and smallest doc_id of every set."""
+    """set, n, copies, least: size, documents and smallest doc_id of every set; and its minimal hashes."""
     return table.filter("set IS NOT NULL").groupBy("set").agg(
-        F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")
+        F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in LEAST]
     )
 
 
 def meetings(docs: DataFrame, table: DataFrame, every: bool) -> DataFrame:
     """set, other, n: see ``Meetings``; every link between different sets is met once. ``table``: of ``copies_of``."""
     shared = shared_postings(docs, table)
-    sets = token_sets(docs, table.select("set", "copies").join(shared.select("set").distinct(), "set", "left_semi"))
-    placed = grouped(sets)
+    placed = grouped(materialise(table.join(shared.select("set").distinct(), "set", "left_semi")))
     # what is known of a set is joined to its postings once
     rows = materialise(shared.join(placed, "set").select("token", "set", "n", "key"))
-    asked = materialise(queries(apart(rows), placed))
-    return materialise(inside_groups(sets, placed, every).union(opened(asked, placed, sets, every)))
+    asked = queries(apart(rows), placed).join(placed.select("set", "copies"), "set")
+    found = materialise(places(placed, materialise(asked)))
+    # each set moves to its copies and, from there, to its meetings: no table of whole sets is written
+    return materialise(met(token_sets(docs, found).join(found.hint("merge"), "set"), every))
 
 
 def links(docs: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import words
+from tidemark.llm.words import released
 
 CHUNK = 1_200_000
 MASS = 1 << 25
@@ -133,7 +134,7 @@ def survivors(rows: DataFrame, parts: int, threshold: int, bounded: bool = True)
 
     # by the number itself: a hash would deal several partitions to one task and none to others
     dealt = rows.repartitionById(parts, "part").sortWithinPartitions("part", rows["mass"].isNull())
-    return dealt.select("part", "mass", "items", "counts").mapInArrow(work, "part int, items binary")
+    return dealt.select("part", "mass", "items", "counts").mapInArrow(released(work), "part int, items binary")
 
 
 def places(part: np.ndarray, low: np.ndarray, bits: int):
@@ -166,7 +167,7 @@ def bit_table(found: DataFrame, bits: int) -> np.ndarray:
         return pa.table({"slice": table.column("slice").slice(0, 1), "bits": pa.array([out.tobytes()])})
 
     # few, full parts: a slice is or-ed over as many rows as tasks
-    marked = found.coalesce(SLICES).mapInArrow(mark, "slice int, bits binary")
+    marked = found.coalesce(SLICES).mapInArrow(released(mark), "slice int, bits binary")
     out = np.zeros((SLICES, width), dtype=np.uint8)
     for k, row in marked.groupBy("slice").applyInArrow(either, "slice int, bits binary").toLocalIterator():
         out[k] = np.frombuffer(row, dtype=np.uint8)
@@ -189,7 +190,7 @@ def candidates(docs: DataFrame, hashes: Callable, parts: int, threshold: int, bi
     def work(batches):
         yield from packed((h for batch in batches for h in hashes(batch)), parts)
 
-    rows = docs.mapInArrow(work, "part int, mass long, items binary, counts binary")
+    rows = docs.mapInArrow(released(work), "part int, mass long, items binary, counts binary")
     return bit_table(survivors(rows, parts, threshold, bounded), bits)
 
 

@@ -92,3 +92,19 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def released(work):
+    """``work`` for mapInArrow; what the worker no longer uses goes back to the system after each batch, where Arrow would keep it."""
+
+    def spent(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    def run(batches):
+        yield from work(spent(batches))
+        pa.default_memory_pool().release_unused()
+
+    return run
