@@ -78,6 +78,37 @@ def test_counts_and_round_trip(spark, library, clash):
     assert got == sorted(want, key=repr)
 
 
+def test_words_meet_in_one_exchange(spark):
+    plan = bpe_words.encode_and_decode(awkward(spark), BYTE, 20_000)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(word#", plan)) == 1, plan
+
+
+def test_ids_go_back_packed_also_if_memory_overflows(monkeypatch):
+    monkeypatch.setattr(bpe_words, "MEMORY", 2)
+    monkeypatch.setattr(bpe_words, "HELD", 3)
+
+    class Dealt:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, work, schema):  # noqa: N802
+            return work
+
+    words_ = [" word", "aaaa", "\u00e9\u4e2d", "<|endoftext|>", " word", "", "aaaa"]
+    batch = pa.record_batch([pa.array([1, 2, 1, 1, 2, 2, 1], pa.int32()), pa.array([4, 0, 2, 9, 7, 3, 1], pa.int32()), pa.array(words_)], names=["block", "place", "word"])
+    out = pa.Table.from_batches(list(bpe_words.packed_ids(Dealt(), BYTE)(iter([batch.slice(0, 4), batch.slice(4)]))))
+    code = bpe_words.coder(BYTE)
+    for block in (1, 2):
+        some = out.take(pa.array([k for k, b in enumerate(out.column("block").to_pylist()) if b == block]))
+        got = sorted(bpe_words.unpacked(some))
+        assert got == sorted((p, code(w)[0], None) for b, p, w in zip(*(c.to_pylist() for c in batch.columns)) if b == block)
+    assert code("<|endoftext|>") == ([bpe.specials(BYTE)["<|endoftext|>"]], b"<|endoftext|>")
+    # a word that does not decode to itself keeps what it decodes to
+    monkeypatch.setattr(bpe_words, "coder", lambda path: lambda word: ([7, 8], word.encode() + b"!" if word == "aaaa" else word.encode()))
+    out = pa.Table.from_batches(list(bpe_words.packed_ids(Dealt(), BYTE)(iter([batch.slice(0, 2)]))))
+    assert sorted(bpe_words.unpacked(out)) == [(0, [7, 8], b"aaaa!"), (4, [7, 8], None)]
+
+
 def test_no_documents(spark):
     assert token_counts.token_counts(empty(spark), WORD).collect() == []
     assert bpe_words.encode_and_decode(empty(spark), BYTE).collect() == []

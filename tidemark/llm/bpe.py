@@ -37,6 +37,12 @@ def specials(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in vocabulary(path)["added_tokens"]}
 
 
+@functools.cache
+def pieces_by_id(path: str) -> dict[int, bytes]:
+    """What each id of a byte-level file decodes to, special strings among them."""
+    return {**{i: p for p, i in pieces(path).items()}, **{i: s.encode() for s, i in specials(path).items()}}
+
+
 @functools.cache
 def encoder(path: str):
     """An encoder for a byte-level file whose ids are its merge ranks. Special strings become their ids."""

@@ -6,10 +6,9 @@ same exchange. Words are encoded once each:
 * the ``FREQUENT`` most frequent words of the corpus (counted over all documents) are encoded first, and every task gets that
   table, whose size is bounded;
 * of the others, each block gives its distinct words with their place in the block's word list. They meet in one exchange by
-  word, each distinct one is encoded once, and its ids go back by block and place.
+  word, each distinct one is encoded once (its part keeps ``MEMORY`` of them), and its ids go back by block and place, packed.
 
-Decoding joins the ids of the distinct words with the id-to-piece table (as large as the vocabulary, a proven bound for its
-broadcast). In the block, the ids and decoded pieces of a document are put together by position. Byte-level merging never
+Decoding joins the ids of each distinct word with the id-to-piece table, as large as the vocabulary, which every worker has. In the block, the ids and decoded pieces of a document are put together by position. Byte-level merging never
 crosses a word, so the ids of a text are those of its words in order.
 
 Defined cases: a null text is empty; special strings in a text are words of their own with their special id; repeated rows
@@ -28,12 +27,19 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
 from tidemark.llm.splitting import byte_words
+from tidemark.llm.words import released
 from tidemark.session import materialise
 
 BLOCK_BYTES = 32 << 20
 FREQUENT = 200_000
+MEMORY = 400_000  # distinct words whose ids a part keeps at a time
+HELD = 500_000  # words of a part whose ids wait to be packed
 OFTEN = 8  # times in one part before a word is counted for the frequent ones
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+PACKED = pa.schema([
+    ("block", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("numbers", pa.binary()),
+    ("pieces", pa.list_(pa.struct([("place", pa.int32()), ("piece", pa.binary())]))),
+])
 DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 
@@ -66,7 +72,7 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 yield pa.record_batch([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
 
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return rows.select(block.alias("block"), "doc_id", "text").mapInArrow(run, "block int, docs binary").repartition(n, "block")
+    return rows.select(block.alias("block"), "doc_id", "text").mapInArrow(released(run), "block int, docs binary").repartition(n, "block")
 
 
 def opened(column: pa.Array):
@@ -94,7 +100,7 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
                 seen.clear()
         yield often()
 
-    return plain(docs).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return plain(docs).mapInArrow(released(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, path: str) -> dict[str, tuple[int, str, bytes]]:
@@ -103,25 +109,74 @@ def frequent_words(docs: DataFrame, path: str) -> dict[str, tuple[int, str, byte
     return {r[0]: (len(r[1]), ",".join(map(str, r[1])), bytes(r[2])) for r in encoded(words, path).collect()}
 
 
+def coder(path: str):
+    """From a word to its ids, and the bytes that those ids stand for."""
+    enc, special, piece = bpe.encoder(path), bpe.specials(path), bpe.pieces_by_id(path)
+
+    def code(word: str) -> tuple[list[int], bytes]:
+        ids = [special[word]] if word in special else enc.encode_ordinary(word)
+        return ids, b"".join([piece[i] for i in ids])
+
+    return code
+
+
 def encoded(words: DataFrame, path: str) -> DataFrame:
-    """word, ids, piece of distinct words: their ids, and the bytes that those ids stand for."""
+    """word, ids, piece of distinct words."""
 
     def run(batches):
-        enc, special = bpe.encoder(path), bpe.specials(path)
+        code = coder(path)
         for batch in batches:
-            ids = [[special[w]] if w in special else enc.encode_ordinary(w) for w in batch.column(0).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            ids, pieces = zip(*map(code, batch.column(0).to_pylist())) if batch.num_rows else ((), ())
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(pieces, pa.binary())], names=["word", "ids", "piece"])
+
+    return words.mapInArrow(released(run), "word string, ids array<int>, piece binary")
+
 
-    every = {**{i: p for p, i in bpe.pieces(path).items()}, **{i: s.encode() for s, i in bpe.specials(path).items()}}
-    id_to_piece = words.sparkSession.createDataFrame(list(every.items()), "id int, bytes binary")
-    return (
-        words.mapInArrow(run, "word string, ids array<int>")
-        .select("word", F.posexplode("ids").alias("pos", "id"))
-        .join(F.broadcast(id_to_piece), "id")
-        .groupBy("word")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "id", F.hex("bytes").alias("h")))).alias("parts"))
-        .select("word", F.col("parts.id").alias("ids"), F.unhex(F.array_join(F.col("parts.h"), "")).alias("piece"))
-    )
+def packed_ids(dealt: DataFrame, path: str) -> DataFrame:
+    """block, n, size, numbers, pieces: of the words of a part that a block asks for, their places, numbers of ids and ids in one packed
+    column, and what they decode to where that is not the word itself. ``dealt``: block, place, word, dealt by word.
+    """
+
+    def pack(block: int, rows: list):
+        places, ids, pieces = zip(*rows)
+        numbers = np.concatenate([np.array(places, dtype=np.int32), np.array([len(i) // 4 for i in ids], dtype=np.int32), np.frombuffer(b"".join(ids), dtype=np.int32)])
+        odd = [{"place": p, "piece": x} for p, x in zip(places, pieces) if x is not None]
+        return block, len(rows), len(numbers), pa.compress(numbers.tobytes(), "zstd", asbytes=True), odd
+
+    def packs(held: dict):
+        columns = zip(*(pack(block, rows) for block, rows in held.items()))
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, PACKED.types)], schema=PACKED)
+
+    def run(batches):
+        code, known, held, size = coder(path), {}, {}, 0
+        for batch in batches:
+            for block, place, word in zip(*(c.to_pylist() for c in batch.columns)):
+                found = known.get(word)
+                if found is None:
+                    if len(known) >= MEMORY:
+                        known.clear()
+                    ids, piece = code(word)
+                    found = known[word] = np.array(ids, dtype=np.int32).tobytes(), None if piece == word.encode() else piece
+                held.setdefault(block, []).append((place, *found))
+            size += batch.num_rows
+            if size >= HELD:
+                yield packs(held)
+                held, size = {}, 0
+        if held:
+            yield packs(held)
+
+    return dealt.select("block", "place", "word").mapInArrow(released(run), "block int, n int, size int, numbers binary, pieces array<struct<place: int, piece: binary>>")
+
+
+def unpacked(table: pa.Table):
+    """place, ids, piece of the words of ``packed_ids``."""
+    for n, size, numbers, odd in zip(*(table.column(c) for c in ("n", "size", "numbers", "pieces"))):
+        n = n.as_py()
+        every = np.frombuffer(pa.decompress(numbers.as_buffer(), 4 * size.as_py(), "zstd"), dtype=np.int32)
+        pieces = {x["place"]: x["piece"] for x in odd.as_py()}
+        places, ends, ids = every[:n].tolist(), np.cumsum(every[n : 2 * n]).tolist(), every[2 * n :].tolist()
+        for place, start, end in zip(places, [0, *ends], ends):
+            yield place, ids[start:end], pieces.get(place)
 
 
 def rare_words(placed: DataFrame, known, path: str) -> DataFrame:
@@ -141,7 +196,7 @@ def rare_words(placed: DataFrame, known, path: str) -> DataFrame:
                 places = pa.array(range(k, k + len(part)), pa.int32())
                 yield pa.record_batch([pa.array([block] * len(part), pa.int32()), places, pa.array(part, pa.string())], names=["block", "place", "word"])
 
-    return placed.mapInArrow(run, "block int, place int, word string")
+    return placed.mapInArrow(released(run), "block int, place int, word string")
 
 
 def assemble(known, path: str):
@@ -152,8 +207,7 @@ def assemble(known, path: str):
         split = [split_words(t.as_py(), path) for t in docs.column("text")]
         rare = sorted(set().union(*split) - known.value.keys())
         every = dict(known.value)
-        columns = (table.column(c).to_pylist() for c in ("place", "ids", "piece"))
-        for place, ids, piece in zip(*columns):
+        for place, ids, piece in unpacked(table):
             every[rare[place]] = (len(ids), ",".join(map(str, ids)), rare[place].encode() if piece is None else piece)
         out = [[], [], []]
         for words in split:
@@ -176,10 +230,6 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_
     known = spark.sparkContext.broadcast(frequent_words(docs, tokenizer))  # at most FREQUENT words
     placed = in_blocks(docs, block_bytes)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # one exchange by word: its distinct words are encoded, and its rows get their ids
-    dealt = rare_words(placed, known, tokenizer).repartition(n, "word")
-    table = encoded(dealt.dropDuplicates(["word"]).select("word", "block", "place"), tokenizer)
-    # what a word decodes to goes back only where it is not the word itself
-    piece = F.when(F.col("piece") != F.encode("word", "utf-8"), F.col("piece")).alias("piece")
-    back = dealt.join(table.hint("merge"), "word").select("block", "place", "ids", piece)
+    # one exchange by word: each of its words is encoded in its part, and the ids go straight back
+    back = packed_ids(rare_words(placed, known, tokenizer).repartition(n, "word"), tokenizer)
     return placed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble(known, tokenizer), SCHEMA)
