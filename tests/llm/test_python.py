@@ -109,6 +109,19 @@ def test_ids_go_back_packed_also_if_memory_overflows(monkeypatch):
     assert sorted(bpe_words.unpacked(out)) == [(0, [7, 8], b"aaaa!"), (4, [7, 8], None)]
 
 
+def test_arrow_memory_goes_back_after_each_batch(monkeypatch):
+    back = []
+
+    class Pool:
+        def release_unused(self):
+            back.append(len(seen))
+
+    seen = []
+    monkeypatch.setattr(words.pa, "default_memory_pool", Pool)
+    out = list(words.released(lambda batches: (seen.append(b) or b for b in batches))(iter("abc")))
+    assert out == seen == list("abc") and back == [1, 2, 3, 3]
+
+
 def test_no_documents(spark):
     assert token_counts.token_counts(empty(spark), WORD).collect() == []
     assert bpe_words.encode_and_decode(empty(spark), BYTE).collect() == []

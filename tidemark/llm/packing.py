@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
+from tidemark.llm.words import released
 from tidemark.session import materialise
 
 END_ID = 2
@@ -59,7 +60,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 1024) -> DataFrame
             out.insert(5, [part] * len(out[0]))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), PIECE)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -123,7 +124,7 @@ def place(pieces: DataFrame, plan: list[tuple[int, int, int, int, int]], size: i
             )
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return pieces.mapInArrow(run, schema)
+    return pieces.mapInArrow(released(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024) -> DataFrame:

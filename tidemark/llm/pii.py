@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
+from tidemark.llm.words import released
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("local_phone", "spoken_email", "iban", "secret")
@@ -310,7 +311,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), *map(pa.array, out, kinds)], names=names)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), schema)
 
 
 def masked(text: str, weights: dict[str, float]) -> str:
@@ -340,4 +341,4 @@ def redact(docs: DataFrame) -> DataFrame:
                     piece = piece.set_column(size, batch.schema.field(size), pa.array(counts, batch.schema.field(size).type))
                 yield piece
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

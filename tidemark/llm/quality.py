@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
+from tidemark.llm.words import released
 from tidemark.session import materialise
 
 BUCKETS = 1 << 14
@@ -94,7 +95,7 @@ def neighbour_sums(docs: DataFrame) -> DataFrame:
                 total += np.frombuffer(x.as_py(), dtype="<f4")
         yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["chunk", "sums"])
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "chunk int, sums binary")
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(released(run), "chunk int, sums binary")
     return parts.groupBy("chunk").applyInArrow(add, "chunk int, sums binary")
 
 
@@ -208,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
                 )
 
     # one row for each of the sample's ids, also where rows share one: that of the text with the largest hash, in every run
-    each = chosen.mapInArrow(run, "_id long, _y double, _h long, x binary").groupBy("_id").agg(
+    each = chosen.mapInArrow(released(run), "_id long, _y double, _h long, x binary").groupBy("_id").agg(
         F.max("_y").alias("_y"), F.max_by("x", "_h").alias("x")
     )
     seen = sorted((r[0], r[1], bytes(r[2])) for r in each.collect())
@@ -228,7 +229,7 @@ def score(docs: DataFrame, vectors: np.ndarray, model: dict[str, np.ndarray], ke
                 )
 
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(released(run), "doc_id long, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: float = 0.7, sample: int = SAMPLE) -> DataFrame:
@@ -250,4 +251,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = 0.7, sample: int
                 good = scores(pooled(piece.column(at), vectors), model) >= keep
                 yield piece.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
