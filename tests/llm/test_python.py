@@ -2,7 +2,10 @@
 
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +14,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.helpers import awkward, awkward_rows, empty, near_groups, phrase, rows_of, sha, shingle_set
-from tidemark.llm import bpe, bpe_words, components, near_join, packing, pii, quality, token_counts, words
+from tidemark.llm import bpe, bpe_words, components, near_join, packing, pii, quality, tallies, token_counts, words
 from tidemark.llm.queries import BYTE_BPE, WORD_BPE, vocabulary
 
 BYTE, WORD = vocabulary(BYTE_BPE), vocabulary(WORD_BPE)
+ROOT = Path(__file__).resolve().parents[2]
 
 
 @pytest.fixture(scope="module")
@@ -122,6 +126,46 @@ def test_arrow_memory_goes_back_after_each_batch(monkeypatch):
     assert out == seen == list("abc") and back == [1, 2, 3, 3]
 
 
+def test_numpy_memory_goes_back_after_each_batch():
+    """In a process of its own: 64 MB of small arrays are freed below one that stays."""
+    code = """
+import re
+import numpy as np
+from tidemark.llm import words
+def held():
+    return int(re.search(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+def work(batches):
+    global last
+    for _ in batches:
+        arrays = [np.ones(64 << 10, dtype=np.uint8) for _ in range(1024)]
+        last = arrays[-1]
+        print(held())
+        del arrays
+        yield
+before = held()
+at = words.released(work)(iter(range(2)))
+next(at), next(at)
+list(at)
+print(before, held())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split()
+    first, second, before, after = map(int, out)
+    assert min(first, second) >= before + 60 and max(first, second) < before + 100 and after < before + 16
+
+
+def test_counted_items_are_marked_by_the_workers_that_count(spark, monkeypatch):
+    """No task has two Python steps, and all frequent items are marked."""
+    rare, often = (words.mixed(np.arange(a, a + 500, dtype=np.uint64)) for a in (0, 10_000))
+    rows = spark.createDataFrame([(h.tobytes(),) for h in (rare, *[often] * 4)], "hashes binary").repartition(3)
+    plans, frame = [], type(rows)
+    local = frame.toLocalIterator
+    monkeypatch.setattr(frame, "toLocalIterator", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or local(df))
+    table = tallies.candidates(rows, lambda batch: (np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column(0)), 70, 4, 1 << 20, bounded=False)
+    assert tallies.may_be_frequent(often, 70, table).tolist() == list(range(500)) and len(tallies.may_be_frequent(rare, 70, table)) < 50
+    steps = [x for line in plans[0].split("Initial Plan")[0].splitlines() for x in ("MapInArrow", "Exchange") if x in line.split("(")[0]]
+    assert steps.count("MapInArrow") == 2 and ("MapInArrow", "MapInArrow") not in list(zip(steps, steps[1:]))
+
+
 def test_no_documents(spark):
     assert token_counts.token_counts(empty(spark), WORD).collect() == []
     assert bpe_words.encode_and_decode(empty(spark), BYTE).collect() == []

@@ -237,7 +237,7 @@ def marked(keys: DataFrame) -> np.ndarray:
             h = np.asarray(batch.column(0)).view(np.uint64)
             yield pa.record_batch([pa.array([0], pa.int32()), pa.array([(h & tallies.LOW).astype(np.uint32).tobytes()])], names=["part", "items"])
 
-    return tallies.bit_table(keys.mapInArrow(pack, "part int, items binary"), KEY_BITS)
+    return tallies.bit_table(keys, pack, KEY_BITS)
 
 
 def results(doc_id: pa.Array, texts: pa.Array, runs: pa.Array | None, whole: bool) -> pa.RecordBatch:

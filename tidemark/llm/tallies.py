@@ -105,8 +105,9 @@ class Summary:
         return (self.entries[often] >> np.uint64(32)).astype(np.uint32)
 
 
-def survivors(rows: DataFrame, parts: int, threshold: int, bounded: bool = True) -> DataFrame:
-    """part, items (packed) of the items that may occur ``threshold`` times. ``rows``: of ``packed``.
+def survivors(rows: DataFrame, parts: int, threshold: int, bounded: bool = True) -> tuple[DataFrame, Callable]:
+    """``rows`` (of ``packed``) dealt by partition, and what makes part, items (packed) of the items that may occur ``threshold`` times
+    from their batches.
 
     Without a bound, a partition keeps a counter for each item, ``MASS`` at most or so; low thresholds gain nothing from one.
     """
@@ -134,7 +135,7 @@ def survivors(rows: DataFrame, parts: int, threshold: int, bounded: bool = True)
 
     # by the number itself: a hash would deal several partitions to one task and none to others
     dealt = rows.repartitionById(parts, "part").sortWithinPartitions("part", rows["mass"].isNull())
-    return dealt.select("part", "mass", "items", "counts").mapInArrow(released(work), "part int, items binary")
+    return dealt.select("part", "mass", "items", "counts"), work
 
 
 def places(part: np.ndarray, low: np.ndarray, bits: int):
@@ -145,13 +146,17 @@ def places(part: np.ndarray, low: np.ndarray, bits: int):
         yield (item + np.uint64(k) * step) & np.uint64(bits - 1)
 
 
-def bit_table(found: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the survivors, or-ed over all partitions: bits / 8 bytes at any size of the corpus, so every task can have it."""
+def bit_table(rows: DataFrame, found: Callable, bits: int) -> np.ndarray:
+    """Bits of the survivors, or-ed over all partitions: bits / 8 bytes at any size of the corpus, so every task can have it.
+
+    ``found`` makes part, items of the survivors from batches of ``rows``. The same worker marks them: with a step of its own for each,
+    a task would have two workers, and an executor keeps all that it ever started.
+    """
     width = bits // 8 // SLICES
 
     def mark(batches):
         table = np.zeros(bits // 8, dtype=np.uint8)
-        for batch in batches:
+        for batch in found(batches):
             for part, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 low = np.frombuffer(items, dtype=np.uint32)
                 for at in places(np.full(len(low), part), low, bits):
@@ -167,7 +172,7 @@ def bit_table(found: DataFrame, bits: int) -> np.ndarray:
         return pa.table({"slice": table.column("slice").slice(0, 1), "bits": pa.array([out.tobytes()])})
 
     # few, full parts: a slice is or-ed over as many rows as tasks
-    marked = found.coalesce(SLICES).mapInArrow(released(mark), "slice int, bits binary")
+    marked = rows.coalesce(SLICES).mapInArrow(released(mark), "slice int, bits binary")
     out = np.zeros((SLICES, width), dtype=np.uint8)
     for k, row in marked.groupBy("slice").applyInArrow(either, "slice int, bits binary").toLocalIterator():
         out[k] = np.frombuffer(row, dtype=np.uint8)
@@ -191,7 +196,7 @@ def candidates(docs: DataFrame, hashes: Callable, parts: int, threshold: int, bi
         yield from packed((h for batch in batches for h in hashes(batch)), parts)
 
     rows = docs.mapInArrow(released(work), "part int, mass long, items binary, counts binary")
-    return bit_table(survivors(rows, parts, threshold, bounded), bits)
+    return bit_table(*survivors(rows, parts, threshold, bounded), bits)
 
 
 def partitions(docs: DataFrame, mass: int) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +15,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK = 1 << 16
+LIBC = ctypes.CDLL(None)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -94,17 +97,24 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         start = stop
 
 
+def give_back() -> None:
+    """What Arrow's pool and the C library's heap, which holds numpy's arrays, keep of freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):  # of glibc only
+        LIBC.malloc_trim(0)
+
+
 def released(work):
-    """``work`` for mapInArrow; what the worker no longer uses goes back to the system after each batch, where Arrow would keep it."""
+    """``work`` for mapInArrow; what the worker no longer uses goes back to the system after each batch, where it would keep it."""
 
     def spent(batches):
         for batch in batches:
             yield batch
             del batch
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     def run(batches):
         yield from work(spent(batches))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
