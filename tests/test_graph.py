@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -159,3 +160,56 @@ def test_entrant_split_of_published_cases(spark):
     got = {r["firm"]: (r["mw_part_1"], r["mw_part_2"], r["mw_part_3"], r["adds_up"]) for r in out.collect()}
     assert got == {"e1": (150.0, 0.0, 0.0, True), "e2": (0.0, 48.0, 0.0, True), "e3": (0.0, 20.0, 0.0, True), "e4": (0.0, 0.0, 15.0, True),
                    "e5": (175.0, 0.0, 10.0, True)}
+
+
+def split_brute(mw, old_units, old_holders, owners, listed_old):
+    """firm: mw, units, units carried, units of part 1 and the three parts, row by row."""
+    out, add = {}, lambda a, b: a if b is None else b + (a or 0.0)
+    for firm, unit, x in mw:
+        carried = unit is not None and unit in old_units
+        above = {h for f, h in owners if f == firm and h != firm and h is not None}
+        under = firm is not None and firm not in listed_old and any(h in above for u, h in old_holders if u == unit)
+        part = 3 if not carried else 1 if under else 2
+        r = out.setdefault(firm, [None, 0, 0, 0, None, None, None])
+        r[0], r[1], r[2], r[3] = add(r[0], x), r[1] + 1, r[2] + carried, r[3] + (part == 1)
+        for p in (1, 2, 3):
+            r[3 + p] = add(r[3 + p], x if p == part else 0.0)
+    return {f: tuple(r) for f, r in out.items()}
+
+
+@pytest.mark.parametrize("a_row", [1_000, 2])
+def test_entrant_split_equals_brute_force_with_nulls_and_repeats(spark, monkeypatch, a_row):
+    monkeypatch.setattr(X, "HOLDERS_A_ROW", a_row, raising=False)  # sets of several rows, too
+    rng = random.Random(7)
+    firms, holders, units = [None, *(f"f{i}" for i in range(9))], [None, *(f"h{i}" for i in range(14)), "f1", "f2"], [None, *(f"u{i}" for i in range(12))]
+    mw = [(rng.choice(firms), rng.choice(units), rng.choice([None, 1.0, 2.0, 8.0])) for _ in range(120)]
+    old_units = [rng.choice(units[:9]) for _ in range(20)]
+    old_holders = [(rng.choice(units), rng.choice(holders)) for _ in range(45)]
+    owners, listed = [(rng.choice(firms), rng.choice(holders)) for _ in range(40)], [None, "f3", "f3", "f8"]
+    frame = spark.createDataFrame
+    out = X.split_entrants(
+        frame(mw, "firm string, unit string, mw double"), frame([(u,) for u in old_units], "unit string"),
+        frame(old_holders, "unit string, holder string"), frame(owners, "firm string, holder string"), frame([(f,) for f in listed], "firm string"),
+    )
+    columns = ["mw", "units", "units_carried", "units_part_1", "mw_part_1", "mw_part_2", "mw_part_3"]
+    want = split_brute(mw, old_units, old_holders, owners, listed)
+    assert {r["firm"]: tuple(r[c] for c in columns) for r in out.collect()} == want
+    assert any(r[3] for r in want.values()) and any(r[2] > r[3] for r in want.values())
+
+
+def test_entrants_and_holders_that_only_share_a_unit_make_no_rows(spark):
+    frame = spark.createDataFrame
+    firms, holders, units = [f"f{i}" for i in range(30)], [f"h{i}" for i in range(40)], [f"u{i}" for i in range(5)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = X.split_entrants(
+            frame([(f, u, 1.0) for f in firms for u in units], "firm string, unit string, mw double"), frame([(u,) for u in units], "unit string"),
+            frame([(u, h) for u in units for h in holders], "unit string, holder string"),
+            frame([("f0", "h0"), ("f1", "x")], "firm string, holder string"), frame([], "firm string"),
+        )
+        assert {r["firm"]: r["units_part_1"] for r in out.collect()} == {f: 5 * (f == "f0") for f in firms}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # 6,000 pairs share a unit; nothing is dealt by or joined on an entrant and a holder
+    assert not re.search(r"(?:Join|hashpartitioning) ?[\[(][^\])]*firm#[^\])]*holder#", plan), plan
